@@ -95,17 +95,22 @@ def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: D
         sub = F.broadcast(lut.where(F.col("attribute") == a)
                           .select(F.col("code").alias(f"_c_{a}"), F.col("grps").alias(f"_g_{a}")))
         out = out.withColumn(f"_c_{a}", F.col(col).cast("string")).join(sub, f"_c_{a}", "left")
+    def extend(prod, groups_col):
+        return F.flatten(F.transform(prod, lambda acc: F.transform(
+            groups_col, lambda g: F.concat(acc, F.array(g)))))
+
+    def label(prod, attr_label):
+        return F.transform(prod, lambda gs: F.struct(
+            attr_label.alias("attribute"),
+            F.concat(F.lit("['"), F.array_join(gs, "', '"), F.lit("']")).alias("grp")))
+
     structs = []
     for combo in combos:
         # all products of the k group lists, inside the row
         prod = F.transform(F.col(f"_g_{combo[0]}"), lambda g: F.array(g))
         for a in combo[1:]:
-            prod = F.flatten(F.transform(prod, lambda acc, a=a: F.transform(
-                F.col(f"_g_{a}"), lambda g: F.concat(acc, F.array(g)))))
-        attr_label = _py_list_str([F.lit(a) for a in combo])
-        structs.append(F.transform(prod, lambda gs, attr_label=attr_label: F.struct(
-            attr_label.alias("attribute"),
-            F.concat(F.lit("['"), F.array_join(gs, "', '"), F.lit("']")).alias("grp"))))
+            prod = extend(prod, F.col(f"_g_{a}"))
+        structs.append(label(prod, _py_list_str([F.lit(a) for a in combo])))
     allm = F.flatten(F.array(*structs)) if len(structs) > 1 else structs[0]
     return (out.withColumn("_m", F.explode(allm))
                .select("*", F.col("_m.attribute").alias("attribute"), F.col("_m.grp").alias("grp")))
@@ -166,3 +171,115 @@ def explode_distribution(dist: DataFrame, extra: Sequence[str] = ("refusal_rate"
                 .select("qkey", "attribute", "grp", *extra, (F.col("pos") + 1).alias("opt_idx"),
                         F.col("x.option").alias("option"), F.col("x.p").alias("p"),
                         F.col("x.ord").alias("ordinal")))
+
+
+def _refusal_codes(codebook: DataFrame) -> DataFrame:
+    """Wave data convention: a question's last label (max ``pos``) is its refusal."""
+    return (codebook.groupBy("var").agg(F.max_by("code", "pos").alias("refusal_code")))
+
+
+def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFrame,
+                     attribute_columns: Mapping[str, str], remove_refusal: bool = True,
+                     use_weight: bool = True, k: int = 1) -> DataFrame:
+    """A1: zero-filled weighted distribution over the question's labelled
+    options (refusal dropped when ``remove_refusal``), sorted by code
+    (T1); NaN/NULL weights count 0; NULL (skipped) when the total is 0.
+    Codes without a label are dropped.
+    Output: ``qkey, attribute, grp, codes ARRAY<DOUBLE>, responses ARRAY<DOUBLE>``.
+    """
+    ref = _refusal_codes(codebook)
+    cb = codebook.join(ref, "var")
+    if remove_refusal:
+        cb = cb.where(F.col("code") != F.col("refusal_code"))
+    opts = cb.groupBy("var").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    cnt = weighted_counts(resp, attribute_columns, group_codes, "atp", use_weight, k=k)
+    cnt = cnt.join(F.broadcast(ref), "var")
+    if remove_refusal:
+        cnt = cnt.where(F.col("code") != F.col("refusal_code"))
+    agg = (cnt.groupBy("qkey", "var", "attribute", "grp")
+              .agg(F.map_from_entries(F.collect_list(F.struct("code", "w"))).alias("wmap")))
+    d = (agg.join(F.broadcast(opts), "var")
+            .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
+            .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
+    return (d.where(F.col("tot") != 0)
+             .select("qkey", "attribute", "grp", "codes",
+                     F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))).alias("responses")))
+
+
+def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, group_codes: DataFrame,
+                 attribute_columns: Mapping[str, str], k: int = 1) -> DataFrame:
+    """A6 (wave data): distribution with refusals kept, ``refusal_rate`` =
+    the refusal option's share, ``responses`` = the other options
+    renormalised (pair skipped when nothing but refusals), ``ordinal`` all
+    1.0 (F36), ``options`` = every label stripped in label order."""
+    from quorum.functions.metrics import normalize
+    from quorum.operators.codes import question_body_after_dot
+    full = distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=False, k=k)
+    ref = _refusal_codes(codebook)
+    labels = (codebook.groupBy("var")
+                      .agg(F.sort_array(F.collect_list(F.struct("pos", F.trim("label").alias("l")))).alias("_ls"))
+                      .select("var", F.transform("_ls", lambda x: x["l"]).alias("options")))
+    meta = (labels.join(ref, "var")
+                  .join(variables.select("var", question_body_after_dot("label").alias("question")), "var", "left"))
+    d = (full.withColumn("var", F.split("qkey", "_W").getItem(0))
+             .join(F.broadcast(meta), "var")
+             .withColumn("_ri", F.array_position("codes", F.col("refusal_code")))
+             .withColumn("refusal_rate", F.when(F.col("_ri") > 0,
+                                                F.try_element_at("responses", F.col("_ri").cast("int")))
+                                          .otherwise(F.lit(0.0)))
+             .withColumn("_rest", F.filter("responses", lambda x, i: i + 1 != F.col("_ri")))
+             .withColumn("responses", normalize("_rest")))
+    return (d.where(F.col("responses").isNotNull())
+             .select("qkey", "attribute", "grp", "responses", "refusal_rate",
+                     F.transform("responses", lambda x: F.lit(1.0)).alias("ordinal"),
+                     "question", "options"))
+
+
+def distribution_gss(resp: DataFrame, options: DataFrame, group_codes: DataFrame,
+                     attribute_columns: Mapping[str, str], k: int = 1) -> DataFrame:
+    """A2: option index = code - min(code) of the question over the whole
+    population; only integral codes and non-NaN weights count; the
+    refusal rate is the share of the option labelled ``Refused`` (else 0);
+    ``responses`` = all options but the last, renormalised.  ``options``:
+    ``(var, options ARRAY<STRING>, ordinal ARRAY<DOUBLE>)``.  Pairs with a
+    zero total are skipped (Q7: the reference would divide by zero).
+    """
+    from quorum.functions.metrics import normalize
+    from quorum.operators import codes as C
+    rows = resp.where(C.answered("code"))
+    mins = rows.groupBy("qkey").agg(F.min("code").alias("min_code"))  # one row per question
+    cnt = weighted_counts(rows.where(F.col("code") == F.floor("code")), attribute_columns,
+                          group_codes, "gss", True, k=k)
+    cnt = cnt.join(F.broadcast(mins), "qkey").withColumn("idx", (F.col("code") - F.col("min_code")).cast("int"))
+    agg = (cnt.groupBy("qkey", "var", "attribute", "grp")
+              .agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("wmap")))
+    d = (agg.join(F.broadcast(options), "var")
+            .withColumn("wv", F.transform("options", lambda o, i: F.coalesce(F.try_element_at("wmap", i), F.lit(0.0))))
+            .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x))
+            .where(F.col("tot") != 0)
+            .withColumn("p", F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))))
+            .withColumn("_ri", F.array_position("options", F.lit("Refused"))))
+    return d.select(
+        "qkey", "attribute", "grp",
+        normalize(F.slice("p", 1, F.size("p") - 1)).alias("responses"),
+        F.when(F.col("_ri") > 0, F.try_element_at("p", F.col("_ri").cast("int"))).otherwise(F.lit(0.0))
+         .alias("refusal_rate"),
+        "ordinal", "options")
+
+
+def n_respondent(resp: DataFrame, codebook: DataFrame) -> DataFrame:
+    """A5: per question, respondents with an answer, with and without the
+    refusal (last label) counted."""
+    from quorum.operators import codes as C
+    ref = _refusal_codes(codebook)
+    r = resp.where(C.answered("code")).join(F.broadcast(ref), "var", "left")
+    return r.groupBy("qkey").agg(
+        F.count(F.lit(1)).alias("n_with_refusal"),
+        F.count_if(F.col("refusal_code").isNull() | (F.col("code") != F.col("refusal_code")))
+         .alias("n_without_refusal"))
+
+
+def skip_report(report: DataFrame) -> DataFrame:
+    """Rows produced and pairs skipped, by reason."""
+    return (report.select(F.coalesce("skip_reason", F.lit("ok")).alias("reason"))
+                  .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))

@@ -51,7 +51,8 @@ memb AS (
     FROM responses r JOIN group_codes g ON g.attribute = 'BALANCE' AND g.code = CAST(r.balance_code AS VARCHAR)
 ),"""
 
-_DIST_CTES = _MEMB + f"""
+def _dist_ctes(memb: str) -> str:
+    return memb + f"""
 base AS (SELECT * FROM memb WHERE code IS NOT NULL AND NOT isnan(code) AND weight IS NOT NULL
          AND NOT isnan(weight) AND weight > 0 AND weight < CAST('inf' AS DOUBLE)),
 cls AS (SELECT *, CASE WHEN {_REFUSED} THEN 'refused' WHEN {_INVALID} THEN 'invalid' ELSE 'valid' END AS status
@@ -77,6 +78,9 @@ dist AS (
   LEFT JOIN valid v ON v.qkey = k.qkey AND v.attribute = k.attribute AND v.grp = k.grp AND v.opt_idx = o.opt_idx
 ),"""
 
+
+_DIST_CTES = _dist_ctes(_MEMB)
+
 _DIST_VIEWS = ("responses", "codebook", "group_codes")
 
 DIST_SQL = with_views(*_DIST_VIEWS, ctes=_DIST_CTES) + """
@@ -121,3 +125,176 @@ def q_emd(spark, sf_dir):
     e = emd_vs_overall(cgss_distribution(spark, sf_dir))
     return e.select("qkey", "attribute", "grp", r9("refusal_rate").alias("refusal_rate"),
                     r9("emd").alias("emd"))
+
+
+# ----------------------------------------------------------------- A1, A6, A2, A5, A7, A19
+
+def _atp(spark, sf_dir, remove_refusal=True):
+    return D.distribution_atp(V.responses(spark, sf_dir), V.codebook(spark), V.group_codes(spark),
+                              V.ATTRIBUTE_COLUMNS, remove_refusal=remove_refusal)
+
+
+_ATP_CTES = _MEMB + """
+ref AS (SELECT var, arg_max(code, pos) AS refusal_code FROM codebook GROUP BY var),
+base AS (SELECT m.qkey, m.var, m.attribute, m.grp, m.code,
+                CASE WHEN m.weight IS NULL OR isnan(m.weight) THEN 0 ELSE m.weight END AS w
+         FROM memb m WHERE m.code IS NOT NULL AND NOT isnan(m.code)),
+"""
+
+ATP_SQL = with_views(*_DIST_VIEWS, ctes=_ATP_CTES + """
+opts AS (SELECT c.var, c.code FROM codebook c JOIN ref r ON r.var = c.var WHERE c.code <> r.refusal_code),
+agg AS (SELECT b.qkey, b.var, b.attribute, b.grp, b.code, sum(b.w) AS w
+        FROM base b JOIN opts o ON o.var = b.var AND o.code = b.code
+        GROUP BY b.qkey, b.var, b.attribute, b.grp, b.code),
+tot AS (SELECT qkey, var, attribute, grp, sum(w) AS tot FROM agg
+        GROUP BY qkey, var, attribute, grp HAVING sum(w) <> 0)""") + """
+SELECT t.qkey, t.attribute, t.grp, o.code, round(coalesce(a.w, 0) / t.tot, 9) AS p
+FROM tot t JOIN opts o ON o.var = t.var
+LEFT JOIN agg a ON a.qkey = t.qkey AND a.attribute = t.attribute AND a.grp = t.grp AND a.code = o.code"""
+
+
+@query("dist_atp", ATP_SQL)
+def q_dist_atp(spark, sf_dir):
+    d = _atp(spark, sf_dir)
+    return (d.select("qkey", "attribute", "grp", F.explode(F.arrays_zip("codes", "responses")).alias("x"))
+             .select("qkey", "attribute", "grp", F.col("x.codes").alias("code"), r9("x.responses").alias("p")))
+
+
+ASSEMBLE_SQL = with_views(*_DIST_VIEWS, "variables", ctes=_ATP_CTES + """
+agg AS (SELECT b.qkey, b.var, b.attribute, b.grp, b.code, sum(b.w) AS w
+        FROM base b JOIN codebook c ON c.var = b.var AND c.code = b.code
+        GROUP BY b.qkey, b.var, b.attribute, b.grp, b.code),
+tot AS (SELECT a.qkey, a.var, a.attribute, a.grp, sum(a.w) AS tot,
+               sum(CASE WHEN a.code = r.refusal_code THEN a.w ELSE 0 END) AS ref_w
+        FROM agg a JOIN ref r ON r.var = a.var
+        GROUP BY a.qkey, a.var, a.attribute, a.grp HAVING sum(a.w) <> 0),
+ok AS (SELECT *, tot - ref_w AS rest_w FROM tot WHERE abs((tot - ref_w) / tot) > 1e-8),
+rest AS (SELECT c.var, c.code, row_number() OVER (PARTITION BY c.var ORDER BY c.code) AS pos
+         FROM codebook c JOIN ref r ON r.var = c.var WHERE c.code <> r.refusal_code),
+labs AS (SELECT var, string_agg(trim(label), '|' ORDER BY pos) AS options FROM codebook GROUP BY var),
+qt AS (SELECT var, CASE WHEN instr(label, '.') > 0 THEN trim(substr(label, instr(label, '.') + 1)) ELSE '' END
+              AS question FROM variables)""") + """
+SELECT k.qkey, k.attribute, k.grp, rs.pos,
+       round(coalesce(a.w, 0) / k.rest_w, 9) AS p, round(k.ref_w / k.tot, 9) AS refusal_rate,
+       CAST(1 AS DOUBLE) AS ordinal, qt.question, l.options
+FROM ok k JOIN rest rs ON rs.var = k.var
+JOIN labs l ON l.var = k.var LEFT JOIN qt ON qt.var = k.var
+LEFT JOIN agg a ON a.qkey = k.qkey AND a.attribute = k.attribute AND a.grp = k.grp AND a.code = rs.code"""
+
+
+@query("dist_assemble", ASSEMBLE_SQL)
+def q_dist_assemble(spark, sf_dir):
+    d = D.assemble_atp(V.responses(spark, sf_dir), V.codebook(spark), V.variables(spark),
+                       V.group_codes(spark), V.ATTRIBUTE_COLUMNS)
+    return (d.select("qkey", "attribute", "grp", "refusal_rate", "question",
+                     F.array_join("options", "|").alias("options"),
+                     F.posexplode(F.arrays_zip("responses", "ordinal")).alias("pos", "x"))
+             .select("qkey", "attribute", "grp", (F.col("pos") + 1).cast("bigint").alias("pos"),
+                     r9("x.responses").alias("p"), r9("refusal_rate").alias("refusal_rate"),
+                     F.col("x.ordinal").alias("ordinal"), "question", "options"))
+
+
+def gss_options(spark):
+    """GSS-style dictionary: options in code order, ordinal 1..K."""
+    cb = V.codebook(spark)
+    return (cb.groupBy("var").agg(F.sort_array(F.collect_list(F.struct("code", F.trim("label").alias("l"))))
+                                  .alias("_p"))
+              .select("var", F.transform("_p", lambda x: x["l"]).alias("options"),
+                      F.transform("_p", lambda x, i: (i + 1).cast("double")).alias("ordinal")))
+
+
+GSS_SQL = with_views("responses", "codebook", "group_codes", ctes=_MEMB + """
+gmin AS (SELECT qkey, min(code) AS min_code FROM responses WHERE code >= 0 GROUP BY qkey),
+nopt AS (SELECT var, count(*) AS k FROM codebook GROUP BY var),
+base AS (SELECT m.qkey, m.var, m.attribute, m.grp, CAST(m.code - g.min_code AS INTEGER) AS idx, m.weight AS w
+         FROM memb m JOIN gmin g ON g.qkey = m.qkey
+         WHERE m.code >= 0 AND m.code = floor(m.code) AND m.weight IS NOT NULL AND NOT isnan(m.weight)),
+agg AS (SELECT b.qkey, b.var, b.attribute, b.grp, b.idx, sum(b.w) AS w
+        FROM base b JOIN nopt n ON n.var = b.var WHERE b.idx >= 0 AND b.idx < n.k
+        GROUP BY b.qkey, b.var, b.attribute, b.grp, b.idx),
+tot AS (SELECT a.qkey, a.var, a.attribute, a.grp, sum(a.w) AS tot,
+               sum(CASE WHEN a.idx < n.k - 1 THEN a.w ELSE 0 END) AS head_w
+        FROM agg a JOIN nopt n ON n.var = a.var
+        GROUP BY a.qkey, a.var, a.attribute, a.grp HAVING sum(a.w) <> 0),
+pos AS (SELECT var, CAST(row_number() OVER (PARTITION BY var ORDER BY code) - 1 AS INTEGER) AS idx FROM codebook)""") + """
+SELECT t.qkey, t.attribute, t.grp, CAST(p.idx + 1 AS BIGINT) AS pos,
+       round(coalesce(a.w, 0) / t.head_w, 9) AS p, CAST(0 AS DOUBLE) AS refusal_rate
+FROM tot t JOIN nopt n ON n.var = t.var JOIN pos p ON p.var = t.var AND p.idx < n.k - 1
+LEFT JOIN agg a ON a.qkey = t.qkey AND a.attribute = t.attribute AND a.grp = t.grp AND a.idx = p.idx
+WHERE abs(t.head_w / t.tot) > 1e-8"""
+
+
+@query("dist_gss", GSS_SQL)
+def q_dist_gss(spark, sf_dir):
+    # GSS files hold no sentinel codes: negative codes are "not asked" there
+    resp = V.responses(spark, sf_dir).withColumn("code", F.when(F.col("code") >= 0, F.col("code")))
+    d = D.distribution_gss(resp, gss_options(spark), V.group_codes(spark), V.ATTRIBUTE_COLUMNS)
+    return (d.select("qkey", "attribute", "grp", "refusal_rate", F.posexplode("responses").alias("pos", "p"))
+             .select("qkey", "attribute", "grp", (F.col("pos") + 1).cast("bigint").alias("pos"),
+                     r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate")))
+
+
+N_RESP_SQL = with_views("responses", "codebook", ctes="""
+ref AS (SELECT var, arg_max(code, pos) AS refusal_code FROM codebook GROUP BY var)""") + """
+SELECT r.qkey, count(*) AS n_with_refusal,
+       count(*) FILTER (WHERE f.refusal_code IS NULL OR r.code <> f.refusal_code) AS n_without_refusal
+FROM responses r LEFT JOIN ref f ON f.var = r.var
+WHERE r.code IS NOT NULL AND NOT isnan(r.code) GROUP BY r.qkey"""
+
+
+@query("n_respondent", N_RESP_SQL)
+def q_n_respondent(spark, sf_dir):
+    return D.n_respondent(V.responses(spark, sf_dir), V.codebook(spark))
+
+
+def _joint_memb() -> str:
+    combos = [("SEGMENT", "segment", "REGION", "region"),
+              ("SEGMENT", "segment", "BALANCE", "CAST(r.balance_code AS VARCHAR)"),
+              ("REGION", "region", "BALANCE", "CAST(r.balance_code AS VARCHAR)")]
+    parts = []
+    for a1, c1, a2, c2 in combos:
+        c1 = c1 if c1.startswith("CAST") else f"r.{c1}"
+        c2 = c2 if c2.startswith("CAST") else f"r.{c2}"
+        parts.append(
+            f"SELECT r.qkey, r.var, r.code, r.weight, '[''{a1}'', ''{a2}'']' AS attribute, "
+            f"'[''' || g1.grp || ''', ''' || g2.grp || ''']' AS grp FROM responses r "
+            f"JOIN group_codes g1 ON g1.attribute = '{a1}' AND g1.code = {c1} "
+            f"JOIN group_codes g2 ON g2.attribute = '{a2}' AND g2.code = {c2}")
+    return "\nmemb AS (\n  " + "\n  UNION ALL ".join(parts) + "\n),"
+
+
+JOINT_SQL = with_views(*_DIST_VIEWS, ctes=_dist_ctes(_joint_memb())) + """
+SELECT qkey, attribute, grp, opt_idx, option, round(p, 9) AS p, round(refusal_rate, 9) AS refusal_rate, ordinal
+FROM dist"""
+
+
+@query("dist_joint_k2", JOINT_SQL)
+def q_dist_joint_k2(spark, sf_dir):
+    d = D.explode_distribution(cgss_distribution(spark, sf_dir, k=2))
+    return d.select("qkey", "attribute", "grp", F.col("opt_idx").cast("bigint").alias("opt_idx"),
+                    "option", r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate"), "ordinal")
+
+
+SKIP_SQL = with_views(*_DIST_VIEWS, ctes=_DIST_CTES) + """
+SELECT CASE WHEN valid_w + ref_w <= 0 THEN 'no_weight' WHEN abs(valid_w) <= 1e-8 THEN 'all_refused'
+            ELSE 'ok' END AS reason, count(*) AS n
+FROM keys GROUP BY 1"""
+
+
+@query("skip_report", SKIP_SQL)
+def q_skip_report(spark, sf_dir):
+    return D.skip_report(cgss_distribution(spark, sf_dir, report=True))
+
+
+TEXT_SQL = with_views(*_DIST_VIEWS, "variables", ctes=_DIST_CTES + """
+qt AS (SELECT v.var, coalesce(CASE WHEN p.t IS NOT NULL AND length(p.t) > 0 THEN trim(p.t) END,
+                              CASE WHEN length(v.label) > 0 THEN trim(v.label) END, v.var) AS question
+       FROM variables v LEFT JOIN (SELECT 'STATUS' AS var, 'What is the status of your order?' AS t) p
+       ON p.var = v.var)""") + """
+SELECT DISTINCT d.qkey, d.attribute, d.grp, qt.question
+FROM dist d JOIN qt ON qt.var = split_part(d.qkey, '_W', 1)"""
+
+
+@query("dist_with_text", TEXT_SQL)
+def q_dist_with_text(spark, sf_dir):
+    return cgss_distribution(spark, sf_dir).select("qkey", "attribute", "grp", "question")
