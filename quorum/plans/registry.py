@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from quorum.plans import (  # noqa: F401
         distribution_queries,
+        survey_queries,
     )
