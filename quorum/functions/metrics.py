@@ -18,23 +18,29 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``fn``.
+
+    Spark does not share sub-expressions across lambda boundaries, so an
+    array referenced inside ``transform``/``aggregate`` would be recomputed
+    for every element.  Binding it as the single element of a one-element
+    ``transform`` evaluates it exactly once."""
+    return F.transform(F.array(_c(value)), fn)[0]
+
+
 def _dsum(arr: Column, field: str | None = None) -> Column:
     if field is None:
         return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x[field])
 
 
-def normalize(arr) -> Column:
-    """Scale to sum 1; NULL when the sum is (close to) zero."""
-    arr = _c(arr)
-    s = _dsum(arr)
-    return F.when(F.abs(s) > ZERO_TOL, F.transform(arr, lambda v: F.try_divide(v, s)))
+def _scale(arr: Column, s: Column) -> Column:
+    return F.transform(arr, lambda v: F.try_divide(v, s))
 
 
-def _triples(p: Column, q: Column, o: Column) -> Column:
-    return F.transform(o, lambda x, i: F.struct(x.cast("double").alias("o"),
-                                                p[i].cast("double").alias("p"),
-                                                q[i].cast("double").alias("q")))
+def normalize(arr) -> Column:
+    """Scale to sum 1; NULL when the sum is (close to) zero."""
+    return let(arr, lambda a: let(_dsum(a), lambda s: F.when(F.abs(s) > ZERO_TOL, _scale(a, s))))
 
 
 def _cum_distance(z: Column, sp: Column, sq: Column) -> Column:
@@ -53,6 +59,11 @@ def _cum_distance(z: Column, sp: Column, sq: Column) -> Column:
     return F.aggregate(pairs, init, step, lambda acc: acc["w"])
 
 
+def _inputs(p, q, o) -> Column:
+    return F.struct(_c(p).cast("array<double>").alias("p"), _c(q).cast("array<double>").alias("q"),
+                    _c(o).cast("array<double>").alias("o"))
+
+
 def emd(p, q, ordinal) -> Column:
     """Ordinal Wasserstein distance, list semantics.
 
@@ -61,15 +72,26 @@ def emd(p, q, ordinal) -> Column:
     ordinal step; divide by the ordinal range.  NULL when the ordinal is
     constant, a side has no mass, or one ordered option is left.
     """
-    p, q, o = _c(p), _c(q), _c(ordinal)
-    z = F.array_sort(_triples(p, q, o))
-    zf = F.when(F.exists(z, lambda x: x["o"] >= 0), F.filter(z, lambda x: x["o"] >= 0)).otherwise(z)
-    sp, sq = _dsum(zf, "p"), _dsum(zf, "q")
-    rng = F.try_element_at(zf, F.lit(-1))["o"] - F.try_element_at(zf, F.lit(1))["o"]
-    dist = F.try_divide(_cum_distance(zf, sp, sq), rng)
-    ok = ((F.array_max(o) != F.array_min(o)) & (F.abs(sp) > ZERO_TOL)
-          & (F.abs(sq) > ZERO_TOL) & (rng != 0))
-    return F.when(ok, dist)
+    def body(inp):
+        o = inp["o"]
+        z = F.array_sort(F.transform(o, lambda x, i: F.struct(
+            x.alias("o"), inp["p"][i].alias("p"), inp["q"][i].alias("q"))))
+
+        def on_sorted(z):
+            zf = F.when(F.exists(z, lambda x: x["o"] >= 0),
+                        F.filter(z, lambda x: x["o"] >= 0)).otherwise(z)
+
+            def on_filtered(zf):
+                st = F.struct(_dsum(zf, "p").alias("sp"), _dsum(zf, "q").alias("sq"),
+                              (F.try_element_at(zf, F.lit(-1))["o"]
+                               - F.try_element_at(zf, F.lit(1))["o"]).alias("rng"))
+                return let(st, lambda s: F.when(
+                    (F.array_max(o) != F.array_min(o)) & (F.abs(s["sp"]) > ZERO_TOL)
+                    & (F.abs(s["sq"]) > ZERO_TOL) & (s["rng"] != 0),
+                    F.try_divide(_cum_distance(zf, s["sp"], s["sq"]), s["rng"])))
+            return let(zf, on_filtered)
+        return let(z, on_sorted)
+    return let(_inputs(p, q, ordinal), body)
 
 
 def emd_zero(p, q, ordinal) -> Column:
@@ -79,50 +101,138 @@ def emd_zero(p, q, ordinal) -> Column:
     constant order / no ordered option / zero mass after dropping the
     negative ordinals; stable sort by ordinal.
     """
-    p, q, o = _c(p), _c(q), _c(ordinal)
-    n = F.least(F.size(p), F.size(q), F.size(o))
-    p, q, o = F.slice(p, 1, n), F.slice(q, 1, n), F.slice(o, 1, n)
-    p1 = F.transform(p, lambda v: F.try_divide(v, _dsum(p)))
-    q1 = F.transform(q, lambda v: F.try_divide(v, _dsum(q)))
-    z = F.transform(o, lambda x, i: F.struct(x.cast("double").alias("o"), i.alias("i"),
-                                             p1[i].alias("p"), q1[i].alias("q")))
-    z = F.array_sort(z)  # (o, original index): stable order on ties
-    zf = F.filter(z, lambda x: x["o"] >= 0)
-    dropped = F.size(zf) < F.size(z)
-    sp = F.when(dropped, _dsum(zf, "p")).otherwise(F.lit(1.0))
-    sq = F.when(dropped, _dsum(zf, "q")).otherwise(F.lit(1.0))
-    rng = F.try_element_at(zf, F.lit(-1))["o"] - F.try_element_at(zf, F.lit(1))["o"]
-    dist = F.try_divide(_cum_distance(zf, sp, sq), rng)
-    return (F.when(F.array_max(o) == F.array_min(o), F.lit(0.0))
-            .when(F.size(zf) == 0, F.lit(0.0))
-            .when(dropped & ((sp == 0) | (sq == 0)), F.lit(0.0))
-            .otherwise(dist))
+    def body(inp):
+        n = F.least(F.size(inp["p"]), F.size(inp["q"]), F.size(inp["o"]))
+        cut = F.struct(F.slice(inp["p"], 1, n).alias("p"), F.slice(inp["q"], 1, n).alias("q"),
+                       F.slice(inp["o"], 1, n).alias("o"))
+
+        def on_cut(c):
+            sums = F.struct(_dsum(c["p"]).alias("a"), _dsum(c["q"]).alias("b"))
+
+            def on_sums(s):
+                z = F.array_sort(F.transform(c["o"], lambda x, i: F.struct(
+                    x.alias("o"), i.alias("i"), F.try_divide(c["p"][i], s["a"]).alias("p"),
+                    F.try_divide(c["q"][i], s["b"]).alias("q"))))  # (o, index): stable on ties
+
+                def on_z(z):
+                    zf = F.filter(z, lambda x: x["o"] >= 0)
+
+                    def on_zf(zf):
+                        dropped = F.size(zf) < F.size(z)
+                        st = F.struct(F.when(dropped, _dsum(zf, "p")).otherwise(F.lit(1.0)).alias("sp"),
+                                      F.when(dropped, _dsum(zf, "q")).otherwise(F.lit(1.0)).alias("sq"),
+                                      (F.try_element_at(zf, F.lit(-1))["o"]
+                                       - F.try_element_at(zf, F.lit(1))["o"]).alias("rng"),
+                                      dropped.alias("dropped"))
+                        return let(st, lambda t: (
+                            F.when(F.array_max(c["o"]) == F.array_min(c["o"]), F.lit(0.0))
+                             .when(F.size(zf) == 0, F.lit(0.0))
+                             .when(t["dropped"] & ((t["sp"] == 0) | (t["sq"] == 0)), F.lit(0.0))
+                             .otherwise(F.try_divide(_cum_distance(zf, t["sp"], t["sq"]), t["rng"]))))
+                    return let(zf, on_zf)
+                return let(z, on_z)
+            return let(sums, on_sums)
+        return let(cut, on_cut)
+    return let(_inputs(p, q, ordinal), body)
 
 
 def kl(p, q) -> Column:
     """Forward KL(p || q) = sum p*ln(p+eps) - sum p*ln(q+eps)."""
-    p, q = _c(p), _c(q)
-    terms = F.zip_with(p, q, lambda a, b: a * (F.log(a + LOG_EPS) - F.log(b + LOG_EPS)))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    def body(inp):
+        terms = F.zip_with(inp["p"], inp["q"], lambda a, b: a * (F.log(a + LOG_EPS) - F.log(b + LOG_EPS)))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    return let(F.struct(_c(p).cast("array<double>").alias("p"), _c(q).cast("array<double>").alias("q")), body)
 
 
 def softmax(logits) -> Column:
     """exp(x - max) / sum, as an array."""
-    x = _c(logits)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - m))
-    return F.transform(e, lambda v: F.try_divide(v, _dsum(e)))
+    def body(x):
+        return let(F.array_max(x), lambda m: let(
+            F.transform(x, lambda v: F.exp(v - m)),
+            lambda e: let(_dsum(e), lambda s: _scale(e, s))))
+    return let(_c(logits).cast("array<double>"), body)
 
 
 def uniform_over_valid(ordinal) -> Column:
     """1/k on options with ordinal >= 0, 0 elsewhere; 1/size when none is valid."""
-    o = _c(ordinal)
-    k = F.size(F.filter(o, lambda x: x >= 0))
-    return F.when(k > 0, F.transform(o, lambda x: F.when(x >= 0, F.lit(1.0) / k).otherwise(F.lit(0.0)))) \
-        .otherwise(F.transform(o, lambda x: F.lit(1.0) / F.size(o)))
+    def body(o):
+        k = F.size(F.filter(o, lambda x: x >= 0))
+        return F.when(k > 0, F.transform(o, lambda x: F.when(x >= 0, F.lit(1.0) / k).otherwise(F.lit(0.0)))) \
+            .otherwise(F.transform(o, lambda x: F.lit(1.0) / F.size(o)))
+    return let(ordinal, body)
 
 
 def entropy_terms(p) -> Column:
     """-sum p*log2(p + 1e-9) over an array of shares."""
-    p = _c(p)
-    return -F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x * F.log2(x + 1e-9))
+    return -F.aggregate(_c(p), F.lit(0.0), lambda acc, x: acc + x * F.log2(x + 1e-9))
+
+
+def option_softmax(logits, k) -> Column:
+    """softmax over the whole vocabulary, gather the first ``k`` option
+    tokens (letters A..), renormalise."""
+    return normalize(F.slice(softmax(logits), 1, _c(k) if not isinstance(k, int) else F.lit(k)))
+
+
+def option_probs(logprobs, k) -> Column:
+    """per option letter, exp(logprob of "L") + exp(logprob of " L")
+    (a missing token counts 0).  Returns the raw probabilities; see
+    :func:`normalize` for the renormalised form and ``_dsum`` for the sum."""
+    kk = _c(k) if not isinstance(k, int) else F.lit(k)
+
+    def body(m):
+        def prob(i):
+            letter = F.char(F.lit(64) + i)
+            return (F.coalesce(F.exp(F.try_element_at(m, letter)), F.lit(0.0))
+                    + F.coalesce(F.exp(F.try_element_at(m, F.concat(F.lit(" "), letter))), F.lit(0.0)))
+        return F.transform(F.sequence(F.lit(1), kk), prob)
+    return let(logprobs, body)
+
+
+def array_sum(arr) -> Column:
+    return _dsum(_c(arr))
+
+
+def pad_target(dist, ordinal, n: int = 26, always_renormalize: bool = False):
+    """Cut to ``n`` (renormalise only when cut, or always), pad with
+    zeros; ordinal cut to ``n`` and padded with its max.  Returns (dist, ordinal)."""
+    def on_dist(d):
+        def on_cut(cut):
+            cut2 = let(_dsum(cut), lambda s: F.when((F.size(d) > n) & (s > 0), _scale(cut, s)).otherwise(cut))
+            padded = F.concat(cut2, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(n) - F.size(cut))))
+            if not always_renormalize:
+                return padded
+            return let(padded, lambda pd: let(_dsum(pd), lambda s2: F.when(s2 > 0, _scale(pd, s2)).otherwise(pd)))
+        return let(F.slice(d, 1, n), on_cut)
+
+    def on_ord(o):
+        def on_cut(oc):
+            pad_o = F.coalesce(F.array_max(oc), F.lit(0.0))
+            return F.concat(oc, F.array_repeat(pad_o, F.greatest(F.lit(0), F.lit(n) - F.size(oc))))
+        return let(F.slice(o, 1, n), on_cut)
+    return (let(_c(dist).cast("array<double>"), on_dist),
+            let(_c(ordinal).cast("array<double>"), on_ord))
+
+
+def uniform_over_real(ordinal, k) -> Column:
+    """F10 (default): 1/m on the first ``k`` (real) options with ordinal >= 0,
+    0 elsewhere; 1/size when none is valid."""
+    kk = _c(k) if not isinstance(k, int) else F.lit(k)
+
+    def body(o):
+        def valid(x, i):
+            return (x >= 0) & (i < kk)
+        m = F.size(F.filter(o, valid))
+        return let(m, lambda m: F.when(m > 0, F.transform(
+            o, lambda x, i: F.when(valid(x, i), F.lit(1.0) / m).otherwise(F.lit(0.0))))
+            .otherwise(F.transform(o, lambda x: F.lit(1.0) / F.size(o))))
+    return let(ordinal, body)
+
+
+def entropy_from_counts(counts) -> Column:
+    """-sum p*log2(p+1e-9) of the counts' shares, divided by
+    log2(#distinct) unless there is one distinct value."""
+    def body(c):
+        return let(_dsum(c), lambda n: let(
+            -F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x / n) * F.log2(x / n + 1e-9)),
+            lambda h: F.when(F.size(c) > 1, h / F.log2(F.size(c).cast("double"))).otherwise(h)))
+    return let(F.transform(_c(counts), lambda x: x.cast("double")), body)

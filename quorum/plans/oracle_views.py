@@ -93,3 +93,24 @@ def with_views(*names: str, ctes: str = "") -> str:
     if ctes:
         parts.append(ctes.strip().rstrip(","))
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+VIEWS.update({
+    # V9 in long form: one row per (row_idx, j) option, p = gold, q = model, o = ordinal
+    "lg_x": ("""
+  SELECT row_idx, label, k, CAST(x AS DOUBLE) AS x, i FROM (
+    SELECT vec_id AS row_idx, label, 5 + label AS k, unnest(embedding) AS x,
+           unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""", ()),
+    "lg_sm": ("""
+  SELECT row_idx, k, i, x, exp(x - max(x) OVER (PARTITION BY row_idx)) AS e FROM lg_x""", ("lg_x",)),
+    "lg_q": ("""
+  SELECT row_idx, k, i AS j, s / sum(s) OVER (PARTITION BY row_idx) AS q FROM (
+    SELECT row_idx, k, i, e / sum(e) OVER (PARTITION BY row_idx) AS s FROM lg_sm) WHERE i <= k""", ("lg_sm",)),
+    "lg_g0": ("""
+  SELECT row_idx, k, i - 32 AS j, exp(x - max(x) OVER (PARTITION BY row_idx)) AS e
+  FROM lg_x WHERE i >= 33 AND i < 33 + k""", ("lg_x",)),
+    "lg_long": ("""
+  SELECT g.row_idx, g.k, g.j, g.e / sum(g.e) OVER (PARTITION BY g.row_idx) AS p, q.q,
+         CASE WHEN g.row_idx % 4 = 0 AND g.j = g.k THEN CAST(-1 AS DOUBLE) ELSE CAST(g.j AS DOUBLE) END AS o
+  FROM lg_g0 g JOIN lg_q q ON q.row_idx = g.row_idx AND q.j = g.j""", ("lg_g0", "lg_q")),
+})

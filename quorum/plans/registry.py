@@ -33,4 +33,5 @@ def load_all() -> None:
     from quorum.plans import (  # noqa: F401
         distribution_queries,
         survey_queries,
+        metrics_queries,
     )

@@ -198,3 +198,24 @@ def question_policy(spark: SparkSession) -> DataFrame:
         T.StructField("split", T.StringType()),
     ])
     return spark.createDataFrame(QUESTION_POLICY_ROWS, schema)
+
+
+# ---------------------------------------------------------------- V9
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: one scored row per embedding vector.
+
+    ``logits`` = the 64 floats as doubles (a vocabulary whose first 26
+    entries are the letters A..Z); K = 5 + label options; ``gold`` = softmax
+    of entries 33..32+K (a human distribution); ``ordinal`` = 1..K with the
+    last option marked -1 ("no order") on every 4th row.
+    """
+    from quorum.functions.metrics import softmax
+    e = table(spark, sf_dir, "embeddings")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    k = F.col("label") + 5
+    gold = softmax(F.slice(x, 33, k))
+    ordinal = F.transform(F.sequence(F.lit(1), k), lambda i: F.when(
+        (F.col("vec_id") % 4 == 0) & (i == k), F.lit(-1.0)).otherwise(i.cast("double")))
+    return e.select(F.col("vec_id").alias("row_idx"), "label", k.alias("k"),
+                    x.alias("logits"), gold.alias("gold"), ordinal.alias("ordinal"))
