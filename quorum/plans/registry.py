@@ -34,4 +34,6 @@ def load_all() -> None:
         distribution_queries,
         survey_queries,
         metrics_queries,
+        prompt_queries,
+        sequence_queries,
     )

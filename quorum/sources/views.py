@@ -219,3 +219,42 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % 4 == 0) & (i == k), F.lit(-1.0)).otherwise(i.cast("double")))
     return e.select(F.col("vec_id").alias("row_idx"), "label", k.alias("k"),
                     x.alias("logits"), gold.alias("gold"), ordinal.alias("ordinal"))
+
+
+# ---------------------------------------------------------------- steering metadata
+# Steering texts and the steered groups of the derived survey.
+
+STEERING_ROWS = [
+    # attribute, bio_prompt, qa_prompt, portray_prompt, no_prompt, options
+    ("SEGMENT",
+     "Below you will be asked to describe the market segment you buy for. Description: I buy for the",
+     "Which market segment do you buy for?",
+     "Answer the following question as if you bought for the",
+     "", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
+    ("REGION",
+     "Below you will be asked to describe where you live. Description: I live in",
+     "Which region do you live in?",
+     "Answer the following question as if you lived in",
+     "", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]),
+    ("BALANCE",
+     "Below you will be asked to describe your account balance. Description: My balance is",
+     "How large is your account balance?",
+     "Answer the following question as if your balance were",
+     "", ["negative", "low", "middle", "high"]),
+]
+
+DEMOGRAPHIC_ROWS = [
+    # attribute, group list literal (as in a demographics CSV)
+    ("SEGMENT", "['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']"),
+    ("REGION", "['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']"),
+    ("BALANCE", "['negative', 'low', 'middle', 'high']"),
+]
+
+
+def steering(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STEERING_ROWS, "attribute string, bio_prompt string, qa_prompt string, "
+                                                "portray_prompt string, no_prompt string, options array<string>")
+
+
+def demographics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEMOGRAPHIC_ROWS, "attribute string, group string")
