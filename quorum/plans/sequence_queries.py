@@ -51,8 +51,8 @@ def _tokens(col="text"):
 
 
 @query("pack_sequences", f"""
-WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), x -> x <> '')) AS tok,
-                  generate_subscripts(list_filter(string_split_regex(text, '\\s+'), x -> x <> ''), 1) AS i
+WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS tok,
+                  generate_subscripts(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1) AS i
            FROM documents),
 g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS gpos, count(*) OVER () AS total FROM t)
 SELECT gpos // {CHUNK} AS chunk, gpos % {CHUNK} AS pos, tok AS token FROM g
@@ -75,7 +75,7 @@ def q_head_split(spark, sf_dir):
 
 
 @query("left_pad", f"""
-WITH t AS (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '\\s+'), x -> x <> '')) AS n_tok FROM documents),
+WITH t AS (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tok FROM documents),
 r AS (SELECT doc_id, n_tok, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // {BATCH} AS batch FROM t)
 SELECT doc_id, batch, CAST(max(n_tok) OVER (PARTITION BY batch) - n_tok AS INTEGER) AS pad_len,
        max(n_tok) OVER (PARTITION BY batch) AS padded_len,
@@ -101,7 +101,7 @@ def _prompt_sql(select: str) -> str:
     from quorum.plans.prompt_queries import _PROMPT_CTES
     return with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES + """
 qa AS (SELECT qkey, attribute, grp, input_prompt,
-              len(list_filter(string_split_regex(input_prompt, '\\s+'), x -> x <> '')) AS n_p FROM pr
+              len(list_filter(string_split_regex(input_prompt, '\\s+'), lambda x: x <> '')) AS n_p FROM pr
        WHERE steering_type = 'qa'),""") + select
 
 
