@@ -36,4 +36,5 @@ def load_all() -> None:
         metrics_queries,
         prompt_queries,
         sequence_queries,
+        relevance_queries,
     )
