@@ -37,4 +37,5 @@ def load_all() -> None:
         prompt_queries,
         sequence_queries,
         relevance_queries,
+        compare_queries,
     )
