@@ -38,4 +38,5 @@ def load_all() -> None:
         sequence_queries,
         relevance_queries,
         compare_queries,
+        safety_queries,
     )
