@@ -39,4 +39,5 @@ def load_all() -> None:
         relevance_queries,
         compare_queries,
         safety_queries,
+        io_queries,
     )
