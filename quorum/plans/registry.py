@@ -40,4 +40,5 @@ def load_all() -> None:
         compare_queries,
         safety_queries,
         io_queries,
+        hook_queries,
     )
