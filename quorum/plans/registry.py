@@ -41,4 +41,5 @@ def load_all() -> None:
         safety_queries,
         io_queries,
         hook_queries,
+        stream_queries,
     )
