@@ -83,3 +83,13 @@ def chat_messages(prompt) -> Column:
         F.struct(F.lit("user").alias("role"), strip(first).alias("content")),
         F.struct(F.lit("assistant").alias("role"), answer.alias("content")),
         F.struct(F.lit("user").alias("role"), survey.alias("content")))
+
+
+def parse_literal(col, element_type: str = "double") -> Column:
+    """Python list literal text -> array.  Spark's JSON reader accepts
+    single quotes and escaped quotes; ``nan`` and NumPy's space-separated
+    ``[0.1 0.2]`` form are rewritten first."""
+    s = _c(col)
+    s = F.regexp_replace(s, r"\bnan\b", "NaN")
+    s = F.regexp_replace(s, r"([0-9.])\s+(?=[-+0-9.])", "$1, ")
+    return F.from_json(s, f"array<{element_type}>")

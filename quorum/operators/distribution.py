@@ -27,8 +27,8 @@ OVERALL = "Overall"
 
 def with_overall(group_codes: DataFrame) -> DataFrame:
     """Add the ``Overall / Overall`` group that everybody belongs to."""
-    spark = group_codes.sparkSession
-    ov = spark.createDataFrame([(OVERALL, OVERALL, OVERALL)], "attribute string, grp string, code string")
+    from quorum.sources.views import literal_table
+    ov = literal_table(group_codes.sparkSession, [(OVERALL, OVERALL, OVERALL)], "attribute string, grp string, code string")
     return group_codes.select("attribute", "grp", F.col("code").cast("string")).unionByName(ov)
 
 

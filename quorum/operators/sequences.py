@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +30,13 @@ def _blocks(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[s
     spark = df.sparkSession
     checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(parts, math.ceil(df.count() / ROWS_PER_BLOCK))
-    blk = (df.repartitionByRange(n, *partition_cols, *order_cols)
-             .withColumn("_blk", F.spark_partition_id()))
-    return blk.checkpoint()  # fixes block membership (reliable, shared folder)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # count, range sampling and the write share one scan
+    n = max(parts, math.ceil(src.count() / ROWS_PER_BLOCK))
+    blk = (src.repartitionByRange(n, *partition_cols, *order_cols)
+              .withColumn("_blk", F.spark_partition_id()))
+    out = blk.checkpoint()  # fixes block membership (reliable, shared folder)
+    src.unpersist()
+    return out
 
 
 def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),

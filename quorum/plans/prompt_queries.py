@@ -258,3 +258,49 @@ def q_shuffle(spark, sf_dir):
     p = prompt_table(spark, sf_dir, n_tokens=0).select("split", "qkey", "attribute", "grp", "steering_type")
     key = rng.hash_order(SEED, F.col("qkey"), F.col("attribute"), F.col("grp"), F.col("steering_type"))
     return global_row_index(p.withColumn("_k", key), ["_k"], partition_cols=["split"]).drop("_k")
+
+
+# ---- J4 / J8
+def _steering_join(spark, sf_dir):
+    d = cgss_distribution(spark, sf_dir)
+    s = V.steering(spark)
+    j = d.join(F.broadcast(s.select("attribute", "qa_prompt", F.col("options").alias("s_options"))), "attribute")
+    # the reference asserts the group is a steering option: a filter keeps the check in the plan
+    return j.where(F.when(F.array_contains("s_options", F.col("grp")), F.lit(True))
+                    .otherwise(F.raise_error(F.concat(F.lit("group not in steering options: "), "grp"))
+                               .cast("boolean")))
+
+
+@query("steer_join", with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES) + """
+SELECT DISTINCT d.qkey, d.attribute, d.grp, st.qa AS qa_prompt FROM dist d JOIN steer st ON st.attribute = d.attribute""")
+def q_steer_join(spark, sf_dir):
+    return _steering_join(spark, sf_dir).select("qkey", "attribute", "grp", "qa_prompt")
+
+
+@query("demo_join", with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES) + """
+SELECT DISTINCT qkey, attribute, grp FROM pk""")
+def q_demo_join(spark, sf_dir):
+    demo = G.groups_explode(V.demographics(spark))
+    d = cgss_distribution(spark, sf_dir)
+    return d.join(F.broadcast(demo), ["attribute", "grp"]).select("qkey", "attribute", "grp")
+
+
+# ---- F31
+@query("parse_literal")
+def q_parse_literal(spark, sf_dir):
+    """Literal text written the three ways seen in files (Python list, with
+    nan, NumPy spacing) parses back to the same arrays."""
+    d = cgss_distribution(spark, sf_dir).select("qkey", "attribute", "grp", "responses", "options")
+    py = F.concat(F.lit("["), F.array_join(F.transform("responses", lambda x: x.cast("string")), ", "), F.lit("]"))
+    npy = F.concat(F.lit("["), F.array_join(F.transform("responses", lambda x: x.cast("string")), " "), F.lit("]"))
+    withnan = F.concat(F.lit("["), F.array_join(F.transform("responses", lambda x: x.cast("string")), ", "),
+                       F.lit(", nan]"))
+    opts = F.concat(F.lit("["), F.array_join(F.transform("options", lambda o: F.concat(
+        F.lit("'"), F.replace(o, F.lit("'"), F.lit("\\'")), F.lit("'"))), ", "), F.lit("]"))
+    p = d.select("qkey", "attribute", "grp", "responses", "options",
+                 text.parse_literal(py).alias("a"), text.parse_literal(npy).alias("b"),
+                 text.parse_literal(withnan).alias("c"), text.parse_literal(opts, "string").alias("o"))
+    return p.select("qkey", "attribute", "grp",
+                    ((F.col("a") == F.col("responses")) & (F.col("b") == F.col("responses"))
+                     & (F.slice("c", 1, F.size("responses")) == F.col("responses"))
+                     & F.isnan(F.element_at("c", -1)) & (F.col("o") == F.col("options"))).alias("round_trip_ok"))

@@ -258,11 +258,19 @@ def q_joint_responses(spark, sf_dir):
 
 
 # ---- J3
-@query("wave_weights", with_views("respondents") + "SELECT human_id AS QKEY, weight FROM respondents WHERE wave = 1996")
+@query("wave_weights", with_views("respondents") + "SELECT human_id AS QKEY, wave, weight FROM respondents")
 def q_wave_weights(spark, sf_dir):
-    wide = (V.respondents(spark, sf_dir).where(F.col("wave") == 1996)
-             .select(F.col("human_id").alias("QKEY"), F.col("weight").alias("WEIGHT_W1996")))
-    return R.wave_weights(wide, 1996)
+    """Each wave's table names its weight column ``WEIGHT_W<wave>``; the
+    column is found by pattern per wave (schema metadata) — all waves."""
+    r = V.respondents(spark, sf_dir)
+    waves = sorted(x[0] for x in r.select("wave").distinct().collect())  # a handful of wave ids
+    out = None
+    for w in waves:
+        wide = r.where(F.col("wave") == w).select(F.col("human_id").alias("QKEY"),
+                                                   F.col("weight").alias(f"WEIGHT_W{w}"))
+        part = R.wave_weights(wide, w).withColumn("wave", F.lit(w))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- J5

@@ -19,6 +19,28 @@ from pyspark.sql import types as T
 from quorum.sources.driver import table
 
 
+def _sql_lit(v, dtype: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, T.ArrayType):
+        inner = ", ".join(_sql_lit(x, dtype.elementType) for x in v)
+        return f"CAST(array({inner}) AS {dtype.simpleString()})"
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, T.DoubleType):
+        return f"CAST('{float(v)!r}' AS DOUBLE)"
+    return f"CAST({v} AS {dtype.simpleString()})"
+
+
+def literal_table(spark: SparkSession, rows, schema: str | T.StructType) -> DataFrame:
+    """A small fixed table as a local relation (``VALUES``): no RDD, no job
+    to scan or broadcast it."""
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    cols = [f.name for f in st.fields]
+    body = ", ".join("(" + ", ".join(_sql_lit(v, f.dataType) for v, f in zip(r, st.fields)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(cols)})")
+
+
 # ---------------------------------------------------------------- V1 / V2
 
 def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,15 +200,15 @@ ATTRIBUTE_COLUMNS = {"SEGMENT": "segment", "REGION": "region", "BALANCE": "balan
 
 
 def codebook(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODEBOOK_ROWS, "var string, pos int, code double, label string")
+    return literal_table(spark, CODEBOOK_ROWS, "var string, pos int, code double, label string")
 
 
 def variables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VARIABLE_ROWS, "var string, label string")
+    return literal_table(spark, VARIABLE_ROWS, "var string, label string")
 
 
 def group_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GROUP_CODE_ROWS, "attribute string, grp string, code string")
+    return literal_table(spark, GROUP_CODE_ROWS, "attribute string, grp string, code string")
 
 
 def question_policy(spark: SparkSession) -> DataFrame:
@@ -197,7 +219,7 @@ def question_policy(spark: SparkSession) -> DataFrame:
         T.StructField("question_text", T.StringType()),
         T.StructField("split", T.StringType()),
     ])
-    return spark.createDataFrame(QUESTION_POLICY_ROWS, schema)
+    return literal_table(spark, QUESTION_POLICY_ROWS, schema)
 
 
 # ---------------------------------------------------------------- V9
@@ -252,9 +274,9 @@ DEMOGRAPHIC_ROWS = [
 
 
 def steering(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STEERING_ROWS, "attribute string, bio_prompt string, qa_prompt string, "
-                                                "portray_prompt string, no_prompt string, options array<string>")
+    return literal_table(spark, STEERING_ROWS, "attribute string, bio_prompt string, qa_prompt string, "
+                                               "portray_prompt string, no_prompt string, options array<string>")
 
 
 def demographics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEMOGRAPHIC_ROWS, "attribute string, group string")
+    return literal_table(spark, DEMOGRAPHIC_ROWS, "attribute string, `group` string")
