@@ -47,10 +47,10 @@ def contingency(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(o).alias("other"),
                                F.col(t).cast("double").alias("a"), F.col(o).cast("double").alias("b"))
                       for t, o in pairs])
-    x = wide.select(F.explode(F.filter(cells, lambda c: C.answered(c["a"]) & C.answered(c["b"]))).alias("c"))
-    return (x.groupBy(F.col("c.target").alias("target"), F.col("c.other").alias("other"),
-                      F.col("c.a").alias("a"), F.col("c.b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    # explode then filter: a plain predicate stays in generated code (a
+    # higher-order ``filter`` would be evaluated row by row, interpreted)
+    x = wide.select(F.explode(cells).alias("c")).select("c.*").where(C.answered("a") & C.answered("b"))
+    return x.groupBy("target", "other", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ AMI numerics

@@ -138,7 +138,7 @@ def whitespace_ids(text: Column | str, vocab: int = 50_000) -> Column:
     = pmod(xxhash64(token), vocab).  A real tokeniser plugs in as a pandas
     UDF returning ``ARRAY<INT>``."""
     t = F.col(text) if isinstance(text, str) else text
-    toks = F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    toks = F.array_remove(F.split(t, r"\s+"), "")
     return F.transform(toks, lambda x: F.pmod(F.xxhash64(x), F.lit(vocab)).cast("int"))
 
 

@@ -47,7 +47,7 @@ def q_batch_stripes(spark, sf_dir):
 
 
 def _tokens(col="text"):
-    return F.filter(F.split(F.col(col), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.col(col), r"\s+"), "")
 
 
 @query("pack_sequences", f"""

@@ -39,7 +39,7 @@ def test_every_query_has_oracle_or_is_listed():
     assert rows_only <= {"wd_lower", "topk_greedy", "moderation_examples", "scan_stata", "scan_codebook",
                          "scan_csv_enc", "scan_steering", "scan_qdict", "scan_config", "write_prompts",
                          "empty_split", "scan_cached", "scan_eval", "scan_train_metrics", "write_dist",
-                         "write_qdict", "publish", "write_scored", "write_metrics", "registry",
+                         "write_qdict", "publish", "write_scored", "write_metrics", "registry", "parse_literal",
                          "refine_batch"}
 
 
