@@ -96,13 +96,29 @@ def q_csv_dropna(spark, sf_dir):
                     "segment")
 
 
+def _present_codes(spark, sf_dir):
+    """(attribute, code) pairs that occur in the respondents (from the given tables)."""
+    r = V.respondents(spark, sf_dir)
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(c).cast("string").alias("code"))
+                                for a, c in V.ATTRIBUTE_COLUMNS.items()]))
+    return r.select(pairs.alias("p")).select("p.*").distinct()
+
+
 @query("scan_steering")
 def q_scan_steering(spark, sf_dir):
+    """Steering records (options limited to groups present in the data)
+    written as one JSON array file and read back (multi-line JSON)."""
     path = IO.scratch(spark, "steering")
-    present = V.responses(spark, sf_dir).select("segment").distinct()  # attributes the data carries
-    st = V.steering(spark).withColumn("options", F.to_json("options"))
-    st.join(F.broadcast(present.select(F.lit("SEGMENT").alias("attribute")).distinct()), "attribute", "left") \
-      .coalesce(1).write.mode("overwrite").json(path)
+    present = (V.group_codes(spark).join(_present_codes(spark, sf_dir), ["attribute", "code"], "left_semi")
+                .select("attribute", F.col("grp").alias("option")).distinct())
+    st = V.steering(spark)
+    opts = (st.select("attribute", F.posexplode("options").alias("pos", "option"))
+              .join(F.broadcast(present), ["attribute", "option"], "left_semi")
+              .groupBy("attribute").agg(F.sort_array(F.collect_list(F.struct("pos", "option"))).alias("_o")))
+    rec = st.drop("options").join(opts, "attribute").withColumn(
+        "options", F.to_json(F.transform("_o", lambda x: x["option"]))).drop("_o")
+    arr = rec.agg(F.to_json(F.collect_list(F.struct(*[c for c in rec.columns]))).alias("value"))  # a few rows
+    arr.coalesce(1).write.mode("overwrite").text(path)
     return IO.read_json_records(spark, path)
 
 
@@ -121,12 +137,12 @@ def q_scan_qdict(spark, sf_dir):
 
 @query("scan_config")
 def q_scan_config(spark, sf_dir):
+    """Nested sub-population config (value_map group -> codes, only codes
+    seen in the data) written as JSON and exploded back to the long table."""
     path = IO.scratch(spark, "config")
-    gc = V.group_codes(spark).join(table(spark, sf_dir, "region").select(F.col("r_name").alias("code")).distinct()
-                                   .unionByName(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("code")).distinct()),
-                                   "code", "left")
+    gc = V.group_codes(spark).join(_present_codes(spark, sf_dir), ["attribute", "code"], "left_semi")
     col = F.create_map(*[F.lit(x) for kv in V.ATTRIBUTE_COLUMNS.items() for x in kv])
-    vm = gc.groupBy("attribute", "grp").agg(F.collect_list("code").alias("codes"))
+    vm = gc.groupBy("attribute", "grp").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     subs = vm.groupBy("attribute").agg(F.map_from_entries(F.collect_list(F.struct("grp", "codes"))).alias("value_map"))
     cfg = subs.agg(F.collect_list(F.struct("attribute", F.try_element_at(col, F.col("attribute")).alias("column"),
                                            "value_map")).alias("subpopulations")) \
