@@ -180,6 +180,8 @@ def read_csv_auto(spark: SparkSession, pattern: str, **options) -> DataFrame:
         if r["encoding"] is None:
             raise ValueError(f"cannot decode {r['path']}")
         e = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "cp936": "GBK"}[r["encoding"]]
+        if e == "GBK":  # Spark 4 accepts non-Unicode charsets only with the legacy switch
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = spark.read.options(header=True, encoding=e, **options).csv(r["path"])
         first = df.columns[0]
         if first.startswith("﻿"):
