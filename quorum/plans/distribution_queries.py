@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quorum.functions import metrics as M
 from quorum.operators import distribution as D
@@ -26,13 +27,17 @@ def cgss_distribution(spark: SparkSession, sf_dir: str, k: int = 1, report: bool
 def emd_vs_overall(dist: DataFrame) -> DataFrame:
     """Each group's distribution against the same question's Overall one.
 
-    The Overall row per question is one row per question (tiny), joined on
-    qkey; EMD is a native array expression evaluated in place."""
-    overall = (dist.where(F.col("attribute") == D.OVERALL)
-                   .select("qkey", F.col("responses").alias("overall_responses")))
-    return (dist.join(overall, "qkey")
-                .select("qkey", "attribute", "grp", "refusal_rate",
-                        M.emd("responses", "overall_responses", "ordinal").alias("emd")))
+    The Overall row is found with a window over the question's rows (one
+    row per group: metadata-sized partitions), so the distribution is
+    computed once — a self-join would rebuild it from the raw answers.
+    Also carries the question's Overall refusal rate."""
+    w = Window.partitionBy("qkey")
+    is_ov = F.col("attribute") == D.OVERALL
+    d = (dist.withColumn("overall_responses", F.first(F.when(is_ov, F.col("responses")), ignorenulls=True).over(w))
+             .withColumn("overall_refusal_rate", F.max(F.when(is_ov, F.col("refusal_rate"))).over(w))
+             .where(F.col("overall_responses").isNotNull()))
+    return d.select("qkey", "attribute", "grp", "refusal_rate", "overall_refusal_rate",
+                    M.emd("responses", "overall_responses", "ordinal").alias("emd"))
 
 
 # ----------------------------------------------------------------- oracle

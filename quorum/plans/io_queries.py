@@ -15,7 +15,7 @@ from quorum.sources.driver import table
 
 
 def _wave_tables(spark, sf_dir, root):
-    r = V.responses(spark, sf_dir)
+    r = V.responses(spark, sf_dir).select("human_id", "wave", "var", "code", "weight").persist()
     waves = sorted(x[0] for x in r.select("wave").distinct().collect())  # a handful of wave ids
     for w in waves:
         part = (r.where(F.col("wave") == w).groupBy(F.col("human_id").alias("QKEY"))

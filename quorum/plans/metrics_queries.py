@@ -228,12 +228,14 @@ SELECT c.pair, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n +
 FROM cnt c JOIN tot t ON t.pair = c.pair GROUP BY c.pair, t.m""")
 def q_entropy_joint(spark, sf_dir):
     from quorum.operators.responses import joint_responses_wide
+    from quorum.operators import codes as C
     wide = V.line_answers(spark, sf_dir)
-    parts = [joint_responses_wide(wide, list(p)).select(F.lit("|".join(p)).alias("pair"), "codes")
-             for p in JOINT_PAIRS]
-    j = parts[0]
-    for p in parts[1:]:
-        j = j.unionByName(p)
+    # every pair's joint answer from one pass over the rows (explode, then a plain filter)
+    cells = F.explode(F.array(*[F.struct(F.lit("|".join(p)).alias("pair"),
+                                         F.array(*[F.col(q) for q in p]).alias("codes"),
+                                         (C.answered(p[0]) & C.answered(p[1])).alias("ok"))
+                                for p in JOINT_PAIRS]))
+    j = wide.select(cells.alias("x")).select("x.pair", "x.codes", "x.ok").where(F.col("ok"))
     c = j.groupBy("pair", "codes").agg(F.count(F.lit(1)).alias("c"))
     return (c.groupBy("pair").agg(F.collect_list("c").alias("cs"))
              .select("pair", r9(M.entropy_from_counts("cs")).alias("entropy")))
@@ -245,6 +247,13 @@ def excluded_qkeys(dist):
     return dist.where((F.col("attribute") == D.OVERALL) & (F.col("refusal_rate") > 0.1)).select("qkey")
 
 
+def kept_emd(spark, sf_dir):
+    """EMD rows with the P14 exclusion applied (from the Overall refusal
+    rate carried by ``emd_vs_overall`` — no second pass)."""
+    e = emd_vs_overall(cgss_distribution(spark, sf_dir))
+    return e.where(~F.coalesce(F.col("overall_refusal_rate") > 0.1, F.lit(False)))
+
+
 _EXCL = "excl AS (SELECT DISTINCT qkey FROM emdt WHERE attribute = 'Overall' AND refusal_rate > 0.1),"
 _KEPT = ("kept AS (SELECT qkey, attribute, grp, CASE WHEN rng = 0 THEN NULL ELSE s / rng END AS emd FROM emdt "
          "WHERE qkey NOT IN (SELECT qkey FROM excl))")
@@ -253,24 +262,20 @@ _KEPT = ("kept AS (SELECT qkey, attribute, grp, CASE WHEN rng = 0 THEN NULL ELSE
 @query("exclude_relevant", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) +
        "SELECT qkey, attribute, grp, round(emd, 9) AS emd FROM kept")
 def q_exclude_relevant(spark, sf_dir):
-    d = cgss_distribution(spark, sf_dir)
-    e = emd_vs_overall(d).join(F.broadcast(excluded_qkeys(d)), "qkey", "left_anti")
-    return e.select("qkey", "attribute", "grp", r9("emd").alias("emd"))
+    return kept_emd(spark, sf_dir).select("qkey", "attribute", "grp", r9("emd").alias("emd"))
 
 
 @query("wd_by_group", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) + """
 SELECT attribute, grp, round(avg(emd), 9) AS mean_emd, count(emd) AS n FROM kept GROUP BY ROLLUP (attribute, grp)""")
 def q_wd_by_group(spark, sf_dir):
-    d = cgss_distribution(spark, sf_dir)
-    e = emd_vs_overall(d).join(F.broadcast(excluded_qkeys(d)), "qkey", "left_anti")
+    e = kept_emd(spark, sf_dir)
     return e.rollup("attribute", "grp").agg(r9(F.avg("emd")).alias("mean_emd"), F.count("emd").alias("n"))
 
 
 @query("wd_one_group", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) + """
 SELECT round(avg(emd), 9) AS mean_emd, count(emd) AS n FROM kept WHERE grp = 'ASIA'""")
 def q_wd_one_group(spark, sf_dir):
-    d = cgss_distribution(spark, sf_dir)
-    e = emd_vs_overall(d).join(F.broadcast(excluded_qkeys(d)), "qkey", "left_anti")
+    e = kept_emd(spark, sf_dir)
     return e.where(F.col("grp") == "ASIA").agg(r9(F.avg("emd")).alias("mean_emd"), F.count("emd").alias("n"))
 
 

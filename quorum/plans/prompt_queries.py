@@ -28,9 +28,13 @@ def splits(spark, sf_dir):
 
 
 def prompt_table(spark, sf_dir, n_tokens=100):
+    """Prompt table; the (small) distribution feeds both the prompt rows and
+    the question split, so it is persisted once instead of rebuilt from the
+    raw answers for each use."""
     demo = G.groups_explode(V.demographics(spark))
-    return P.build_prompts(cgss_distribution(spark, sf_dir), V.steering(spark), demo, splits(spark, sf_dir),
-                           seed=SEED, n_tokens=n_tokens)
+    dist = cgss_distribution(spark, sf_dir).persist()
+    spl = P.split_questions(dist.select("qkey"), *RATIOS, test_waves=TEST_WAVES, seed=SEED)
+    return P.build_prompts(dist, V.steering(spark), demo, spl, seed=SEED, n_tokens=n_tokens)
 
 
 _STEER = ",\n".join(f"({_sq(a)}, {_sq(b)}, {_sq(q)}, {_sq(p)})" for a, b, q, p, _, _ in V.STEERING_ROWS)

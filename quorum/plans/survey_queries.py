@@ -262,7 +262,7 @@ def q_joint_responses(spark, sf_dir):
 def q_wave_weights(spark, sf_dir):
     """Each wave's table names its weight column ``WEIGHT_W<wave>``; the
     column is found by pattern per wave (schema metadata) — all waves."""
-    r = V.respondents(spark, sf_dir)
+    r = V.respondents(spark, sf_dir).select("human_id", "wave", "weight").persist()  # one pass for all waves
     waves = sorted(x[0] for x in r.select("wave").distinct().collect())  # a handful of wave ids
     out = None
     for w in waves:
@@ -299,8 +299,9 @@ LEFT JOIN responses r ON r.human_id = p.human_id AND r.qkey = 'PRIORITY_W1996'
 LEFT JOIN codebook c ON c.var = r.var AND c.code = r.code
 LEFT JOIN mx ON mx.var = r.var""")
 def q_get_response(spark, sf_dir):
-    look = V.respondents(spark, sf_dir).select("human_id", F.lit("PRIORITY_W1996").alias("qkey"))
-    return R.lookup_responses(look, V.responses(spark, sf_dir), V.codebook(spark))
+    r = V.respondents(spark, sf_dir).persist()  # feeds both the lookups and the answers
+    look = r.select("human_id", F.lit("PRIORITY_W1996").alias("qkey"))
+    return R.lookup_responses(look, V.responses_from(r), V.codebook(spark))
 
 
 # ---- U1
@@ -320,7 +321,7 @@ def q_union_groups(spark, sf_dir):
 SELECT human_id FROM line_responses WHERE qkey = 'RETURNFLAG'
 INTERSECT SELECT human_id FROM line_responses WHERE qkey = 'QTY'""")
 def q_intersect_ids(spark, sf_dir):
-    lr = V.line_responses(spark, sf_dir)
+    lr = V.line_responses(spark, sf_dir).select("human_id", "qkey").persist()  # both sides from one pass
     return R.intersect_ids(lr.where(F.col("qkey") == "RETURNFLAG"), lr.where(F.col("qkey") == "QTY"))
 
 

@@ -87,7 +87,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 = "not specified" = refusal) and STATUS (F/O/P -> 1/2/3), keyed
     ``<VAR>_W<wave>``.  Unpivot is one ``explode`` (no second scan).
     """
-    r = respondents(spark, sf_dir)
+    return responses_from(respondents(spark, sf_dir))
+
+
+def responses_from(r: DataFrame) -> DataFrame:
+    """V2 built on a given respondents frame (lets callers reuse one)."""
     hid = F.col("human_id")
     prio = F.substring("priority", 1, 1).cast("double")
     stat = (F.when(F.col("status") == "F", 1.0).when(F.col("status") == "O", 2.0)
