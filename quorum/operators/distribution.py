@@ -140,9 +140,11 @@ def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, v
              .agg(F.map_from_entries(F.collect_list(
                       F.when(F.col("status") == "valid", F.struct("code", "w")))).alias("wmap"),
                   F.sum(F.when(F.col("status") == "refused", F.col("w")).otherwise(0.0)).alias("ref_w")))
-    qtext = (variables.join(rp.select("var", "question_text"), "var", "full")
-                      .select("var", C.question_text("question_text", "label", "var").alias("question")))
-    meta = opts.join(qtext, "var", "left")
+    # question text per question with options (metadata: broadcast lookups, no shuffle)
+    meta = (opts.join(F.broadcast(variables.select("var", "label")), "var", "left")
+                .join(F.broadcast(rp.select("var", "question_text")), "var", "left")
+                .withColumn("question", C.question_text("question_text", "label", "var"))
+                .drop("label", "question_text"))
     d = (agg.join(F.broadcast(meta), "var")  # J12: unknown questions / codes drop out
             .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
             .withColumn("valid_w", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
