@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum.operators.joins import bounded_broadcast
+
 # Question filters of the wave data set.
 PROHIBITED_WAVES = [26, 29, 32, 34, 36, 41, 42, 43, 45, 49, 50, 54, 82, 92]
 REMOVED_WAVES = [47, 58, 59, 60, 63, 66, 61, 62, 64, 65, 67, 86, 89, 97, 100, 122, 132]
@@ -65,7 +67,7 @@ def filter_qkeys(qkeys: DataFrame, error_keys: DataFrame | None = None,
     """Allow-list of questions (``qkey`` column)."""
     out = qkeys
     if error_keys is not None:
-        out = out.join(F.broadcast(error_keys.select("qkey").distinct()), "qkey", "left_anti")
+        out = out.join(bounded_broadcast(error_keys.select("qkey").distinct()), "qkey", "left_anti")
     waves = list(prohibited_waves) + list(removed_waves)
     return out.where(~F.lower(qkey_prefix("qkey")).isin(list(prohibited_prefixes))
                      & ~wave_number("qkey").isin(waves))
@@ -102,7 +104,7 @@ def build_options(codebook: DataFrame, resolved_policy: DataFrame) -> DataFrame:
     no option are dropped.  Input sizes are the codebook's (metadata).
     """
     cb = (codebook.where(answered("code"))
-                  .join(F.broadcast(resolved_policy.select("var", "refusal_set", "invalid_set")), "var")
+                  .join(bounded_broadcast(resolved_policy.select("var", "refusal_set", "invalid_set")), "var")
                   .where(~F.array_contains("refusal_set", F.col("code"))
                          & ~F.array_contains("invalid_set", F.col("code"))))
     opts = (cb.groupBy("var")

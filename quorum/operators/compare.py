@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.functions import rng, text
+from quorum.operators.joins import bounded_broadcast
 
 METRICS = ("kl", "wd", "loss")
 
@@ -67,7 +68,7 @@ def hist_bins(df: DataFrame, series: Sequence[str], bins: int = 40) -> DataFrame
     long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("x"))
                                           for s in series])).alias("v")).select("v.*")
     mm = long.groupBy("series").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))  # one row per series
-    b = long.join(F.broadcast(mm), "series").withColumn(
+    b = long.join(bounded_broadcast(mm), "series").withColumn(
         "bin", F.when(F.col("mx") == F.col("mn"), F.lit(0)).otherwise(
             F.least(F.floor((F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins), F.lit(bins - 1)))
         .cast("int"))

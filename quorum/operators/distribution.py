@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.operators import codes as C
+from quorum.operators.joins import bounded_broadcast
 
 OVERALL = "Overall"
 
@@ -50,7 +51,7 @@ def membership(df: DataFrame, attribute_columns: Mapping[str, str], group_codes:
     exploded = (df.withColumn("_m", F.explode(F.array(*pairs)))
                   .withColumn("attribute", F.col("_m.attribute"))
                   .withColumn("_code", F.col("_m.code")).drop("_m"))
-    return (exploded.join(F.broadcast(gc.withColumnRenamed("code", "_code")), ["attribute", "_code"])
+    return (exploded.join(bounded_broadcast(gc.withColumnRenamed("code", "_code")), ["attribute", "_code"])
                     .drop("_code"))
 
 
@@ -92,7 +93,7 @@ def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: D
     lut = gc.groupBy("attribute", "code").agg(F.sort_array(F.collect_list("grp")).alias("grps"))
     out = rows
     for a, col in attribute_columns.items():
-        sub = F.broadcast(lut.where(F.col("attribute") == a)
+        sub = bounded_broadcast(lut.where(F.col("attribute") == a)
                           .select(F.col("code").alias(f"_c_{a}"), F.col("grps").alias(f"_g_{a}")))
         out = out.withColumn(f"_c_{a}", F.col(col).cast("string")).join(sub, f"_c_{a}", "left")
     def extend(prod, groups_col):
@@ -131,7 +132,7 @@ def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, v
     rp = C.resolve_policy(policy, global_invalid, global_refusal)
     opts = C.build_options(codebook, rp)
     cnt = weighted_counts(resp, attribute_columns, group_codes, "cgss", k=k)
-    st = (cnt.join(F.broadcast(rp.select("var", "refusal_set", "invalid_set")), "var", "left")
+    st = (cnt.join(bounded_broadcast(rp.select("var", "refusal_set", "invalid_set")), "var", "left")
              .withColumn("status", C.code_status(
                  "code",
                  F.coalesce("refusal_set", F.array(*[F.lit(float(x)) for x in global_refusal])),
@@ -141,11 +142,11 @@ def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, v
                       F.when(F.col("status") == "valid", F.struct("code", "w")))).alias("wmap"),
                   F.sum(F.when(F.col("status") == "refused", F.col("w")).otherwise(0.0)).alias("ref_w")))
     # question text per question with options (metadata: broadcast lookups, no shuffle)
-    meta = (opts.join(F.broadcast(variables.select("var", "label")), "var", "left")
-                .join(F.broadcast(rp.select("var", "question_text")), "var", "left")
+    meta = (opts.join(bounded_broadcast(variables.select("var", "label")), "var", "left")
+                .join(bounded_broadcast(rp.select("var", "question_text")), "var", "left")
                 .withColumn("question", C.question_text("question_text", "label", "var"))
                 .drop("label", "question_text"))
-    d = (agg.join(F.broadcast(meta), "var")  # J12: unknown questions / codes drop out
+    d = (agg.join(bounded_broadcast(meta), "var")  # J12: unknown questions / codes drop out
             .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
             .withColumn("valid_w", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
     denom = F.col("valid_w") + F.col("ref_w")
@@ -195,12 +196,12 @@ def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFram
         cb = cb.where(F.col("code") != F.col("refusal_code"))
     opts = cb.groupBy("var").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     cnt = weighted_counts(resp, attribute_columns, group_codes, "atp", use_weight, k=k)
-    cnt = cnt.join(F.broadcast(ref), "var")
+    cnt = cnt.join(bounded_broadcast(ref), "var")
     if remove_refusal:
         cnt = cnt.where(F.col("code") != F.col("refusal_code"))
     agg = (cnt.groupBy("qkey", "var", "attribute", "grp")
               .agg(F.map_from_entries(F.collect_list(F.struct("code", "w"))).alias("wmap")))
-    d = (agg.join(F.broadcast(opts), "var")
+    d = (agg.join(bounded_broadcast(opts), "var")
             .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
             .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
     return (d.where(F.col("tot") != 0)
@@ -224,7 +225,7 @@ def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, gro
     meta = (labels.join(ref, "var")
                   .join(variables.select("var", question_body_after_dot("label").alias("question")), "var", "left"))
     d = (full.withColumn("var", F.split("qkey", "_W").getItem(0))
-             .join(F.broadcast(meta), "var")
+             .join(bounded_broadcast(meta), "var")
              .withColumn("_ri", F.array_position("codes", F.col("refusal_code")))
              .withColumn("refusal_rate", F.when(F.col("_ri") > 0,
                                                 F.try_element_at("responses", F.col("_ri").cast("int")))
@@ -252,10 +253,10 @@ def distribution_gss(resp: DataFrame, options: DataFrame, group_codes: DataFrame
     mins = rows.groupBy("qkey").agg(F.min("code").alias("min_code"))  # one row per question
     cnt = weighted_counts(rows.where(F.col("code") == F.floor("code")), attribute_columns,
                           group_codes, "gss", True, k=k)
-    cnt = cnt.join(F.broadcast(mins), "qkey").withColumn("idx", (F.col("code") - F.col("min_code")).cast("int"))
+    cnt = cnt.join(bounded_broadcast(mins), "qkey").withColumn("idx", (F.col("code") - F.col("min_code")).cast("int"))
     agg = (cnt.groupBy("qkey", "var", "attribute", "grp")
               .agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("wmap")))
-    d = (agg.join(F.broadcast(options), "var")
+    d = (agg.join(bounded_broadcast(options), "var")
             .withColumn("wv", F.transform("options", lambda o, i: F.coalesce(F.try_element_at("wmap", i), F.lit(0.0))))
             .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x))
             .where(F.col("tot") != 0)
@@ -274,7 +275,7 @@ def n_respondent(resp: DataFrame, codebook: DataFrame) -> DataFrame:
     refusal (last label) counted."""
     from quorum.operators import codes as C
     ref = _refusal_codes(codebook)
-    r = resp.where(C.answered("code")).join(F.broadcast(ref), "var", "left")
+    r = resp.where(C.answered("code")).join(bounded_broadcast(ref), "var", "left")
     return r.groupBy("qkey").agg(
         F.count(F.lit(1)).alias("n_with_refusal"),
         F.count_if(F.col("refusal_code").isNull() | (F.col("code") != F.col("refusal_code")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.operators.distribution import OVERALL
+from quorum.operators.joins import bounded_broadcast
 
 
 def subpop_filter(attribute_columns: Mapping[str, str], group_codes: Mapping[tuple[str, str], Sequence],
@@ -74,7 +75,7 @@ def convert_traits(traits: DataFrame, codebook: DataFrame) -> DataFrame:
     one of the ``|``-separated traits.  Unmatched traits yield no row.
     """
     cb = codebook.select("var", "pos", "code", F.lower("label").alias("_l"))
-    j = traits.join(F.broadcast(cb), "var")
+    j = traits.join(bounded_broadcast(cb), "var")
     pre = (j.where((F.col("mode") == "prefix") & F.col("_l").startswith(F.lower("trait")))
              .groupBy("attribute", "var", "trait", "mode")
              .agg(F.min_by("code", "pos").alias("code")))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from quorum.functions import rng, text
 from quorum.operators.codes import wave_number
 from quorum.operators.groups import recode_group
+from quorum.operators.joins import bounded_broadcast
 
 STEERING_TYPES = ("bio", "qa", "portray")
 
@@ -93,9 +94,9 @@ def build_prompts(dist: DataFrame, steering: DataFrame, demographics: DataFrame,
     s = steering.select("attribute", *[F.col(c).alias(f"s_{c}") for c in steering.columns if c != "attribute"])
     demo = demographics.select("attribute", F.col("grp").alias("group_label"))
     demo = demo.withColumn("grp", recode_group("attribute", "group_label", recode))
-    j = (dist.join(F.broadcast(demo), ["attribute", "grp"])
-             .join(F.broadcast(s), "attribute")
-             .join(F.broadcast(splits), "qkey"))
+    j = (dist.join(bounded_broadcast(demo), ["attribute", "grp"])
+             .join(bounded_broadcast(s), "attribute")
+             .join(bounded_broadcast(splits), "qkey"))
     if check_groups:  # a filter, so the check cannot be pruned away
         j = j.where(F.when(F.array_contains("s_options", F.col("group_label")), F.lit(True))
                      .otherwise(F.raise_error(F.concat(F.lit("group not in steering options: "),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.operators import codes as C
+from quorum.operators.joins import bounded_broadcast
 
 
 def responses_in(resp: DataFrame, members: DataFrame, key: str = "human_id") -> DataFrame:
@@ -22,7 +23,7 @@ def responses_in(resp: DataFrame, members: DataFrame, key: str = "human_id") ->
 def drop_refusal(resp: DataFrame, codebook: DataFrame) -> DataFrame:
     """Drop answers equal to the question's refusal code (last label)."""
     ref = codebook.groupBy("var").agg(F.max_by("code", "pos").alias("_ref"))
-    return (resp.join(F.broadcast(ref), "var", "left")
+    return (resp.join(bounded_broadcast(ref), "var", "left")
                 .where(F.col("_ref").isNull() | (F.col("code") != F.col("_ref"))).drop("_ref"))
 
 
@@ -75,7 +76,7 @@ def lookup_responses(lookups: DataFrame, resp: DataFrame, codebook: DataFrame) -
     ans = resp.select("human_id", "qkey", "var", "code", F.lit(True).alias("_in"))
     cb = codebook.withColumn("_maxpos", F.max("pos").over(Window.partitionBy("var")))
     j = (lookups.join(ans, ["human_id", "qkey"], "left")
-                .join(F.broadcast(cb.select("var", "code", "pos", "label", "_maxpos")), ["var", "code"], "left"))
+                .join(bounded_broadcast(cb.select("var", "code", "pos", "label", "_maxpos")), ["var", "code"], "left"))
     idx = (F.when(F.col("_in").isNull(), F.lit(-3))
             .when(F.col("pos").isNull(), F.lit(-2))
             .when(F.col("pos") == F.col("_maxpos"), F.lit(-1))

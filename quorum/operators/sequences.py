@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.functions import rng
+from quorum.operators.joins import bounded_broadcast
 from quorum.session import checkpoint_dir
 
 ROWS_PER_BLOCK = 1_000_000
@@ -50,7 +51,7 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: S
     w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*pc, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols)
-    return (blk.join(F.broadcast(offs), [*pc, "_blk"])
+    return (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
                .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
                .drop("_blk", "_off"))
 
@@ -62,7 +63,7 @@ def global_prefix_sum(df: DataFrame, value: str, order_cols: Sequence[str], name
     w = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     offs = sizes.select("_blk", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    return (blk.join(F.broadcast(offs), "_blk")
+    return (blk.join(bounded_broadcast(offs), "_blk")
                .withColumn(name, (F.col("_off") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("bigint"))
                .drop("_blk", "_off"))
 

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from quorum.operators.joins import bounded_broadcast
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
 from quorum.sources import io as IO
@@ -113,7 +114,7 @@ def q_scan_steering(spark, sf_dir):
                 .select("attribute", F.col("grp").alias("option")).distinct())
     st = V.steering(spark)
     opts = (st.select("attribute", F.posexplode("options").alias("pos", "option"))
-              .join(F.broadcast(present), ["attribute", "option"], "left_semi")
+              .join(bounded_broadcast(present), ["attribute", "option"], "left_semi")
               .groupBy("attribute").agg(F.sort_array(F.collect_list(F.struct("pos", "option"))).alias("_o")))
     rec = st.drop("options").join(opts, "attribute").withColumn(
         "options", F.to_json(F.transform("_o", lambda x: x["option"]))).drop("_o")

@@ -8,6 +8,7 @@ from quorum.functions import rng, text
 from quorum.operators import groups as G
 from quorum.operators import prompts as P
 from quorum.operators.codes import question_body_after_dot
+from quorum.operators.joins import bounded_broadcast
 from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, cgss_distribution, r9
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
@@ -156,7 +157,7 @@ def _question_mcq(spark, sf_dir):
                 .select("var", F.transform("_l", lambda x: x["label"]).alias("options")))
     body = V.variables(spark).select("var", question_body_after_dot("label").alias("question"))
     keys = V.responses(spark, sf_dir).select("qkey", "var").distinct()
-    return (keys.join(F.broadcast(labels), "var").join(F.broadcast(body), "var")
+    return (keys.join(bounded_broadcast(labels), "var").join(bounded_broadcast(body), "var")
                 .select("qkey", text.mcq("question", "options", add_answer_forcing=True).alias("mcq")))
 
 
@@ -268,7 +269,7 @@ def q_shuffle(spark, sf_dir):
 def _steering_join(spark, sf_dir):
     d = cgss_distribution(spark, sf_dir)
     s = V.steering(spark)
-    j = d.join(F.broadcast(s.select("attribute", "qa_prompt", F.col("options").alias("s_options"))), "attribute")
+    j = d.join(bounded_broadcast(s.select("attribute", "qa_prompt", F.col("options").alias("s_options"))), "attribute")
     # the reference asserts the group is a steering option: a filter keeps the check in the plan
     return j.where(F.when(F.array_contains("s_options", F.col("grp")), F.lit(True))
                     .otherwise(F.raise_error(F.concat(F.lit("group not in steering options: "), "grp"))
@@ -286,7 +287,7 @@ SELECT DISTINCT qkey, attribute, grp FROM pk""")
 def q_demo_join(spark, sf_dir):
     demo = G.groups_explode(V.demographics(spark))
     d = cgss_distribution(spark, sf_dir)
-    return d.join(F.broadcast(demo), ["attribute", "grp"]).select("qkey", "attribute", "grp")
+    return d.join(bounded_broadcast(demo), ["attribute", "grp"]).select("qkey", "attribute", "grp")
 
 
 # ---- F31

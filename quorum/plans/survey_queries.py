@@ -9,6 +9,7 @@ from quorum.operators import codes as C
 from quorum.operators import distribution as D
 from quorum.operators import groups as G
 from quorum.operators import responses as R
+from quorum.operators.joins import bounded_broadcast
 from quorum.plans.distribution_queries import _DIST_CTES, _INVALID, _REFUSED, cgss_distribution
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
@@ -137,7 +138,7 @@ SELECT qkey, CASE WHEN code IS NULL OR isnan(code) THEN 'missing' WHEN {_REFUSED
 FROM responses GROUP BY 1, 2""")
 def q_code_status(spark, sf_dir):
     rp = C.resolve_policy(V.question_policy(spark), V.GLOBAL_INVALID, V.GLOBAL_REFUSAL)
-    r = V.responses(spark, sf_dir).join(F.broadcast(rp), "var", "left")
+    r = V.responses(spark, sf_dir).join(bounded_broadcast(rp), "var", "left")
     return (r.select("qkey", C.code_status("code", "refusal_set", "invalid_set").alias("status"))
              .groupBy("qkey", "status").agg(F.count(F.lit(1)).alias("n")))
 
@@ -180,7 +181,7 @@ def _questions_for_split(spark, sf_dir, split):
     pol = spark.createDataFrame(_POLICY_WITH_PLACEHOLDER, V.question_policy(spark).schema)
     present = V.responses(spark, sf_dir).select("var").distinct()
     labelled = V.codebook(spark).select("var").distinct()
-    q = pol.where(~F.col("var").startswith("__REPLACE")).join(F.broadcast(labelled), "var")
+    q = pol.where(~F.col("var").startswith("__REPLACE")).join(bounded_broadcast(labelled), "var")
     if split != "all":
         q = q.where(F.col("split") == split)
     return q.join(present, "var", "left_semi").select("var", "split")
@@ -237,8 +238,8 @@ WHERE r.code IS NOT NULL AND NOT isnan(r.code) AND r.code <> f.refusal_code
                     JOIN region g ON g.r_regionkey = n.n_regionkey WHERE g.r_name = 'ASIA')""")
 def q_resp_semi(spark, sf_dir):
     c, n, g = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    asia = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-             .join(F.broadcast(g.where(F.col("r_name") == "ASIA")), F.col("n_regionkey") == F.col("r_regionkey"))
+    asia = (c.join(bounded_broadcast(n), c.c_nationkey == n.n_nationkey)
+             .join(bounded_broadcast(g.where(F.col("r_name") == "ASIA")), F.col("n_regionkey") == F.col("r_regionkey"))
              .select(F.col("c_custkey").alias("cust_id")))
     r = R.drop_refusal(V.responses(spark, sf_dir).where(C.answered("code")), V.codebook(spark))
     return R.responses_in(r, asia, "cust_id").select("qkey", "human_id", "code")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum.operators.joins import bounded_broadcast
 from quorum.sources.driver import table
 
 
@@ -52,8 +53,8 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
-    n = F.broadcast(table(spark, sf_dir, "nation"))
-    r = F.broadcast(table(spark, sf_dir, "region"))
+    n = bounded_broadcast(table(spark, sf_dir, "nation"))
+    r = bounded_broadcast(table(spark, sf_dir, "region"))
     cust = (c.join(n, c.c_nationkey == n.n_nationkey)
              .join(r, n.n_regionkey == r.r_regionkey)
              .select("c_custkey", "c_mktsegment", "c_acctbal", "n_name", "r_name"))
