@@ -76,9 +76,12 @@ def hist_bins(df: DataFrame, series: Sequence[str], bins: int = 40) -> DataFrame
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row per key in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Keep the first row per key in ``order`` — a ``min_by`` aggregate,
+    so it combines map-side and a key holding a third of the rows is not
+    sorted in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def run_grid(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -102,17 +105,18 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def running_best(series: DataFrame, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
-    """Best loss before each step and whether the step is a new best."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.min(loss).over(w)
-    return (series.withColumn("best_before", prev)
-                  .withColumn("is_best", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))))
+    """Best loss before each step and whether the step is a new best.
+    Prefix minimum by blocks, so one very long run is split over tasks."""
+    from quorum.operators.sequences import global_prefix
+    b = global_prefix(series, loss, [step], [run], name="best_before", how="min")
+    return b.withColumn("is_best", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
 
 
 def step_cap(series: DataFrame, cap: int, run: str = "run", step: str = "step") -> DataFrame:
-    """Keep the first ``cap`` steps of every run."""
-    w = Window.partitionBy(run).orderBy(step)
-    return series.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    """Keep the first ``cap`` steps of every run (dense rank by blocks)."""
+    from quorum.operators.sequences import global_row_index
+    r = global_row_index(series, [step], [run], name="_rn")
+    return r.where(F.col("_rn") < cap).drop("_rn")
 
 
 def show_prompt(prompt, max_chars: int) -> F.Column:

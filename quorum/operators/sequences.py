@@ -56,16 +56,31 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: S
                .drop("_blk", "_off"))
 
 
+def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
+                  name: str = "offset", how: str = "sum") -> DataFrame:
+    """Exclusive running ``sum`` or ``min`` of ``value`` in ``order_cols``
+    order (within ``partition_cols``), by blocks: a hot partition key is cut
+    into several range blocks, each block's total is combined on a
+    one-row-per-block table, then added inside the block."""
+    agg = {"sum": F.sum, "min": F.min}[how]
+    pc = list(partition_cols)
+    blk = _blocks(df, order_cols, pc)
+    sizes = blk.groupBy(*pc, "_blk").agg(agg(value).alias("_s"))
+    w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # per block
+    offs = sizes.select(*pc, "_blk", agg("_s").over(w).alias("_off"))
+    inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    within = agg(value).over(inner)
+    if how == "sum":
+        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(within, F.lit(0))
+    else:  # min of the earlier blocks and the earlier rows of this block; NULL when nothing precedes
+        combined = F.least(F.col("_off"), within)
+    return (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
+               .withColumn(name, combined).drop("_blk", "_off"))
+
+
 def global_prefix_sum(df: DataFrame, value: str, order_cols: Sequence[str], name: str = "offset") -> DataFrame:
     """Exclusive running sum of ``value`` in ``order_cols`` order, by blocks."""
-    blk = _blocks(df, order_cols)
-    sizes = blk.groupBy("_blk").agg(F.sum(value).alias("_s"))
-    w = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offs = sizes.select("_blk", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    return (blk.join(bounded_broadcast(offs), "_blk")
-               .withColumn(name, (F.col("_off") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("bigint"))
-               .drop("_blk", "_off"))
+    return global_prefix(df, value, order_cols, name=name, how="sum").withColumn(name, F.col(name).cast("bigint"))
 
 
 def length_batches(df: DataFrame, length: str, key: str, batch_size: int, drop_last: bool = True,
