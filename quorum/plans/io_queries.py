@@ -51,7 +51,7 @@ def q_scan_stata(spark, sf_dir):
              .agg(F.first("code")))
     labels = {"PRIORITY": {int(c): l for v, _, c, l in V.CODEBOOK_ROWS if v == "PRIORITY"}}
     IO.write_stata(wide, root, "wave", labels, {"PRIORITY": "How urgent was your order?"}).collect()
-    return IO.scan_stata(spark, os.path.join(root, "*.dta"),
+    return IO.scan_stata(spark, os.path.join(root, "*", "*.dta"),
                          "QKEY long, PRIORITY double, STATUS double, source_file string")
 
 
@@ -63,7 +63,7 @@ def q_scan_codebook(spark, sf_dir):
              .agg(F.first("code")))
     labels = {v: {int(c): l for vv, _, c, l in V.CODEBOOK_ROWS if vv == v} for v in ("PRIORITY", "STATUS")}
     IO.write_stata(wide, root, "wave", labels, {v: t for v, t in V.VARIABLE_ROWS}).collect()
-    return IO.scan_codebook(spark, os.path.join(root, "*.dta"))
+    return IO.scan_codebook(spark, os.path.join(root, "*", "*.dta"))
 
 
 @query("scan_csv_enc")
@@ -231,12 +231,16 @@ def q_scan_train_metrics(spark, sf_dir):
     from quorum.plans.compare_queries import metric_series
     root = IO.scratch(spark, "train-metrics")
     s = metric_series(spark, sf_dir)
-    per_run = s.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("step", "loss"))).alias("_s"))
+    # one file per (run, block of 1000 steps): the block bounds the arrays in a row
+    s = s.withColumn("part", F.floor((F.col("step") - 1) / 1000))
+    per = s.groupBy("run", "part").agg(F.sort_array(F.collect_list(F.struct("step", "loss"))).alias("_s"))
     loss = F.transform("_s", lambda x: x["loss"])
     cols = {k: (loss if "loss" in k else F.transform(loss, lambda v: F.exp(v))) for k in IO.TRAIN_METRIC_KEYS}
-    per_run.select("run", *[c.alias(k) for k, c in cols.items()]).write.mode("overwrite").partitionBy("run").json(root)
-    spark.createDataFrame([("{not json",)], "value string").write.mode("overwrite").text(os.path.join(root, "run=bad"))
-    return IO.read_train_metrics(spark, os.path.join(root, "*", "*"))
+    per.select("run", "part", *[c.alias(k) for k, c in cols.items()]) \
+       .write.mode("overwrite").partitionBy("run", "part").json(root)
+    spark.createDataFrame([("{not json",)], "value string").write.mode("overwrite").text(
+        os.path.join(root, "run=bad", "part=0"))
+    return IO.read_train_metrics(spark, os.path.join(root, "*", "*", "*"))
 
 
 @query("write_dist")

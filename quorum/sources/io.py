@@ -77,25 +77,31 @@ def scan_waves(spark: SparkSession, root: str, waves: Sequence[int]) -> DataFram
 
 def write_stata(df: DataFrame, root: str, by: str, value_labels: dict | None = None,
                 variable_labels: dict | None = None) -> DataFrame:
-    """One ``.dta`` file per ``by`` value, written by the task holding that
-    group (pandas writer); returns (by, path)."""
+    """Stata files under ``<root>/<by>=<value>/``: every task writes the
+    rows it holds, one file per key and Arrow batch, so no key (however
+    large) is gathered into one task.  Returns (by, path) per file."""
     vl = value_labels or {}
     varl = variable_labels or {}
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[by].iloc[0]
-        path = os.path.join(root, f"{by}={key}.dta")
-        os.makedirs(root, exist_ok=True)
-        data = pdf.drop(columns=[by])
-        labels = {c: {int(k): v for k, v in m.items()} for c, m in vl.items() if c in data.columns}
-        for c in labels:
-            data[c] = data[c].astype("float64")
-        data.to_stata(path, write_index=False, value_labels=labels or None,
-                      variable_labels={c: v for c, v in varl.items() if c in data.columns} or None)
-        return pd.DataFrame({by: [key], "path": [path]})
+    def write(batches):
+        import uuid as _uuid
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(by, sort=False):
+                folder = os.path.join(root, f"{by}={key}")
+                os.makedirs(folder, exist_ok=True)
+                path = os.path.join(folder, f"part-{_uuid.uuid4().hex[:12]}.dta")
+                data = part.drop(columns=[by]).reset_index(drop=True)
+                labels = {c: {int(k): v for k, v in m.items()} for c, m in vl.items() if c in data.columns}
+                for c in labels:
+                    data[c] = data[c].astype("float64")
+                data.to_stata(path, write_index=False, value_labels=labels or None,
+                              variable_labels={c: v for c, v in varl.items() if c in data.columns} or None)
+                out.append((key, path))
+            yield pd.DataFrame(out, columns=[by, "path"])
 
     schema = T.StructType([df.schema[by], T.StructField("path", T.StringType())])
-    return df.groupBy(by).applyInPandas(write, schema)
+    return df.mapInPandas(write, schema)
 
 
 def scan_stata(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -172,21 +178,23 @@ def detect_encodings(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_csv_auto(spark: SparkSession, pattern: str, **options) -> DataFrame:
-    """Read CSV files each with its detected encoding (Spark's CSV
-    reader does the parsing; ``utf-8-sig`` maps to UTF-8 with BOM skip)."""
-    enc = detect_encodings(spark, pattern).collect()  # one row per file: metadata
-    frames = []
+    """Read CSV files each with its detected encoding — one Spark read
+    per encoding over all files that have it (``utf-8-sig`` is UTF-8 with
+    the BOM stripped from the first header)."""
+    enc = detect_encodings(spark, pattern).collect()  # one row per file: a listing, not data
+    by_enc: dict[str, list[str]] = {}
     for r in enc:
         if r["encoding"] is None:
             raise ValueError(f"cannot decode {r['path']}")
         e = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "cp936": "GBK"}[r["encoding"]]
+        by_enc.setdefault(e, []).append(r["path"])
+    frames = []
+    for e, paths in sorted(by_enc.items()):
         if e == "GBK":  # Spark 4 accepts non-Unicode charsets only with the legacy switch
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = spark.read.options(header=True, encoding=e, **options).csv(r["path"])
-        first = df.columns[0]
-        if first.startswith("﻿"):
-            df = df.withColumnRenamed(first, first.lstrip("﻿"))
-        frames.append(df.withColumn("source_file", F.lit(r["path"])))
+        df = spark.read.options(header=True, encoding=e, **options).csv(paths)
+        df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+        frames.append(df.withColumn("source_file", F.input_file_name()))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
