@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LETTERS = [chr(65 + i) for i in range(26)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -227,7 +226,6 @@ SELECT c.pair, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n +
                           ELSE -sum((c.c / t.n) * log2(c.c / t.n + 1e-9)) END, 9) AS entropy
 FROM cnt c JOIN tot t ON t.pair = c.pair GROUP BY c.pair, t.m""")
 def q_entropy_joint(spark, sf_dir):
-    from quorum.operators.responses import joint_responses_wide
     from quorum.operators import codes as C
     wide = V.line_answers(spark, sf_dir)
     # every pair's joint answer from one pass over the rows (explode, then a plain filter)
