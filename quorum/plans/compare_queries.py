@@ -181,11 +181,11 @@ def q_dedupe_first(spark, sf_dir):
 
 # ---- J10
 @query("run_grid", """
-WITH i AS (SELECT DISTINCT 'opnqa_' || lang AS input FROM documents),
+WITH i AS (SELECT DISTINCT 'prompts_' || lang AS input FROM documents),
 m AS (SELECT unnest(['org/base-0.5B', 'org/ft-7B']) AS model)
 SELECT i.input, m.model, i.input || '_' || split_part(m.model, '/', -1) AS out_name FROM i CROSS JOIN m""")
 def q_run_grid(spark, sf_dir):
-    inputs = table(spark, sf_dir, "documents").select(F.concat(F.lit("opnqa_"), "lang").alias("input")).distinct()
+    inputs = table(spark, sf_dir, "documents").select(F.concat(F.lit("prompts_"), "lang").alias("input")).distinct()
     return CP.run_grid(inputs, MODELS)
 
 

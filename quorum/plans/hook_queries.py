@@ -10,14 +10,14 @@ from quorum.plans.registry import query
 from quorum.sources.driver import table
 
 
-@SC.register("opinionqa")
-def _b_opinionqa(spark, sf_dir):
+@SC.register("survey_prompts")
+def _b_survey_prompts(spark, sf_dir):
     from quorum.plans.prompt_queries import prompt_table
     return prompt_table(spark, sf_dir, n_tokens=0)
 
 
-@SC.register("alpaca")
-def _b_alpaca(spark, sf_dir):
+@SC.register("instructions")
+def _b_instructions(spark, sf_dir):
     from quorum.operators.safety import instruction_prompt
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("Summarize the text from "), "source").alias("instruction"),
@@ -25,21 +25,21 @@ def _b_alpaca(spark, sf_dir):
     return d.select("doc_id", instruction_prompt("instruction", "input").alias("prompt"))
 
 
-@SC.register("samsum")
-def _b_samsum(spark, sf_dir):
+@SC.register("dialogues")
+def _b_dialogues(spark, sf_dir):
     from quorum.operators.safety import dialog_prompt
     return dialog_prompt(table(spark, sf_dir, "conversations"))
 
 
-@SC.register("toxicchat")
-def _b_toxicchat(spark, sf_dir):
+@SC.register("moderation")
+def _b_moderation(spark, sf_dir):
     from quorum.plans.safety_queries import moderation_examples
     return moderation_examples(spark, sf_dir)
 
 
 @query("registry")
 def q_registry(spark, sf_dir):
-    return SC.get_builder("samsum")(spark, sf_dir)
+    return SC.get_builder("dialogues")(spark, sf_dir)
 
 
 def _scored_prompts(spark, sf_dir):

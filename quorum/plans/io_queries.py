@@ -211,8 +211,8 @@ def q_scan_cached(spark, sf_dir):
     def build():
         return _prompts(spark, sf_dir).select("qkey", "attribute", "grp", "steering_type",
                                               whitespace_ids("input_prompt").alias("input_ids"))
-    IO.cached(spark, root, "opnqa_train.csv", "whitespace/v1", build)
-    return IO.cached(spark, root, "opnqa_train.csv", "whitespace/v1", build)
+    IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)
+    return IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)
 
 
 @query("scan_eval")
@@ -278,7 +278,7 @@ def q_write_scored(spark, sf_dir):
     from quorum.plans.compare_queries import MODELS, eval_rows
     path = IO.scratch(spark, "scored")
     m = F.explode(F.array(*[F.lit(x) for x in MODELS]))
-    e = (eval_rows(spark, sf_dir, 0.5).select("*", F.lit("opnqa_QA_test").alias("input"), m.alias("model"))
+    e = (eval_rows(spark, sf_dir, 0.5).select("*", F.lit("prompts_qa_test").alias("input"), m.alias("model"))
          .withColumn("model", F.substring_index("model", "/", -1)))
     IO.write_partitioned(e, path, ["input", "model"])
     return spark.read.parquet(path).groupBy("input", "model").agg(F.count(F.lit(1)).alias("rows"))

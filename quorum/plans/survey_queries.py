@@ -19,7 +19,7 @@ from quorum.sources.driver import table
 # Fixed values used by the queries below (parameters of the operators).
 ERROR_QKEYS = ["PRIORITY_W2001"]
 EXTRA_REMOVED_WAVES = [1997]
-SUBPOP_ATTRS, SUBPOP_TRAITS = ["SEGMENT", "REGION"], ["BUILDING", "ASIA"]
+SUBGROUP_ATTRS, SUBGROUP_TRAITS = ["SEGMENT", "REGION"], ["BUILDING", "ASIA"]
 RECODE = {("SEGMENT", "AUTOMOBILE"): "Cars", ("REGION", "MIDDLE EAST"): "Middle East"}
 TRAITS = [("NATION", "NATION", "nation_1", "prefix"), ("NATION", "NATION", "Nation_2", "prefix"),
           ("NATION", "NATION", "nation_3|NATION_7|nation_24", "list"), ("NATION", "NATION", "zzz", "prefix")]
@@ -73,7 +73,7 @@ def q_filter_refusal(spark, sf_dir):
 @query("subpop_filter", with_views("respondents") + """
 SELECT human_id, wave FROM respondents WHERE segment = 'BUILDING' AND region = 'ASIA'""")
 def q_subpop_filter(spark, sf_dir):
-    pred = G.subpop_filter(V.ATTRIBUTE_COLUMNS, G.code_map(V.GROUP_CODE_ROWS), SUBPOP_ATTRS, SUBPOP_TRAITS)
+    pred = G.subpop_filter(V.ATTRIBUTE_COLUMNS, G.code_map(V.GROUP_CODE_ROWS), SUBGROUP_ATTRS, SUBGROUP_TRAITS)
     return V.respondents(spark, sf_dir).where(pred).select("human_id", "wave")
 
 
