@@ -137,3 +137,20 @@ def question_body_after_dot(label) -> Column:
     lab = _c(label)
     after = lab.substr(F.instr(lab, ".") + 1, F.length(lab))
     return F.when(F.instr(lab, ".") > 0, F.trim(after)).otherwise(F.lit(""))
+
+
+def questions_for_split(policy: DataFrame, split: str, legacy: DataFrame | None = None) -> DataFrame:
+    """Questions of a split from a per-question config
+    (``var, split`` with split 'train'/'eval'): ``train`` falls back to the
+    legacy list when no train question is configured, ``all`` is train ∪
+    eval (else legacy); placeholder names (``__REPLACE…``) are skipped."""
+    if split not in ("train", "eval", "all"):
+        raise ValueError(f"unknown split {split!r}")
+    p = policy.where(~F.col("var").startswith("__REPLACE"))
+    wanted = ["train", "eval"] if split == "all" else [split]
+    chosen = p.where(F.col("split").isin(wanted)).select("var", "split")
+    if legacy is None or split == "eval":
+        return chosen
+    fallback = legacy.where(~F.col("var").startswith("__REPLACE")).select("var", F.lit(split).alias("split"))
+    # legacy only when nothing was configured for the split (a scalar decision on metadata)
+    return chosen if chosen.limit(1).count() > 0 else fallback

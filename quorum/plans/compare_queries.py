@@ -252,9 +252,32 @@ def q_epoch_metrics(spark, sf_dir):
 
 
 # ---- F34
-@query("show_examples", """
-SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 80) || chr(10) || '... [truncated]' END AS shown
-FROM documents""")
+def _show_sql():
+    from quorum.plans.prompt_queries import _PROMPT_CTES
+    return with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES + """
+od AS (SELECT qkey, attribute, grp, opt_idx AS i, p FROM dist
+       UNION ALL SELECT qkey, attribute, grp, max(opt_idx) + 1, max(refusal_rate) FROM dist GROUP BY qkey, attribute, grp),
+gs AS (SELECT *, p / sum(p) OVER (PARTITION BY qkey, attribute, grp) AS g FROM od),
+slots AS (SELECT k.qkey, k.attribute, k.grp, s.i FROM (SELECT DISTINCT qkey, attribute, grp FROM od) k
+          CROSS JOIN (SELECT unnest(range(1, 27)) AS i) s),
+g26 AS (SELECT s.qkey, s.attribute, s.grp, s.i, coalesce(g.g, 0) AS g FROM slots s
+        LEFT JOIN gs g ON g.qkey = s.qkey AND g.attribute = s.attribute AND g.grp = s.grp AND g.i = s.i),
+top AS (SELECT qkey, attribute, grp, string_agg(chr(64 + CAST(i AS INTEGER)), ',' ORDER BY g DESC, i) AS top5 FROM (
+          SELECT *, row_number() OVER (PARTITION BY qkey, attribute, grp ORDER BY g DESC, i) AS r FROM g26) WHERE r <= 5
+        GROUP BY qkey, attribute, grp)""") + """
+SELECT pr.qkey, pr.attribute, pr.grp, pr.steering_type,
+       CASE WHEN length(pr.input_prompt) <= 600 THEN pr.input_prompt
+            ELSE substr(pr.input_prompt, 1, 600) || chr(10) || '... [truncated]' END AS shown, t.top5
+FROM pr JOIN top t ON t.qkey = pr.qkey AND t.attribute = pr.attribute AND t.grp = pr.grp"""
+
+
+@query("show_examples", _show_sql())
 def q_show_examples(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", CP.show_prompt("text", 80).alias("shown"))
+    """Prompts cut for display, with the gold distribution's five most likely
+    letters (gold padded to 26 and renormalised)."""
+    from quorum.plans.prompt_queries import prompt_table
+    p = prompt_table(spark, sf_dir, n_tokens=0)
+    gold, _ = M.pad_target("output_dist", "ordinal", always_renormalize=True)
+    top = CP.topk_options(gold, 5)
+    return p.select("qkey", "attribute", "grp", "steering_type", CP.show_prompt("input_prompt", 600).alias("shown"),
+                    F.array_join(F.transform(top, lambda x: x["letter"]), ",").alias("top5"))

@@ -195,7 +195,7 @@ def q_wd_lower(spark, sf_dir):
     s = scored(spark, sf_dir)
     g, o = M.pad_target("output_dist", "ordinal", always_renormalize=True)
     return wd_lower_bootstrap(s.select("row_idx", g.alias("gold"), o.alias("ordinal")),
-                              n_per_side=200, n_bootstrap=100, seed=42)
+                              n_per_side=500, n_bootstrap=500, seed=42)
 
 
 # ---- A8

@@ -178,12 +178,11 @@ _POLICY_WITH_PLACEHOLDER = V.QUESTION_POLICY_ROWS + [("__REPLACE_ME", [], None,
 
 
 def _questions_for_split(spark, sf_dir, split):
-    pol = spark.createDataFrame(_POLICY_WITH_PLACEHOLDER, V.question_policy(spark).schema)
+    pol = V.literal_table(spark, _POLICY_WITH_PLACEHOLDER, V.question_policy(spark).schema)
     present = V.responses(spark, sf_dir).select("var").distinct()
     labelled = V.codebook(spark).select("var").distinct()
-    q = pol.where(~F.col("var").startswith("__REPLACE")).join(bounded_broadcast(labelled), "var")
-    if split != "all":
-        q = q.where(F.col("split") == split)
+    q = C.questions_for_split(pol, split, legacy=V.literal_table(spark, [("PRIORITY",)], "var string"))
+    q = q.join(bounded_broadcast(labelled), "var")  # questions without labels are skipped
     return q.join(present, "var", "left_semi").select("var", "split")
 
 

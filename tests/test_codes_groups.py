@@ -78,3 +78,14 @@ def test_split_questions(spark):
     assert rest.count("train") == round(0.7 * n) and rest.count("val") == round(0.2 * n)
     with pytest.raises(ValueError):
         P.split_questions(keys, 0.5, 0.2, 0.2)
+
+
+def test_questions_for_split_legacy(spark):
+    pol = spark.createDataFrame([("a", "eval"), ("__REPLACE_x", "train")], "var string, split string")
+    legacy = spark.createDataFrame([("l1",), ("l2",)], "var string")
+    train = sorted(r["var"] for r in C.questions_for_split(pol, "train", legacy).collect())
+    assert train == ["l1", "l2"]  # no train question configured -> legacy list
+    assert [r["var"] for r in C.questions_for_split(pol, "eval", legacy).collect()] == ["a"]
+    assert [r["var"] for r in C.questions_for_split(pol, "all", legacy).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        C.questions_for_split(pol, "bogus")
