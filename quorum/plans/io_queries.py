@@ -252,12 +252,22 @@ def q_write_dist(spark, sf_dir):
 
 @query("write_qdict")
 def q_write_qdict(spark, sf_dir):
+    """K4: refined questions written as JSON rows, failed refinements (X5
+    error rows) to their own table; returns both read back with a kind."""
+    from quorum.operators.scoring import refine_batch
     from quorum.plans.distribution_queries import cgss_distribution
-    path = IO.scratch(spark, "qdict-rows")
-    d = cgss_distribution(spark, sf_dir).select("qkey", F.col("question").alias("refined_qbody"),
-                                                 F.col("options").alias("option_list"), "ordinal").dropDuplicates(["qkey"])
-    IO.write_json_rows(d, path)
-    return spark.read.json(path)
+    from quorum.plans.hook_queries import demo_refiner
+    root = IO.scratch(spark, "qdict-rows")
+    d = cgss_distribution(spark, sf_dir).select("qkey", "question", "options", "ordinal").dropDuplicates(["qkey"])
+    r = refine_batch(d, "qkey", "question", demo_refiner, max_retries=1, base_delay=0.001)
+    ok = (r.where(F.col("error").isNull()).join(d, "qkey")
+           .select("qkey", F.col("refined").alias("refined_qbody"), F.col("options").alias("option_list"), "ordinal"))
+    IO.write_json_rows(ok, os.path.join(root, "refined"))
+    IO.write_json_rows(r.where(F.col("error").isNotNull()).select("qkey", "error"), os.path.join(root, "errors"))
+    good = spark.read.json(os.path.join(root, "refined")).select("qkey", F.lit("refined").alias("kind"))
+    bad = spark.read.schema("qkey string, error string").json(os.path.join(root, "errors")) \
+        .select("qkey", F.lit("error").alias("kind"))
+    return good.unionByName(bad)
 
 
 @query("publish")
