@@ -15,7 +15,8 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     the join stays a shuffle join and AQE may still convert it at run time
     from measured sizes."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = size if isinstance(size, int) else int(size.toString())  # py4j may hand over a JVM BigInt
     except Exception:  # statistics unavailable (e.g. remote session): let the planner decide
         return df
     return F.broadcast(df) if size <= limit else df

@@ -77,3 +77,14 @@ def test_partition_count_does_not_change_rows(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     base = canon(E.queries()["dist_cgss"](spark, SF_SMALL).toPandas())
     assert got == base
+
+
+def test_bounded_broadcast(spark):
+    from quorum.operators.joins import bounded_broadcast
+    from quorum.sources import views as V
+    small = V.group_codes(spark)
+    plan = small.join(bounded_broadcast(small), "code")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+    big = spark.range(10 ** 9)
+    plan2 = big.join(bounded_broadcast(big, limit=1024), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan2.lower()
