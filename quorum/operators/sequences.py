@@ -40,20 +40,35 @@ def _blocks(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[s
     return out
 
 
+def _join_back(df: DataFrame, narrow: DataFrame, keys: Sequence[str], new_cols: Sequence[str]) -> DataFrame:
+    """Attach ``new_cols`` computed on the key columns back to the full rows
+    (null-safe equality on the keys; the narrow side is broadcast when its
+    size estimate allows)."""
+    n = narrow.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *new_cols)
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(F.col(f"_k_{k}"))
+        cond = c if cond is None else cond & c
+    return df.join(bounded_broadcast(n), cond).drop(*[f"_k_{k}" for k in keys])
+
+
 def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                      name: str = "row_idx") -> DataFrame:
     """Dense 0-based index by ``order_cols`` (within ``partition_cols``).
 
-    ``order_cols`` must give a total order (add a unique tie-breaker)."""
-    blk = _blocks(df, order_cols, partition_cols)
+    ``order_cols`` must give a total order (add a unique tie-breaker).  The
+    index is computed on the key columns only (blocks, offsets) and joined
+    back, so wide rows are shuffled once and never checkpointed."""
     pc = list(partition_cols)
+    keys = [*pc, *order_cols]
+    blk = _blocks(df.select(*keys), order_cols, pc)
     sizes = blk.groupBy(*pc, "_blk").agg(F.count(F.lit(1)).alias("_n"))  # one row per block
     w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*pc, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols)
-    return (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
-               .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
-               .drop("_blk", "_off"))
+    idx = (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
+              .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint")))
+    return _join_back(df, idx, keys, [name])
 
 
 def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
@@ -61,21 +76,23 @@ def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partitio
     """Exclusive running ``sum`` or ``min`` of ``value`` in ``order_cols``
     order (within ``partition_cols``), by blocks: a hot partition key is cut
     into several range blocks, each block's total is combined on a
-    one-row-per-block table, then added inside the block."""
+    one-row-per-block table, then added inside the block.  Computed on the
+    key and value columns only, then joined back to the full rows."""
     agg = {"sum": F.sum, "min": F.min}[how]
     pc = list(partition_cols)
-    blk = _blocks(df, order_cols, pc)
-    sizes = blk.groupBy(*pc, "_blk").agg(agg(value).alias("_s"))
+    keys = [*pc, *order_cols]
+    blk = _blocks(df.select(*keys, F.col(value).alias("_v")), order_cols, pc)
+    sizes = blk.groupBy(*pc, "_blk").agg(agg("_v").alias("_s"))
     w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # per block
     offs = sizes.select(*pc, "_blk", agg("_s").over(w).alias("_off"))
     inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    within = agg(value).over(inner)
+    within = agg("_v").over(inner)
     if how == "sum":
         combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(within, F.lit(0))
     else:  # min of the earlier blocks and the earlier rows of this block; NULL when nothing precedes
         combined = F.least(F.col("_off"), within)
-    return (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
-               .withColumn(name, combined).drop("_blk", "_off"))
+    idx = blk.join(bounded_broadcast(offs), [*pc, "_blk"]).withColumn(name, combined)
+    return _join_back(df, idx, keys, [name])
 
 
 def global_prefix_sum(df: DataFrame, value: str, order_cols: Sequence[str], name: str = "offset") -> DataFrame:
