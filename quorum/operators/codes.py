@@ -96,12 +96,15 @@ def resolve_policy(policy: DataFrame, global_invalid: Sequence[float],
         F.col("split"))
 
 
-def build_options(codebook: DataFrame, resolved_policy: DataFrame) -> DataFrame:
+def build_options(codebook: DataFrame, resolved_policy: DataFrame,
+                  no_order_codes: Sequence[float] = ()) -> DataFrame:
     """Per question the valid options, sorted by code.
 
     Returns one row per var: ``codes ARRAY<DOUBLE>, options ARRAY<STRING>
     (stripped labels), ordinal ARRAY<DOUBLE> (1..K)``; questions left with
-    no option are dropped.  Input sizes are the codebook's (metadata).
+    no option are dropped.  Codes in ``no_order_codes`` (e.g. "don't know")
+    get ordinal -1 (Q18; empty by default, as the reference).  Input sizes
+    are the codebook's (metadata).
     """
     cb = (codebook.where(answered("code"))
                   .join(bounded_broadcast(resolved_policy.select("var", "refusal_set", "invalid_set")), "var")
@@ -114,7 +117,9 @@ def build_options(codebook: DataFrame, resolved_policy: DataFrame) -> DataFrame:
         "var",
         F.transform("pairs", lambda x: x["code"]).alias("codes"),
         F.transform("pairs", lambda x: x["label"]).alias("options"),
-        F.transform("pairs", lambda x, i: (i + 1).cast("double")).alias("ordinal"))
+        F.transform("pairs", lambda x, i: F.when(
+            F.array_contains(F.array(*[F.lit(float(c)) for c in no_order_codes]).cast("array<double>"), x["code"]),
+            F.lit(-1.0)).otherwise((i + 1).cast("double"))).alias("ordinal"))
 
 
 def option_index(codebook: DataFrame, resolved_policy: DataFrame) -> DataFrame:

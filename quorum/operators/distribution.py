@@ -120,7 +120,7 @@ def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: D
 def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, variables: DataFrame,
                       group_codes: DataFrame, attribute_columns: Mapping[str, str],
                       global_invalid: Sequence[float], global_refusal: Sequence[float],
-                      k: int = 1, with_report: bool = False) -> DataFrame:
+                      k: int = 1, with_report: bool = False, no_order_codes: Sequence[float] = ()) -> DataFrame:
     """A3 (+A4, A6, J6, J12, P10, P11, P16, P17, F36).
 
     Output per (qkey, attribute, grp): ``responses ARRAY<DOUBLE>`` over the
@@ -130,7 +130,7 @@ def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, v
     keeps those rows with a ``skip_reason``).
     """
     rp = C.resolve_policy(policy, global_invalid, global_refusal)
-    opts = C.build_options(codebook, rp)
+    opts = C.build_options(codebook, rp, no_order_codes)
     cnt = weighted_counts(resp, attribute_columns, group_codes, "cgss", k=k)
     st = (cnt.join(bounded_broadcast(rp.select("var", "refusal_set", "invalid_set")), "var", "left")
              .withColumn("status", C.code_status(

@@ -92,3 +92,22 @@ def test_emd_properties(spark, p, data):
     assert r["pq"] == pytest.approx(r["qp"])
     assert 0.0 <= r["pq"] <= 1.0 + 1e-12
     assert r["scaled"] == pytest.approx(r["pq"])
+
+
+def test_more_than_26_options_raises(spark):
+    opts = F.array(*[F.lit(f"o{i}") for i in range(27)])
+    with pytest.raises(Exception):
+        one(spark, text.mcq(F.lit("Q?"), opts))
+    assert one(spark, text.mcq(F.lit("Q?"), F.array(*[F.lit(f"o{i}") for i in range(26)]))).count("\n") == 28
+
+
+def test_no_order_codes(spark):
+    from quorum.operators import codes as C
+    cb = spark.createDataFrame([("Q", 1, -2.0, "Don't know"), ("Q", 2, 1.0, "Low"), ("Q", 3, 2.0, "High")],
+                               "var string, pos int, code double, label string")
+    pol = C.resolve_policy(spark.createDataFrame([("Q", [], None, None, "train")],
+                                                 "var string, invalid_codes array<double>, "
+                                                 "refusal_codes array<double>, question_text string, split string"),
+                           [-8.0], [99.0])
+    assert C.build_options(cb, pol).first()["ordinal"] == [1.0, 2.0, 3.0]       # faithful default
+    assert C.build_options(cb, pol, [-2.0]).first()["ordinal"] == [-1.0, 2.0, 3.0]
