@@ -67,15 +67,17 @@ def test_metric_plan_has_no_python(spark):
     assert "Python" not in p
 
 
-@pytest.mark.parametrize("parts", [1, 4, 37])
-def test_partition_count_does_not_change_rows(spark, parts):
+@pytest.mark.parametrize("key,parts", [("dist_cgss", 1), ("dist_cgss", 4), ("dist_cgss", 37),
+                                       ("sample_tokens", 1), ("sample_tokens", 37),
+                                       ("length_batches", 1), ("length_batches", 37),
+                                       ("pack_sequences", 3)])
+def test_partition_count_does_not_change_rows(spark, key, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        got = canon(E.queries()["dist_cgss"](spark, SF_SMALL).toPandas())
+        got = canon(E.queries()[key](spark, SF_SMALL).toPandas())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    base = canon(E.queries()["dist_cgss"](spark, SF_SMALL).toPandas())
+    base = canon(E.queries()[key](spark, SF_SMALL).toPandas())
     assert got == base
 
 
