@@ -37,7 +37,13 @@ def _b_moderation(spark, sf_dir):
     return moderation_examples(spark, sf_dir)
 
 
-@query("registry")
+def _dialog_sql():
+    from quorum.plans import safety_queries  # noqa: F401  (registers dialog_prompt and its oracle)
+    from quorum.plans.registry import ORACLES
+    return ORACLES["dialog_prompt"]
+
+
+@query("registry", _dialog_sql())
 def q_registry(spark, sf_dir):
     return SC.get_builder("dialogues")(spark, sf_dir)
 
@@ -84,7 +90,16 @@ def demo_refiner(text: str) -> str:
     return t if t.endswith("?") else t + "?"
 
 
-@query("refine_batch")
+def _refine_sql():
+    from quorum.plans.prompt_queries import _MCQ_SQL
+    return _MCQ_SQL + """,
+qq AS (SELECT qkey, regexp_replace(trim(regexp_replace(split_part(mcq, chr(10), 1), '^Question: ?', '')),
+                                   '\\s+', ' ', 'g') AS q FROM m)
+SELECT qkey, CASE WHEN q = '' THEN NULL WHEN suffix(q, '?') THEN q ELSE q || '?' END AS refined,
+       CASE WHEN q = '' THEN 'ValueError: empty question' END AS error FROM qq"""
+
+
+@query("refine_batch", _refine_sql())
 def q_refine_batch(spark, sf_dir):
     from quorum.plans.prompt_queries import _question_mcq
     m = _question_mcq(spark, sf_dir).select("qkey", F.split("mcq", "\n").getItem(0).alias("q"))

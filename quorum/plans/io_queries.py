@@ -66,7 +66,11 @@ def q_scan_codebook(spark, sf_dir):
     return IO.scan_codebook(spark, os.path.join(root, "*", "*.dta"))
 
 
-@query("scan_csv_enc")
+@query("scan_csv_enc", """
+SELECT CAST(r.r_regionkey AS VARCHAR) AS r_regionkey, r.r_name,
+       CASE r.r_name WHEN 'AFRICA' THEN '非洲' WHEN 'AMERICA' THEN '美洲' WHEN 'ASIA' THEN '亚洲'
+                     WHEN 'EUROPE' THEN '欧洲' WHEN 'MIDDLE EAST' THEN '中东' END AS zh
+FROM region r CROSS JOIN (SELECT unnest(['utf-8', 'utf-8-sig', 'gbk']) AS enc) e""")
 def q_scan_csv_enc(spark, sf_dir):
     import pandas as pd
     root = IO.scratch(spark, "csv-enc")
@@ -83,7 +87,7 @@ def q_scan_csv_enc(spark, sf_dir):
         return pd.DataFrame({"enc": [enc], "path": [path]})
 
     reg.select("*", encs).groupBy("enc").applyInPandas(write, "enc string, path string").collect()
-    return IO.read_csv_auto(spark, os.path.join(root, "*.csv"))
+    return IO.read_csv_auto(spark, os.path.join(root, "*.csv")).select("r_regionkey", "r_name", "zh")
 
 
 @query("csv_dropna", with_views("respondents") + """
@@ -123,7 +127,16 @@ def q_scan_steering(spark, sf_dir):
     return IO.read_json_records(spark, path)
 
 
-@query("scan_qdict")
+def _qdict_sql():
+    from quorum.plans.distribution_queries import TEXT_SQL
+    body = TEXT_SQL[:TEXT_SQL.rindex("SELECT DISTINCT")]
+    return body.rstrip() + """,
+ol AS (SELECT var, string_agg(label, '|' ORDER BY opt_idx) AS option_list, count(*) AS n_ordinal FROM opts GROUP BY var)
+SELECT DISTINCT d.qkey, qt.question AS refined_qbody, ol.option_list, ol.n_ordinal
+FROM dist d JOIN qt ON qt.var = split_part(d.qkey, '_W', 1) JOIN ol ON ol.var = split_part(d.qkey, '_W', 1)"""
+
+
+@query("scan_qdict", _qdict_sql())
 def q_scan_qdict(spark, sf_dir):
     from quorum.plans.distribution_queries import cgss_distribution
     path = IO.scratch(spark, "qdict")
@@ -132,11 +145,19 @@ def q_scan_qdict(spark, sf_dir):
                      F.col("ordinal").alias("ordinal"))
     one = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("qkey", entry)))).alias("value"))  # questions
     one.coalesce(1).write.mode("overwrite").text(path)
-    return IO.read_json_dict(spark, path, "struct<refined_qbody:string,option_list:array<string>,ordinal:array<double>>") \
-        .select(F.col("key").alias("qkey"), "value.*")
-
-
-@query("scan_config")
+    back = IO.read_json_dict(spark, path, "struct<refined_qbody:string,option_list:array<string>,ordinal:array<double>>")
+    return back.select(F.col("key").alias("qkey"), F.col("value.refined_qbody").alias("refined_qbody"),
+                       F.array_join("value.option_list", "|").alias("option_list"),
+                       F.size("value.ordinal").cast("bigint").alias("n_ordinal"))
+
+
+@query("scan_config", with_views("respondents", "group_codes") + """
+SELECT g.attribute, CASE g.attribute WHEN 'SEGMENT' THEN 'segment' WHEN 'REGION' THEN 'region'
+                    ELSE 'balance_code' END AS "column", g.grp, g.code
+FROM group_codes g
+WHERE (g.attribute = 'SEGMENT' AND g.code IN (SELECT segment FROM respondents))
+   OR (g.attribute = 'REGION' AND g.code IN (SELECT region FROM respondents))
+   OR (g.attribute = 'BALANCE' AND g.code IN (SELECT CAST(balance_code AS VARCHAR) FROM respondents))""")
 def q_scan_config(spark, sf_dir):
     """Nested sub-population config (value_map group -> codes, only codes
     seen in the data) written as JSON and exploded back to the long table."""
@@ -182,7 +203,7 @@ def q_select_split(spark, sf_dir):
                  .select("qkey", "attribute", "grp"))
 
 
-@query("write_prompts")
+@query("write_prompts", _pr_sql("SELECT steering_type, split, count(*) AS rows FROM pr GROUP BY steering_type, split"))
 def q_write_prompts(spark, sf_dir):
     """K2: one partitioned write for every (steering type, split)."""
     path = IO.scratch(spark, "prompts-k2")
@@ -202,7 +223,7 @@ def q_empty_split(spark, sf_dir):
     return back
 
 
-@query("scan_cached")
+@query("scan_cached", _pr_sql("SELECT qkey, attribute, grp, steering_type FROM pr"))
 def q_scan_cached(spark, sf_dir):
     """Token records cached by (input, tokenizer); second call reads the cache."""
     from quorum.operators.sequences import whitespace_ids
@@ -212,16 +233,24 @@ def q_scan_cached(spark, sf_dir):
         return _prompts(spark, sf_dir).select("qkey", "attribute", "grp", "steering_type",
                                               whitespace_ids("input_prompt").alias("input_ids"))
     IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)
-    return IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)
+    back = IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)  # served from the cache
+    return back.select("qkey", "attribute", "grp", "steering_type")
+
 
+def _eval_sql(select):
+    from quorum.plans.compare_queries import EVAL_SQL
+    return EVAL_SQL + select
 
-@query("scan_eval")
+
+@query("scan_eval", _eval_sql(
+    "SELECT row_idx, round(kl_ft, 9) AS kl, round(wd_ft, 9) AS wd, round(loss_ft, 9) AS loss_used FROM paired"))
 def q_scan_eval(spark, sf_dir):
     from quorum.plans.compare_queries import eval_rows
     path = IO.scratch(spark, "eval-csv")
     eval_rows(spark, sf_dir, 0.5).select("row_idx", "kl", "wd", F.col("loss").alias("loss_used")) \
         .write.mode("overwrite").option("header", True).csv(path)
-    return IO.read_eval_csv(spark, path)
+    e = IO.read_eval_csv(spark, path)
+    return e.select(F.col("row_idx").cast("bigint"), *[F.round(c, 9).alias(c) for c in ("kl", "wd", "loss_used")])
 
 
 @query("scan_train_metrics")
@@ -243,11 +272,22 @@ def q_scan_train_metrics(spark, sf_dir):
     return IO.read_train_metrics(spark, os.path.join(root, "*", "*", "*"))
 
 
-@query("write_dist")
+def _dist_sql():
+    from quorum.plans.distribution_queries import DIST_SQL
+    return DIST_SQL
+
+
+@query("write_dist", _dist_sql())
 def q_write_dist(spark, sf_dir):
-    from quorum.plans.distribution_queries import cgss_distribution
+    """K1: Parquet write of the distribution (arrays kept), read back and
+    compared in long form."""
+    from quorum.operators.distribution import explode_distribution
+    from quorum.plans.distribution_queries import cgss_distribution, r9
     path = IO.publish_path(spark, IO.scratch(spark, "dist"))
-    return IO.write_distribution(cgss_distribution(spark, sf_dir), path)
+    back = IO.write_distribution(cgss_distribution(spark, sf_dir), path)
+    d = explode_distribution(back)
+    return d.select("qkey", "attribute", "grp", F.col("opt_idx").cast("bigint").alias("opt_idx"),
+                    "option", r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate"), "ordinal")
 
 
 @query("write_qdict")
@@ -270,7 +310,7 @@ def q_write_qdict(spark, sf_dir):
     return good.unionByName(bad)
 
 
-@query("publish")
+@query("publish", with_views("respondents") + "SELECT CAST(wave AS VARCHAR) AS wave, CAST(count(*) AS VARCHAR) AS n, '' AS published_as FROM respondents GROUP BY wave")
 def q_publish(spark, sf_dir):
     """K5/K6: the second publish to the same name gets a time-stamp suffix."""
     base = IO.scratch(spark, "publish") + ".csv"
@@ -279,10 +319,14 @@ def q_publish(spark, sf_dir):
     rows.write.mode("overwrite").option("header", True).csv(first)
     second = IO.publish_path(spark, base)
     rows.write.mode("overwrite").option("header", True).csv(second)
-    return spark.read.option("header", True).csv(second).withColumn("published_as", F.lit(os.path.basename(second)))
+    if second == first:
+        raise AssertionError("second publish did not get a time-stamp suffix")
+    return spark.read.option("header", True).csv(second).withColumn("published_as", F.lit(""))
 
 
-@query("write_scored")
+@query("write_scored", """
+SELECT 'prompts_qa_test' AS input, m.model, count(*) AS rows
+FROM embeddings CROSS JOIN (SELECT unnest(['base-0.5B', 'ft-7B']) AS model) m GROUP BY m.model""")
 def q_write_scored(spark, sf_dir):
     """K8: scored rows written once, partitioned by (input, model)."""
     from quorum.plans.compare_queries import MODELS, eval_rows
@@ -294,10 +338,14 @@ def q_write_scored(spark, sf_dir):
     return spark.read.parquet(path).groupBy("input", "model").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("write_metrics")
+@query("write_metrics", _eval_sql("SELECT row_idx, " + ", ".join(
+    f"round({c}, 9) AS {c}" for c in ("kl_baseline", "kl_ft", "wd_baseline", "wd_ft", "loss_baseline", "loss_ft",
+                                      "kl_delta_base_minus_ft", "wd_delta_base_minus_ft",
+                                      "loss_delta_base_minus_ft")) + " FROM paired"))
 def q_write_metrics(spark, sf_dir):
     """K9: paired metric table written as CSV and read back."""
     from quorum.plans.compare_queries import _paired
     path = IO.scratch(spark, "paired")
     _paired(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
-    return IO.read_eval_csv(spark, path, required=("kl_baseline", "kl_ft", "wd_baseline", "wd_ft"))
+    e = IO.read_eval_csv(spark, path, required=("kl_baseline", "kl_ft", "wd_baseline", "wd_ft"))
+    return e.select(F.col("row_idx").cast("bigint"), *[F.round(c, 9).alias(c) for c in e.columns if c != "row_idx"])
