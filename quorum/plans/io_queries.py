@@ -43,7 +43,10 @@ def q_scan_waves(spark, sf_dir):
                .select("human_id", "qkey", "code"))
 
 
-@query("scan_stata")
+@query("scan_stata", with_views("responses") + """
+SELECT human_id AS QKEY, max(CASE WHEN var = 'PRIORITY' THEN code END) AS PRIORITY,
+       max(CASE WHEN var = 'STATUS' THEN code END) AS STATUS
+FROM responses GROUP BY human_id""")
 def q_scan_stata(spark, sf_dir):
     root = IO.scratch(spark, "stata")
     r = V.responses(spark, sf_dir)
@@ -51,8 +54,9 @@ def q_scan_stata(spark, sf_dir):
              .agg(F.first("code")))
     labels = {"PRIORITY": {int(c): l for v, _, c, l in V.CODEBOOK_ROWS if v == "PRIORITY"}}
     IO.write_stata(wide, root, "wave", labels, {"PRIORITY": "How urgent was your order?"}).collect()
-    return IO.scan_stata(spark, os.path.join(root, "*", "*.dta"),
+    back = IO.scan_stata(spark, os.path.join(root, "*", "*.dta"),
                          "QKEY long, PRIORITY double, STATUS double, source_file string")
+    return back.select("QKEY", "PRIORITY", "STATUS")
 
 
 @query("scan_codebook")
