@@ -59,7 +59,10 @@ def q_scan_stata(spark, sf_dir):
     return back.select("QKEY", "PRIORITY", "STATUS")
 
 
-@query("scan_codebook")
+@query("scan_codebook", with_views("codebook", "variables") + """
+SELECT c.var, CAST(row_number() OVER (PARTITION BY c.var ORDER BY c.code) AS INTEGER) AS pos, c.code, c.label,
+       v.label AS var_label
+FROM codebook c JOIN variables v ON v.var = c.var""")
 def q_scan_codebook(spark, sf_dir):
     root = IO.scratch(spark, "stata-cb")
     r = V.responses(spark, sf_dir)
@@ -67,7 +70,9 @@ def q_scan_codebook(spark, sf_dir):
              .agg(F.first("code")))
     labels = {v: {int(c): l for vv, _, c, l in V.CODEBOOK_ROWS if vv == v} for v in ("PRIORITY", "STATUS")}
     IO.write_stata(wide, root, "wave", labels, {v: t for v, t in V.VARIABLE_ROWS}).collect()
-    return IO.scan_codebook(spark, os.path.join(root, "*", "*.dta"))
+    # every wave file carries the same labels (Stata keeps them sorted by code): one row per label
+    return (IO.scan_codebook(spark, os.path.join(root, "*", "*.dta"))
+              .select("var", "pos", "code", "label", "var_label").distinct())
 
 
 @query("scan_csv_enc", """
@@ -257,7 +262,15 @@ def q_scan_eval(spark, sf_dir):
     return e.select(F.col("row_idx").cast("bigint"), *[F.round(c, 9).alias(c) for c in ("kl", "wd", "loss_used")])
 
 
-@query("scan_train_metrics")
+@query("scan_train_metrics", """
+WITH s AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+                  value / 100 AS loss FROM events),
+p AS (SELECT run, (step - 1) // 1000 AS part, (step - 1) % 1000 AS idx, loss FROM s),
+k AS (SELECT unnest(['train_step_loss', 'train_epoch_loss', 'train_step_perplexity', 'train_epoch_perplexity',
+                     'val_step_loss', 'val_epoch_loss', 'val_step_perplexity', 'val_epoch_perplexity']) AS series)
+SELECT CAST(p.run AS BIGINT) AS run, CAST(p.part AS BIGINT) AS part, k.series, CAST(p.idx AS INTEGER) AS idx,
+       round(CASE WHEN k.series LIKE '%loss' THEN p.loss ELSE exp(p.loss) END, 9) AS value
+FROM p CROSS JOIN k""")
 def q_scan_train_metrics(spark, sf_dir):
     """Per-run metric files built from the events series (run = user),
     plus one malformed file that is reported, not fatal."""
@@ -273,7 +286,10 @@ def q_scan_train_metrics(spark, sf_dir):
        .write.mode("overwrite").partitionBy("run", "part").json(root)
     spark.createDataFrame([("{not json",)], "value string").write.mode("overwrite").text(
         os.path.join(root, "run=bad", "part=0"))
-    return IO.read_train_metrics(spark, os.path.join(root, "*", "*", "*"))
+    m = IO.read_train_metrics(spark, os.path.join(root, "*", "*", "*"))
+    return m.select(F.regexp_extract("source_file", r"run=(\d+)", 1).cast("bigint").alias("run"),
+                    F.regexp_extract("source_file", r"part=(\d+)", 1).cast("bigint").alias("part"),
+                    "series", "idx", F.round("value", 9).alias("value"))
 
 
 def _dist_sql():
