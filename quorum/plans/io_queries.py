@@ -118,7 +118,15 @@ def _present_codes(spark, sf_dir):
     return r.select(pairs.alias("p")).select("p.*").distinct()
 
 
-@query("scan_steering")
+def _steering_sql():
+    from quorum.plans.prompt_queries import _sq
+    vals = ", ".join(f"({_sq(a)}, {_sq(b)}, {_sq(q)}, {_sq(p)}, {len(o)})" for a, b, q, p, _, o in V.STEERING_ROWS)
+    return f"""
+SELECT attribute, bio AS bio_prompt, qa AS qa_prompt, portray AS portray_prompt, CAST(n AS INTEGER) AS n_options
+FROM (VALUES {vals}) AS t(attribute, bio, qa, portray, n)"""
+
+
+@query("scan_steering", _steering_sql())
 def q_scan_steering(spark, sf_dir):
     """Steering records (options limited to groups present in the data)
     written as one JSON array file and read back (multi-line JSON)."""
@@ -133,7 +141,9 @@ def q_scan_steering(spark, sf_dir):
         "options", F.to_json(F.transform("_o", lambda x: x["option"]))).drop("_o")
     arr = rec.agg(F.to_json(F.collect_list(F.struct(*[c for c in rec.columns]))).alias("value"))  # a few rows
     arr.coalesce(1).write.mode("overwrite").text(path)
-    return IO.read_json_records(spark, path)
+    back = IO.read_json_records(spark, path)
+    return back.select("attribute", "bio_prompt", "qa_prompt", "portray_prompt",
+                       F.size(F.from_json("options", "array<string>")).alias("n_options"))
 
 
 def _qdict_sql():
@@ -220,7 +230,7 @@ def q_write_prompts(spark, sf_dir):
     return spark.read.parquet(path).groupBy("steering_type", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("empty_split")
+@query("empty_split", _pr_sql("SELECT qkey, attribute, grp, steering_type, split, input_prompt FROM pr WHERE split = 'none'"))
 def q_empty_split(spark, sf_dir):
     """K3: a split with no rows keeps its schema on write and read-back."""
     path = IO.scratch(spark, "prompts-empty")
@@ -229,7 +239,7 @@ def q_empty_split(spark, sf_dir):
     back = spark.read.parquet(path)
     if back.columns != empty.columns:
         raise AssertionError("schema lost")
-    return back
+    return back.select("qkey", "attribute", "grp", "steering_type", "split", "input_prompt")
 
 
 @query("scan_cached", _pr_sql("SELECT qkey, attribute, grp, steering_type FROM pr"))

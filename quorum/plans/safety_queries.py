@@ -193,7 +193,23 @@ def moderation_examples(spark, sf_dir):
                     F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))
 
 
-@query("moderation_examples")
+def _moderation_sql():
+    guidelines = "".join((chr(10) if i else "") + f"O{i + 1}: {n}. " + chr(10) + d for i, (n, d) in enumerate(CATEGORIES))
+    head, rest = INSTRUCTIONS.split("{guidelines}")
+    mid, tail = rest.split("{conversation}")
+    return _MOD_CTES + f""",
+fm AS (SELECT d.doc_id AS id,
+              {_sq(head + guidelines + mid)} || 'human: ' || d.text || chr(10) || chr(10) || 'chatbot: ' || d.source
+              || {_sq(tail)} || ' ' ||
+              CASE WHEN l.toxic = 1 THEN 'unsafe' || chr(10) ||
+                        coalesce('O' || CAST(CAST(t.code AS INTEGER) AS VARCHAR), '')
+                   ELSE 'safe' END AS text
+       FROM documents d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN top t ON t.doc_id = d.doc_id),
+nt AS (SELECT id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM fm)
+SELECT id, CAST(n AS INTEGER) AS n_ids, CAST(n AS INTEGER) AS n_labels FROM nt"""
+
+
+@query("moderation_examples", _moderation_sql())
 def q_moderation_examples(spark, sf_dir):
     return moderation_examples(spark, sf_dir).select(
         "id", F.size("input_ids").alias("n_ids"), F.size("labels").alias("n_labels"))
