@@ -82,7 +82,58 @@ def q_topk_pairwise(spark, sf_dir):
     return t.select("target", "qkey", "rank", F.round("relevance", 6).alias("relevance"))
 
 
-@query("topk_greedy")
+def _ami_ctes(pre: str, cells: str) -> str:
+    """AMI (x log2 e, clipped at 0) per candidate from a cells CTE
+    ``(cand, a, b, n)``, every CTE name prefixed by ``pre``."""
+    return f"""
+{pre}tot AS (SELECT cand, sum(n) AS nn FROM {cells} GROUP BY cand),
+{pre}ra AS (SELECT cand, a, sum(n) AS ai FROM {cells} GROUP BY cand, a),
+{pre}cb AS (SELECT cand, b, sum(n) AS bj FROM {cells} GROUP BY cand, b),
+{pre}mi AS (SELECT c.cand, greatest(sum(c.n / t.nn * ln(t.nn * c.n / (r.ai * q.bj))), 0) AS mi
+            FROM {cells} c JOIN {pre}tot t ON t.cand = c.cand JOIN {pre}ra r ON r.cand = c.cand AND r.a = c.a
+            JOIN {pre}cb q ON q.cand = c.cand AND q.b = c.b GROUP BY c.cand),
+{pre}hu AS (SELECT r.cand, -sum(r.ai / t.nn * ln(r.ai / t.nn)) AS h FROM {pre}ra r JOIN {pre}tot t ON t.cand = r.cand
+            GROUP BY r.cand),
+{pre}hv AS (SELECT q.cand, -sum(q.bj / t.nn * ln(q.bj / t.nn)) AS h FROM {pre}cb q JOIN {pre}tot t ON t.cand = q.cand
+            GROUP BY q.cand),
+{pre}grid AS (SELECT r.cand, CAST(r.ai AS DOUBLE) AS ai, CAST(q.bj AS DOUBLE) AS bj, CAST(t.nn AS DOUBLE) AS nn
+              FROM {pre}ra r JOIN {pre}cb q ON q.cand = r.cand JOIN {pre}tot t ON t.cand = r.cand),
+{pre}terms AS (SELECT cand, ai, bj, nn, CAST(unnest(range(CAST(greatest(1, ai + bj - nn) AS BIGINT),
+                                                    CAST(least(ai, bj) AS BIGINT) + 1)) AS DOUBLE) AS x FROM {pre}grid),
+{pre}emi AS (SELECT cand, sum(x / nn * ln(nn * x / (ai * bj)) * exp(lgamma(ai + 1) + lgamma(bj + 1) + lgamma(nn - ai + 1)
+             + lgamma(nn - bj + 1) - lgamma(nn + 1) - lgamma(x + 1) - lgamma(ai - x + 1) - lgamma(bj - x + 1)
+             - lgamma(nn - ai - bj + x + 1))) AS emi FROM {pre}terms GROUP BY cand),
+{pre}rel AS (SELECT t.cand, CASE WHEN t.nn < 100 THEN -1e9
+                    ELSE greatest((m.mi - e.emi) / (0.5 * (u.h + v.h) - e.emi), 0) / ln(2) END AS rel
+             FROM {pre}tot t JOIN {pre}mi m ON m.cand = t.cand JOIN {pre}hu u ON u.cand = t.cand
+             JOIN {pre}hv v ON v.cand = t.cand JOIN {pre}emi e ON e.cand = t.cand)"""
+
+
+_GREEDY_TARGET = "QTY"
+_OTHERS = [q for q in QUESTIONS if q != _GREEDY_TARGET]
+_C1 = "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS cand, {_GREEDY_TARGET} AS a, CAST({c} AS VARCHAR) AS b FROM line_answers "
+    f"WHERE {_GREEDY_TARGET} IS NOT NULL AND {c} IS NOT NULL" for c in _OTHERS)
+_C2 = "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS cand, l.{_GREEDY_TARGET} AS a, CASE s.best "
+    + " ".join(f"WHEN '{o}' THEN CAST(l.{o} AS VARCHAR)" for o in _OTHERS)
+    + f" END || '|' || CAST(l.{c} AS VARCHAR) AS b FROM line_answers l CROSS JOIN s1 s "
+    f"WHERE s.best <> '{c}' AND l.{_GREEDY_TARGET} IS NOT NULL AND l.{c} IS NOT NULL AND CASE s.best "
+    + " ".join(f"WHEN '{o}' THEN l.{o}" for o in _OTHERS) + " END IS NOT NULL" for c in _OTHERS)
+
+GREEDY_SQL = with_views("line_answers", ctes=f"""
+c1raw AS ({_C1}),
+c1 AS (SELECT cand, a, b, count(*) AS n FROM c1raw GROUP BY cand, a, b),""" + _ami_ctes("g1", "c1") + f""",
+s1 AS (SELECT cand AS best, rel AS best_rel FROM g1rel ORDER BY rel DESC, cand LIMIT 1),
+c2raw AS ({_C2}),
+c2 AS (SELECT cand, a, b, count(*) AS n FROM c2raw GROUP BY cand, a, b),""" + _ami_ctes("g2", "c2") + """,
+s2 AS (SELECT cand AS best, rel AS best_rel FROM g2rel ORDER BY rel DESC, cand LIMIT 1)""") + f"""
+SELECT '{_GREEDY_TARGET}' AS target, best AS qkey, 1 AS step, round(best_rel, 6) AS gain FROM s1
+UNION ALL SELECT '{_GREEDY_TARGET}', s2.best, 2, round(s2.best_rel - s1.best_rel, 6) FROM s2 CROSS JOIN s1"""
+
+
+@query("topk_greedy", GREEDY_SQL)
 def q_topk_greedy(spark, sf_dir):
     wide = V.line_answers(spark, sf_dir)
-    return RL.topk_greedy(wide, "QTY", QUESTIONS, 2)
+    g = RL.topk_greedy(wide, _GREEDY_TARGET, QUESTIONS, 2)
+    return g.select("target", "qkey", "step", F.round("gain", 6).alias("gain"))
