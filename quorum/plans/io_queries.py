@@ -320,7 +320,14 @@ def q_write_dist(spark, sf_dir):
                     "option", r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate"), "ordinal")
 
 
-@query("write_qdict")
+def _qdict_kind_sql():
+    from quorum.plans.distribution_queries import TEXT_SQL
+    body = TEXT_SQL[:TEXT_SQL.rindex("SELECT DISTINCT")]
+    return body + """SELECT DISTINCT d.qkey, CASE WHEN trim(qt.question) = '' THEN 'error' ELSE 'refined' END AS kind
+FROM dist d JOIN qt ON qt.var = split_part(d.qkey, '_W', 1)"""
+
+
+@query("write_qdict", _qdict_kind_sql())
 def q_write_qdict(spark, sf_dir):
     """K4: refined questions written as JSON rows, failed refinements (X5
     error rows) to their own table; returns both read back with a kind."""
