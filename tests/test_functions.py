@@ -111,3 +111,27 @@ def test_no_order_codes(spark):
                            [-8.0], [99.0])
     assert C.build_options(cb, pol).first()["ordinal"] == [1.0, 2.0, 3.0]       # faithful default
     assert C.build_options(cb, pol, [-2.0]).first()["ordinal"] == [-1.0, 2.0, 3.0]
+
+
+def test_option_probs_adds_both_tokenisations(spark):
+    import math as m
+    lp = F.create_map(F.lit("A"), F.lit(m.log(0.2)), F.lit(" A"), F.lit(m.log(0.1)), F.lit("B"), F.lit(m.log(0.3)))
+    raw = one(spark, M.option_probs(lp, 3))           # C is absent -> 0
+    assert raw == pytest.approx([0.3, 0.3, 0.0])
+    assert one(spark, M.normalize(M.option_probs(lp, 3))) == pytest.approx([0.5, 0.5, 0.0])
+
+
+def test_pad_target(spark):
+    d, o = M.pad_target(arr([0.5, 0.5]), arr([1, 2]), n=4)
+    assert one(spark, d) == pytest.approx([0.5, 0.5, 0.0, 0.0]) and one(spark, o) == [1.0, 2.0, 2.0, 2.0]
+    d2, _ = M.pad_target(arr([1, 1, 2]), arr([1, 2, 3]), n=2)   # cut -> renormalised
+    assert one(spark, d2) == pytest.approx([0.5, 0.5])
+
+
+def test_sample_tokens_deterministic(spark):
+    from quorum.operators.prompts import sample_tokens
+    col = sample_tokens(arr([0.0, 1.0, 0.0]), 42, F.lit("k"), n=20)
+    assert one(spark, col) == [" B"] * 20
+    mixed = sample_tokens(arr([0.5, 0.5]), 42, F.lit("k"), n=200)
+    a, b = one(spark, mixed), one(spark, mixed)
+    assert a == b and 60 < a.count(" A") < 140
