@@ -1,0 +1,67 @@
+"""The registered queries: each applies one operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quorum.llm import line_rules, url_filter
+from quorum.llm.common import table
+from quorum.llm.queries import register
+
+# The rules that the URL query judges by.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+URL_SQL = r"""
+WITH rules(rh, rp, rv) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+u AS (SELECT row_number() OVER () AS r, page_id,
+             CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+s AS (SELECT r, page_id,
+             coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+f AS (SELECT r, max(struct_pack(n := length(rh || rp), l := length(rh), rule := rh || rp, v := rv)) AS b
+      FROM s JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict FROM s LEFT JOIN f USING (r)
+"""
+
+
+@register("op2_url_filter", URL_SQL)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+_W = r"'[^\x20\x09-\x0D]+'"
+LINE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {_W}) AS words FROM d),
+win AS (SELECT r, i, list_slice(words, i, i + 7) AS eight FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, eight) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(8) t(k) GROUP BY r),
+l AS (SELECT r, j, lines[j] AS line, regexp_extract_all(lines[j], {_W}) AS own
+      FROM (SELECT r, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS j FROM d)),
+lw AS (SELECT *, len(own) AS n, row_number() OVER (PARTITION BY r, line ORDER BY j) > 1 AS dup FROM l WHERE len(own) > 0),
+lf AS (SELECT *,
+         (n < {line_rules.SHORT} AND NOT list_contains([{', '.join("'" + c.replace("'", "''") + "'" for c in line_rules.CLOSING)}],
+             right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)))
+         OR 4 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
+         OR 4 * len(list_filter(own, lambda x: x IN ({', '.join(f"'{s}'" for s in sorted(line_rules.SEPARATORS))}))) > n
+         OR 2 * len(list_filter(own, lambda x: ends_with(x, '!!'))) > n
+         OR 2 * len(list_filter(range(2, n + 1), lambda i: own[i] = own[i - 1])) > n
+         OR (n >= 5 AND 2 * len(list_filter(own, lambda x: regexp_full_match(x, '(?s)[^a-z]*[A-Z][^a-z]*'))) > n)
+         OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(line_rules.PHRASES)}') AS fails
+       FROM lw),
+t AS (SELECT r, sum(dup::INT) AS dup, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, sum(fails::INT) AS lost_lines FROM lf GROUP BY r),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words, coalesce(lost_lines, 0)::BIGINT AS n_lost_lines
+      FROM w LEFT JOIN cov USING (r) LEFT JOIN t USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words) AS base_failed,
+       NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words)
+         AND n_lost_words <= {line_rules.MAX_LOST} * n_words AS kept, n_lost_words, n_lost_lines FROM m
+"""
+
+
+@register("op4_quality_rules", LINE_SQL)
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge_lines(table(spark, sf_dir, "documents"))
