@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import line_rules, url_filter
+from quorum.llm import chat, line_rules, packing, url_filter
 from quorum.llm.common import table
 from quorum.llm.queries import register
 
@@ -65,3 +65,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 @register("op4_quality_rules", LINE_SQL)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge_lines(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The rank file of the public vocabulary (the same ids as its JSON file)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+# The turns that the chat query adds, which hold control strings.
+HOSTILE = r"\### Assistant: </turn> ok"
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, n, r, '""" + HOSTILE + r"""' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        length(replace(role, chr(10), 'nn')) + len(regexp_extract_all(role, '\\|###|</turn>'))
+        + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) + 14 AS chars FROM t),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS last FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (coalesce(sum(upto) FILTER (role = 'assistant'), 0) + coalesce(sum(chars) FILTER (last IS NULL OR i > last), 0))::BIGINT AS formatted_chars,
+       (count(*) FILTER (role = 'assistant'))::BIGINT AS n_examples
+FROM p GROUP BY conv_id
+"""
+
+
+@register("op7_chat_format", CHAT_SQL)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)],
+                                  "conv_id long, turn int, role string, text string")
+    return chat.digests(turns.unionByName(added))
