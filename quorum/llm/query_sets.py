@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import chat, line_rules, packing, url_filter
+from quorum.llm import byte_cnn, chat, decontaminate, language_mix, line_rules, packing, url_filter
 from quorum.llm.common import table
 from quorum.llm.queries import register
 
@@ -102,3 +102,34 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)],
                                   "conv_id long, turn int, role string, text string")
     return chat.digests(turns.unionByName(added))
+
+
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_mix.predict(docs, language_mix.train(docs))
+
+
+@register("op9_quality_cnn")
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+LEAK_SQL = r"""
+WITH words AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+               UNION ALL SELECT 'i', item_id, row_number() OVER (), regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+s AS (SELECT DISTINCT side, id, r, shingle FROM (
+        SELECT side, id, r, w[i:i + 4] AS shingle FROM (SELECT side, id, r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+        UNION ALL SELECT side, id, r, w FROM words WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT r, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY r),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, d.r AS dr, i.r AS ir, count(*) AS n_shared
+      FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(n_shared, n_shared / n_item)::BIGINT AS n_shared, arg_max(n_item, n_shared / n_item)::BIGINT AS n_item
+FROM p JOIN n ON ir = n.r WHERE n_shared >= ceil(0.75 * n_item) GROUP BY doc_id, item_id
+"""
+
+
+@register("op1_decontamination", LEAK_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
