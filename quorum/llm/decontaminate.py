@@ -75,12 +75,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     k = F.col("n") - F.col("needed") + 1
     smallest = F.ceil(F.pow(F.lit(2.0), "size_class") * threshold - 1e-9)
     sketches = written(items.select(
-        F.explode(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), k)).alias("hash"),
+        F.explode_outer(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), k)).alias("hash"),
         "item_id", F.xxhash64("shingles").alias("item_key"), smallest.alias("least")), "sketches")
 
     hashed = (docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(F.col("text")).alias("words"))
               .select("doc_id", "text_key", F.size("words").alias("places"), _hashes(F.col("words")).alias("hashes")))
-    candidates = (hashed.select("doc_id", "text_key", F.explode("hashes").alias("hash"),
+    # explode_outer: explode adds a filter on the array's size, which would compute the array twice
+    candidates = (hashed.select("doc_id", "text_key", F.explode_outer("hashes").alias("hash"),
                                 F.greatest(F.col("places") - SHINGLE + 1, F.lit(1)).alias("places"))
                   .join(bounded_broadcast(sketches), "hash").filter(F.col("places") >= F.col("least"))
                   .groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("hits"))
