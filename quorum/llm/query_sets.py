@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import byte_cnn, chat, decontaminate, language_mix, line_rules, packing, url_filter
+from quorum.llm import (byte_cnn, chat, decontaminate, language_mix, line_rules, near_dedup, packing,
+                        url_filter)
 from quorum.llm.common import table
 from quorum.llm.queries import register
 
@@ -133,3 +134,24 @@ FROM p JOIN n ON ir = n.r WHERE n_shared >= ceil(0.75 * n_item) GROUP BY doc_id,
 @register("op1_decontamination", LEAK_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+DEDUP_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, hash(shingle) AS h, shingle FROM (
+        SELECT r, w[i:i + 4] AS shingle FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+        UNION ALL SELECT r, w FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.shingle = b.shingle AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+reach AS (WITH RECURSIVE c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x) SELECT * FROM c),
+c AS (SELECT x, min(m.doc_id) AS least FROM reach JOIN d m ON m.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.x = d.r
+"""
+
+
+@register("op8_near_dedup", DEDUP_SQL)
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
