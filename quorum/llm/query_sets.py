@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import (byte_cnn, chat, decontaminate, language_mix, line_rules, near_dedup, packing,
-                        url_filter)
+from quorum.llm import (byte_cnn, chat, decontaminate, html_mincut, language_mix, line_rules, near_dedup,
+                        packing, url_filter)
 from quorum.llm.common import table
 from quorum.llm.queries import register
 
@@ -155,3 +155,8 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(leas
 @register("op8_near_dedup", DEDUP_SQL)
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@register("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
