@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import (byte_cnn, chat, decontaminate, html_mincut, language_mix, line_rules, near_dedup,
-                        packing, url_filter)
+                        packing, url_filter, wacz)
 from quorum.llm.common import table
 from quorum.llm.queries import register
 
@@ -160,3 +160,21 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_html_extraction")
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS largest FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(string_split(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS b FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda k: substr(b, 5 * i + k + 1, 1)::INT * (16 >> k)))::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to FROM bits
+"""
+
+
+@register("op10_wacz", WARC_SQL)
+def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = wacz.write_packages(table(spark, sf_dir, "pages"))
+    return wacz.read_packages(manifest, with_payload=False).drop("url", "payload")
