@@ -113,6 +113,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the documents that contain an item."""
     hits = (contained_items(docs, items, threshold)
-            .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct())
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")),
+            .select(F.col("doc_id").alias("__leak_id"), F.col("text_key").alias("__leak_key")).distinct())
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_key")),
                      "left_anti")

@@ -135,6 +135,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, counts)
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without documents that are ``und`` or in which
+    no language has a share of ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.mixture(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.filter(pa.array([bool(x) and x[0][1] >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages map<string,double>"
 
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 SHORT, MAX_LOST = 10, 0.5
@@ -144,5 +145,8 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns, among them ``text``) without rejected rows, each
-    text without its failing lines."""
-    return docs.mapInArrow(_clean, docs.schema)
+    text without its failing lines; n_chars, where there is one, follows."""
+    out = docs.mapInArrow(_clean, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

@@ -278,10 +278,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each component; repeated
     rows (equal id and text) go too."""
-    keep = (deduplicate(docs).filter("kept").groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
-            .agg(F.count("*").alias("k_n")))
-    key = F.coalesce(F.xxhash64("text"), F.lit(0))
-    joined = docs.withColumn("k_text", key).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id"))
-                                                 & (F.col("k_text") == F.col("k_key")))
-    single, repeated = joined.filter("k_n = 1"), joined.filter("k_n > 1").dropDuplicates(["k_id", "k_key"])
-    return single.unionByName(repeated).select(*docs.columns)
+    keep = written(deduplicate(docs).filter("kept").groupBy(
+        F.col("doc_id").alias("__keep_id"), F.col("text_key").alias("__keep_key")).agg(F.count("*").alias("__keep_n")), "keep")
+    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.xxhash64("text") == F.col("__keep_key"))
+    single = docs.join(bounded_broadcast(keep.filter("__keep_n = 1")), same, "left_semi")
+    repeated = keep.filter("__keep_n > 1")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(docs.join(bounded_broadcast(repeated), same).dropDuplicates(["__keep_id", "__keep_key"])
+                              .select(*docs.columns))
