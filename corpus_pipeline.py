@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import decontaminate, language_mix, line_rules, near_dedup, packing
 from quorum.llm.common import table, written
-from quorum.llm.query_sets import vocabulary
+from quorum.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

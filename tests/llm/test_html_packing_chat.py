@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quorum.llm import chat, html_mincut, packing
-from quorum.llm.query_sets import vocabulary
+from quorum.llm.queries import vocabulary
 
 P = "Plain words make a sentence that is long enough to count as prose here, and more of it."
 
