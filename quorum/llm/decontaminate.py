@@ -86,6 +86,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                   .join(bounded_broadcast(sketches), "hash").filter(F.col("places") >= F.col("least"))
                   .groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("hits"))
                   .withColumnRenamed("doc_id", "c_doc").withColumnRenamed("text_key", "c_key"))
+    # written, so that its size is known: while candidates are few, texts need no shuffle
+    candidates = bounded_broadcast(written(candidates, "candidates"))
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     pairs = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_key") == F.col("c_key")))
