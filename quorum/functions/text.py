@@ -88,8 +88,14 @@ def chat_messages(prompt) -> Column:
 def parse_literal(col, element_type: str = "double") -> Column:
     """Python list literal text -> array.  Spark's JSON reader accepts
     single quotes and escaped quotes; ``nan`` and NumPy's space-separated
-    ``[0.1 0.2]`` form are rewritten first."""
-    s = _c(col)
-    s = F.regexp_replace(s, r"\bnan\b", "NaN")
-    s = F.regexp_replace(s, r"([0-9.])\s+(?=[-+0-9.])", "$1, ")
-    return F.from_json(s, f"array<{element_type}>")
+    ``[0.1 0.2]`` form are rewritten first, outside of quoted strings only."""
+    pieces = F.regexp_extract_all(_c(col), F.lit(r"""(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[^\"']+|[\"'])"""), F.lit(1))
+
+    def rewrite(piece):
+        plain = F.regexp_replace(piece, r"\bnan\b", "NaN")
+        plain = F.regexp_replace(plain, r"([0-9])\.(?![0-9eE])", "$1.0")  # NumPy writes 3. for 3.0
+        plain = F.regexp_replace(plain, r"([0-9.N])\s+(?=[-+0-9.N])", "$1, ")
+        plain = F.regexp_replace(plain, r"^\s+$", ", ")  # between two quoted strings
+        return F.when(piece.rlike("^[\"']"), piece).otherwise(plain)
+    s = F.array_join(F.transform(pieces, rewrite), "")
+    return F.from_json(s, f"array<{element_type}>", {"allowBackslashEscapingAnyCharacter": "true"})

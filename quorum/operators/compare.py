@@ -15,11 +15,22 @@ METRICS = ("kl", "wd", "loss")
 
 def paired_join(baseline: DataFrame, finetuned: DataFrame, key: str = "row_idx",
                 metrics: Sequence[str] = METRICS) -> DataFrame:
-    """J9 + F33: pair two metric tables by row index (error on a row-count
-    mismatch) and add ``<m>_delta_base_minus_ft``."""
-    nb, nf = baseline.count(), finetuned.count()  # two scalars
+    """J9 + F33: pair two metric tables by position in row-index order (error
+    on a row-count mismatch) and add ``<m>_delta_base_minus_ft``.  Equal index
+    sets (compared by count and checksum) pair by the index itself; others by
+    rank, keeping the baseline's index."""
+    mark = (F.count(F.lit(1)), F.sum(F.xxhash64(key).cast("decimal(38,0)")), F.count_distinct(key))
+    (nb, *mb), (nf, *mf) = baseline.agg(*mark).first(), finetuned.agg(*mark).first()  # scalars
     if nb != nf:
         raise ValueError(f"Row count mismatch: baseline={nb} ft={nf}")
+    if mb != mf or mb[1] != nb:
+        from quorum.operators.sequences import global_row_index
+        cols = [key, *metrics]  # metrics break ties of a repeated index
+        baseline, finetuned = (global_row_index(x.select(*cols), cols, name="_rank") for x in (baseline, finetuned))
+        finetuned = finetuned.drop(key).join(baseline.select("_rank", key), "_rank").drop("_rank")
+        if mb[1] != nb:
+            raise ValueError(f"{key} repeats: rows cannot be told apart")
+        baseline = baseline.drop("_rank")
     b = baseline.select(key, *[F.col(m).alias(f"{m}_baseline") for m in metrics])
     f = finetuned.select(key, *[F.col(m).alias(f"{m}_ft") for m in metrics])
     p = b.join(f, key)
@@ -83,6 +94,13 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key in ``order`` wins (a ``max_by`` aggregate)."""
+    rest = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+              .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+
+
 def run_grid(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
     """Every input × model (models are a parameter list, exploded in
     place) with the output name ``<input>_<model basename>`` (F35)."""

@@ -75,9 +75,12 @@ def weighted_counts(resp: DataFrame, attribute_columns: Mapping[str, str], group
     if k == 1:
         m = membership(rows, attribute_columns, group_codes, overall=True)
     else:
-        m = _joint(rows, attribute_columns, group_codes, k)
-    return (m.groupBy("qkey", "var", "attribute", "grp", "code")
-             .agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")))
+        # first one row per answer and attribute codes: groups are looked up on that small table
+        cells = rows.groupBy("qkey", "var", "code", *attribute_columns.values()).agg(
+            F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
+        m = _joint(cells, attribute_columns, group_codes, k)
+    n = F.count(F.lit(1)) if k == 1 else F.sum("_n")
+    return m.groupBy("qkey", "var", "attribute", "grp", "code").agg(F.sum("_w").alias("w"), n.alias("n"))
 
 
 def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: DataFrame,
@@ -111,7 +114,9 @@ def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: D
         prod = F.transform(F.col(f"_g_{combo[0]}"), lambda g: F.array(g))
         for a in combo[1:]:
             prod = extend(prod, F.col(f"_g_{a}"))
-        structs.append(label(prod, _py_list_str([F.lit(a) for a in combo])))
+        # an attribute without a group takes part in no pair; the person's other pairs stay
+        structs.append(F.coalesce(label(prod, _py_list_str([F.lit(a) for a in combo])),
+                                  F.array().cast("array<struct<attribute:string,grp:string>>")))
     allm = F.flatten(F.array(*structs)) if len(structs) > 1 else structs[0]
     return (out.withColumn("_m", F.explode(allm))
                .select("*", F.col("_m.attribute").alias("attribute"), F.col("_m.grp").alias("grp")))
@@ -190,6 +195,10 @@ def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFram
     Codes without a label are dropped.
     Output: ``qkey, attribute, grp, codes ARRAY<DOUBLE>, responses ARRAY<DOUBLE>``.
     """
+    return _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal, use_weight, k).drop("var")
+
+
+def _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=True, use_weight=True, k=1):
     ref = _refusal_codes(codebook)
     cb = codebook.join(ref, "var")
     if remove_refusal:
@@ -205,7 +214,7 @@ def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFram
             .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
             .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
     return (d.where(F.col("tot") != 0)
-             .select("qkey", "attribute", "grp", "codes",
+             .select("qkey", "var", "attribute", "grp", "codes",
                      F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))).alias("responses")))
 
 
@@ -217,15 +226,14 @@ def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, gro
     1.0 (F36), ``options`` = every label stripped in label order."""
     from quorum.functions.metrics import normalize
     from quorum.operators.codes import question_body_after_dot
-    full = distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=False, k=k)
+    full = _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=False, k=k)
     ref = _refusal_codes(codebook)
     labels = (codebook.groupBy("var")
                       .agg(F.sort_array(F.collect_list(F.struct("pos", F.trim("label").alias("l")))).alias("_ls"))
                       .select("var", F.transform("_ls", lambda x: x["l"]).alias("options")))
     meta = (labels.join(ref, "var")
                   .join(variables.select("var", question_body_after_dot("label").alias("question")), "var", "left"))
-    d = (full.withColumn("var", F.split("qkey", "_W").getItem(0))
-             .join(bounded_broadcast(meta), "var")
+    d = (full.join(bounded_broadcast(meta), "var")
              .withColumn("_ri", F.array_position("codes", F.col("refusal_code")))
              .withColumn("refusal_rate", F.when(F.col("_ri") > 0,
                                                 F.try_element_at("responses", F.col("_ri").cast("int")))

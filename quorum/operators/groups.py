@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum.functions.text import parse_literal
 from quorum.operators.distribution import OVERALL
 from quorum.operators.joins import bounded_broadcast
 
@@ -99,7 +100,7 @@ def recode_group(attribute, group, mapping: Mapping[tuple[str, str], str] | None
 
 def groups_explode(catalogue: DataFrame) -> DataFrame:
     """``(attribute, group)`` with ``group`` a list literal -> one row per group."""
-    arr = F.from_json(F.regexp_replace(F.col("group"), "'", '"'), "array<string>")
+    arr = parse_literal("group", "string")  # either quote character, so an apostrophe inside a label stays
     return catalogue.select("attribute", F.explode(arr).alias("grp"))
 
 

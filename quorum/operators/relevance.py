@@ -2,8 +2,7 @@
 pairwise and greedy top-k (J2, J11, A10, A11, T3, T4, X2).
 
 Counting is Spark's job: each respondent row emits its (target, other)
-answer pairs in place (``transform`` + ``explode``, no self-join) and a
-partial aggregation reduces them to one small contingency table per
+answer pairs in place (two explodes, no self-join) and a partial aggregation reduces them to one small contingency table per
 question pair.  Only those tables (≤ codes² rows each) reach Python, one
 pair per ``applyInPandas`` group, where MI / EMI / AMI are evaluated with
 NumPy.
@@ -16,11 +15,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.operators import codes as C
+from quorum.operators.joins import bounded_broadcast
 
 NEG_INF = -1e9            # relevance when too few joint answers
 N_SAMPLE_THRESHOLD = 100  # joint answers needed for an estimate
@@ -39,67 +40,82 @@ def question_pairs(keys: DataFrame, ordered: bool = True) -> DataFrame:
     return p if ordered else p.where(F.col("target") < F.col("qkey"))
 
 
-def contingency(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
-    """``(target, other, a, b, n)`` for every unordered question pair
-    (target < other) over respondents who answered both."""
-    qs = sorted(questions)
-    pairs = [(t, o) for i, t in enumerate(qs) for o in qs[i + 1:]]
-    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(o).alias("other"),
-                               F.col(t).cast("double").alias("a"), F.col(o).cast("double").alias("b"))
-                      for t, o in pairs])
-    # explode then filter: a plain predicate stays in generated code (a
-    # higher-order ``filter`` would be evaluated row by row, interpreted)
-    x = wide.select(F.explode(cells).alias("c")).select("c.*").where(C.answered("a") & C.answered("b"))
-    return x.groupBy("target", "other", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+def _answers(wide: DataFrame, questions: Sequence[str]):
+    """The answered questions of a row, as an array of (qkey, code)."""
+    qa = F.array(*[F.struct(F.lit(q).alias("qkey"), F.col(q).cast("double").alias("code")) for q in questions])
+    return F.filter(qa, lambda x: C.answered(x["code"]))
 
 
-# ------------------------------------------------------------------ AMI numerics
+def contingency(wide: DataFrame, targets: Sequence[str], bank: Sequence[str] | None = None) -> DataFrame:
+    """``(target, other, a, b, n)`` over respondents who answered both.
 
-_SMALL_LGAMMA = np.array([math.lgamma(i + 1.0) for i in range(64)])
+    With a ``bank``, every target meets every other question of the bank; with
+    one list only, every unordered pair of it (target < other).  A row carries
+    its answers once, as two arrays that are exploded one after the other, so
+    the plan grows with the number of questions and not with that of pairs;
+    the cells are summed before the shuffle."""
+    pairs = bank is None
+    t = wide.select(_answers(wide, sorted(set(targets))).alias("_t"), _answers(wide, sorted(set(bank or targets))).alias("_b"))
+    # explode_outer: explode would repeat its array in a filter below it
+    t = t.select(F.explode_outer("_t").alias("t"), "_b").select("t.*", F.explode_outer("_b").alias("o"))
+    x = t.where(F.col("qkey") < F.col("o.qkey") if pairs else F.col("qkey") != F.col("o.qkey"))
+    return (x.groupBy(F.col("qkey").alias("target"), F.col("o.qkey").alias("other"), F.col("code").alias("a"),
+                      F.col("o.code").alias("b")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _lgamma1(x: np.ndarray) -> np.ndarray:
-    """log(x!) for integer x >= 0: table below 64, Stirling series above."""
-    x = np.asarray(x, dtype=np.float64)
-    out = np.empty_like(x)
-    small = x < 64
-    out[small] = _SMALL_LGAMMA[x[small].astype(np.int64)]
-    z = x[~small] + 1.0
-    zi = 1.0 / z
-    zi2 = zi * zi
-    out[~small] = ((z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi)
-                   + zi * (1 / 12 - zi2 * (1 / 360 - zi2 * (1 / 1260 - zi2 / 1680))))
-    return out
+def contingency_long(answers: DataFrame, targets: DataFrame, bank: DataFrame, key: str = "human_id") -> DataFrame:
+    """A11 on long answers ``(key, qkey, code)``, with targets and bank as
+    tables of ``qkey``: one self-join by person, cells summed before the shuffle."""
+    a = answers.where(C.answered("code")).select(key, "qkey", F.col("code").cast("double").alias("code"))
+    t = a.join(bounded_broadcast(targets.select("qkey").distinct()), "qkey", "left_semi")
+    o = (a.join(bounded_broadcast(bank.select("qkey").distinct()), "qkey", "left_semi")
+          .select(key, F.col("qkey").alias("other"), F.col("code").alias("b")))
+    return (t.join(o, key).where(F.col("qkey") != F.col("other"))
+             .groupBy(F.col("qkey").alias("target"), "other", F.col("code").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
 
 
-def expected_mi(a: np.ndarray, b: np.ndarray, n: int) -> float:
-    """E[MI] under the hypergeometric model (nats).
+# ------------------------------------------------------------------ AMI numerics
+
+def _overlap_terms(a: float, b: float, n: float) -> float:
+    """Sum over x >= 1 of P(x) x/n log(n x / (a b)), where P is hypergeometric
+    (the overlap of random sets of a and b among n).
+
+    Weights run outwards from the mode by ratios of neighbours and are divided
+    by their own sum, so no large logarithms cancel.  P is log-concave: beyond
+    the last x the rest is at most a geometric series with the last ratio, and
+    the range grows until that bound is below rounding."""
+    lo, hi = max(0.0, a + b - n), min(a, b)
+    mode = min(max(np.floor((a + 1) * (b + 1) / (n + 2)), lo), hi)
+    largest = hi / n * max(abs(np.log(n * hi / (a * b))), abs(np.log(n / (a * b))), 1.0)  # of any term's factor
+
+    def side(step: int) -> tuple[np.ndarray, np.ndarray]:
+        room = int(hi - mode if step > 0 else mode - lo)
+        want = min(room, 64)
+        while True:
+            x = mode + step * np.arange(want + 1)
+            if step > 0:
+                ratio = (a - x) * (b - x) / ((x + 1) * (n - a - b + x + 1))
+            else:
+                ratio = x * (n - a - b + x) / ((a - x + 1) * (b - x + 1))
+            weight = np.concatenate(([1.0], np.cumprod(ratio[:-1])))
+            last = ratio[-1]
+            if want == room or weight[-1] == 0 or last < 1 and weight[-1] * last / (1 - last) * max(largest, 1.0) < 1e-18:
+                return x[1:], weight[1:]
+            want = min(room, want * 4)
+
+    (up, wu), (down, wd) = side(1), side(-1)
+    x, w = np.concatenate((down[::-1], [mode], up)), np.concatenate((wd[::-1], [1.0], wu))
+    some = x >= 1
+    return float(np.sum(w[some] * (x[some] / n) * np.log(n * x[some] / (a * b))) / w.sum())
 
-    Per cell the sum runs over n_ij in [max(1, a+b-N), min(a, b)]; terms
-    more than 40 standard deviations from the mean are below 1e-300 of the
-    peak and are skipped (exact in double precision)."""
+
+def expected_mi(a: np.ndarray, b: np.ndarray, n: int) -> float:
+    """E[MI] under the hypergeometric model (nats), every cell's terms summed
+    up to a computed bound on the rest."""
     if a.size == 1 or b.size == 1:
         return 0.0
-    N = float(n)
-    lgN = _lgamma1(np.array([N]))[0]
-    la, lb = _lgamma1(a), _lgamma1(b)
-    lNa, lNb = _lgamma1(N - a), _lgamma1(N - b)
-    emi = 0.0
-    for i, ai in enumerate(a):
-        for j, bj in enumerate(b):
-            lo, hi = max(1, int(ai + bj - N)), int(min(ai, bj))
-            if hi < lo:
-                continue
-            mu = ai * bj / N
-            sd = math.sqrt(max(ai * bj * (N - ai) * (N - bj) / (N * N * max(N - 1, 1.0)), 0.0))
-            lo2, hi2 = max(lo, int(mu - 40 * sd) - 2), min(hi, int(mu + 40 * sd) + 2)
-            nij = np.arange(lo2, hi2 + 1, dtype=np.float64)
-            if nij.size == 0:
-                continue
-            gln = (la[i] + lb[j] + lNa[i] + lNb[j] - lgN - _lgamma1(nij) - _lgamma1(ai - nij)
-                   - _lgamma1(bj - nij) - _lgamma1(N - ai - bj + nij))
-            emi += float(np.sum(nij / N * np.log(N * nij / (ai * bj)) * np.exp(gln)))
-    return emi
+    (av, an), (bv, bn) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)  # equal margins: equal terms
+    return float(sum(i * j * _overlap_terms(float(x), float(y), float(n)) for x, i in zip(av, an) for y, j in zip(bv, bn)))
 
 
 def ami_from_table(a_codes, b_codes, counts) -> tuple[int, float]:
@@ -144,6 +160,14 @@ def ami_pairs(cont: DataFrame, threshold: int = N_SAMPLE_THRESHOLD, symmetric: b
         score, "target string, qkey string, n_joint long, relevance double")
 
 
+def pairwise_relevance(wide: DataFrame, targets: Sequence[str], bank: Sequence[str],
+                       strategy: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Relevance of every bank question for every target.  ``strategy``
+    turns a contingency table into ``(target, qkey, n_joint, relevance)``;
+    the default is adjusted mutual information."""
+    return (strategy or (lambda c: ami_pairs(c, symmetric=False)))(contingency(wide, targets, bank))
+
+
 def topk_pairwise(rel: DataFrame, k: int) -> DataFrame:
     """Per target the k most relevant questions with relevance >= 0
     (k < 0 = all); ``rank`` 1 = most relevant."""
@@ -158,34 +182,39 @@ def topk_greedy(wide: DataFrame, target: str, bank: Sequence[str], k: int,
     """T4: add, k times, the bank question whose joint code with the chosen
     set gains the most relevance; stop with an error when no gain is left.
 
-    Each round is one Spark job that scores every remaining candidate at
-    once (a contingency per candidate on the joint code); the chosen set is
-    a handful of question names kept on the driver."""
+    Each round is one Spark job over the distinct answer combinations that
+    scores every remaining candidate at once (a contingency per candidate on
+    the joint code); the chosen set is a handful of names kept on the driver."""
+    bank = [q for q in dict.fromkeys(bank) if q != target]
+    cols = [F.col(q).cast("double").alias(q) for q in [target, *bank]]
+    # one row per combination of answers; the rounds read this table and never the answers again
+    tuples = (wide.where(C.answered(target)).select(*cols).groupBy(target, *bank).agg(F.count(F.lit(1)).alias("_n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     chosen: list[str] = []
     gains: list[float] = []
     current = 0.0
     spark = wide.sparkSession
-    for _ in range(k):
-        cands = [q for q in bank if q not in chosen and q != target]
-        if not cands:
-            break
-        cells = F.array(*[F.struct(
-            F.lit(c).alias("cand"), F.col(target).cast("double").alias("a"),
-            F.concat_ws("|", *[F.col(q).cast("string") for q in chosen + [c]]).alias("b"),
-            F.array(*[F.col(q) for q in chosen + [c]]).alias("_all")) for c in cands])
-        x = wide.select(F.explode(cells).alias("c")).where(
-            C.answered("c.a") & F.forall("c._all", lambda v: C.answered(v)))
-        cont = (x.groupBy(F.col("c.cand").alias("other"), F.col("c.a").alias("a"), F.col("c.b").alias("b"))
-                 .agg(F.count(F.lit(1)).alias("n"))
-                 .withColumn("target", F.lit(target))
-                 .withColumn("a", F.col("a").cast("string")))
-        scores = (relevance or (lambda c: ami_pairs(c, threshold, symmetric=False)))(cont)
-        best = scores.orderBy(F.col("relevance").desc(), F.col("qkey")).first()  # one row per round
-        gain = best["relevance"] - current
-        if not gain > 0:
-            raise ValueError("No more gain in relevance.")
-        chosen.append(best["qkey"])
-        gains.append(gain)
-        current += gain
+    try:
+        for _ in range(k):
+            cands = [q for q in bank if q not in chosen]
+            if not cands:
+                break
+            x = tuples.where(F.forall(F.array(*chosen), lambda v: C.answered(v))) if chosen else tuples
+            x = x.select(F.col(target).alias("a"), F.concat_ws("|", *chosen).alias("_set"),
+                         F.explode_outer(_answers(x, cands)).alias("c"), "_n")
+            cont = (x.where(F.col("c").isNotNull())
+                     .groupBy(F.lit(target).alias("target"), F.col("c.qkey").alias("other"), "a",
+                              F.concat_ws("|", F.nullif("_set", F.lit("")), F.col("c.code")).alias("b"))
+                     .agg(F.sum("_n").alias("n")))
+            scores = (relevance or (lambda c: ami_pairs(c, threshold, symmetric=False)))(cont)
+            best = scores.orderBy(F.col("relevance").desc(), F.col("qkey")).first()  # one row per round
+            gain = best["relevance"] - current if best is not None else 0.0
+            if not gain > 0:
+                raise ValueError("No more gain in relevance.")
+            chosen.append(best["qkey"])
+            gains.append(gain)
+            current += gain
+    finally:
+        tuples.unpersist()
     rows = [(target, q, i + 1, g) for i, (q, g) in enumerate(zip(chosen, gains))]
     return spark.createDataFrame(rows, "target string, qkey string, step int, gain double")

@@ -38,13 +38,16 @@ def joint_responses_wide(df: DataFrame, qkeys: Sequence[str], key: str = "human_
     return df.where(cond).select(key, F.array(*[F.col(q).cast("double") for q in qkeys]).alias("codes"))
 
 
-def joint_responses_long(resp: DataFrame, qkeys: Sequence[str], key: str = "human_id") -> DataFrame:
+def joint_responses_long(resp: DataFrame, qkeys: Sequence[str], key: str = "human_id",
+                         order: str | None = None) -> DataFrame:
     """J2 on long data ``(key, qkey, code)``: group by person once, keep
-    people with all ``n`` questions, answers ordered by question position
-    (last answer wins on duplicates, as a dict would)."""
+    people with all ``n`` questions, answers ordered by question position.
+    Of several answers to a question the last in ``order`` wins (as in a dict);
+    without an order column, the largest code."""
     pos = F.array_position(F.array(*[F.lit(q) for q in qkeys]), F.col("qkey"))
     r = resp.where(F.col("qkey").isin(list(qkeys)) & C.answered("code")).withColumn("_pos", pos)
-    g = (r.groupBy(key)
+    last = F.max_by("code", F.struct(order, "code")) if order else F.max("code")
+    g = (r.groupBy(key, "_pos").agg(last.alias("code")).groupBy(key)
           .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "code"))).alias("_m")))
     n = len(qkeys)
     return (g.where(F.size("_m") == n)
@@ -81,6 +84,7 @@ def lookup_responses(lookups: DataFrame, resp: DataFrame, codebook: DataFrame) -
             .when(F.col("pos").isNull(), F.lit(-2))
             .when(F.col("pos") == F.col("_maxpos"), F.lit(-1))
             .otherwise(F.col("pos") - 1))
+    # The two labels of lookups without an answer
     lab = (F.when(F.col("_in").isNull(), F.lit("Not participated for wave"))
             .when(F.col("pos").isNull(), F.lit("Nan response"))
             .otherwise(F.col("label")))

@@ -9,6 +9,7 @@ give the same text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,11 @@ MODERATION_CODES = {
 
 
 def _fill(template: str, **cols: Column) -> Column:
-    """Replace ``{name}`` placeholders of a fixed template with columns."""
-    out = F.lit(template)
-    for k, v in cols.items():
-        out = F.replace(out, F.lit("{" + k + "}"), v)
-    return out
+    """Replace ``{name}`` placeholders of a fixed template with columns.  The
+    template is split once, so text that a column brings is never a placeholder."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[cols[p] if i % 2 and p in cols else F.lit("{" + p + "}" if i % 2 else p)
+                      for i, p in enumerate(pieces)])
 
 
 def instruction_prompt(instruction, input_col) -> Column:
@@ -69,7 +70,7 @@ def primary_category(moderation_literal) -> Column:
     """Parse ``[[category, score], …]`` (Python literal text), take the
     highest score (first on ties), map it to its safety code; NULL when empty."""
     s = F.col(moderation_literal) if isinstance(moderation_literal, str) else moderation_literal
-    arr = F.from_json(F.regexp_replace(s, "'", '"'), "array<array<string>>")
+    arr = F.from_json(s, "array<array<string>>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
     z = F.transform(arr, lambda x, i: F.struct((-x[1].cast("double")).alias("ns"), i.alias("i"),
                                                x[0].alias("cat")))
     top = F.try_element_at(F.array_sort(z), F.lit(1))["cat"]

@@ -40,6 +40,15 @@ def _blocks(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[s
     return out
 
 
+def _with_offsets(blk: DataFrame, offs: DataFrame, pc: Sequence[str]) -> DataFrame:
+    """Blocks with their offsets; a NULL partition key is a key like others."""
+    o = offs.select(*[F.col(k).alias(f"_o_{k}") for k in pc], F.col("_blk").alias("_o_blk"), "_off")
+    cond = blk["_blk"] == F.col("_o_blk")
+    for k in pc:
+        cond = cond & blk[k].eqNullSafe(F.col(f"_o_{k}"))
+    return blk.join(bounded_broadcast(o), cond).drop("_o_blk", *[f"_o_{k}" for k in pc])
+
+
 def _join_back(df: DataFrame, narrow: DataFrame, keys: Sequence[str], new_cols: Sequence[str]) -> DataFrame:
     """Attach ``new_cols`` computed on the key columns back to the full rows
     (null-safe equality on the keys; the narrow side is broadcast when its
@@ -66,7 +75,7 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: S
     w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*pc, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols)
-    idx = (blk.join(bounded_broadcast(offs), [*pc, "_blk"])
+    idx = (_with_offsets(blk, offs, pc)
               .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint")))
     return _join_back(df, idx, keys, [name])
 
@@ -91,7 +100,7 @@ def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partitio
         combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(within, F.lit(0))
     else:  # min of the earlier blocks and the earlier rows of this block; NULL when nothing precedes
         combined = F.least(F.col("_off"), within)
-    idx = blk.join(bounded_broadcast(offs), [*pc, "_blk"]).withColumn(name, combined)
+    idx = _with_offsets(blk, offs, pc).withColumn(name, combined)
     return _join_back(df, idx, keys, [name])
 
 

@@ -8,6 +8,7 @@ encoding sniffing), inside ``mapInPandas`` tasks — one file per task.
 
 from __future__ import annotations
 
+import hashlib
 import io as _io
 import os
 import uuid
@@ -149,6 +150,7 @@ def scan_codebook(spark: SparkSession, pattern: str) -> DataFrame:
 
 # ------------------------------------------------------------------ S4: encodings
 
+# Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "cp936")
 
 
@@ -255,19 +257,30 @@ def read_config_groups(spark: SparkSession, path: str) -> DataFrame:
     return g.select("attribute", "column", "grp", F.explode("codes").alias("code"))
 
 
+# The arrays of a training-metric file.
 TRAIN_METRIC_KEYS = ("train_step_loss", "train_epoch_loss", "train_step_perplexity", "train_epoch_perplexity",
                      "val_step_loss", "val_epoch_loss", "val_step_perplexity", "val_epoch_perplexity")
 
 
+def _train_metric_files(spark: SparkSession, pattern: str) -> DataFrame:
+    fields = ", ".join(f"{k} array<double>" for k in TRAIN_METRIC_KEYS)
+    return (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+                 .option("columnNameOfCorruptRecord", "_corrupt_record")
+                 .schema(f"{fields}, _corrupt_record string").json(pattern)
+                 .withColumn("source_file", F.input_file_name()))
+
+
+def unreadable_train_metrics(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, record) of every file that is not such JSON."""
+    return (_train_metric_files(spark, pattern).where(F.col("_corrupt_record").isNotNull() & F.coalesce(*TRAIN_METRIC_KEYS).isNull())
+            .select("source_file", F.col("_corrupt_record").alias("record")))
+
+
 def read_train_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     """Training-metric JSON files (8 parallel arrays) -> one row per
-    (file, series, index, value); unreadable files are reported in
-    ``_corrupt_record`` rows (PERMISSIVE) instead of failing the job."""
-    fields = ", ".join(f"{k} array<double>" for k in TRAIN_METRIC_KEYS)
-    raw = (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record")
-                .schema(f"{fields}, _corrupt_record string").json(pattern)
-                .withColumn("source_file", F.input_file_name()))
+    (file, series, index, value).  ``unreadable_train_metrics`` lists the files
+    that this leaves out."""
+    raw = _train_metric_files(spark, pattern)
     series = F.explode(F.array(*[F.struct(F.lit(k).alias("series"), F.col(k).alias("v"))
                                  for k in TRAIN_METRIC_KEYS])).alias("s")
     ok = raw.where(F.col("_corrupt_record").isNull()).select("source_file", series)
@@ -278,9 +291,10 @@ def read_train_metrics(spark: SparkSession, pattern: str) -> DataFrame:
 
 def cached(spark: SparkSession, cache_root: str, input_name: str, tokenizer_name: str,
            build: Callable[[], DataFrame]) -> DataFrame:
-    """Parquet cache keyed by (input, tokenizer); reuse when the
-    write committed (``_SUCCESS`` present), else build and write."""
-    key = f"{os.path.basename(input_name)}__{tokenizer_name.replace('/', '_')}"
+    """Parquet cache keyed by (full input path, tokenizer); reuse when
+    the write committed (``_SUCCESS`` present), else build and write."""
+    whole = hashlib.sha256(f"{input_name}\0{tokenizer_name}".encode()).hexdigest()[:16]
+    key = f"{os.path.basename(input_name)}__{tokenizer_name.replace('/', '_')}__{whole}"
     path = os.path.join(cache_root, key)
     if not path_exists(spark, os.path.join(path, "_SUCCESS")):
         build().write.mode("overwrite").parquet(path)

@@ -114,29 +114,31 @@ def responses_from(r: DataFrame) -> DataFrame:
 LINE_VARS = ("RETURNFLAG", "LINESTATUS", "QTY", "DISCOUNT")
 
 
-def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_answers(spark: SparkSession, sf_dir: str, segment: bool = False) -> DataFrame:
     """V3, wide: one row per line item = one respondent with four answers.
 
     human_id = orderkey*8 + linenumber; codes: RETURNFLAG A/N/R -> 1/2/3,
     LINESTATUS F/O -> 1/2, QTY = ceil(quantity/5) (1..10), DISCOUNT =
     round(discount*100) + 1 (1..11); NULL answers on a few key residues.
-    Carries the customer segment for sub-population filters.
+    With ``segment`` it carries the customer segment for sub-population
+    filters, at the price of two joins.
     """
     li = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     hid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rf = (F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0)
            .when(F.col("l_returnflag") == "R", 3.0))
     ls = F.when(F.col("l_linestatus") == "F", 1.0).when(F.col("l_linestatus") == "O", 2.0)
     qty = F.ceil(F.col("l_quantity") / 5).cast("double")
     disc = (F.round(F.col("l_discount") * 100) + 1).cast("double")
-    # orders ⋈ customer first (keyed by orderkey afterwards), so lineitem —
-    # the largest table — is shuffled once, on its own join key
-    oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment")
-    return (li.join(oc, li.l_orderkey == oc.o_orderkey)
-              .select(hid.alias("human_id"),
-                      F.col("c_mktsegment").alias("segment"),
+    seg = []
+    if segment:
+        # orders ⋈ customer first (keyed by orderkey afterwards), so lineitem —
+        # the largest table — is shuffled once, on its own join key
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+        oc = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment")
+        li, seg = li.join(oc, li.l_orderkey == oc.o_orderkey), [F.col("c_mktsegment").alias("segment")]
+    return (li.select(hid.alias("human_id"), *seg,
                       F.when(hid % 13 == 0, F.lit(None).cast("double")).otherwise(rf).alias("RETURNFLAG"),
                       ls.alias("LINESTATUS"),
                       F.when(hid % 11 == 0, F.lit(None).cast("double")).otherwise(qty).alias("QTY"),
@@ -144,12 +146,11 @@ def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3 long form ``(human_id, segment, qkey, code)``; NULL answers dropped."""
+    """V3 long form ``(human_id, qkey, code)``; NULL answers dropped."""
     w = line_answers(spark, sf_dir)
     qa = F.explode(F.array(*[F.struct(F.lit(v).alias("qkey"), F.col(v).alias("code"))
                              for v in LINE_VARS])).alias("qa")
-    return (w.select("human_id", "segment", qa)
-             .select("human_id", "segment", "qa.qkey", "qa.code")
+    return (w.select("human_id", qa).select("human_id", "qa.qkey", "qa.code")
              .where(F.col("code").isNotNull()))
 
 
