@@ -75,14 +75,16 @@ def run_matrix(metrics: DataFrame) -> DataFrame:
 
 def hist_bins(df: DataFrame, series: Sequence[str], bins: int = 40) -> DataFrame:
     """Equal-width histogram of each column on its own [min, max]."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("x"))
-                                          for s in series])).alias("v")).select("v.*")
-    mm = long.groupBy("series").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))  # one row per series
-    b = long.join(bounded_broadcast(mm), "series").withColumn(
-        "bin", F.when(F.col("mx") == F.col("mn"), F.lit(0)).otherwise(
-            F.least(F.floor((F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins), F.lit(bins - 1)))
-        .cast("int"))
-    return b.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # two numbers per series come to the driver and go back as literals: the facts are not shuffled for them
+    edges = df.agg(*[f(F.col(s).cast("double")).alias(f"{n}_{i}") for i, s in enumerate(series)
+                     for n, f in (("mn", F.min), ("mx", F.max))]).first()
+
+    def bin_of(i: int, s: str):
+        mn, mx, x = edges[f"mn_{i}"], edges[f"mx_{i}"], F.col(s).cast("double")
+        b = F.lit(0) if mn is None or mn == mx else F.least(F.floor((x - mn) / (mx - mn) * bins), F.lit(bins - 1))
+        return F.struct(F.lit(s).alias("series"), F.when(x.isNotNull(), b.cast("int")).alias("bin"))
+    long = df.select(F.explode(F.array(*[bin_of(i, s) for i, s in enumerate(series)])).alias("v")).select("v.*")
+    return long.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

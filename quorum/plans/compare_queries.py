@@ -131,6 +131,8 @@ def q_run_matrix(spark, sf_dir):
 @query("hist40", EVAL_SQL + """,
 series AS (SELECT 'kl_baseline' AS series, round(kl_baseline, 9) AS x FROM paired
            UNION ALL SELECT 'wd_baseline', round(wd_baseline, 9) FROM paired
+           UNION ALL SELECT 'kl_ft', round(kl_ft, 9) FROM paired
+           UNION ALL SELECT 'wd_ft', round(wd_ft, 9) FROM paired
            UNION ALL SELECT 'kl_delta_base_minus_ft', round(kl_delta_base_minus_ft, 9) FROM paired),
 mm AS (SELECT series, min(x) AS mn, max(x) AS mx FROM series GROUP BY series)
 SELECT s.series, CAST(CASE WHEN mm.mx = mm.mn THEN 0 ELSE least(floor((s.x - mm.mn) / (mm.mx - mm.mn) * 40), 39) END AS INTEGER) AS bin,
@@ -138,7 +140,7 @@ SELECT s.series, CAST(CASE WHEN mm.mx = mm.mn THEN 0 ELSE least(floor((s.x - mm.
 FROM series s JOIN mm ON mm.series = s.series GROUP BY 1, 2""")
 def q_hist40(spark, sf_dir):
     p = _paired(spark, sf_dir)
-    cols = ["kl_baseline", "wd_baseline", "kl_delta_base_minus_ft"]
+    cols = ["kl_baseline", "wd_baseline", "kl_ft", "wd_ft", "kl_delta_base_minus_ft"]
     return CP.hist_bins(p.select(*[r9(c).alias(c) for c in cols]), cols)
 
 
@@ -214,12 +216,20 @@ def q_max_rows(spark, sf_dir):
 
 
 # ---- W8 / W9 / A15 on the events series (run = user, step = order by time)
+def metric_events(spark, sf_dir):
+    """(run, ts, event_id, loss, epoch): the series without step numbers."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), "ts", "event_id", (F.col("value") / 100).alias("loss"),
+        F.date_format("ts", "yyyy-MM-dd").alias("epoch"))
+
+
 def metric_series(spark, sf_dir):
-    from pyspark.sql.window import Window
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("step"),
-                     (F.col("value") / 100).alias("loss"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"))
+    """(run, step, loss, epoch): steps are numbered by blocks, so a run that
+    holds much of the table is split over tasks."""
+    from quorum.operators.sequences import global_row_index
+    ev = metric_events(spark, sf_dir)
+    return (global_row_index(ev, ["ts", "event_id"], ["run"], name="_i")
+            .select("run", (F.col("_i") + 1).cast("int").alias("step"), "loss", "epoch"))
 
 
 _SERIES = """
@@ -246,7 +256,7 @@ def q_step_cap(spark, sf_dir):
 SELECT run, epoch, round(avg(loss), 9) AS loss, round(exp(avg(loss)), 9) AS perplexity, count(*) AS steps
 FROM s GROUP BY run, epoch""")
 def q_epoch_metrics(spark, sf_dir):
-    s = metric_series(spark, sf_dir)
+    s = metric_events(spark, sf_dir)
     e = s.groupBy("run", "epoch").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("steps"))
     return e.select("run", "epoch", r9("loss").alias("loss"), r9(F.exp("loss")).alias("perplexity"), "steps")
 

@@ -16,15 +16,12 @@ from quorum.sources.driver import table
 
 
 def _wave_tables(spark, sf_dir, root):
-    r = V.responses(spark, sf_dir).select("human_id", "wave", "var", "code", "weight").persist()
-    waves = sorted(x[0] for x in r.select("wave").distinct().collect())  # a handful of wave ids
-    for w in waves:
-        part = (r.where(F.col("wave") == w).groupBy(F.col("human_id").alias("QKEY"))
-                 .pivot("var", ["PRIORITY", "STATUS"]).agg(F.first("code"), F.first("weight")))
-        part = part.select("QKEY", *[F.col(f"{v}_first(code)").alias(f"{v}_W{w}") for v in ("PRIORITY", "STATUS")],
-                           F.col("PRIORITY_first(weight)").alias(f"WEIGHT_W{w}"))
-        part.write.mode("overwrite").parquet(os.path.join(root, f"wave={w}"))
-    return waves
+    r = V.responses(spark, sf_dir).select("human_id", "wave", "var", "code", "weight")
+    wide = (r.groupBy("wave", F.col("human_id").alias("QKEY")).pivot("var", ["PRIORITY", "STATUS"])
+             .agg(F.first("code").alias("code"), F.first("weight").alias("weight"))
+             .select("wave", "QKEY", F.col("PRIORITY_code").alias("PRIORITY"), F.col("STATUS_code").alias("STATUS"),
+                     F.col("PRIORITY_weight").alias("WEIGHT")))
+    return IO.write_waves(wide, root)
 
 
 @query("scan_waves", with_views("responses") + "SELECT human_id, qkey, code FROM responses")
@@ -33,14 +30,10 @@ def q_scan_waves(spark, sf_dir):
     waves = _wave_tables(spark, sf_dir, root)
     wide = IO.scan_waves(spark, root, waves)
     qcols = [c for c in wide.columns if c.startswith(("PRIORITY_W", "STATUS_W"))]
-    long = wide.select("QKEY", F.explode(F.array(*[F.struct(F.lit(c).alias("qkey"), F.col(c).alias("code"))
-                                                   for c in qcols])).alias("x"))
     # a respondent belongs to one wave: the other waves' columns are NULL-filled by the union
-    out = long.select(F.col("QKEY").alias("human_id"), F.col("x.qkey").alias("qkey"), F.col("x.code").alias("code"))
-    waves_of = wide.select(F.col("QKEY").alias("human_id"), "wave")
-    return (out.join(waves_of, "human_id")
-               .where(F.substring_index("qkey", "_W", -1).cast("int") == F.col("wave"))
-               .select("human_id", "qkey", "code"))
+    long = wide.select("QKEY", "wave", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("qkey"), F.lit(int(c.rsplit("_W", 1)[1])).alias("of"), F.col(c).alias("code")) for c in qcols])).alias("x"))
+    return long.where(F.col("x.of") == F.col("wave")).select(F.col("QKEY").alias("human_id"), "x.qkey", "x.code")
 
 
 @query("scan_stata", with_views("responses") + """
@@ -90,9 +83,8 @@ def q_scan_csv_enc(spark, sf_dir):
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = pdf["enc"].iloc[0]
-        os.makedirs(root, exist_ok=True)
-        path = os.path.join(root, f"region_{enc}.csv")
-        pdf.drop(columns=["enc"]).to_csv(path, index=False, encoding=enc)
+        path = f"{root}/region_{enc}.csv"
+        IO.write_file(path, pdf.drop(columns=["enc"]).to_csv(index=False).encode(enc))
         return pd.DataFrame({"enc": [enc], "path": [path]})
 
     reg.select("*", encs).groupBy("enc").applyInPandas(write, "enc string, path string").collect()
@@ -105,7 +97,7 @@ def q_csv_dropna(spark, sf_dir):
     path = IO.scratch(spark, "csv-dropna")
     V.respondents(spark, sf_dir).select("human_id", "wave", "weight", "segment") \
         .write.mode("overwrite").option("header", True).csv(path)
-    d = IO.read_csv_dropna(spark, path)
+    d = IO.read_csv_dropna(spark, path, "human_id long, wave int, weight double, segment string")
     return d.select(F.col("human_id").cast("bigint"), F.col("wave").cast("int"), F.col("weight").cast("double"),
                     "segment")
 
@@ -268,7 +260,7 @@ def q_scan_eval(spark, sf_dir):
     path = IO.scratch(spark, "eval-csv")
     eval_rows(spark, sf_dir, 0.5).select("row_idx", "kl", "wd", F.col("loss").alias("loss_used")) \
         .write.mode("overwrite").option("header", True).csv(path)
-    e = IO.read_eval_csv(spark, path)
+    e = IO.read_eval_csv(spark, path, schema="row_idx long, kl double, wd double, loss_used double")
     return e.select(F.col("row_idx").cast("bigint"), *[F.round(c, 9).alias(c) for c in ("kl", "wd", "loss_used")])
 
 

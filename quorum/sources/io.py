@@ -3,7 +3,8 @@
 Paths are Hadoop paths; existence checks go through the Hadoop FileSystem
 of the session, so the same code runs on local disk, HDFS or object
 stores.  Python runs only where a format has no Spark reader (Stata,
-encoding sniffing), inside ``mapInPandas`` tasks — one file per task.
+encoding sniffing), inside ``mapInPandas`` tasks that open files through
+``pyarrow.fs`` and read them in blocks.
 """
 
 from __future__ import annotations
@@ -40,6 +41,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def store(uri: str):
+    """The ``pyarrow.fs`` file system of a path or URI, and the path in it:
+    how tasks reach files in shared storage."""
+    import pyarrow.fs
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, content: bytes) -> None:
+    """Write a small file from a task, with its folder."""
+    fs, path = store(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(content)
+
+
+def _listing(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path) of the files; their content is not read."""
+    paths = spark.read.format("binaryFile").load(pattern).select("path")
+    return paths.repartition(max(1, paths.count()))  # a file per task
+
+
 def publish_path(spark: SparkSession, path: str) -> str:
     """The path itself, or ``<stem>_<yyyyMMddHHmmss><ext>`` when it exists."""
     if not path_exists(spark, path):
@@ -51,12 +75,15 @@ def publish_path(spark: SparkSession, path: str) -> str:
 
 # ------------------------------------------------------------------ S1: wave files
 
-def write_waves(wide: DataFrame, root: str) -> None:
-    """One folder per wave (``wave=<n>``), columns may differ between waves."""
-    for w in sorted(r[0] for r in wide.select("wave").distinct().collect()):  # wave ids: metadata
-        part = wide.where(F.col("wave") == w)
-        keep = [c for c in part.columns if c == "QKEY" or c.endswith(f"_W{w}")]
-        part.select(*keep).write.mode("overwrite").parquet(os.path.join(root, f"wave={w}"))
+def write_waves(wide: DataFrame, root: str) -> list[int]:
+    """One folder per wave (``wave=<n>``), in one write; returns the waves.
+
+    Files hold the plain column names; ``scan_waves`` gives every column but
+    QKEY the suffix ``_W<n>`` of its wave."""
+    wide.write.mode("overwrite").partitionBy("wave").parquet(root)
+    fs, p = _fs(wide.sparkSession, root)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]  # one folder per wave: metadata
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("wave="))
 
 
 def scan_waves(spark: SparkSession, root: str, waves: Sequence[int]) -> DataFrame:
@@ -67,7 +94,9 @@ def scan_waves(spark: SparkSession, root: str, waves: Sequence[int]) -> DataFram
         p = os.path.join(root, f"wave={w}")
         if not path_exists(spark, p):
             raise FileNotFoundError(p)
-        frames.append(spark.read.parquet(p).withColumn("wave", F.lit(int(w))))
+        part = spark.read.parquet(p)
+        frames.append(part.select(*[F.col(c).alias(c if c == "QKEY" or c.endswith(f"_W{w}") else f"{c}_W{w}") for c in part.columns],
+                                  F.lit(int(w)).alias("wave")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -89,15 +118,15 @@ def write_stata(df: DataFrame, root: str, by: str, value_labels: dict | None = N
         for pdf in batches:
             out = []
             for key, part in pdf.groupby(by, sort=False):
-                folder = os.path.join(root, f"{by}={key}")
-                os.makedirs(folder, exist_ok=True)
-                path = os.path.join(folder, f"part-{_uuid.uuid4().hex[:12]}.dta")
+                path = f"{root}/{by}={key}/part-{_uuid.uuid4().hex[:12]}.dta"
+                made = _io.BytesIO()
                 data = part.drop(columns=[by]).reset_index(drop=True)
                 labels = {c: {int(k): v for k, v in m.items()} for c, m in vl.items() if c in data.columns}
                 for c in labels:
                     data[c] = data[c].astype("float64")
-                data.to_stata(path, write_index=False, value_labels=labels or None,
+                data.to_stata(made, write_index=False, value_labels=labels or None,
                               variable_labels={c: v for c, v in varl.items() if c in data.columns} or None)
+                write_file(path, made.getvalue())
                 out.append((key, path))
             yield pd.DataFrame(out, columns=[by, "path"])
 
@@ -106,33 +135,35 @@ def write_stata(df: DataFrame, root: str, by: str, value_labels: dict | None = N
 
 
 def scan_stata(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Distributed Stata read — one task per file (``binaryFile``),
-    pandas' StataReader inside the task; NaN answers become NULL."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    """Distributed Stata read — one task per file, pandas' StataReader in
+    the task, ``STATA_ROWS`` rows at a time; NaN answers become NULL."""
     out_schema = T._parse_datatype_string(schema)
 
     def read(batches):
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                with pd.io.stata.StataReader(_io.BytesIO(content)) as r:
-                    pdf = r.read(convert_categoricals=False)
-                pdf = pdf.astype(object).where(pdf.notna(), None)
-                pdf["source_file"] = path
-                yield pdf[[f.name for f in out_schema.fields]]
+            for path in b["path"]:
+                fs, inner = store(path)
+                with fs.open_input_file(inner) as f, pd.io.stata.StataReader(
+                        f, convert_categoricals=False, chunksize=STATA_ROWS) as r:
+                    for pdf in r:
+                        pdf = pdf.astype(object).where(pdf.notna(), None)
+                        pdf["source_file"] = path
+                        yield pdf[[x.name for x in out_schema.fields]]
 
-    return files.mapInPandas(read, out_schema)
+    return _listing(spark, pattern).mapInPandas(read, out_schema)
 
 
 def scan_codebook(spark: SparkSession, pattern: str) -> DataFrame:
     """S3: value labels ``(var, pos, code, label)`` and variable labels of
-    Stata files, without reading the rows' data into Spark."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    Stata files.  Of the rows only the first is read, which lets the reader
+    find the labels behind the data section."""
 
     def read(batches):
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                with pd.io.stata.StataReader(_io.BytesIO(content)) as r:
-                    r.read(convert_categoricals=False)  # labels are parsed after the data section
+            for path in b["path"]:
+                fs, inner = store(path)
+                with fs.open_input_file(inner) as f, pd.io.stata.StataReader(f) as r:
+                    r.read(nrows=1, convert_categoricals=False)
                     value_labels = r.value_labels()
                     names = getattr(r, "_varlist", None) or list(r.variable_labels())
                     sets = getattr(r, "_lbllist", None) or names  # pandas names a label set after its column
@@ -144,39 +175,48 @@ def scan_codebook(spark: SparkSession, pattern: str) -> DataFrame:
                         rows.append((path, var, pos, float(code), str(label), var_labels.get(var, "")))
                 yield pd.DataFrame(rows, columns=["source_file", "var", "pos", "code", "label", "var_label"])
 
-    return files.mapInPandas(read, "source_file string, var string, pos int, code double, label string, "
+    return _listing(spark, pattern).mapInPandas(read, "source_file string, var string, pos int, code double, label string, "
                                    "var_label string")
 
 
 # ------------------------------------------------------------------ S4: encodings
 
+STATA_ROWS = 50_000   # rows of a Stata file held at a time
+SNIFF_BYTES = 1 << 20
+
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "cp936")
 
 
 def detect_encodings(spark: SparkSession, pattern: str) -> DataFrame:
     """Per file the first encoding in utf-8 → utf-8-sig → gbk → cp936
-    that decodes it strictly (a BOM picks utf-8-sig)."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    that decodes it strictly (a BOM picks utf-8-sig).  All encodings are
+    tried in one pass over the file, in blocks."""
 
     def sniff(batches):
+        import codecs
         for b in batches:
             out = []
-            for content in b["content"]:
-                enc = None
-                for e in ENCODINGS:
-                    if e == "utf-8" and content.startswith(b"\xef\xbb\xbf"):
-                        continue
-                    try:
-                        content.decode(e)
-                        enc = e
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                out.append(enc)
+            for path in b["path"]:
+                fs, inner = store(path)
+                left = {e: codecs.getincrementaldecoder(e)() for e in ENCODINGS}
+                with fs.open_input_stream(inner) as f:
+                    first = block = f.read(SNIFF_BYTES)
+                    while left:
+                        for e in list(left):
+                            try:
+                                left[e].decode(block, final=not block)
+                            except UnicodeDecodeError:
+                                del left[e]
+                        if not block:
+                            break
+                        block = f.read(SNIFF_BYTES)
+                if first.startswith(codecs.BOM_UTF8):
+                    left.pop("utf-8", None)
+                out.append(next((e for e in ENCODINGS if e in left), None))
             yield pd.DataFrame({"path": b["path"], "encoding": out})
 
-    return files.mapInPandas(sniff, "path string, encoding string")
+    return _listing(spark, pattern).mapInPandas(sniff, "path string, encoding string")
 
 
 def read_csv_auto(spark: SparkSession, pattern: str, **options) -> DataFrame:
@@ -205,9 +245,15 @@ def read_csv_auto(spark: SparkSession, pattern: str, **options) -> DataFrame:
 
 # ------------------------------------------------------------------ S5, S10, S13
 
-def read_csv_dropna(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header and inferred types, rows with any NULL dropped."""
-    return spark.read.csv(path, header=True, inferSchema=True).na.drop("any")
+def read_csv_dropna(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with header, rows with any NULL dropped and a dense ``row_idx``
+    in file order given to the rest.  A ``schema`` saves the pass that infers
+    the types."""
+    from quorum.operators.sequences import global_row_index
+    r = spark.read.option("header", True)
+    kept = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path).na.drop("any")
+    at = kept.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    return global_row_index(at, ["_file", "_at"]).drop("_file", "_at")
 
 
 def read_prompts_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -222,9 +268,12 @@ def write_prompts_csv(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").options(header=True, escape='"', quote='"').csv(path)
 
 
-def read_eval_csv(spark: SparkSession, path: str, required: Sequence[str] = ("kl", "wd", "loss_used")) -> DataFrame:
-    """Metric CSV; error when a required column is missing."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
+def read_eval_csv(spark: SparkSession, path: str, required: Sequence[str] = ("kl", "wd", "loss_used"),
+                  schema: str | None = None) -> DataFrame:
+    """Metric CSV; error when a required column is missing.  A ``schema``
+    saves the pass that infers the types."""
+    r = spark.read.option("header", True)
+    df = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
     missing = set(required) - set(df.columns)
     if missing:
         raise ValueError(f"missing columns {sorted(missing)}")
