@@ -3,7 +3,7 @@
 
 Global-order operators never use a one-partition window over the data.
 They use *blocks*: ``repartitionByRange`` cuts the data into ordered blocks
-of bounded size, a tiny per-block table (one row per block) gives each
+(as many as shuffle partitions), a tiny per-block table (one row per block) gives each
 block its offset, and positions inside a block come from a window
 partitioned by block.  The block table is checkpointed into the shared
 checkpoint folder so a lost executor recomputes the same blocks.
@@ -11,7 +11,6 @@ checkpoint folder so a lost executor recomputes the same blocks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -23,16 +22,14 @@ from quorum.functions import rng
 from quorum.operators.joins import bounded_broadcast
 from quorum.session import checkpoint_dir
 
-ROWS_PER_BLOCK = 1_000_000
 IGNORE_INDEX = -100
 
 
 def _blocks(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # count, range sampling and the write share one scan
-    n = max(parts, math.ceil(src.count() / ROWS_PER_BLOCK))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # range sampling and the write share one scan of the keys
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blk = (src.repartitionByRange(n, *partition_cols, *order_cols)
               .withColumn("_blk", F.spark_partition_id()))
     out = blk.checkpoint()  # fixes block membership (reliable, shared folder)
@@ -63,7 +60,13 @@ def _join_back(df: DataFrame, narrow: DataFrame, keys: Sequence[str], new_cols:
 
 def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                      name: str = "row_idx") -> DataFrame:
-    """Dense 0-based index by ``order_cols`` (within ``partition_cols``).
+    """Dense 0-based index by ``order_cols`` (within ``partition_cols``)."""
+    return counted_row_index(df, order_cols, partition_cols, name)[0]
+
+
+def counted_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
+                      name: str = "row_idx") -> tuple[DataFrame, int]:
+    """W7 with the number of rows, which the blocks know already.
 
     ``order_cols`` must give a total order (add a unique tie-breaker).  The
     index is computed on the key columns only (blocks, offsets) and joined
@@ -77,16 +80,23 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: S
     inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols)
     idx = (_with_offsets(blk, offs, pc)
               .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint")))
-    return _join_back(df, idx, keys, [name])
+    return _join_back(df, idx, keys, [name]), blk.count()
 
 
 def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                   name: str = "offset", how: str = "sum") -> DataFrame:
+    """Exclusive running ``sum`` or ``min``, see ``totalled_prefix``."""
+    return totalled_prefix(df, value, order_cols, partition_cols, name, how)[0]
+
+
+def totalled_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
+                    name: str = "offset", how: str = "sum") -> tuple[DataFrame, float | None]:
     """Exclusive running ``sum`` or ``min`` of ``value`` in ``order_cols``
     order (within ``partition_cols``), by blocks: a hot partition key is cut
     into several range blocks, each block's total is combined on a
     one-row-per-block table, then added inside the block.  Computed on the
-    key and value columns only, then joined back to the full rows."""
+    key and value columns only, then joined back to the full rows.  Also
+    returns the total over all rows, which the blocks know already."""
     agg = {"sum": F.sum, "min": F.min}[how]
     pc = list(partition_cols)
     keys = [*pc, *order_cols]
@@ -101,7 +111,7 @@ def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partitio
     else:  # min of the earlier blocks and the earlier rows of this block; NULL when nothing precedes
         combined = F.least(F.col("_off"), within)
     idx = _with_offsets(blk, offs, pc).withColumn(name, combined)
-    return _join_back(df, idx, keys, [name])
+    return _join_back(df, idx, keys, [name]), sizes.agg(agg("_s")).first()[0]
 
 
 def global_prefix_sum(df: DataFrame, value: str, order_cols: Sequence[str], name: str = "offset") -> DataFrame:
@@ -114,12 +124,11 @@ def length_batches(df: DataFrame, length: str, key: str, batch_size: int, drop_l
     """Stable sort by (length, key), cut into batches of ``batch_size``
     (last partial batch dropped when ``drop_last``), batch order shuffled by
     md5(seed:batch).  Adds ``rank``, ``batch``, ``batch_pos``."""
-    r = global_row_index(df, [length, key], name="rank")
+    r, total = counted_row_index(df, [length, key], name="rank")
     r = r.withColumn("batch", F.floor(F.col("rank") / batch_size).cast("bigint"))
-    if drop_last:  # one scalar through the driver, not data
-        total = r.count()
-        r = r.where(F.col("rank") < (total // batch_size) * batch_size)
-    batches = r.select("batch").distinct()
+    n_batches = total // batch_size if drop_last else -(-total // batch_size)
+    r = r.where(F.col("rank") < n_batches * batch_size)
+    batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch")  # the input is not read again for them
     if shuffle:
         order = batches.withColumn("_h", rng.hash_order(seed, F.col("batch")))
         pos = global_row_index(order, ["_h", "batch"], name="batch_pos").drop("_h")
@@ -128,9 +137,10 @@ def length_batches(df: DataFrame, length: str, key: str, batch_size: int, drop_l
     return r.join(pos, "batch")
 
 
-def batch_stripes(batched: DataFrame, num_replicas: int) -> DataFrame:
-    """Replica r takes batch positions r, r+n, … below floor(B/n)*n."""
-    nb = batched.select("batch").distinct().count()  # a scalar
+def batch_stripes(batched: DataFrame, num_replicas: int, n_batches: int | None = None) -> DataFrame:
+    """Replica r takes batch positions r, r+n, … below floor(B/n)*n.
+    ``n_batches`` saves the pass over ``batched`` that finds it."""
+    nb = (batched.agg(F.max("batch_pos")).first()[0] or 0) + 1 if n_batches is None else n_batches
     return (batched.where(F.col("batch_pos") < (nb // num_replicas) * num_replicas)
                    .withColumn("replica", F.pmod(F.col("batch_pos"), F.lit(num_replicas)).cast("int")))
 
@@ -141,8 +151,8 @@ def pack_sequences(df: DataFrame, tokens: str, order_cols: Sequence[str], chunk_
     ceil(T/C) - 1 chunks.  Each row ships only the slices that fall in
     each chunk (no per-token shuffle); a chunk is bounded by C tokens."""
     r = df.select(*order_cols, tokens).withColumn("_len", F.size(tokens))
-    r = global_prefix_sum(r, "_len", order_cols, name="_start")
-    total = r.agg(F.sum("_len")).first()[0] or 0  # a scalar
+    r, total = totalled_prefix(r, "_len", order_cols, name="_start")
+    r, total = r.withColumn("_start", F.col("_start").cast("bigint")), total or 0
     C = chunk_size
     r = r.withColumn("_T", F.lit(total)).where(F.col("_len") > 0)
     first = F.floor(F.col("_start") / C)

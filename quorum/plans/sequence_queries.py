@@ -41,9 +41,9 @@ bp AS (SELECT batch, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(batch AS
 SELECT b.doc_id, bp.batch_pos, CAST(bp.batch_pos % {REPLICAS} AS INTEGER) AS replica
 FROM b JOIN bp ON bp.batch = b.batch WHERE bp.batch_pos < (bp.nb // {REPLICAS}) * {REPLICAS}""")
 def q_batch_stripes(spark, sf_dir):
-    b = S.length_batches(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", "doc_id", BATCH,
-                         drop_last=False, seed=SEED)
-    return S.batch_stripes(b, REPLICAS).select("doc_id", "batch_pos", "replica")
+    d = _docs(spark, sf_dir).select("doc_id", "n_chars")
+    b = S.length_batches(d, "n_chars", "doc_id", BATCH, drop_last=False, seed=SEED)
+    return S.batch_stripes(b, REPLICAS, -(-d.count() // BATCH)).select("doc_id", "batch_pos", "replica")
 
 
 def _tokens(col="text"):
@@ -68,8 +68,7 @@ def q_pack_sequences(spark, sf_dir):
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, count(*) OVER () AS n FROM documents)
 SELECT doc_id, row_idx, CASE WHEN row_idx < n // 20 THEN 'eval' ELSE 'train' END AS split FROM r""")
 def q_head_split(spark, sf_dir):
-    d = S.global_row_index(_docs(spark, sf_dir).select("doc_id"), ["doc_id"])
-    n = d.count()  # a scalar
+    d, n = S.counted_row_index(_docs(spark, sf_dir).select("doc_id"), ["doc_id"])
     return d.select("doc_id", "row_idx",
                     F.when(F.col("row_idx") < n // 20, "eval").otherwise("train").alias("split"))
 
