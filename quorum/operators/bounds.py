@@ -7,6 +7,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorum.functions import rng
+from quorum.functions.metrics import emd
 
 
 def _emd_np(p1: np.ndarray, p2: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -19,12 +23,12 @@ def _emd_np(p1: np.ndarray, p2: np.ndarray, o: np.ndarray) -> np.ndarray:
         o, p1, p2 = o[keep], p1[:, keep], p2[:, keep]
     s1, s2 = p1.sum(axis=1, keepdims=True), p2.sum(axis=1, keepdims=True)
     ok = (np.abs(s1[:, 0]) > 1e-8) & (np.abs(s2[:, 0]) > 1e-8)
-    rng = o[-1] - o[0] if len(o) else 0.0
-    if rng == 0:
+    span = o[-1] - o[0] if len(o) else 0.0
+    if span == 0:
         return np.full(p1.shape[0], np.nan)
     c1 = np.cumsum(p1 / np.where(s1 == 0, 1, s1), axis=1)
     c2 = np.cumsum(p2 / np.where(s2 == 0, 1, s2), axis=1)
-    w = (np.abs(c1[:, :-1] - c2[:, :-1]) * np.diff(o)).sum(axis=1) / rng
+    w = (np.abs(c1[:, :-1] - c2[:, :-1]) * np.diff(o)).sum(axis=1) / span
     return np.where(ok, w, np.nan)
 
 
@@ -32,6 +36,28 @@ def _seed(seed: int, key) -> int:
     return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16)
 
 
+def wd_lower_draws(df: DataFrame, n_per_side: int, n_bootstrap: int, seed: int = 42, key: str = "row_idx",
+                   gold: str = "gold", ordinal: str = "ordinal") -> DataFrame:
+    """The bound from hash-uniform draws (u of md5 seed:key:repeat:side:draw),
+    as column expressions: for small n and B, where every draw can be written
+    out.  A draw is the first option whose share of the distribution function
+    is above u.  Undefined repeats are left out of the mean."""
+    whole = F.aggregate(gold, F.lit(0.0), lambda a, x: a + x)
+    upto = F.transform(F.sequence(F.lit(1), F.size(gold)), lambda k: F.aggregate(
+        F.slice(gold, 1, k), F.lit(0.0), lambda a, x: a + x))
+    rows = df.select(key, gold, ordinal, F.transform(upto, lambda c: c / whole).alias("_cdf"),
+                     F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("_b"))
+
+    def share(side: int):
+        def option(i):
+            u = rng.hash_uniform(seed, F.col(key), F.col("_b"), side, i)
+            return F.least(F.size(F.filter("_cdf", lambda c: c <= u)), F.size(gold) - 1)
+        draws = F.transform(F.sequence(F.lit(1), F.lit(n_per_side)), option)
+        return F.transform(F.sequence(F.lit(0), F.size(gold) - 1), lambda k: F.size(F.filter(draws, lambda d: d == k)) / n_per_side)
+    drawn = rows.select(key, ordinal, share(1).alias("_p"), share(2).alias("_q"))
+    return drawn.groupBy(key).agg(F.avg(emd("_p", "_q", ordinal)).alias("wd_lower"))
+
+
 def wd_lower_bootstrap(df: DataFrame, n_per_side: int = 500, n_bootstrap: int = 500, seed: int = 42,
                        key: str = "row_idx", gold: str = "gold", ordinal: str = "ordinal") -> DataFrame:
     """Mean EMD between two Multinomial(n, gold) draws over ``n_bootstrap``
@@ -48,9 +74,9 @@ def wd_lower_bootstrap(df: DataFrame, n_per_side: int = 500, n_bootstrap: int =
                 if not tot > 0:
                     out.append(np.nan)
                     continue
-                rng = np.random.default_rng(_seed(seed, k))
-                c1 = rng.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
-                c2 = rng.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
+                draw = np.random.default_rng(_seed(seed, k))
+                c1 = draw.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
+                c2 = draw.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
                 w = _emd_np(c1, c2, np.asarray(o, dtype=float))
                 w = w[~np.isnan(w)]
                 out.append(float(w.mean()) if len(w) else np.nan)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +62,35 @@ def eval_batch_mean(rows: DataFrame, batch_size: int, index: str = "row_idx") ->
                    F.avg("kl_b").alias("mean_kl"), F.avg("wd_b").alias("mean_wd"))
 
 
+def epoch_means(rows: DataFrame, keys: Sequence[str] = ("run", "epoch")) -> DataFrame:
+    """Per run and epoch the mean loss and its perplexity, and, where the
+    rows have them, the mean KL and the mean WD over rows with a WD above zero
+    (NULL when there is none)."""
+    aggs = [F.count(F.lit(1)).alias("steps"), F.avg("loss").alias("loss"), F.exp(F.avg("loss")).alias("perplexity")]
+    if "kl" in rows.columns:
+        aggs.append(F.avg("kl").alias("kl"))
+    if "wd" in rows.columns:
+        aggs.append(F.avg(F.when(F.col("wd") != 0, F.col("wd"))).alias("wd"))
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def run_averages(epochs: DataFrame, run: str = "run") -> DataFrame:
+    """Per run the plain averages over its epochs, and the best loss."""
+    values = [c for c in ("loss", "perplexity", "kl", "wd") if c in epochs.columns]
+    return epochs.groupBy(run).agg(F.count(F.lit(1)).alias("epochs"), *[F.avg(c).alias(f"avg_{c}") for c in values],
+                                   F.min("loss").alias("best_loss"))
+
+
+def bounds_summary(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Mean, median and number of each bound (``columns``: column ->
+    name in the result), rows without a value left out."""
+    aggs = []
+    for c, name in columns.items():
+        x = F.when(~F.isnan(c), F.col(c))
+        aggs += [F.avg(x).alias(f"mean_{name}"), F.median(x).alias(f"median_{name}"), F.count(x).alias(f"n_{name}")]
+    return rows.agg(*aggs)
+
+
 def run_matrix(metrics: DataFrame) -> DataFrame:
     """Per (model, prompt) the baseline / fine-tuned means of KL and WD
     and ``ft - baseline`` (one pivot, no self-join)."""

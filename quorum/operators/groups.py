@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,11 +86,15 @@ def convert_traits(traits: DataFrame, codebook: DataFrame) -> DataFrame:
     return pre.unionByName(lst)
 
 
-def recode_group(attribute, group, mapping: Mapping[tuple[str, str], str] | None = None) -> Column:
+def recode_group(attribute, group, mapping: Mapping[tuple[str, str], str] | Callable[[Column, Column], Column] | None = None
+                 ) -> Column:
     """User recode of (attribute, group) -> group label; identity when
-    no rule matches.  ``mapping`` is small metadata, compiled into CASE."""
+    no rule matches.  ``mapping`` is small metadata, compiled into CASE, or a
+    function from the two columns to the new one."""
     a, g = (F.col(attribute) if isinstance(attribute, str) else attribute,
             F.col(group) if isinstance(group, str) else group)
+    if callable(mapping):
+        return F.coalesce(mapping(a, g), g)
     out = None
     for (ma, mg), new in (mapping or {}).items():
         cond = (a == ma) & (g == mg)
@@ -98,6 +102,21 @@ def recode_group(attribute, group, mapping: Mapping[tuple[str, str], str] | None
     return g if out is None else out.otherwise(g)
 
 
+def recode_groups(df: DataFrame, mapping: DataFrame, name: str = "grp") -> DataFrame:
+    """X1 with the recode as a table ``(attribute, grp, recoded)``: ``name`` is
+    replaced where the table lists it.  A pair listed twice takes the smaller label."""
+    m = mapping.groupBy(F.col("attribute").alias("_ma"), F.col("grp").alias("_mg")).agg(F.min("recoded").alias("_mr"))
+    out = df.join(bounded_broadcast(m), df["attribute"].eqNullSafe(F.col("_ma")) & df[name].eqNullSafe(F.col("_mg")), "left")
+    return out.withColumn(name, F.coalesce("_mr", name)).select(*df.columns)
+
+
+def exclude_listed(df: DataFrame, listed: DataFrame, key: str = "qkey") -> DataFrame:
+    """Rows whose ``key`` is not in the list (of near-duplicate or refused
+    questions).  A NULL key is in no list and stays."""
+    keys = listed.select(F.col(key).alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    return df.join(bounded_broadcast(keys), df[key] == F.col("_x"), "left_anti")
+
+
 def groups_explode(catalogue: DataFrame) -> DataFrame:
     """``(attribute, group)`` with ``group`` a list literal -> one row per group."""
     arr = parse_literal("group", "string")  # either quote character, so an apostrophe inside a label stays

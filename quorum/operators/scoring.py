@@ -41,17 +41,19 @@ def hash_predictor() -> Callable[[list[str], int], list[dict[str, float]]]:
 def batch_score(df: DataFrame, prompt: str, n_options: str,
                 predictor_factory: Callable[[], Callable] = hash_predictor) -> DataFrame:
     """Add ``logprobs MAP<STRING,DOUBLE>`` per prompt.  The predictor is
-    built once per task (``predictor_factory``) and called per Arrow batch."""
+    built once per task (``predictor_factory``) and called once per Arrow batch
+    and number of options."""
     out_schema = T.StructType(df.schema.fields + [T.StructField("logprobs", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = predictor_factory()
         for pdf in batches:
-            res = []
-            for p, k in zip(pdf[prompt], pdf[n_options]):
-                res.append(predict([p], int(k))[0])
+            res = pd.Series([None] * len(pdf), dtype=object)
+            for k, part in pdf.reset_index(drop=True).groupby(n_options):
+                for at, found in zip(part.index, predict(part[prompt].tolist(), int(k))):
+                    res.at[at] = found
             pdf = pdf.copy()
-            pdf["logprobs"] = res
+            pdf["logprobs"] = res.to_numpy()
             yield pdf
 
     return df.mapInPandas(run, out_schema)
@@ -60,20 +62,22 @@ def batch_score(df: DataFrame, prompt: str, n_options: str,
 # ------------------------------------------------------------------ X5
 
 def refine_batch(df: DataFrame, key: str, text: str, refine: Callable[[str], str],
-                 max_retries: int = 5, base_delay: float = 0.05, no_retry_on: tuple = ()) -> DataFrame:
+                 max_retries: int = 5, base_delay: float = 0.05, no_retry_on: tuple = (),
+                 deadline: float = 60.0) -> DataFrame:
     """Apply a user refiner per row with exponential back-off and
     jitter; a row that still fails gets its error text instead of killing
-    the job (per-row error isolation, X7)."""
+    the job (per-row error isolation, X7).  No retry of a row begins after
+    ``deadline`` seconds."""
 
     def call(x: str):
-        delay = base_delay
+        delay, began = base_delay, time.monotonic()
         for attempt in range(max_retries + 1):
             try:
                 return refine(x), None
             except no_retry_on as e:  # noqa: PERF203
                 return None, f"{type(e).__name__}: {e}"
             except Exception as e:  # noqa: BLE001
-                if attempt == max_retries:
+                if attempt == max_retries or time.monotonic() - began + delay > deadline:
                     return None, f"{type(e).__name__}: {e}"
                 time.sleep(delay * (1 + random.random()))
                 delay *= 2

@@ -11,7 +11,7 @@ checkpoint folder so a lost executor recomputes the same blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -179,24 +179,53 @@ def left_pad(batched: DataFrame, ids: str, target: str, pad_id: int = 0) -> Data
     w = Window.partitionBy("batch")
     pad = F.max(F.size(ids)).over(w) - F.size(ids)
     return (batched.withColumn("pad_len", pad.cast("int"))
-                   .withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad_id), F.col("pad_len")), F.col(ids)))
+                   .withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad_id).cast("bigint"), F.col("pad_len")), F.col(ids)))
                    .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(0), F.col("pad_len")),
                                                           F.array_repeat(F.lit(1), F.size(ids))))
                    .withColumn("target_token_position", F.col(target) + F.col("pad_len")))
 
 
-def whitespace_ids(text: Column | str, vocab: int = 50_000) -> Column:
+def whitespace_ids(text: Column | str) -> Column:
     """X6 default tokeniser: whitespace split, empty pieces dropped, token id
-    = pmod(xxhash64(token), vocab).  A real tokeniser plugs in as a pandas
-    UDF returning ``ARRAY<INT>``."""
+    = the first 60 bits of md5(token), so that tokens do not share ids."""
     t = F.col(text) if isinstance(text, str) else text
     toks = F.array_remove(F.split(t, r"\s+"), "")
-    return F.transform(toks, lambda x: F.pmod(F.xxhash64(x), F.lit(vocab)).cast("int"))
+    return F.transform(toks, lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("bigint"))
+
+
+def token_ids(text: Column | str, tokenizer: Callable[[Column | str], Column] | None = None,
+              bos: int | None = None, eos: int | None = None) -> Column:
+    """Ids of a text by ``tokenizer`` (a function from a column to an
+    array of ids: column expressions or a pandas UDF), with optional first and
+    last ids."""
+    ids = (tokenizer or whitespace_ids)(text)
+    ends = [F.array(F.lit(x).cast("bigint")) if x is not None else None for x in (bos, eos)]
+    parts = [p for p in (ends[0], ids, ends[1]) if p is not None]
+    return F.concat(*parts) if len(parts) > 1 else ids
+
+
+def sql_token_ids(expr: str) -> str:
+    """DuckDB form of the default ``token_ids``."""
+    return (f"list_transform(list_filter(string_split_regex({expr}, '\\s+'), lambda x: x <> ''), "
+            "lambda x: cast(('0x' || substr(md5(x), 1, 15)) as bigint))")
+
+
+def target_record(prompt: Column | str, dist: str, ordinal: str,
+                  tokenizer: Callable[[Column | str], Column] | None = None, bos: int | None = None,
+                  eos: int | None = None) -> list[Column]:
+    """input_ids, attention_mask, target_token_position, padded
+    response_distribution and ordinal_info."""
+    from quorum.functions.metrics import pad_target
+    ids = token_ids(prompt, tokenizer, bos, eos)
+    d, o = pad_target(dist, ordinal)
+    return [ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"),
+            F.size(ids).cast("bigint").alias("target_token_position"), d.alias("response_distribution"),
+            o.alias("ordinal_info")]
 
 
 def label_mask(prompt_ids: Column, answer_ids: Column) -> tuple[Column, Column, Column]:
     """input = prompt + answer, labels = [-100]*len(prompt) + answer,
     mask of ones.  Returns (input_ids, labels, attention_mask)."""
     ids = F.concat(prompt_ids, answer_ids)
-    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.size(prompt_ids)), answer_ids)
+    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX).cast("bigint"), F.size(prompt_ids)), answer_ids)
     return ids, labels, F.array_repeat(F.lit(1), F.size(ids))

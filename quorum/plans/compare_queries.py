@@ -10,7 +10,7 @@ from quorum.functions import metrics as M
 from quorum.operators import compare as CP
 from quorum.operators import distribution as D
 from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, cgss_distribution, emd_vs_overall, r9
-from quorum.plans.metrics_queries import scored
+from quorum.plans.metrics_queries import register_bounds, scored
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
 from quorum.sources.driver import table
@@ -50,6 +50,8 @@ def _emd_ctes(src: str, qcol: str, pre: str) -> str:
             FROM {pre}_c GROUP BY row_idx)"""
 
 
+register_bounds()
+
 _EVAL_CTES = f"""
 ev AS (SELECT row_idx, j, o, p, q AS qb, {FT_WEIGHT} * p + {1 - FT_WEIGHT} * q AS qf FROM lg_long),
 klt AS (SELECT row_idx, sum(p * (ln(p + 1e-8) - ln(qb + 1e-8))) AS kl_b,
@@ -181,6 +183,14 @@ def q_dedupe_first(spark, sf_dir):
     return f.select("qkey", "attribute", "grp", F.col("opt_idx").cast("bigint").alias("opt_idx"), "option")
 
 
+@query("dedupe_last", """
+SELECT user_id, event_type, event_id, round(value, 9) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_dedupe_last(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return CP.dedupe_last(ev, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", r9("value").alias("value"))
+
+
 # ---- J10
 @query("run_grid", """
 WITH i AS (SELECT DISTINCT 'prompts_' || lang AS input FROM documents),
@@ -257,8 +267,19 @@ SELECT run, epoch, round(avg(loss), 9) AS loss, round(exp(avg(loss)), 9) AS perp
 FROM s GROUP BY run, epoch""")
 def q_epoch_metrics(spark, sf_dir):
     s = metric_events(spark, sf_dir)
-    e = s.groupBy("run", "epoch").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("steps"))
-    return e.select("run", "epoch", r9("loss").alias("loss"), r9(F.exp("loss")).alias("perplexity"), "steps")
+    e = CP.epoch_means(s)
+    return e.select("run", "epoch", r9("loss").alias("loss"), r9("perplexity").alias("perplexity"), "steps")
+
+
+@query("epoch_eval", _SERIES.replace("strftime(ts, '%Y-%m-%d') AS epoch", "strftime(ts, '%Y-%m-%d') AS epoch, event_id % 7 AS kl, event_id % 3 AS wd") + """,
+ep AS (SELECT run, epoch, avg(loss) AS loss, exp(avg(loss)) AS perplexity, avg(kl) AS kl, avg(CASE WHEN wd <> 0 THEN wd END) AS wd
+       FROM s GROUP BY run, epoch)
+SELECT run, count(*) AS epochs, round(avg(loss), 9) AS avg_loss, round(avg(perplexity), 9) AS avg_perplexity,
+       round(avg(kl), 9) AS avg_kl, round(avg(wd), 9) AS avg_wd, round(min(loss), 9) AS best_loss FROM ep GROUP BY run""")
+def q_epoch_eval(spark, sf_dir):
+    s = metric_events(spark, sf_dir).withColumns({"kl": (F.col("event_id") % 7).cast("double"), "wd": (F.col("event_id") % 3).cast("double")})
+    out = CP.run_averages(CP.epoch_means(s))
+    return out.select("run", "epochs", *[r9(c).alias(c) for c in out.columns[2:]])
 
 
 # ---- F34

@@ -21,7 +21,7 @@ def _b_instructions(spark, sf_dir):
     from quorum.operators.safety import instruction_prompt
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("Summarize the text from "), "source").alias("instruction"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("input"))
+        F.col("text").alias("input"))
     return d.select("doc_id", instruction_prompt("instruction", "input").alias("prompt"))
 
 

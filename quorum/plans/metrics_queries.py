@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quorum.functions import metrics as M
 from quorum.operators import distribution as D
-from quorum.operators.bounds import wd_lower_bootstrap
+from quorum.operators.bounds import wd_lower_bootstrap, wd_lower_draws
 from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, _EMD_CTES, cgss_distribution, emd_vs_overall, r9
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
@@ -179,14 +179,53 @@ def q_wd_upper(spark, sf_dir):
 
 
 # ---- A13
-@query("bounds_summary", UPPER_SQL + """
-SELECT round(avg(emd), 9) AS mean_upper, round(median(emd), 9) AS median_upper, count(*) AS n
-FROM e WHERE emd IS NOT NULL AND NOT isnan(emd)""")
-def q_bounds_summary(spark, sf_dir):
-    u = upper_bounds(spark, sf_dir).where(F.col("wd_upper_uniform").isNotNull() & ~F.isnan("wd_upper_uniform"))
-    return u.agg(r9(F.avg("wd_upper_uniform")).alias("mean_upper"),
-                 r9(F.median("wd_upper_uniform")).alias("median_upper"),
-                 F.count(F.lit(1)).alias("n"))
+def _lower_ctes() -> str:
+    from quorum.functions.rng import sql_uniform
+    from quorum.plans.compare_queries import _emd_ctes
+    key = "'42:' || CAST(c.row_idx AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(side AS VARCHAR) || ':' || CAST(i AS VARCHAR)"
+    return f"""
+lcum AS (SELECT row_idx, j, o, sum(p) OVER (PARTITION BY row_idx ORDER BY j) / sum(p) OVER (PARTITION BY row_idx) AS c,
+                count(*) OVER (PARTITION BY row_idx) AS k FROM lg_long),
+lrow AS (SELECT DISTINCT row_idx, k FROM lcum),
+ldraw AS (SELECT c.row_idx, c.k, b, side, i, {sql_uniform(key)} AS u
+          FROM lrow c, range(1, {LOWER_B + 1}) t1(b), range(1, 3) t2(side), range(1, {LOWER_N + 1}) t3(i)),
+lpick AS (SELECT d.row_idx, d.b, d.side, d.i, 1 + least(count(*) FILTER (c.c <= d.u), any_value(d.k) - 1) AS j
+          FROM ldraw d JOIN lcum c ON c.row_idx = d.row_idx GROUP BY ALL),
+lcnt AS (SELECT row_idx, b, j, count(*) FILTER (side = 1) / {LOWER_N} AS p, count(*) FILTER (side = 2) / {LOWER_N} AS q
+         FROM lpick GROUP BY ALL),
+lsrc AS (SELECT CAST(c.row_idx AS VARCHAR) || '|' || CAST(t.b AS VARCHAR) AS row_idx, c.o, coalesce(n.p, 0) AS p, coalesce(n.q, 0) AS qq
+         FROM lcum c CROSS JOIN range(1, {LOWER_B + 1}) t(b) LEFT JOIN lcnt n ON n.row_idx = c.row_idx AND n.b = t.b AND n.j = c.j),""" \
+        + _emd_ctes("lsrc", "qq", "lo") + """,
+lower_e AS (SELECT CAST(split_part(row_idx, '|', 1) AS BIGINT) AS row_idx, avg(CASE WHEN NOT isnan(emd) AND NOT isinf(emd) THEN emd END) AS wd_lower
+            FROM lo_e GROUP BY 1)"""
+
+
+LOWER_N, LOWER_B = 20, 8
+
+
+def lower_bounds(spark, sf_dir):
+    """Small form of the lower bound, by hash-uniform draws."""
+    return wd_lower_draws(scored(spark, sf_dir).select("row_idx", "gold", "ordinal"), LOWER_N, LOWER_B)
+
+
+def register_bounds():
+    """Registered from compare_queries, whose EMD text the SQL uses."""
+    both = UPPER_SQL + "," + _lower_ctes()
+
+    @query("wd_lower_draws", with_views("lg_long", ctes=_lower_ctes()) + "SELECT row_idx, round(wd_lower, 9) AS wd_lower FROM lower_e")
+    def q_wd_lower_draws(spark, sf_dir):
+        return lower_bounds(spark, sf_dir).select("row_idx", r9("wd_lower").alias("wd_lower"))
+
+    @query("bounds_summary", both + """
+SELECT round(avg(emd) FILTER (NOT isnan(emd)), 9) AS mean_upper, round(median(emd) FILTER (NOT isnan(emd)), 9) AS median_upper,
+       count(emd) FILTER (NOT isnan(emd)) AS n_upper,
+       (SELECT round(avg(wd_lower), 9) FROM lower_e) AS mean_lower, (SELECT round(median(wd_lower), 9) FROM lower_e) AS median_lower,
+       (SELECT count(wd_lower) FROM lower_e) AS n_lower FROM e""")
+    def q_bounds_summary(spark, sf_dir):
+        from quorum.operators.compare import bounds_summary
+        both = upper_bounds(spark, sf_dir).join(lower_bounds(spark, sf_dir), "row_idx", "full")
+        out = bounds_summary(both, {"wd_upper_uniform": "upper", "wd_lower": "lower"})
+        return out.select(*[r9(c).alias(c) if not c.startswith("n_") else c for c in out.columns])
 
 
 # ---- F12 (rows-only: seeded NumPy draws per row)
@@ -263,6 +302,18 @@ def q_exclude_relevant(spark, sf_dir):
     return kept_emd(spark, sf_dir).select("qkey", "attribute", "grp", r9("emd").alias("emd"))
 
 
+@query("exclude_listed", with_views(*_DIST_VIEWS, ctes=_EMD_CTES) + """,
+busy AS (SELECT qkey FROM responses GROUP BY qkey HAVING count(*) % 2 = 0)
+SELECT qkey, attribute, grp, round(CASE WHEN rng = 0 THEN NULL ELSE s / rng END, 9) AS emd FROM emdt
+WHERE qkey NOT IN (SELECT qkey FROM busy)""")
+def q_exclude_listed(spark, sf_dir):
+    """P14 with a list of questions, here those with an even number of rows."""
+    from quorum.operators.groups import exclude_listed
+    listed = V.responses(spark, sf_dir).groupBy("qkey").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
+    e = exclude_listed(emd_vs_overall(cgss_distribution(spark, sf_dir)), listed)
+    return e.select("qkey", "attribute", "grp", r9("emd").alias("emd"))
+
+
 @query("wd_by_group", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) + """
 SELECT attribute, grp, round(avg(emd), 9) AS mean_emd, count(emd) AS n FROM kept GROUP BY ROLLUP (attribute, grp)""")
 def q_wd_by_group(spark, sf_dir):

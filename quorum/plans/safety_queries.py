@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions import rng
 from quorum.operators import safety as SF
-from quorum.operators.sequences import whitespace_ids
+from quorum.operators.sequences import sql_token_ids, token_ids
 from quorum.plans.registry import query
 from quorum.sources.driver import table
 
@@ -188,7 +188,7 @@ def moderation_examples(spark, sf_dir):
                   F.lit(None).cast("string").alias("explanation"))
     f = SF.format_examples(ex, CATEGORIES, INSTRUCTIONS, shuffle=False, explanation_position=None,
                            add_dropped_nonviolated=False, seed=SEED)
-    ids = whitespace_ids("text")
+    ids = token_ids("text")
     return f.select("id", ids.alias("input_ids"), ids.alias("labels"),
                     F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))
 
@@ -205,19 +205,20 @@ fm AS (SELECT d.doc_id AS id,
                         coalesce('O' || CAST(CAST(t.code AS INTEGER) AS VARCHAR), '')
                    ELSE 'safe' END AS text
        FROM documents d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN top t ON t.doc_id = d.doc_id),
-nt AS (SELECT id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM fm)
-SELECT id, CAST(n AS INTEGER) AS n_ids, CAST(n AS INTEGER) AS n_labels FROM nt"""
+nt AS (SELECT id, """ + sql_token_ids("text") + """ AS ids FROM fm)
+SELECT id, pos, ids[pos + 1] AS token, ids[pos + 1] AS label FROM (SELECT id, ids, unnest(range(len(ids))) AS pos FROM nt)"""
 
 
 @query("moderation_examples", _moderation_sql())
 def q_moderation_examples(spark, sf_dir):
-    return moderation_examples(spark, sf_dir).select(
-        "id", F.size("input_ids").alias("n_ids"), F.size("labels").alias("n_labels"))
+    both = F.arrays_zip(F.col("input_ids").alias("token"), F.col("labels").alias("label"))
+    return (moderation_examples(spark, sf_dir).select("id", F.posexplode(both).alias("pos", "x"))
+            .select("id", F.col("pos").cast("bigint").alias("pos"), "x.token", "x.label"))
 
 
 # ---- F23 / F24 / S15
 @query("instruction_prompt", f"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0
+SELECT doc_id, CASE WHEN coalesce(text, '') = ''
   THEN replace({_sq(SF.PROMPT_NO_INPUT)}, '{{instruction}}', 'Summarize the text from ' || source)
   ELSE replace(replace({_sq(SF.PROMPT_INPUT)}, '{{instruction}}', 'Summarize the text from ' || source), '{{input}}', text)
   END AS prompt, lang AS output
@@ -225,7 +226,7 @@ FROM documents""")
 def q_instruction_prompt(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("Summarize the text from "), "source").alias("instruction"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("input"),
+        F.col("text").alias("input"),
         F.col("lang").alias("output"))
     return d.select("doc_id", SF.instruction_prompt("instruction", "input").alias("prompt"), "output")
 
@@ -238,6 +239,14 @@ def q_dialog_prompt(spark, sf_dir):
     return SF.dialog_prompt(table(spark, sf_dir, "conversations"))
 
 
-@query("scan_examples", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+@query("scan_examples", "SELECT doc_id, 'Summarize the text from ' || source AS instruction, text AS input, lang AS output FROM documents")
 def q_scan_examples(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    """Instruction records written as JSON and scanned with a schema."""
+    from quorum.sources import io as IO
+    path = IO.scratch(spark, "examples")
+    (table(spark, sf_dir, "documents")
+     .select("doc_id", F.concat(F.lit("Summarize the text from "), "source").alias("instruction"), F.col("text").alias("input"),
+             F.col("lang").alias("output")).groupBy(F.floor(F.col("doc_id") / 100).alias("file"))  # a file holds 100 records at most
+     .agg(F.to_json(F.collect_list(F.struct("doc_id", "instruction", "input", "output"))).alias("value"))
+     .select("value").write.option("maxRecordsPerFile", 1).text(path))  # a JSON array per file
+    return IO.read_json_records(spark, path, "doc_id long, instruction string, input string, output string")

@@ -74,24 +74,28 @@ def q_head_split(spark, sf_dir):
 
 
 @query("left_pad", f"""
-WITH t AS (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tok FROM documents),
-r AS (SELECT doc_id, n_tok, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // {BATCH} AS batch FROM t)
-SELECT doc_id, batch, CAST(max(n_tok) OVER (PARTITION BY batch) - n_tok AS INTEGER) AS pad_len,
-       max(n_tok) OVER (PARTITION BY batch) AS padded_len,
-       n_tok + max(n_tok) OVER (PARTITION BY batch) - n_tok AS target_token_position FROM r""")
+WITH t AS (SELECT doc_id, n_chars, {S.sql_token_ids('text')} AS ids FROM documents),
+r AS (SELECT doc_id, ids, len(ids) AS n_tok, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // {BATCH} AS batch FROM t),
+p AS (SELECT doc_id, batch, ids, n_tok, max(n_tok) OVER (PARTITION BY batch) AS padded_len FROM r),
+x AS (SELECT *, unnest(range(padded_len)) AS pos FROM p)
+SELECT doc_id, batch, CAST(padded_len - n_tok AS INTEGER) AS pad_len, padded_len AS target_token_position, pos,
+       CASE WHEN pos < padded_len - n_tok THEN 0 ELSE ids[pos - (padded_len - n_tok) + 1] END AS id,
+       CASE WHEN pos < padded_len - n_tok THEN 0 ELSE 1 END AS mask FROM x""")
 def q_left_pad(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "n_chars", S.whitespace_ids("text").alias("ids"))
     d = d.withColumn("target", F.size("ids"))
     b = S.length_batches(d, "n_chars", "doc_id", BATCH, drop_last=False, shuffle=False)
     p = S.left_pad(b, "ids", "target")
-    return p.select("doc_id", "batch", "pad_len", F.size("input_ids").alias("padded_len"),
-                    F.col("target_token_position").cast("bigint").alias("target_token_position"))
+    both = F.arrays_zip(F.col("input_ids").alias("id"), F.col("attention_mask").alias("mask"))
+    return p.select("doc_id", "batch", "pad_len", F.col("target_token_position").cast("bigint").alias("target_token_position"),
+                    F.posexplode(both).alias("pos", "x")).select(
+        "doc_id", "batch", "pad_len", "target_token_position", F.col("pos").cast("bigint").alias("pos"), "x.id", "x.mask")
 
 
-# ---- F21 / F22 on the QA prompt table
-def _qa_prompts(spark, sf_dir):
+# ---- F21 / F22 on the prompt table, all steering types
+def _prompts(spark, sf_dir):
     from quorum.plans.prompt_queries import prompt_table
-    return prompt_table(spark, sf_dir, n_tokens=0).where(F.col("steering_type") == "qa")
+    return prompt_table(spark, sf_dir, n_tokens=0)
 
 
 def _prompt_sql(select: str) -> str:
@@ -99,40 +103,41 @@ def _prompt_sql(select: str) -> str:
     from quorum.plans.oracle_views import with_views
     from quorum.plans.prompt_queries import _PROMPT_CTES
     return with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES + """
-qa AS (SELECT qkey, attribute, grp, input_prompt,
-              len(list_filter(string_split_regex(input_prompt, '\\s+'), lambda x: x <> '')) AS n_p FROM pr
-       WHERE steering_type = 'qa'),""") + select
+qa AS (SELECT qkey, attribute, grp, steering_type, input_prompt,
+              """ + S.sql_token_ids("input_prompt") + """ AS ids FROM pr),""") + select
 
 
-@query("label_mask", _prompt_sql("""
-SELECT qkey, attribute, grp, n_p + 2 AS n_ids, n_p AS n_masked, n_p + 2 AS n_mask_ones FROM qa"""))
+_ANSWER = "A </s>"
+
+
+@query("label_mask", _prompt_sql(f"""
+SELECT qkey, attribute, grp, steering_type, pos, both_ids[pos + 1] AS id,
+       CASE WHEN pos < n_p THEN {S.IGNORE_INDEX} ELSE both_ids[pos + 1] END AS label, 1 AS mask
+FROM (SELECT *, unnest(range(len(both_ids))) AS pos
+      FROM (SELECT *, len(ids) AS n_p, list_concat(ids, {S.sql_token_ids("'" + _ANSWER + "'")}) AS both_ids FROM qa))"""))
 def q_label_mask(spark, sf_dir):
-    p = _qa_prompts(spark, sf_dir)
-    prompt_ids = S.whitespace_ids("input_prompt")
-    answer_ids = F.slice(S.whitespace_ids(F.lit("Answer: A </s>")), -2, 2)
-    ids, labels, mask = S.label_mask(prompt_ids, answer_ids)
-    r = p.select("qkey", "attribute", "grp", ids.alias("ids"), labels.alias("labels"), mask.alias("mask"))
-    return r.select("qkey", "attribute", "grp", F.size("ids").alias("n_ids"),
-                    F.size(F.filter("labels", lambda x: x == S.IGNORE_INDEX)).alias("n_masked"),
-                    F.size(F.filter("mask", lambda x: x == 1)).alias("n_mask_ones"))
+    ids, labels, mask = S.label_mask(S.token_ids("input_prompt"), S.token_ids(F.lit(_ANSWER)))
+    z = F.arrays_zip(ids.alias("id"), labels.alias("label"), mask.alias("mask"))
+    r = _prompts(spark, sf_dir).select("qkey", "attribute", "grp", "steering_type", F.posexplode(z).alias("pos", "x"))
+    return r.select("qkey", "attribute", "grp", "steering_type", F.col("pos").cast("bigint").alias("pos"), "x.id", "x.label", "x.mask")
 
 
 @query("target_record", _prompt_sql("""
-SELECT q.qkey, q.attribute, q.grp, q.n_p AS target_token_position, CAST(26 AS INTEGER) AS n_dist,
+SELECT q.qkey, q.attribute, q.grp, q.steering_type, CAST(len(q.ids) AS BIGINT) AS target_token_position,
+       CAST(list_sum(list_transform(q.ids, lambda x: x % 1000003)) AS BIGINT) AS ids_sum, CAST(26 AS INTEGER) AS n_dist,
        round(s.s + d.refusal_rate, 9) AS dist_sum, max(CAST(o.opt_idx AS DOUBLE)) AS ord_max
 FROM qa q JOIN (SELECT qkey, attribute, grp, sum(p) AS s FROM dist GROUP BY ALL) s
   ON s.qkey = q.qkey AND s.attribute = q.attribute AND s.grp = q.grp
 JOIN (SELECT DISTINCT qkey, attribute, grp, refusal_rate FROM dist) d
   ON d.qkey = q.qkey AND d.attribute = q.attribute AND d.grp = q.grp
 JOIN dist o ON o.qkey = q.qkey AND o.attribute = q.attribute AND o.grp = q.grp
-GROUP BY q.qkey, q.attribute, q.grp, q.n_p, s.s, d.refusal_rate"""))
+GROUP BY q.qkey, q.attribute, q.grp, q.steering_type, q.ids, s.s, d.refusal_rate"""))
 def q_target_record(spark, sf_dir):
-    p = _qa_prompts(spark, sf_dir)
-    dist, ordinal = M.pad_target("output_dist", "ordinal")
-    r = p.select("qkey", "attribute", "grp", F.size(S.whitespace_ids("input_prompt")).alias("target_token_position"),
-                 dist.alias("response_distribution"), ordinal.alias("ordinal_info"))
+    r = _prompts(spark, sf_dir).select("qkey", "attribute", "grp", "steering_type",
+                                       *S.target_record("input_prompt", "output_dist", "ordinal"))
     from quorum.plans.distribution_queries import r9
-    return r.select("qkey", "attribute", "grp", F.col("target_token_position").cast("bigint").alias("target_token_position"),
+    return r.select("qkey", "attribute", "grp", "steering_type", "target_token_position",
+                    F.aggregate(F.transform("input_ids", lambda x: x % 1000003), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ids_sum"),
                     F.size("response_distribution").alias("n_dist"),
                     r9(M.array_sum("response_distribution")).alias("dist_sum"),
                     F.array_max("ordinal_info").alias("ord_max"))
