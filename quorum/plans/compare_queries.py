@@ -13,6 +13,7 @@ from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, cgss_dist
 from quorum.plans.metrics_queries import register_bounds, scored
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
+from quorum.sources import io as IO
 from quorum.sources.driver import table
 
 # Fixed parameters: mixing weight of the gold distribution per (model, prompt, run).
@@ -165,7 +166,7 @@ emdt AS (SELECT g.qkey, g.attribute, g.grp,
 SELECT e.qkey, e.attribute, e.grp, round(e.emd, 9) AS emd, round(b.emd, 9) AS wd_upper
 FROM emdt e JOIN bd_e b ON b.row_idx = e.qkey || '|' || e.attribute || '|' || e.grp""")
 def q_eval_bounds_join(spark, sf_dir):
-    d = cgss_distribution(spark, sf_dir).persist()  # small; used by both sides of the join
+    d = IO.kept(cgss_distribution(spark, sf_dir), "dist")  # small; used by both sides of the join
     bounds = d.select("qkey", "attribute", "grp",
                       M.emd(M.uniform_over_valid("ordinal"), "responses", "ordinal").alias("wd_upper"))
     bounds = CP.dedupe_first(bounds, ["qkey", "attribute", "grp"], ["qkey"])

@@ -65,10 +65,10 @@ def q_kl(spark, sf_dir):
 
 # ---- F4
 @query("normalize", with_views("lg_x") + """
-SELECT row_idx, i AS j, round(abs(x) / sum(abs(x)) OVER (PARTITION BY row_idx), 9) AS v FROM lg_x WHERE i <= 8""")
+SELECT row_idx, i AS j, round(abs(x) / sum(abs(x)) OVER (PARTITION BY row_idx), 9) AS v FROM lg_x""")
 def q_normalize(spark, sf_dir):
     lg = V.logits(spark, sf_dir)
-    n = lg.select("row_idx", M.normalize(F.transform(F.slice("logits", 1, 8), F.abs)).alias("v"))
+    n = lg.select("row_idx", M.normalize(F.transform("logits", F.abs)).alias("v"))
     return _explode(n, "v").select("row_idx", "j", r9("v").alias("v"))
 
 
@@ -251,14 +251,14 @@ def q_entropy(spark, sf_dir):
              .select("qkey", r9(M.entropy_from_counts("cs")).alias("entropy")))
 
 
-JOINT_PAIRS = [("RETURNFLAG", "QTY"), ("LINESTATUS", "DISCOUNT")]
+_NAMES = sorted(V.LINE_VARS)
+JOINT_PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i + 1:]]
+_JOINT_ROWS = " UNION ALL ".join(f"SELECT '{a}|{b}' AS pair, {a} AS a, {b} AS b FROM line_answers WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+                                 for a, b in JOINT_PAIRS)
 
 
-@query("entropy_joint", with_views("line_answers", ctes="""
-j AS (SELECT 'RETURNFLAG|QTY' AS pair, RETURNFLAG AS a, QTY AS b FROM line_answers
-        WHERE RETURNFLAG IS NOT NULL AND QTY IS NOT NULL
-      UNION ALL SELECT 'LINESTATUS|DISCOUNT', LINESTATUS, DISCOUNT FROM line_answers
-        WHERE LINESTATUS IS NOT NULL AND DISCOUNT IS NOT NULL),
+@query("entropy_joint", with_views("line_answers", ctes=f"""
+j AS ({_JOINT_ROWS}),
 cnt AS (SELECT pair, a, b, count(*) AS c FROM j GROUP BY pair, a, b),
 tot AS (SELECT pair, sum(c) AS n, count(*) AS m FROM cnt GROUP BY pair)""") + """
 SELECT c.pair, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n + 1e-9)) / log2(t.m)

@@ -12,6 +12,7 @@ from quorum.operators.joins import bounded_broadcast
 from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, cgss_distribution, r9
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
+from quorum.sources import io as IO
 from quorum.sources import views as V
 
 SEED = 42
@@ -30,10 +31,10 @@ def splits(spark, sf_dir):
 
 def prompt_table(spark, sf_dir, n_tokens=100):
     """Prompt table; the (small) distribution feeds both the prompt rows and
-    the question split, so it is persisted once instead of rebuilt from the
+    the question split, so it is written once instead of rebuilt from the
     raw answers for each use."""
     demo = G.groups_explode(V.demographics(spark))
-    dist = cgss_distribution(spark, sf_dir).persist()
+    dist = IO.kept(cgss_distribution(spark, sf_dir), "dist")
     spl = P.split_questions(dist.select("qkey"), *RATIOS, test_waves=TEST_WAVES, seed=SEED)
     return P.build_prompts(dist, V.steering(spark), demo, spl, seed=SEED, n_tokens=n_tokens)
 

@@ -23,7 +23,7 @@ SUBGROUP_ATTRS, SUBGROUP_TRAITS = ["SEGMENT", "REGION"], ["BUILDING", "ASIA"]
 RECODE = {("SEGMENT", "AUTOMOBILE"): "Cars", ("REGION", "MIDDLE EAST"): "Middle East"}
 TRAITS = [("NATION", "NATION", "nation_1", "prefix"), ("NATION", "NATION", "Nation_2", "prefix"),
           ("NATION", "NATION", "nation_3|NATION_7|nation_24", "list"), ("NATION", "NATION", "zzz", "prefix")]
-LINE_JOINT = ["RETURNFLAG", "QTY", "DISCOUNT"]
+LINE_JOINT = ["RETURNFLAG", "LINESTATUS", "QTY", "DISCOUNT"]
 
 
 def _qkeys(spark, sf_dir):
@@ -245,12 +245,11 @@ def q_resp_semi(spark, sf_dir):
 
 
 # ---- J2
-@query("joint_responses", with_views("line_answers") + """
-SELECT human_id, 1 AS pos, RETURNFLAG AS code FROM line_answers
-  WHERE RETURNFLAG IS NOT NULL AND QTY IS NOT NULL AND DISCOUNT IS NOT NULL
-UNION ALL SELECT human_id, 2, QTY FROM line_answers WHERE RETURNFLAG IS NOT NULL AND QTY IS NOT NULL AND DISCOUNT IS NOT NULL
-UNION ALL SELECT human_id, 3, DISCOUNT FROM line_answers
-  WHERE RETURNFLAG IS NOT NULL AND QTY IS NOT NULL AND DISCOUNT IS NOT NULL""")
+_ALL = " AND ".join(f"{q} IS NOT NULL" for q in LINE_JOINT)
+
+
+@query("joint_responses", with_views("line_answers") + " UNION ALL ".join(
+    f"SELECT human_id, {i + 1} AS pos, {q} AS code FROM line_answers WHERE {_ALL}" for i, q in enumerate(LINE_JOINT)))
 def q_joint_responses(spark, sf_dir):
     j = R.joint_responses_wide(V.line_answers(spark, sf_dir), LINE_JOINT)
     return (j.select("human_id", F.posexplode("codes").alias("p", "code"))
@@ -262,15 +261,15 @@ def q_joint_responses(spark, sf_dir):
 def q_wave_weights(spark, sf_dir):
     """Each wave's table names its weight column ``WEIGHT_W<wave>``; the
     column is found by pattern per wave (schema metadata) — all waves."""
-    r = V.respondents(spark, sf_dir).select("human_id", "wave", "weight").persist()  # one pass for all waves
-    waves = sorted(x[0] for x in r.select("wave").distinct().collect())  # a handful of wave ids
-    out = None
-    for w in waves:
-        wide = r.where(F.col("wave") == w).select(F.col("human_id").alias("QKEY"),
-                                                   F.col("weight").alias(f"WEIGHT_W{w}"))
-        part = R.wave_weights(wide, w).withColumn("wave", F.lit(w))
-        out = part if out is None else out.unionByName(part)
-    return out
+    from quorum.sources import io as IO
+    root = IO.scratch(spark, "weights")
+    waves = IO.write_waves(V.respondents(spark, sf_dir).select(F.col("human_id").alias("QKEY"), "wave", F.col("weight").alias("WEIGHT")), root)
+    wide = IO.scan_waves(spark, root, waves)  # one column WEIGHT_W<n> per wave
+    weight = None
+    for w in waves:  # metadata: a CASE per wave, over one scan
+        own = F.col(R.weight_column(wide.columns, w))
+        weight = F.when(F.col("wave") == w, own) if weight is None else weight.when(F.col("wave") == w, own)
+    return wide.select("QKEY", "wave", weight.alias("weight"))
 
 
 # ---- J5
@@ -289,18 +288,19 @@ def q_grid_cross(spark, sf_dir):
 # ---- J13
 @query("get_response", with_views("responses", "respondents", "codebook", ctes="""
 mx AS (SELECT var, max(pos) AS maxpos FROM codebook GROUP BY var)""") + """
-SELECT p.human_id, 'PRIORITY_W1996' AS qkey,
+SELECT p.human_id, k.qkey,
        CAST(CASE WHEN r.human_id IS NULL THEN -3 WHEN c.pos IS NULL THEN -2 WHEN c.pos = mx.maxpos THEN -1
             ELSE c.pos - 1 END AS INTEGER) AS idx,
        CASE WHEN r.human_id IS NULL THEN 'Not participated for wave' WHEN c.pos IS NULL THEN 'Nan response'
             ELSE c.label END AS label
-FROM respondents p
-LEFT JOIN responses r ON r.human_id = p.human_id AND r.qkey = 'PRIORITY_W1996'
+FROM respondents p CROSS JOIN (SELECT DISTINCT qkey FROM responses) k
+LEFT JOIN responses r ON r.human_id = p.human_id AND r.qkey = k.qkey
 LEFT JOIN codebook c ON c.var = r.var AND c.code = r.code
 LEFT JOIN mx ON mx.var = r.var""")
 def q_get_response(spark, sf_dir):
-    r = V.respondents(spark, sf_dir).persist()  # feeds both the lookups and the answers
-    look = r.select("human_id", F.lit("PRIORITY_W1996").alias("qkey"))
+    r = V.respondents(spark, sf_dir)
+    keys = sorted(x[0] for x in V.responses(spark, sf_dir).select("qkey").distinct().collect())  # question names
+    look = r.select("human_id", F.explode(F.array(*[F.lit(k) for k in keys])).alias("qkey"))
     return R.lookup_responses(look, V.responses_from(r), V.codebook(spark))
 
 
@@ -321,7 +321,7 @@ def q_union_groups(spark, sf_dir):
 SELECT human_id FROM line_responses WHERE qkey = 'RETURNFLAG'
 INTERSECT SELECT human_id FROM line_responses WHERE qkey = 'QTY'""")
 def q_intersect_ids(spark, sf_dir):
-    lr = V.line_responses(spark, sf_dir).select("human_id", "qkey").persist()  # both sides from one pass
+    lr = V.line_responses(spark, sf_dir).select("human_id", "qkey")
     return R.intersect_ids(lr.where(F.col("qkey") == "RETURNFLAG"), lr.where(F.col("qkey") == "QTY"))
 
 

@@ -58,6 +58,14 @@ def write_file(uri: str, content: bytes) -> None:
         f.write(content)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the scratch folder and read back: for a result
+    that several branches use, with nothing held in executors' memory."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _listing(spark: SparkSession, pattern: str) -> DataFrame:
     """(path) of the files; their content is not read."""
     paths = spark.read.format("binaryFile").load(pattern).select("path")

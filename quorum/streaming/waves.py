@@ -17,6 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from quorum.operators.distribution import weighted_counts
+from quorum.sources.io import _fs, path_exists
+
+
+def _published(spark: SparkSession, out_path: str) -> list[str]:
+    """The committed epochs' folders, oldest first."""
+    fs, path = _fs(spark, out_path)
+    folders = sorted(s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("epoch="))
+    return [f for f in folders if path_exists(spark, f"{f}/_SUCCESS")]
+
+
+def read_published(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest whole aggregate."""
+    return spark.read.parquet(_published(spark, out_path)[-1])
 
 
 def start_wave_counts(spark: SparkSession, source: str, schema: StructType, attribute_columns: Mapping[str, str],
@@ -28,7 +41,11 @@ def start_wave_counts(spark: SparkSession, source: str, schema: StructType, attr
     counts = weighted_counts(stream, attribute_columns, group_codes, "cgss")
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        # a folder per epoch: a reader sees a whole table or the one before, never half of one
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch:012d}")
+        for old in _published(batch.sparkSession, out_path)[:-2]:
+            fs, path = _fs(batch.sparkSession, old)
+            fs.delete(path, True)
 
     w = (counts.writeStream.outputMode("complete").foreachBatch(publish)
                .option("checkpointLocation", checkpoint))
@@ -42,4 +59,4 @@ def run_to_end(spark: SparkSession, source: str, schema: StructType, attribute_c
     out, ck = os.path.join(root, "counts"), os.path.join(root, "checkpoint")
     q = start_wave_counts(spark, source, schema, attribute_columns, group_codes, out, ck)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_published(spark, out)
