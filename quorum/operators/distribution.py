@@ -188,14 +188,16 @@ def _refusal_codes(codebook: DataFrame) -> DataFrame:
 
 def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFrame,
                      attribute_columns: Mapping[str, str], remove_refusal: bool = True,
-                     use_weight: bool = True, k: int = 1) -> DataFrame:
+                     use_weight: bool = True, k: int = 1, with_report: bool = False) -> DataFrame:
     """A1: zero-filled weighted distribution over the question's labelled
     options (refusal dropped when ``remove_refusal``), sorted by code
     (T1); NaN/NULL weights count 0; NULL (skipped) when the total is 0.
-    Codes without a label are dropped.
+    Codes without a label are dropped.  ``with_report`` keeps skipped pairs,
+    with a ``skip_reason``.
     Output: ``qkey, attribute, grp, codes ARRAY<DOUBLE>, responses ARRAY<DOUBLE>``.
     """
-    return _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal, use_weight, k).drop("var")
+    out = _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal, use_weight, k).drop("var")
+    return out if with_report else out.where(F.col("skip_reason").isNull()).drop("skip_reason")
 
 
 def _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=True, use_weight=True, k=1):
@@ -213,17 +215,18 @@ def _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_ref
     d = (agg.join(bounded_broadcast(opts), "var")
             .withColumn("wv", F.transform("codes", lambda c: F.coalesce(F.try_element_at("wmap", c), F.lit(0.0))))
             .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x)))
-    return (d.where(F.col("tot") != 0)
-             .select("qkey", "var", "attribute", "grp", "codes",
-                     F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))).alias("responses")))
+    return d.select("qkey", "var", "attribute", "grp", "codes",
+                    F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))).alias("responses"),
+                    F.when(F.col("tot") == 0, F.lit("no_weight")).alias("skip_reason"))
 
 
 def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, group_codes: DataFrame,
-                 attribute_columns: Mapping[str, str], k: int = 1) -> DataFrame:
+                 attribute_columns: Mapping[str, str], k: int = 1, with_report: bool = False) -> DataFrame:
     """A6 (wave data): distribution with refusals kept, ``refusal_rate`` =
     the refusal option's share, ``responses`` = the other options
     renormalised (pair skipped when nothing but refusals), ``ordinal`` all
-    1.0 (F36), ``options`` = every label stripped in label order."""
+    1.0 (F36), ``options`` = every label stripped in label order.
+    ``with_report`` keeps skipped pairs, with a ``skip_reason``."""
     from quorum.functions.metrics import normalize
     from quorum.operators.codes import question_body_after_dot
     full = _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_refusal=False, k=k)
@@ -240,20 +243,21 @@ def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, gro
                                           .otherwise(F.lit(0.0)))
              .withColumn("_rest", F.filter("responses", lambda x, i: i + 1 != F.col("_ri")))
              .withColumn("responses", normalize("_rest")))
-    return (d.where(F.col("responses").isNotNull())
-             .select("qkey", "attribute", "grp", "responses", "refusal_rate",
-                     F.transform("responses", lambda x: F.lit(1.0)).alias("ordinal"),
-                     "question", "options"))
+    d = d.withColumn("skip_reason", F.when(F.col("skip_reason").isNull() & F.col("responses").isNull(), F.lit("all_refused"))
+                                     .otherwise(F.col("skip_reason")))
+    out = d.select("qkey", "attribute", "grp", "responses", "refusal_rate",
+                   F.transform("responses", lambda x: F.lit(1.0)).alias("ordinal"), "question", "options", "skip_reason")
+    return out if with_report else out.where(F.col("skip_reason").isNull()).drop("skip_reason")
 
 
 def distribution_gss(resp: DataFrame, options: DataFrame, group_codes: DataFrame,
-                     attribute_columns: Mapping[str, str], k: int = 1) -> DataFrame:
+                     attribute_columns: Mapping[str, str], k: int = 1, with_report: bool = False) -> DataFrame:
     """A2: option index = code - min(code) of the question over the whole
     population; only integral codes and non-NaN weights count; the
     refusal rate is the share of the option labelled ``Refused`` (else 0);
     ``responses`` = all options but the last, renormalised.  ``options``:
     ``(var, options ARRAY<STRING>, ordinal ARRAY<DOUBLE>)``.  Pairs with a
-    zero total are skipped (Q7: the reference would divide by zero).
+    zero total are skipped; ``with_report`` keeps them, with a ``skip_reason``.
     """
     from quorum.functions.metrics import normalize
     from quorum.operators import codes as C
@@ -267,15 +271,16 @@ def distribution_gss(resp: DataFrame, options: DataFrame, group_codes: DataFrame
     d = (agg.join(bounded_broadcast(options), "var")
             .withColumn("wv", F.transform("options", lambda o, i: F.coalesce(F.try_element_at("wmap", i), F.lit(0.0))))
             .withColumn("tot", F.aggregate("wv", F.lit(0.0), lambda a, x: a + x))
-            .where(F.col("tot") != 0)
+            .withColumn("skip_reason", F.when(F.col("tot") == 0, F.lit("no_weight")))
             .withColumn("p", F.transform("wv", lambda x: F.try_divide(x, F.col("tot"))))
             .withColumn("_ri", F.array_position("options", F.lit("Refused"))))
-    return d.select(
-        "qkey", "attribute", "grp",
+    out = d.select(
+        "qkey", "attribute", "grp", "skip_reason",
         normalize(F.slice("p", 1, F.size("p") - 1)).alias("responses"),
         F.when(F.col("_ri") > 0, F.try_element_at("p", F.col("_ri").cast("int"))).otherwise(F.lit(0.0))
          .alias("refusal_rate"),
         "ordinal", "options")
+    return out if with_report else out.where(F.col("skip_reason").isNull()).drop("skip_reason")
 
 
 def n_respondent(resp: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -99,3 +99,37 @@ def test_unreadable_metric_files_are_listed(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{not json")
     assert IO.read_train_metrics(spark, f"{tmp_path}/*.json").where("value is not null").count() == 2
     assert [r.source_file.endswith("bad.json") for r in IO.unreadable_train_metrics(spark, f"{tmp_path}/*.json").collect()] == [True]
+
+
+def test_skip_reasons_of_all_schemes(spark):
+    resp = spark.createDataFrame([("Q_W1", "Q", 1.0, 1.0, "a"), ("Q_W1", "Q", 2.0, 0.0, "b"), ("Q_W1", "Q", 99.0, 1.0, "c")],
+                                 "qkey string, var string, code double, weight double, A string")
+    book = spark.createDataFrame([("Q", 1, 1.0, "yes"), ("Q", 2, 2.0, "no"), ("Q", 3, 99.0, "Refused")],
+                                 "var string, pos int, code double, label string")
+    variables = spark.createDataFrame([("Q", "S. Is it?")], "var string, label string")
+    codes = spark.createDataFrame([("A", x, x) for x in "abc"], "attribute string, grp string, code string")
+
+    def reasons(df):
+        return sorted((r.grp, r.skip_reason) for r in df.where("attribute = 'A'").collect())
+    waves = distribution.assemble_atp(resp, book, variables, codes, {"A": "A"}, with_report=True)
+    assert reasons(waves) == [("a", None), ("b", "no_weight"), ("c", "all_refused")]
+    assert rows(distribution.skip_report(waves.where("attribute = 'A'")), "reason", "n") == [("all_refused", 1), ("no_weight", 1), ("ok", 1)]
+    assert reasons(distribution.distribution_atp(resp, book, codes, {"A": "A"}, with_report=True)) == [("a", None), ("b", "no_weight")]
+    options = spark.createDataFrame([("Q", ["yes", "no", "Refused"], [1.0, 2.0, 3.0])], "var string, options array<string>, ordinal array<double>")
+    gss = distribution.distribution_gss(resp.where("code < 9"), options, codes, {"A": "A"}, with_report=True)
+    assert reasons(gss) == [("a", None), ("b", "no_weight")]
+
+
+def test_recode_hooks_and_exclusion(spark):
+    df = spark.createDataFrame([("A", "x", "q1"), ("A", "y", "q2"), (None, "z", None)], "attribute string, grp string, qkey string")
+    table = spark.createDataFrame([("A", "x", "X"), ("A", "x", "XX"), (None, "z", "Z")], "attribute string, grp string, recoded string")
+    assert rows(groups.recode_groups(df, table), "attribute", "grp") == [("A", "X"), ("A", "y"), (None, "Z")]
+    assert rows(df.select(groups.recode_group("attribute", "grp", lambda a, g: F.upper(g)).alias("g")), "g") == [("X",), ("Y",), ("Z",)]
+    assert rows(groups.exclude_listed(df, df.where("qkey = 'q1' or qkey is null")), "qkey") == [("q2",), (None,)]
+
+
+def test_token_ids_with_ends(spark):
+    df = spark.createDataFrame([("a b a",)], "t string")
+    ids = df.select(sequences.token_ids("t", bos=1, eos=2).alias("i")).first().i
+    assert ids[0] == 1 and ids[-1] == 2 and ids[1] == ids[3] != ids[2]
+    assert df.select(sequences.token_ids("t", lambda c: F.array(F.lit(7).cast("bigint"))).alias("i")).first().i == [7]
