@@ -40,6 +40,7 @@ def load_all() -> None:
         compare_queries,
         safety_queries,
         io_queries,
+        catalogue_queries,
         hook_queries,
         stream_queries,
     )
