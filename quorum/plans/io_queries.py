@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from quorum.operators.joins import bounded_broadcast
+from quorum.operators.sequences import sql_token_ids
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
 from quorum.sources import io as IO
@@ -214,12 +215,12 @@ def q_select_split(spark, sf_dir):
                  .select("qkey", "attribute", "grp"))
 
 
-@query("write_prompts", _pr_sql("SELECT steering_type, split, count(*) AS rows FROM pr GROUP BY steering_type, split"))
+@query("write_prompts", _pr_sql("SELECT qkey, attribute, grp, steering_type, split, input_prompt FROM pr"))
 def q_write_prompts(spark, sf_dir):
     """K2: one partitioned write for every (steering type, split)."""
     path = IO.scratch(spark, "prompts-k2")
     IO.write_partitioned(_prompts(spark, sf_dir), path, ["steering_type", "split"])
-    return spark.read.parquet(path).groupBy("steering_type", "split").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(path).select("qkey", "attribute", "grp", "steering_type", "split", "input_prompt")
 
 
 @query("empty_split", _pr_sql("SELECT qkey, attribute, grp, steering_type, split, input_prompt FROM pr WHERE split = 'none'"))
@@ -234,7 +235,7 @@ def q_empty_split(spark, sf_dir):
     return back.select("qkey", "attribute", "grp", "steering_type", "split", "input_prompt")
 
 
-@query("scan_cached", _pr_sql("SELECT qkey, attribute, grp, steering_type FROM pr"))
+@query("scan_cached", _pr_sql("SELECT qkey, attribute, grp, steering_type, array_to_string(" + sql_token_ids("input_prompt") + ", ' ') AS ids FROM pr"))
 def q_scan_cached(spark, sf_dir):
     """Token records cached by (input, tokenizer); second call reads the cache."""
     from quorum.operators.sequences import whitespace_ids
@@ -245,7 +246,7 @@ def q_scan_cached(spark, sf_dir):
                                               whitespace_ids("input_prompt").alias("input_ids"))
     IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)
     back = IO.cached(spark, root, "prompts_train.csv", "whitespace/v1", build)  # served from the cache
-    return back.select("qkey", "attribute", "grp", "steering_type")
+    return back.select("qkey", "attribute", "grp", "steering_type", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
 
 def _eval_sql(select):
@@ -339,7 +340,7 @@ def q_write_qdict(spark, sf_dir):
     return good.unionByName(bad)
 
 
-@query("publish", with_views("respondents") + "SELECT CAST(wave AS VARCHAR) AS wave, CAST(count(*) AS VARCHAR) AS n, '' AS published_as FROM respondents GROUP BY wave")
+@query("publish", with_views("respondents") + "SELECT CAST(wave AS VARCHAR) AS wave, CAST(count(*) AS VARCHAR) AS n, '_<14 digits>.csv' AS published_as FROM respondents GROUP BY wave")
 def q_publish(spark, sf_dir):
     """K5/K6: the second publish to the same name gets a time-stamp suffix."""
     base = IO.scratch(spark, "publish") + ".csv"
@@ -350,12 +351,13 @@ def q_publish(spark, sf_dir):
     rows.write.mode("overwrite").option("header", True).csv(second)
     if second == first:
         raise AssertionError("second publish did not get a time-stamp suffix")
-    return spark.read.option("header", True).csv(second).withColumn("published_as", F.lit(""))
+    suffix = F.regexp_replace(F.replace(F.lit(second), F.lit(base[:-len(".csv")]), F.lit("")), r"\d{14}", "<14 digits>")
+    return spark.read.option("header", True).csv(second).withColumn("published_as", suffix)
 
 
-@query("write_scored", """
-SELECT 'prompts_qa_test' AS input, m.model, count(*) AS rows
-FROM embeddings CROSS JOIN (SELECT unnest(['base-0.5B', 'ft-7B']) AS model) m GROUP BY m.model""")
+@query("write_scored", _eval_sql("""
+SELECT 'prompts_qa_test' AS input, m.model, row_idx, round(kl_ft, 9) AS kl, round(wd_ft, 9) AS wd
+FROM paired CROSS JOIN (SELECT unnest(['base-0.5B', 'ft-7B']) AS model) m"""))
 def q_write_scored(spark, sf_dir):
     """K8: scored rows written once, partitioned by (input, model)."""
     from quorum.plans.compare_queries import MODELS, eval_rows
@@ -364,7 +366,7 @@ def q_write_scored(spark, sf_dir):
     e = (eval_rows(spark, sf_dir, 0.5).select("*", F.lit("prompts_qa_test").alias("input"), m.alias("model"))
          .withColumn("model", F.substring_index("model", "/", -1)))
     IO.write_partitioned(e, path, ["input", "model"])
-    return spark.read.parquet(path).groupBy("input", "model").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(path).select("input", "model", "row_idx", F.round("kl", 9).alias("kl"), F.round("wd", 9).alias("wd"))
 
 
 @query("write_metrics", _eval_sql("SELECT row_idx, " + ", ".join(

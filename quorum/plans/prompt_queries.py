@@ -293,10 +293,11 @@ def q_demo_join(spark, sf_dir):
 
 # ---- F31
 @query("parse_literal", with_views(*_DIST_VIEWS, ctes=_DIST_CTES.rstrip().rstrip(",")) + """
-SELECT DISTINCT qkey, attribute, grp, true AS round_trip_ok FROM dist""")
+SELECT qkey, attribute, grp, opt_idx, form, round(p, 9) AS p, option
+FROM dist CROSS JOIN (SELECT unnest(['python', 'numpy', 'nan']) AS form)""")
 def q_parse_literal(spark, sf_dir):
     """Literal text written the three ways seen in files (Python list, with
-    nan, NumPy spacing) parses back to the same arrays."""
+    nan, NumPy spacing) parses back to the distribution's own numbers and labels."""
     d = cgss_distribution(spark, sf_dir).select("qkey", "attribute", "grp", "responses", "options")
     py = F.concat(F.lit("["), F.array_join(F.transform("responses", lambda x: x.cast("string")), ", "), F.lit("]"))
     npy = F.concat(F.lit("["), F.array_join(F.transform("responses", lambda x: x.cast("string")), " "), F.lit("]"))
@@ -307,7 +308,8 @@ def q_parse_literal(spark, sf_dir):
     p = d.select("qkey", "attribute", "grp", "responses", "options",
                  text.parse_literal(py).alias("a"), text.parse_literal(npy).alias("b"),
                  text.parse_literal(withnan).alias("c"), text.parse_literal(opts, "string").alias("o"))
-    return p.select("qkey", "attribute", "grp",
-                    ((F.col("a") == F.col("responses")) & (F.col("b") == F.col("responses"))
-                     & (F.slice("c", 1, F.size("responses")) == F.col("responses"))
-                     & F.isnan(F.element_at("c", -1)) & (F.col("o") == F.col("options"))).alias("round_trip_ok"))
+    forms = F.explode(F.array(F.struct(F.lit("python").alias("form"), F.col("a").alias("v")), F.struct(F.lit("numpy").alias("form"), F.col("b").alias("v")),
+                              F.struct(F.lit("nan").alias("form"), F.filter("c", lambda x: ~F.isnan(x)).alias("v"))))
+    each = p.select("qkey", "attribute", "grp", "o", forms.alias("f"))
+    return (each.select("qkey", "attribute", "grp", "f.form", F.posexplode(F.arrays_zip(F.col("f.v").alias("p"), F.col("o").alias("option"))).alias("i", "x"))
+                .select("qkey", "attribute", "grp", (F.col("i") + 1).cast("bigint").alias("opt_idx"), "form", F.round("x.p", 9).alias("p"), "x.option"))
\ No newline at end of file
