@@ -10,10 +10,9 @@ components.
    ``COORDINATES`` minwise values.  Equal texts are one vertex from here on.
 2. Each of ``TREES`` independent trees puts a vertex into a node by a minwise
    value.  Nodes of up to ``SMALL`` vertices are compared exhaustively within a
-   bounded Arrow group.  Larger nodes branch: every vertex goes on to
-   ``BRANCHES`` children, each named by its value of a coordinate that the
-   node's own path selects.  At every level, each vertex of a large node is
-   also compared with ``LEADERS`` vertices of it.
+   bounded Arrow group.  Larger nodes branch: a vertex goes on to the child
+   named by its value of a coordinate that the node's own path selects; what is
+   still large after ``DEPTH`` levels is compared with ``LEADERS`` of its node.
 3. A first round runs a few trees and compares with leaders only; it connects
    the bulk of each group of copies.  The second round runs all trees but skips
    every node whose vertices are in one component already, so that a large
@@ -21,8 +20,9 @@ components.
 4. Candidates are confirmed on the full sets, and large-star / small-star
    rounds label the components.
 
-Two sets at the threshold share one of the 12 first values but for a chance of
-0.25^12, and pass the screen on minwise values but for about 2e-6.
+Two sets at the threshold share one of the trees' first values but for a chance
+of 0.25^16, after two branchings one of their paths but for 0.58^16 = 2e-4, and
+pass the screen on minwise values but for about 2e-6.
 
 Defined cases: documents without words (null, empty, white space) are linked
 with nothing; equal texts are linked; rows with one doc_id and several texts
@@ -43,12 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import LOWER, UPPER, written
+from quorum.llm.common import LOWER, UPPER, erase, written
 from quorum.operators.joins import bounded_broadcast
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, FIRST_TREES = 64, 12, 3
-SMALL, BRANCHES, LEADERS, DEPTH = 48, 2, 3, 8
+COORDINATES, TREES, FIRST_TREES = 64, 16, 3
+SMALL, LEADERS, DEPTH = 256, 3, 5
 SCREEN = 32  # equal coordinates that make a pair a candidate
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -82,41 +82,50 @@ def minwise(grams: set[bytes]) -> np.ndarray:
     return best.astype(np.uint32).view(np.int32)
 
 
-SKETCH = "row long, doc_id long, text_key long, digest binary, n_shingles long, sig array<int>, words binary"
+# roots: the first values of the trees; low: the low byte of every coordinate, which screens and branches
+SKETCH = ("row long, doc_id long, text_key long, digest binary, n_shingles long, roots array<int>, low array<tinyint>, "
+          "words binary")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):  # small batches: the rows grow by their sketches
             part, rows = batch.slice(at, 512), []
             for text in part.column(2):
                 words = b" ".join((text.as_py() or "").encode().translate(_FOLD).split())
                 grams = shingles(words)
-                rows.append((row, xxhash.xxh3_128_digest(words), len(grams), minwise(grams), words) if grams
-                            else (row, None, 0, None, None))
+                if grams:
+                    sig = minwise(grams)
+                    rows.append((row, xxhash.xxh3_128_digest(words), len(grams), sig[:TREES], sig.astype(np.int8), words))
+                else:
+                    rows.append((row, None, 0, None, None, None))
                 row += 1
             new = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([new[0], part.column(0).cast(pa.int64()), part.column(1), *new[1:]],
                                              [x.split()[0] for x in SKETCH.split(", ")])
 
 
-def _nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _nodes(vertices: DataFrame) -> DataFrame:
     """Of (node, row, part, ...): the rows of nodes that hold more than one
-    part, with the node's size and leaders; large ones apart."""
-    leaders = [F.min("row").alias("leader0")] + [
-        F.min_by("row", F.xxhash64(F.lit(i), "row", "node")).alias(f"leader{i}") for i in range(1, LEADERS)]
+    part, with the node's size and leaders."""
+    leaders = [F.min(F.struct("row", "part")).alias("leader0")] + [
+        F.min_by(F.struct("row", "part"), F.xxhash64(F.lit(i), "row", "node")).alias(f"leader{i}") for i in range(1, LEADERS)]
     mixed = (vertices.groupBy("node").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), *leaders)
              .filter("lo != hi").drop("lo", "hi"))
-    rows = vertices.join(mixed, "node")
-    return rows.filter(F.col("n") <= SMALL), rows.filter(F.col("n") > SMALL)
+    return vertices.join(mixed, "node")
 
 
-def _to_leaders(rows: DataFrame) -> DataFrame:
-    """Edges (a < b) from each vertex to the leaders of its node."""
-    return (rows.select("row", F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("other"))
-            .filter("row != other").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
+def _to_leaders(rows: DataFrame, every: bool) -> DataFrame:
+    """Edges (a < b) from each vertex to leaders of its node that are in another
+    part: to all, or else to one, which is the smallest row in a small node (it
+    tends to be the same one in all trees) and a chosen row in a large one."""
+    leaders = F.array(*[f"leader{i}" for i in range(LEADERS)])
+    one = F.array(F.when(F.col("n") > SMALL, F.col("leader1")).otherwise(F.col("leader0")))
+    return (rows.select("row", "part", F.explode(leaders if every else one).alias("other"))
+            .filter("part != other.part")
+            .select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,39 +136,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         if len(held) < 2:
             return [], []
-        sig = np.stack([h[2] for h in held])
+        low = np.stack([h[2] for h in held])
         rows, parts = np.array([h[0] for h in held]), np.array([h[1] for h in held])
         i, j = np.triu_indices(len(held), 1)
         other = parts[i] != parts[j]
         i, j = i[other], j[other]
-        near = (sig[i] == sig[j]).sum(axis=1) >= SCREEN
+        near = (low[i] == low[j]).sum(axis=1) >= SCREEN
         return np.minimum(rows[i], rows[j])[near].tolist(), np.maximum(rows[i], rows[j])[near].tolist()
 
     for batch in batches:
         a, b = [], []
-        sigs = batch.column(3).flatten().to_numpy().reshape(-1, COORDINATES)
-        for own, row, part, sig in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                       batch.column(2).to_pylist(), sigs):
+        lows = batch.column(3).flatten().to_numpy().reshape(-1, COORDINATES)
+        for own, row, part, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                       batch.column(2).to_pylist(), lows):
             if node != (own,):
                 x, y = pairs()
                 a += x
                 b += y
                 node, held = (own,), []
-            held.append((row, part, sig))
+            held.append((row, part, low))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     x, y = pairs()
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
 def _within(small: DataFrame) -> DataFrame:
-    return (small.select("node", "row", "part", "sig").repartition("node").sortWithinPartitions("node")
+    return (small.select("node", "row", "part", "low").repartition("node").sortWithinPartitions("node")
             .mapInArrow(_compare, "a long, b long"))
 
 
 def _screened(edges: DataFrame, sigs: DataFrame) -> DataFrame:
     """Distinct edges whose ends agree in SCREEN coordinates."""
-    ends = [sigs.select(F.col("row").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+    ends = [sigs.select(F.col("row").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab"]
+    equal = F.size(F.filter(F.zip_with("low_a", "low_b", lambda x, y: x == y), lambda x: x))
     return (edges.distinct().join(ends[1], "b").join(ends[0], "a").filter(equal >= SCREEN).select("a", "b"))
 
 
@@ -196,12 +205,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = (joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", "m")).distinct())
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
+        erase(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -211,18 +221,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _roots(sigs: DataFrame, trees: int) -> DataFrame:
-    """(node, row, sig): every vertex in the first level of the trees."""
+    """(node, row): every vertex in the first level of the trees."""
     return sigs.select("row", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(
-        t, F.col("sig")[t]))).alias("node"))
+        t, F.col("roots")[t]))).alias("node"))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """The nodes below ``rows``, by coordinates that the path selects."""
-    def child(c):
-        at = F.pmod(F.xxhash64(F.col("node"), c), F.lit(COORDINATES)).cast("int")
-        return F.xxhash64(F.col("node"), at, F.col("sig")[at])
-    return rows.select("row", "part", "sig", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BRANCHES - 1)), child)).alias("node"))
+    """The nodes below ``rows``, by a coordinate that the path selects."""
+    at = F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int")
+    return rows.select("row", "part", "low", F.xxhash64("node", at, F.col("low")[at]).alias("node"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,30 +239,30 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = written(raw.mapInArrow(_sketch, SKETCH), "sketches")
     vertices = written(sketches.filter("digest is not null").groupBy("digest").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("id")), "vertices")
-    sigs = written(sketches.select("row", "sig").join(vertices.select("row"), "row"), "sigs")
+    sigs = written(sketches.select("row", "roots", "low").join(vertices.select("row"), "row"), "sigs")
 
-    first, large = _nodes(_roots(sigs, FIRST_TREES).withColumn("part", F.col("row")))
-    edges = written(_screened(_to_leaders(first.unionByName(large)), sigs), "edges")
+    first = _nodes(_roots(sigs, FIRST_TREES).withColumn("part", F.col("row")))
+    edges = written(_screened(_to_leaders(first, every=False), sigs), "edges")
     links = written(_links(edges, sketches), "links")
-    parts = components(links)
+    parts = written(components(links), "parts")
 
     placed = written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
-    roots = _roots(sigs, TREES).join(placed.select("row", "part"), "row")
-    small, large = _nodes(roots)
-    members = written(small.unionByName(large).join(placed.select("row", "sig"), "row"), "members")
-    found = []
-    for _ in range(DEPTH):
-        small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
-        found += [_within(small), _screened(_to_leaders(large), sigs)]
+    found, rows = [], _nodes(_roots(sigs, TREES).join(placed.select("row", "part"), "row")).join(placed.select("row", "low"), "row")
+    for level in range(DEPTH):
+        members = written(rows, "members")
+        large = members.filter(F.col("n") > SMALL)
+        found.append(_within(members.filter(F.col("n") <= SMALL)))
+        if level == DEPTH - 1:
+            found.append(_screened(_to_leaders(large, every=True), sigs))
         if large.isEmpty():
             break
-        small, large = _nodes(_children(large))
-        members = written(small.unionByName(large), "members")
+        rows = _nodes(_children(large))
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
     edges = written(edges.distinct(), "edges")
-    parts = components(links.union(_links(edges, sketches)))
+    stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))
+    parts = components(stars.union(_links(edges, sketches)))
     return sketches, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 
