@@ -291,6 +291,32 @@ def q_skip_report(spark, sf_dir):
     return D.skip_report(cgss_distribution(spark, sf_dir, report=True))
 
 
+_CHANGED = """
+resp2 AS (SELECT * REPLACE (CASE WHEN region = 'ASIA' THEN 0 ELSE weight END AS weight,
+                            CASE WHEN segment = 'BUILDING' THEN CASE var WHEN 'PRIORITY' THEN CAST(4 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END
+                                 ELSE code END AS code) FROM responses),"""
+
+SKIP_WAVES_SQL = with_views(*_DIST_VIEWS, ctes=_CHANGED + _ATP_CTES.replace("FROM responses", "FROM resp2") + """
+agg AS (SELECT b.qkey, b.var, b.attribute, b.grp, b.code, sum(b.w) AS w FROM base b JOIN codebook c ON c.var = b.var AND c.code = b.code
+        GROUP BY ALL),
+tot AS (SELECT a.qkey, a.attribute, a.grp, sum(a.w) AS tot, sum(CASE WHEN a.code = r.refusal_code THEN a.w ELSE 0 END) AS ref_w
+        FROM agg a JOIN ref r ON r.var = a.var GROUP BY ALL)""") + """
+SELECT CASE WHEN tot = 0 THEN 'no_weight' WHEN abs((tot - ref_w) / tot) <= 1e-8 THEN 'all_refused' ELSE 'ok' END AS reason, count(*) AS n
+FROM tot GROUP BY 1"""
+
+
+@query("skip_report_waves", SKIP_WAVES_SQL)
+def q_skip_report_waves(spark, sf_dir):
+    """A19 on the wave scheme, with one region unweighted and one segment that
+    refuses every question."""
+    refused = F.when(F.col("var") == "PRIORITY", 4.0).otherwise(3.0)
+    resp = V.responses(spark, sf_dir).withColumns({
+        "weight": F.when(F.col("region") == "ASIA", 0.0).otherwise(F.col("weight")),
+        "code": F.when(F.col("segment") == "BUILDING", refused).otherwise(F.col("code"))})
+    full = D.assemble_atp(resp, V.codebook(spark), V.variables(spark), V.group_codes(spark), V.ATTRIBUTE_COLUMNS, with_report=True)
+    return D.skip_report(full)
+
+
 TEXT_SQL = with_views(*_DIST_VIEWS, "variables", ctes=_DIST_CTES + """
 qt AS (SELECT v.var, coalesce(CASE WHEN p.t IS NOT NULL AND length(p.t) > 0 THEN trim(p.t) END,
                               CASE WHEN length(v.label) > 0 THEN trim(v.label) END, v.var) AS question
