@@ -9,8 +9,8 @@ components.
 1. One Arrow pass over the whole texts makes a digest, the set's size and
    ``COORDINATES`` minwise values.  Equal texts are one vertex from here on.
 2. Each of ``TREES`` independent trees puts a vertex into a node by a minwise
-   value.  Nodes of up to ``SMALL`` vertices are compared exhaustively within a
-   bounded Arrow group.  Larger nodes branch: a vertex goes on to the child
+   value.  Nodes of up to ``SMALL`` vertices are compared exhaustively in one
+   task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to the child
    named by its value of a coordinate that the node's own path selects; what is
    still large after ``DEPTH`` levels is compared with ``LEADERS`` of its node.
 3. A first round runs a few trees and compares with leaders only; it connects
@@ -22,7 +22,7 @@ components.
 
 Two sets at the threshold share one of the trees' first values but for a chance
 of 0.25^16, after two branchings one of their paths but for 0.58^16 = 2e-4, and
-pass the screen on minwise values but for about 2e-6.
+pass the screen on minwise values but for about 2e-4.
 
 Defined cases: documents without words (null, empty, white space) are linked
 with nothing; equal texts are linked; rows with one doc_id and several texts
@@ -49,7 +49,7 @@ from quorum.operators.joins import bounded_broadcast
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, FIRST_TREES = 64, 16, 3
 SMALL, LEADERS, DEPTH = 256, 3, 5
-SCREEN = 32  # equal coordinates that make a pair a candidate
+SCREEN = 36  # equal coordinates that make a pair a candidate
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.default_rng(20)
@@ -128,41 +128,80 @@ def _to_leaders(rows: DataFrame, every: bool) -> DataFrame:
             .select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different parts within a small node that pass the screen; rows
-    arrive sorted by node, and a node has at most SMALL of them."""
+def _by_node(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[list[tuple]]:
+    """The rows of one node after the other, as tuples of the given columns;
+    they arrive sorted by node (column 0), and a node has at most SMALL."""
     node, held = (), []
-
-    def pairs():
-        if len(held) < 2:
-            return [], []
-        low = np.stack([h[2] for h in held])
-        rows, parts = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-        i, j = np.triu_indices(len(held), 1)
-        other = parts[i] != parts[j]
-        i, j = i[other], j[other]
-        near = (low[i] == low[j]).sum(axis=1) >= SCREEN
-        return np.minimum(rows[i], rows[j])[near].tolist(), np.maximum(rows[i], rows[j])[near].tolist()
-
     for batch in batches:
-        a, b = [], []
-        lows = batch.column(3).flatten().to_numpy().reshape(-1, COORDINATES)
-        for own, row, part, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                       batch.column(2).to_pylist(), lows):
+        values = [batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES)
+                  if pa.types.is_list(batch.schema.field(c).type) else batch.column(c).to_pylist() for c in columns]
+        for own, *row in zip(batch.column(0).to_pylist(), *values):
             if node != (own,):
-                x, y = pairs()
-                a += x
-                b += y
+                if held:
+                    yield held
                 node, held = (own,), []
-            held.append((row, part, low))
+            held.append((own, *row))
+    if held:
+        yield held
+
+
+def _pairs(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of (node, row, part, low, ...) of different parts that pass the
+    screen, the most similar first."""
+    low, parts = np.stack([h[3] for h in held]), np.array([h[2] for h in held])
+    i, j = np.triu_indices(len(held), 1)
+    other = parts[i] != parts[j]
+    i, j = i[other], j[other]
+    equal = np.concatenate([(low[i[at:at + _BLOCK]] == low[j[at:at + _BLOCK]]).sum(axis=1)
+                            for at in range(0, len(i), _BLOCK)] or [np.zeros(0, np.int64)])
+    order = np.argsort(-equal, kind="stable")[:int((equal >= SCREEN).sum())]
+    return i[order], j[order]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every small node the rows that have a candidate in another part."""
+    for held in _by_node(batches, [1, 2, 3]):
+        some = np.unique(np.concatenate(_pairs(held)))
+        yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in some], pa.int64()) for c in range(3)],
+                                         ["node", "row", "part"])
+
+
+def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within small nodes: every candidate pair is tested on the full
+    sets unless its ends are connected already, so a node gives a forest."""
+    for held in _by_node(batches, [1, 2, 3, 4]):
+        sets = [np.sort(np.fromiter(map(xxhash.xxh64_intdigest, g := shingles(h[4])), np.uint64, len(g))) for h in held]
+        owner = {h[2]: h[2] for h in held}
+
+        def find(x):
+            while owner[x] != x:
+                owner[x] = x = owner[owner[x]]
+            return x
+        a, b = [], []
+        for i, j in zip(*_pairs(held)):
+            x, y = find(held[i][2]), find(held[j][2])
+            if x != y:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                    owner[max(x, y)] = min(x, y)
+                    a.append(min(held[i][1], held[j][1]))
+                    b.append(max(held[i][1], held[j][1]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    x, y = pairs()
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
-def _within(small: DataFrame) -> DataFrame:
-    return (small.select("node", "row", "part", "low").repartition("node").sortWithinPartitions("node")
-            .mapInArrow(_compare, "a long, b long"))
+def _within(small: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) within small nodes, by exhaustive comparison."""
+    def grouped(df):
+        return df.repartition("node").sortWithinPartitions("node")
+    near = written(grouped(small.select("node", "row", "part", "low")).mapInArrow(_candidates, "node long, row long, part long"),
+                   "near")
+    texts = _texts(near.select("row"), sketches.select("row", "low", "words"))
+    return grouped(near.join(texts, "row").select("node", "row", "part", "low", "words")).mapInArrow(_confirm_nodes, "a long, b long")
+
+
+def _texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The sketches of some rows: the others' texts are not shuffled."""
+    return sketches.join(bounded_broadcast(rows.distinct()), "row", "left_semi")
 
 
 def _screened(edges: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -188,8 +227,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(edges: DataFrame, sketches: DataFrame) -> DataFrame:
     """The edges whose full sets are similar enough.  ``edges`` is written."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    words = sketches.select("row", "words").join(bounded_broadcast(ends), "row", "left_semi")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("row"))
+    words = _texts(ends, sketches.select("row", "words"))
     pairs = (edges.join(words.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b")
              .join(words.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a"))
     return pairs.select("a", "b", "words_a", "words_b").mapInArrow(_confirm, "a long, b long")
@@ -251,18 +290,18 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for level in range(DEPTH):
         members = written(rows, "members")
         large = members.filter(F.col("n") > SMALL)
-        found.append(_within(members.filter(F.col("n") <= SMALL)))
-        if level == DEPTH - 1:
-            found.append(_screened(_to_leaders(large, every=True), sigs))
+        found.append(members.filter(F.col("n") <= SMALL).select("node", "row", "part", "low"))
         if large.isEmpty():
             break
-        rows = _nodes(_children(large))
-    edges = found[0]
+        if level < DEPTH - 1:
+            rows = _nodes(_children(large))
+    small = found[0]
     for more in found[1:]:
-        edges = edges.union(more)
-    edges = written(edges.distinct(), "edges")
+        small = small.union(more)
+    edges = written(_screened(_to_leaders(large, every=True), sigs), "edges")
+    more = _within(small, sketches).union(_links(edges, sketches))
     stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))
-    parts = components(stars.union(_links(edges, sketches)))
+    parts = components(stars.union(more))
     return sketches, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 

@@ -48,7 +48,7 @@ def brute(rows):
 
 def corpus():
     base, passage = prose(150), prose(60)
-    texts = [edited(base, RNG.randint(1, 5)) for _ in range(130)]           # one large group of near copies
+    texts = [edited(base, RNG.randint(1, 5)) for _ in range(330)]           # one large group of near copies
     texts += [f"{prose(120)} {passage} {prose(120)}" for _ in range(90)]       # a passage that many share
     chain = prose(100)
     for _ in range(8):                                                         # a chain of edits
