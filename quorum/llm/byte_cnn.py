@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import held_out
+from quorum.llm.common import held_out, in_batches
 from quorum.operators.joins import bounded_broadcast
 
 FILTERS, WIDTH = 16, 5
@@ -159,4 +159,4 @@ def score(docs: DataFrame, model: ByteCNN) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(scores, pa.float64()),
                  pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return in_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, SCHEMA)

@@ -20,6 +20,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = 500  # rows of an Arrow batch: texts can be long, and a worker holds whole batches
+
+
+def in_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows (a session setting
+    that is only ever lowered), which bounds a Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the
     lineage, so that a lost executor costs only the tasks that it ran."""

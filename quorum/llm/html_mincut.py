@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quorum.llm.common import in_batches
+
 # Element names by their role, and words in class names and ids.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select option "
                     "datalist textarea button input label audio video map".split())
@@ -253,4 +255,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``SCHEMA`` for every row of ``pages`` (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, SCHEMA)
+    return in_batches(pages.select("page_id", "url", "html"), _extract, SCHEMA)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import held_out
+from quorum.llm.common import held_out, in_batches
 
 BUCKETS, MAX_ORDER = 1 << 15, 4
 SAMPLE = 1000          # documents of a language that training may use
@@ -125,7 +125,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros((0, BUCKETS)))
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
     chosen = known.filter(drawn < rate[F.col("lang")]).select("lang", "text")
-    summed = (chosen.mapInArrow(_sum_grams, "lang string, bucket int, n long")
+    summed = (in_batches(chosen, _sum_grams, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     langs = sorted(rates)
     counts = np.zeros((len(langs), BUCKETS))
@@ -145,7 +145,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             found = [shared.value.mixture(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array([bool(x) and x[0][1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages map<string,double>"
@@ -165,4 +165,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array([min(1.0, x[0][1]) if x else 0.0 for x in found], pa.float64()),
                  pa.array(found, pa.map_(pa.string(), pa.float64()))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return in_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, SCHEMA)

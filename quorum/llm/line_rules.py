@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorum.llm.common import in_batches
+
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 SHORT, MAX_LOST = 10, 0.5
 
@@ -130,7 +132,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judge_lines(docs: DataFrame) -> DataFrame:
     """One row of ``SCHEMA`` for every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_judge, SCHEMA)
+    return in_batches(docs.select("doc_id", "text"), _judge, SCHEMA)
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns, among them ``text``) without rejected rows, each
     text without its failing lines; n_chars, where there is one, follows."""
-    out = docs.mapInArrow(_clean, docs.schema)
+    out = in_batches(docs, _clean, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

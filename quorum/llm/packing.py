@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorum.llm.common import written
+from quorum.llm.common import in_batches, written
 
 SEQ_LEN, END_ID = 2048, 1
 
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = SEQ_LEN, with_ids: boo
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset; with ``with_ids`` also the token ids."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, seq_len, with_ids), schema), "pieces")
+    pieces = written(in_batches(docs.select("doc_id", "text"), _pieces(vocabulary, seq_len, with_ids), schema), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     first = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("part", "length", F.coalesce(first, F.lit(0)).alias("first_rank"))
