@@ -40,13 +40,13 @@ from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import shared_folder, written
+from quorum.llm.common import in_batches, shared_folder, written
 from quorum.operators.joins import bounded_broadcast
+from quorum.sources.io import store
 
 ROLL = 32 << 20        # bytes of gzipped records in a package
 NEAR = 4 << 20         # bytes of neighbouring records read at once
@@ -106,13 +106,6 @@ class _Package:
         return out.getvalue()
 
 
-def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 MANIFEST = "path string, n_records long"
 
 
@@ -151,7 +144,7 @@ def write_packages(pages: DataFrame, least_revisit: int = 0, roll: int = ROLL) -
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha")).join(bounded_broadcast(same), "sha", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest"))
     folder = shared_folder(pages.sparkSession, "wacz")
-    return written(rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write(folder, roll), MANIFEST),
+    return written(in_batches(rows.select("page_id", "url", "html", refers.alias("refers_to")), _write(folder, roll), MANIFEST),
                    "manifest")
 
 
@@ -303,4 +296,5 @@ def _read(with_payload: bool):
 def read_packages(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """``READ``'s columns of every record in the packages that ``manifest``
     (path) names; payload is null for revisits and without ``with_payload``."""
-    return manifest.select("path").repartition("path").mapInArrow(_read(with_payload), READ)
+    packages = max(1, manifest.count())  # a task each: a package is what one task can well read
+    return in_batches(manifest.select("path").repartition(packages), _read(with_payload), READ)
