@@ -11,8 +11,9 @@ components.
 2. Each of ``TREES`` independent trees puts a vertex into a node by a minwise
    value.  Nodes of up to ``SMALL`` vertices are compared exhaustively in one
    task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to the child
-   named by its value of a coordinate that the node's own path selects; what is
-   still large after ``DEPTH`` levels is compared with ``LEADERS`` of its node.
+   named by its value of a coordinate that the node's own path selects, for
+   ``DEPTH`` levels.  The vertices of a large root are also compared with
+   ``LEADERS`` of it that agree most with its modes.
 3. A first round runs a few trees and compares with leaders only; it connects
    the bulk of each group of copies.  The second round runs all trees but skips
    every node whose vertices are in one component already, so that a large
@@ -34,6 +35,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import LOWER, UPPER, erase, written
+from quorum.llm.common import erase, in_batches, LOWER, UPPER, written
 from quorum.operators.joins import bounded_broadcast
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, FIRST_TREES = 64, 16, 3
-SMALL, LEADERS, DEPTH = 256, 3, 5
-SCREEN = 36  # equal coordinates that make a pair a candidate
+SMALL, LEADERS, CLASSES, DEPTH = 256, 2, 8, 5
+SCREEN, CENTRAL = 36, 28  # equal coordinates that make a pair a candidate, or a vertex like its node's modes
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.default_rng(20)
@@ -110,21 +112,48 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _nodes(vertices: DataFrame) -> DataFrame:
     """Of (node, row, part, ...): the rows of nodes that hold more than one
     part, with the node's size and leaders."""
-    leaders = [F.min(F.struct("row", "part")).alias("leader0")] + [
-        F.min_by(F.struct("row", "part"), F.xxhash64(F.lit(i), "row", "node")).alias(f"leader{i}") for i in range(1, LEADERS)]
-    mixed = (vertices.groupBy("node").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), *leaders)
+    mixed = (vertices.groupBy("node").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"),
+                                          F.min("row").alias("first"), F.min_by("row", F.xxhash64("row", "node")).alias("chosen"))
              .filter("lo != hi").drop("lo", "hi"))
     return vertices.join(mixed, "node")
 
 
-def _to_leaders(rows: DataFrame, every: bool) -> DataFrame:
-    """Edges (a < b) from each vertex to leaders of its node that are in another
-    part: to all, or else to one, which is the smallest row in a small node (it
-    tends to be the same one in all trees) and a chosen row in a large one."""
-    leaders = F.array(*[f"leader{i}" for i in range(LEADERS)])
-    one = F.array(F.when(F.col("n") > SMALL, F.col("leader1")).otherwise(F.col("leader0")))
-    return (rows.select("row", "part", F.explode(leaders if every else one).alias("other"))
-            .filter("part != other.part")
+def _to_leaders(rows: DataFrame) -> DataFrame:
+    """Edges (a < b) from each vertex to one of its node: the smallest row in a
+    small node (it tends to be the same one in all trees), a chosen row in a
+    large one."""
+    other = F.when(F.col("n") > SMALL, F.col("chosen")).otherwise(F.col("first"))
+    return (rows.select("row", other.alias("other")).filter("row != other")
+            .select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
+
+
+def _modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent value of every coordinate in each node's sample."""
+    for batch in batches:
+        out = []
+        for lows in batch.column(1).to_pylist():
+            values = np.array(lows, np.int8).astype(np.int64) + 128
+            counts = np.zeros((COORDINATES, 256), np.int64)
+            np.add.at(counts, (np.arange(COORDINATES)[None, :], values), 1)
+            out.append((counts.argmax(axis=1) - 128).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int8()))], ["node", "mode"])
+
+
+def _to_central(large: DataFrame) -> DataFrame:
+    """Edges (a < b) from vertices of a large node to its LEADERS, unless they
+    are in the same part.  The modes come from about SMALL vertices of the
+    node; the leaders are the vertices that agree most with them, the best of
+    LEADERS of CLASSES classes (others in other trees).  Vertices that hardly agree with the modes are
+    not like the leaders either, and are left to the node's children."""
+    sample = large.filter(F.pmod(F.xxhash64("row", "node"), F.ceil(F.col("n") / SMALL)) == 0)
+    modes = in_batches(sample.groupBy("node").agg(F.collect_list("low").alias("lows")), _modes, "node long, mode array<tinyint>")
+    central = written(large.join(modes, "node").select("node", "row", "part", _agreement("low", "mode").alias("agree"))
+                      .filter(F.col("agree") >= CENTRAL), "central")
+    own = (F.pmod(F.xxhash64("row"), F.lit(CLASSES)) + F.pmod("node", F.lit(CLASSES))) % CLASSES
+    leaders = central.groupBy("node").agg(F.array(*[
+        F.max_by(F.struct("row", "part"), F.when(own == i, F.struct("agree", "row"))) for i in range(LEADERS)]).alias("leaders"))
+    others = F.filter("leaders", lambda x: x.part != F.col("part"))
+    return (central.join(leaders, "node").select("row", F.explode_outer(others).alias("other")).filter("other.row is not null")
             .select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")))
 
 
@@ -193,10 +222,10 @@ def _within(small: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) within small nodes, by exhaustive comparison."""
     def grouped(df):
         return df.repartition("node").sortWithinPartitions("node")
-    near = written(grouped(small.select("node", "row", "part", "low")).mapInArrow(_candidates, "node long, row long, part long"),
+    near = written(in_batches(grouped(small.select("node", "row", "part", "low")), _candidates, "node long, row long, part long"),
                    "near")
     texts = _texts(near.select("row"), sketches.select("row", "low", "words"))
-    return grouped(near.join(texts, "row").select("node", "row", "part", "low", "words")).mapInArrow(_confirm_nodes, "a long, b long")
+    return in_batches(grouped(near.join(texts, "row").select("node", "row", "part", "low", "words")), _confirm_nodes, "a long, b long")
 
 
 def _texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -204,10 +233,14 @@ def _texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return sketches.join(bounded_broadcast(rows.distinct()), "row", "left_semi")
 
 
+def _agreement(a: str, b: str):
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
 def _screened(edges: DataFrame, sigs: DataFrame) -> DataFrame:
     """Distinct edges whose ends agree in SCREEN coordinates."""
     ends = [sigs.select(F.col("row").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab"]
-    equal = F.size(F.filter(F.zip_with("low_a", "low_b", lambda x, y: x == y), lambda x: x))
+    equal = _agreement("low_a", "low_b")
     return (edges.distinct().join(ends[1], "b").join(ends[0], "a").filter(equal >= SCREEN).select("a", "b"))
 
 
@@ -231,7 +264,7 @@ def _links(edges: DataFrame, sketches: DataFrame) -> DataFrame:
     words = _texts(ends, sketches.select("row", "words"))
     pairs = (edges.join(words.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b")
              .join(words.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a"))
-    return pairs.select("a", "b", "words_a", "words_b").mapInArrow(_confirm, "a long, b long")
+    return in_batches(pairs.select("a", "b", "words_a", "words_b"), _confirm, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,30 +308,29 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written sketches of ``docs`` (doc_id, text), and (digest, row, id,
     part): each distinct text's vertex and component."""
     raw = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sketches = written(raw.mapInArrow(_sketch, SKETCH), "sketches")
+    sketches = written(in_batches(raw, _sketch, SKETCH), "sketches")
     vertices = written(sketches.filter("digest is not null").groupBy("digest").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("id")), "vertices")
     sigs = written(sketches.select("row", "roots", "low").join(vertices.select("row"), "row"), "sigs")
 
     first = _nodes(_roots(sigs, FIRST_TREES).withColumn("part", F.col("row")))
-    edges = written(_screened(_to_leaders(first, every=False), sigs), "edges")
+    edges = written(_screened(_to_leaders(first), sigs), "edges")
     links = written(_links(edges, sketches), "links")
     parts = written(components(links), "parts")
 
     placed = written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
-    found, rows = [], _nodes(_roots(sigs, TREES).join(placed.select("row", "part"), "row")).join(placed.select("row", "low"), "row")
+    roots = _nodes(_roots(sigs, TREES).join(placed.select("row", "part"), "row"))
+    small, rows = [], roots.join(placed.select("row", "low"), "row")
     for level in range(DEPTH):
         members = written(rows, "members")
         large = members.filter(F.col("n") > SMALL)
-        found.append(members.filter(F.col("n") <= SMALL).select("node", "row", "part", "low"))
+        small.append(members.filter(F.col("n") <= SMALL).select("node", "row", "part", "low"))
+        if level == 0:
+            edges = written(_screened(_to_central(large), sigs), "edges")
         if large.isEmpty():
             break
-        if level < DEPTH - 1:
-            rows = _nodes(_children(large))
-    small = found[0]
-    for more in found[1:]:
-        small = small.union(more)
-    edges = written(_screened(_to_leaders(large, every=True), sigs), "edges")
+        rows = _nodes(_children(large))
+    small = functools.reduce(DataFrame.union, small)
     more = _within(small, sketches).union(_links(edges, sketches))
     stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))
     parts = components(stars.union(more))
