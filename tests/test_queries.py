@@ -36,7 +36,10 @@ def test_oracle(spark, duck, key):
 
 def test_every_query_has_oracle_or_is_listed():
     # only the bootstrap bound (seeded NumPy draws) has no SQL form
-    assert set(E.queries()) - set(E.oracle_sql()) == {"wd_lower"}
+    from quorum.plans import registry
+    registry.load_all()
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"wd_lower"}
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLES) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
