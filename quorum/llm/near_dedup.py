@@ -12,8 +12,10 @@ components.
    value.  Nodes of up to ``SMALL`` vertices are compared exhaustively in one
    task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to the child
    named by its value of a coordinate that the node's own path selects, for
-   ``DEPTH`` levels.  The vertices of a large root are also compared with
-   ``LEADERS`` of it that agree most with its modes.
+   ``DEPTH`` levels.  Nodes that are large at the last level are cut into blocks
+   by a hash of the row, and all pairs of blocks are compared like small nodes,
+   each in a task of its own.  The vertices of a large root are also compared
+   with ``LEADERS`` of it that agree most with its modes.
 3. A first round runs a few trees and compares with leaders only; it connects
    the bulk of each group of copies.  The second round runs all trees but skips
    every node whose vertices are in one component already, so that a large
@@ -298,6 +300,17 @@ def _roots(sigs: DataFrame, trees: int) -> DataFrame:
         t, F.col("roots")[t]))).alias("node"))
 
 
+def _blocks(large: DataFrame) -> DataFrame:
+    """A node for every two blocks of a large node's vertices, so that each pair
+    of them is in one: blocks hold about SMALL / 2, and a vertex is copied once
+    for each other block."""
+    blocks = F.ceil(F.col("n") * 2 / SMALL)
+    own = F.pmod(F.xxhash64("row", "node"), blocks)
+    copies = large.select("node", "row", "part", "low", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return copies.filter("own != other").select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
+                                                "row", "part", "low")
+
+
 def _children(rows: DataFrame) -> DataFrame:
     """The nodes below ``rows``, by a coordinate that the path selects."""
     at = F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int")
@@ -329,7 +342,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             edges = written(_screened(_to_central(large), sigs), "edges")
         if large.isEmpty():
             break
-        rows = _nodes(_children(large))
+        if level == DEPTH - 1:
+            small.append(_blocks(large))
+        else:
+            rows = _nodes(_children(large))
     small = functools.reduce(DataFrame.union, small)
     more = _within(small, sketches).union(_links(edges, sketches))
     stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))

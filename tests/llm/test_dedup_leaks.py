@@ -71,6 +71,26 @@ def test_components_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+def family(shared, pairs):
+    """Texts with one template, 0.69 similar to each other; two and two also
+    share ``shared`` words, which links them."""
+    rng = random.Random(11)
+    base, texts = prose(180, rng), []
+    for _ in range(pairs):
+        same = prose(shared, rng)
+        texts += [f"{base} {same} {prose(40 - shared, rng)}" for _ in range(2)]
+    return list(enumerate(texts))
+
+
+def test_links_within_a_hot_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 32)
+    rows = family(16, 120)
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute(rows)
+    assert len({w[2] for w in want}) == 120
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def test_dedup_odd_rows(spark):
     a, b = prose(40), prose(40)
     rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (7, None), (7, None), (8, ""), (9, a.upper())]
