@@ -10,12 +10,13 @@ components.
    ``COORDINATES`` minwise values.  Equal texts are one vertex from here on.
 2. Each of ``TREES`` independent trees puts a vertex into a node by a minwise
    value.  Nodes of up to ``SMALL`` vertices are compared exhaustively in one
-   task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to the child
-   named by its value of a coordinate that the node's own path selects, for
-   ``DEPTH`` levels.  Nodes that are large at the last level are cut into blocks
-   by a hash of the row, and all pairs of blocks are compared like small nodes,
-   each in a task of its own.  The vertices of a large root are also compared
-   with ``LEADERS`` of it that agree most with its modes.
+   task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to
+   ``BRANCHES`` children, named by its values of coordinates that the node's
+   own path selects and that no node above it used.  A node whose children have
+   more pairs than itself, or that is large at the last of ``DEPTH`` levels, is
+   cut into blocks by a hash of the row, and all pairs of blocks are compared
+   like small nodes, each in a task of its own.  The vertices of a large root
+   are also compared with ``LEADERS`` of it that agree most with its modes.
 3. A first round runs a few trees and compares with leaders only; it connects
    the bulk of each group of copies.  The second round runs all trees but skips
    every node whose vertices are in one component already, so that a large
@@ -24,8 +25,9 @@ components.
    rounds label the components.
 
 Two sets at the threshold share one of the trees' first values but for a chance
-of 0.25^16, after two branchings one of their paths but for 0.58^16 = 2e-4, and
-pass the screen on minwise values but for about 2e-4.
+of 0.25^16.  With two branches a path goes on to any depth but for 1/9, so the
+trees would miss 0.33^16 = 2e-8 if the coordinates of all were independent; they
+share 48, so the true figure is higher.  The screen misses about 3e-4.
 
 Defined cases: documents without words (null, empty, white space) are linked
 with nothing; equal texts are linked; rows with one doc_id and several texts
@@ -52,7 +54,8 @@ from quorum.operators.joins import bounded_broadcast
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, FIRST_TREES = 64, 16, 3
-SMALL, LEADERS, CLASSES, DEPTH = 256, 2, 8, 5
+SMALL, LEADERS, CLASSES = 256, 2, 8
+BRANCHES, DEPTH = 2, 9
 SCREEN, CENTRAL = 36, 28  # equal coordinates that make a pair a candidate, or a vertex like its node's modes
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -311,10 +314,19 @@ def _blocks(large: DataFrame) -> DataFrame:
                                                 "row", "part", "low")
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """The nodes below ``rows``, by a coordinate that the path selects."""
-    at = F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int")
-    return rows.select("row", "part", "low", F.xxhash64("node", at, F.col("low")[at]).alias("node"))
+def _children(rows: DataFrame, level: int) -> DataFrame:
+    """The nodes below ``rows``: BRANCHES for each vertex, by coordinates that
+    the path selects among those of this level, so none comes twice on a path."""
+    each = (COORDINATES - TREES) // (DEPTH - 1)
+    ats = [(F.pmod(F.xxhash64("node") + i, F.lit(each)) + TREES + level * each).cast("int") for i in range(BRANCHES)]
+    return rows.select("row", "part", "low", F.col("node").alias("above"), F.col("n").alias("n_above"),
+                       F.explode(F.array(*[F.xxhash64("node", at, F.col("low")[at]) for at in ats])).alias("node"))
+
+
+def _dense(children: DataFrame) -> DataFrame:
+    """The large nodes whose children have more pairs than they have."""
+    pairs = children.groupBy("above").agg(F.sum("n").alias("pairs"), F.first("n_above").alias("n"))
+    return pairs.filter(F.col("pairs") > F.col("n") * F.col("n")).select("above")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -333,9 +345,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
     roots = _nodes(_roots(sigs, TREES).join(placed.select("row", "part"), "row"))
-    small, rows = [], roots.join(placed.select("row", "low"), "row")
+    small, members = [], written(roots.join(placed.select("row", "low"), "row"), "members")
     for level in range(DEPTH):
-        members = written(rows, "members")
         large = members.filter(F.col("n") > SMALL)
         small.append(members.filter(F.col("n") <= SMALL).select("node", "row", "part", "low"))
         if level == 0:
@@ -345,7 +356,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if level == DEPTH - 1:
             small.append(_blocks(large))
         else:
-            rows = _nodes(_children(large))
+            children = written(_nodes(_children(large, level)), "members")
+            dense = bounded_broadcast(written(_dense(children), "dense"))
+            small.append(_blocks(large.join(dense, F.col("node") == F.col("above"), "left_semi")))
+            members = children.join(dense, "above", "left_anti").drop("above", "n_above")
     small = functools.reduce(DataFrame.union, small)
     more = _within(small, sketches).union(_links(edges, sketches))
     stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))

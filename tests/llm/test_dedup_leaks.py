@@ -91,6 +91,13 @@ def test_links_within_a_hot_family(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def test_links_near_the_threshold_in_a_hot_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 32)
+    rows = family(12, 300)
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_dedup_odd_rows(spark):
     a, b = prose(40), prose(40)
     rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (7, None), (7, None), (8, ""), (9, a.upper())]
