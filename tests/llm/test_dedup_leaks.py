@@ -98,6 +98,14 @@ def test_links_near_the_threshold_in_a_hot_family(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_screen_misses_few_links():
+    import numpy as np
+    low = np.zeros((2, near_dedup.COORDINATES), np.int8)
+    low[1, 32:] = 1  # half of the coordinates differ: at 0.75 less than this has a chance of 5e-6
+    i, j = near_dedup._pairs([(0, k, k, low[k]) for k in range(2)])
+    assert (i.tolist(), j.tolist()) == ([0], [1])
+
+
 def test_dedup_odd_rows(spark):
     a, b = prose(40), prose(40)
     rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (7, None), (7, None), (8, ""), (9, a.upper())]
