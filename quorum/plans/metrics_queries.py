@@ -237,6 +237,14 @@ def q_wd_lower(spark, sf_dir):
                               n_per_side=500, n_bootstrap=500, seed=42)
 
 
+def bounds_summary_whole(spark, sf_dir):
+    """A13 with 500 x 500 draws, as the reference summarises it; the query
+    bounds_summary has the 20 x 8 draws that its SQL writes out."""
+    from quorum.operators.compare import bounds_summary
+    both = upper_bounds(spark, sf_dir).join(q_wd_lower(spark, sf_dir), "row_idx", "full")
+    return bounds_summary(both, {"wd_upper_uniform": "upper", "wd_lower_bootstrap_mean": "lower"})
+
+
 # ---- A8
 @query("entropy", with_views("line_responses", ctes="""
 cnt AS (SELECT qkey, code, count(*) AS c FROM line_responses GROUP BY qkey, code),
