@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import (byte_cnn, chat, decontaminate, html_mincut, language_mix, line_rules, near_dedup,
-                        packing, url_filter, wacz)
+                        packing, token_align, url_filter, wacz)
 from quorum.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,8 @@ SELECT page_id, payload_bytes,
 def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = wacz.write_packages(table(spark, sf_dir, "pages"))
     return wacz.read_packages(manifest, with_payload=False).drop("url", "payload")
+
+
+@register("op11_token_align")
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
