@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,24 @@ def in_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def wide_batches(spark: SparkSession, rows: int = 10_000):
+    """Within it, jobs whose Arrow rows are a few numbers come in larger batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the
     lineage, so that a lost executor costs only the tasks that it ran."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

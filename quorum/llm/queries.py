@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import (byte_cnn, chat, decontaminate, html_mincut, language_mix, line_rules, near_dedup,
-                        packing, token_align, url_filter, wacz)
+from quorum.llm import (byte_cnn, chat, decontaminate, hard_negatives, html_mincut, jaccard_join, language_mix,
+                        line_rules, near_dedup, packing, token_align, url_filter, wacz)
 from quorum.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,33 @@ def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_token_align")
 def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+NEGATIVE_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, list_dot_product(a.q, v.q)::BIGINT AS score
+      FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@register("op13_hard_negatives", NEGATIVE_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+LINK_SQL = DEDUP_SQL.replace(">= 75 *", ">= 80 *").rpartition("SELECT")[0] + """SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+       least(doc_id, coalesce(least, doc_id)) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.x = d.r
+"""
+
+
+@register("op12_jaccard_join", LINK_SQL)
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))

@@ -20,9 +20,9 @@ def test_names():
     assert {q for q in [*names, "pipeline"] if q not in E.oracle_sql()} == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("key", ["op1_decontamination", "op2_url_filter", "op4_quality_rules", "op7_chat_format", "op8_near_dedup", "op10_wacz"])
+@pytest.mark.parametrize("key", ["op1_decontamination", "op2_url_filter", "op4_quality_rules", "op7_chat_format", "op8_near_dedup", "op10_wacz", "op12_jaccard_join", "op13_hard_negatives"])
 def test_against_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     assert canon(E.queries()[key](spark, SF).toPandas()) == canon(con.execute(E.oracle_sql()[key]).fetchdf())
