@@ -5,38 +5,57 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorum.functions import rng, text
-from quorum.operators.joins import bounded_broadcast
+from quorum.operators.positions import scan
 
 METRICS = ("kl", "wd", "loss")
 
 
+def _with_deltas(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    return pairs.withColumns({f"{m}_delta_base_minus_ft": F.col(f"{m}_baseline") - F.col(f"{m}_ft") for m in metrics})
+
+
+def _sides(baseline: DataFrame, finetuned: DataFrame, metrics: Sequence[str], *others: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select(*others, *[F.col(m).alias(f"{m}_{side}") for m in metrics])
+                 for df, side in ((baseline, "baseline"), (finetuned, "ft")))
+
+
 def paired_join(baseline: DataFrame, finetuned: DataFrame, key: str = "row_idx",
                 metrics: Sequence[str] = METRICS) -> DataFrame:
     """J9 + F33: pair two metric tables by position in row-index order (error
-    on a row-count mismatch) and add ``<m>_delta_base_minus_ft``.  Equal index
-    sets (compared by count and checksum) pair by the index itself; others by
-    rank, keeping the baseline's index."""
-    mark = (F.count(F.lit(1)), F.sum(F.xxhash64(key).cast("decimal(38,0)")), F.count_distinct(key))
-    (nb, *mb), (nf, *mf) = baseline.agg(*mark).first(), finetuned.agg(*mark).first()  # scalars
-    if nb != nf:
-        raise ValueError(f"Row count mismatch: baseline={nb} ft={nf}")
-    if mb != mf or mb[1] != nb:
-        from quorum.operators.sequences import global_row_index
-        cols = [key, *metrics]  # metrics break ties of a repeated index
-        baseline, finetuned = (global_row_index(x.select(*cols), cols, name="_rank") for x in (baseline, finetuned))
-        finetuned = finetuned.drop(key).join(baseline.select("_rank", key), "_rank").drop("_rank")
-        if mb[1] != nb:
-            raise ValueError(f"{key} repeats: rows cannot be told apart")
-        baseline = baseline.drop("_rank")
-    b = baseline.select(key, *[F.col(m).alias(f"{m}_baseline") for m in metrics])
-    f = finetuned.select(key, *[F.col(m).alias(f"{m}_ft") for m in metrics])
-    p = b.join(f, key)
-    for m in metrics:
-        p = p.withColumn(f"{m}_delta_base_minus_ft", F.col(f"{m}_baseline") - F.col(f"{m}_ft"))
-    return p
+    on a row-count mismatch) and add ``<m>_delta_base_minus_ft``.  Equal sets of
+    indexes pair by the index itself: one full outer join, written, whose unmatched
+    rows and repeats tell whether they are.  Others pair by rank
+    (``paired_by_position``), keeping the baseline's index."""
+    from quorum.sources.io import kept
+    sides = _sides(baseline, finetuned, metrics, key)
+    # the counts use the join's own partitioning
+    b, f = (x.withColumnRenamed(key, f"_{n}").withColumn(f"_n{n}", F.count(F.lit(1)).over(Window.partitionBy(f"_{n}")))
+            for x, n in zip(sides, "bf"))
+    both = kept(b.join(f, F.col("_b") == F.col("_f"), "full_outer"), "paired")
+    alone = both.agg(F.count_if(F.col("_nf").isNull()).alias("b"), F.count_if(F.col("_nb").isNull()).alias("f"),
+                     F.max(F.greatest("_nb", "_nf")).alias("n")).first()
+    if (alone["n"] or 1) == 1 and alone["b"] != alone["f"]:
+        raise ValueError(f"Row count mismatch: {alone['b']} baseline rows and {alone['f']} fine-tuned rows have no partner")
+    if (alone["n"] or 1) > 1 or alone["b"]:
+        return paired_by_position(baseline, finetuned, [key], key, metrics)
+    return _with_deltas(both.drop("_f", "_nb", "_nf").withColumnRenamed("_b", key), metrics)
+
+
+def paired_by_position(baseline: DataFrame, finetuned: DataFrame, order: Sequence[str], name: str = "row_idx",
+                       metrics: Sequence[str] = METRICS) -> DataFrame:
+    """The nth row by ``order`` of one table with the nth of the other, equal
+    keys in the order of the input.  The scans count the rows while they number
+    them, so that a mismatch is an error and each side is read in one pass."""
+    numbered = [scan(x.select(*dict.fromkeys([*order, *metrics])), order, name="_rank") for x in (baseline, finetuned)]
+    if numbered[0].count != numbered[1].count:
+        raise ValueError(f"Row count mismatch: baseline={numbered[0].count} ft={numbered[1].count}")
+    index = F.col(name) if name in baseline.columns else F.col("_rank")
+    b, f = _sides(numbered[0].rows.withColumn(name, index), numbered[1].rows.withColumn(name, F.lit(None)), metrics, "_rank", name)
+    return _with_deltas(b.join(f.drop(name), "_rank").drop("_rank"), metrics)
 
 
 def paired_summary(paired: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -155,15 +174,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 def running_best(series: DataFrame, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
     """Best loss before each step and whether the step is a new best.
     Prefix minimum by blocks, so one very long run is split over tasks."""
-    from quorum.operators.sequences import global_prefix
-    b = global_prefix(series, loss, [step], [run], name="best_before", how="min")
+    b = scan(series, [step], [run], "best_before", loss, "min").rows
     return b.withColumn("is_best", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
 
 
 def step_cap(series: DataFrame, cap: int, run: str = "run", step: str = "step") -> DataFrame:
     """Keep the first ``cap`` steps of every run (dense rank by blocks)."""
-    from quorum.operators.sequences import global_row_index
-    r = global_row_index(series, [step], [run], name="_rn")
+    r = scan(series, [step], [run], "_rn").rows
     return r.where(F.col("_rn") < cap).drop("_rn")
 
 

@@ -1,122 +1,44 @@
 """Token sequences: global order, length batches, packing, padding, labels
 (W2–W4, W7, W10, F8, F21, F22, X6).
 
-Global-order operators never use a one-partition window over the data.
-They use *blocks*: ``repartitionByRange`` cuts the data into ordered blocks
-(as many as shuffle partitions), a tiny per-block table (one row per block) gives each
-block its offset, and positions inside a block come from a window
-partitioned by block.  The block table is checkpointed into the shared
-checkpoint folder so a lost executor recomputes the same blocks.
+Global-order operators never use a one-partition window over the data, but the
+prefix scan of ``operators.positions``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.functions import rng
-from quorum.operators.joins import bounded_broadcast
-from quorum.session import checkpoint_dir
+from quorum.operators.positions import scan
 
 IGNORE_INDEX = -100
 
 
-def _blocks(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = ()) -> DataFrame:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # range sampling and the write share one scan of the keys
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blk = (src.repartitionByRange(n, *partition_cols, *order_cols)
-              .withColumn("_blk", F.spark_partition_id()))
-    out = blk.checkpoint()  # fixes block membership (reliable, shared folder)
-    src.unpersist()
-    return out
-
-
-def _with_offsets(blk: DataFrame, offs: DataFrame, pc: Sequence[str]) -> DataFrame:
-    """Blocks with their offsets; a NULL partition key is a key like others."""
-    o = offs.select(*[F.col(k).alias(f"_o_{k}") for k in pc], F.col("_blk").alias("_o_blk"), "_off")
-    cond = blk["_blk"] == F.col("_o_blk")
-    for k in pc:
-        cond = cond & blk[k].eqNullSafe(F.col(f"_o_{k}"))
-    return blk.join(bounded_broadcast(o), cond).drop("_o_blk", *[f"_o_{k}" for k in pc])
-
-
-def _join_back(df: DataFrame, narrow: DataFrame, keys: Sequence[str], new_cols: Sequence[str]) -> DataFrame:
-    """Attach ``new_cols`` computed on the key columns back to the full rows
-    (null-safe equality on the keys; the narrow side is broadcast when its
-    size estimate allows)."""
-    n = narrow.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *new_cols)
-    cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(F.col(f"_k_{k}"))
-        cond = c if cond is None else cond & c
-    return df.join(bounded_broadcast(n), cond).drop(*[f"_k_{k}" for k in keys])
-
-
 def global_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                      name: str = "row_idx") -> DataFrame:
-    """Dense 0-based index by ``order_cols`` (within ``partition_cols``)."""
-    return counted_row_index(df, order_cols, partition_cols, name)[0]
+    """Dense 0-based index by ``order_cols`` (within ``partition_cols``);
+    rows with equal keys in the order of the input."""
+    return scan(df, order_cols, partition_cols, name).rows
 
 
 def counted_row_index(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                       name: str = "row_idx") -> tuple[DataFrame, int]:
-    """W7 with the number of rows, which the blocks know already.
-
-    ``order_cols`` must give a total order (add a unique tie-breaker).  The
-    index is computed on the key columns only (blocks, offsets) and joined
-    back, so wide rows are shuffled once and never checkpointed."""
-    pc = list(partition_cols)
-    keys = [*pc, *order_cols]
-    blk = _blocks(df.select(*keys), order_cols, pc)
-    sizes = blk.groupBy(*pc, "_blk").agg(F.count(F.lit(1)).alias("_n"))  # one row per block
-    w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(*pc, "_blk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols)
-    idx = (_with_offsets(blk, offs, pc)
-              .withColumn(name, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint")))
-    return _join_back(df, idx, keys, [name]), blk.count()
+    """W7 with the number of rows, which the blocks know already."""
+    found = scan(df, order_cols, partition_cols, name)
+    return found.rows, found.count
 
 
 def global_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                   name: str = "offset", how: str = "sum") -> DataFrame:
-    """Exclusive running ``sum`` or ``min``, see ``totalled_prefix``."""
-    return totalled_prefix(df, value, order_cols, partition_cols, name, how)[0]
-
-
-def totalled_prefix(df: DataFrame, value: str, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
-                    name: str = "offset", how: str = "sum") -> tuple[DataFrame, float | None]:
     """Exclusive running ``sum`` or ``min`` of ``value`` in ``order_cols``
-    order (within ``partition_cols``), by blocks: a hot partition key is cut
-    into several range blocks, each block's total is combined on a
-    one-row-per-block table, then added inside the block.  Computed on the
-    key and value columns only, then joined back to the full rows.  Also
-    returns the total over all rows, which the blocks know already."""
-    agg = {"sum": F.sum, "min": F.min}[how]
-    pc = list(partition_cols)
-    keys = [*pc, *order_cols]
-    blk = _blocks(df.select(*keys, F.col(value).alias("_v")), order_cols, pc)
-    sizes = blk.groupBy(*pc, "_blk").agg(agg("_v").alias("_s"))
-    w = Window.partitionBy(*pc).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # per block
-    offs = sizes.select(*pc, "_blk", agg("_s").over(w).alias("_off"))
-    inner = Window.partitionBy("_blk", *pc).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    within = agg("_v").over(inner)
-    if how == "sum":
-        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(within, F.lit(0))
-    else:  # min of the earlier blocks and the earlier rows of this block; NULL when nothing precedes
-        combined = F.least(F.col("_off"), within)
-    idx = _with_offsets(blk, offs, pc).withColumn(name, combined)
-    return _join_back(df, idx, keys, [name]), sizes.agg(agg("_s")).first()[0]
-
-
-def global_prefix_sum(df: DataFrame, value: str, order_cols: Sequence[str], name: str = "offset") -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order_cols`` order, by blocks."""
-    return global_prefix(df, value, order_cols, name=name, how="sum").withColumn(name, F.col(name).cast("bigint"))
+    order within ``partition_cols``; a run that holds much of the table is cut
+    into several blocks."""
+    return scan(df, order_cols, partition_cols, name, value, how).rows
 
 
 def length_batches(df: DataFrame, length: str, key: str, batch_size: int, drop_last: bool = True,
@@ -128,13 +50,11 @@ def length_batches(df: DataFrame, length: str, key: str, batch_size: int, drop_l
     r = r.withColumn("batch", F.floor(F.col("rank") / batch_size).cast("bigint"))
     n_batches = total // batch_size if drop_last else -(-total // batch_size)
     r = r.where(F.col("rank") < n_batches * batch_size)
+    if not shuffle:
+        return r.withColumn("batch_pos", F.col("batch"))
     batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch")  # the input is not read again for them
-    if shuffle:
-        order = batches.withColumn("_h", rng.hash_order(seed, F.col("batch")))
-        pos = global_row_index(order, ["_h", "batch"], name="batch_pos").drop("_h")
-    else:
-        pos = batches.withColumn("batch_pos", F.col("batch"))
-    return r.join(pos, "batch")
+    order = batches.withColumn("_h", rng.hash_order(seed, F.col("batch")))
+    return r.join(global_row_index(order, ["_h", "batch"], name="batch_pos").drop("_h"), "batch")
 
 
 def batch_stripes(batched: DataFrame, num_replicas: int, n_batches: int | None = None) -> DataFrame:
@@ -145,14 +65,19 @@ def batch_stripes(batched: DataFrame, num_replicas: int, n_batches: int | None =
                    .withColumn("replica", F.pmod(F.col("batch_pos"), F.lit(num_replicas)).cast("int")))
 
 
-def pack_sequences(df: DataFrame, tokens: str, order_cols: Sequence[str], chunk_size: int) -> DataFrame:
+def pack_sequences(df: DataFrame, tokens: str, order_cols: Sequence[str], chunk_size: int,
+                   made: Column | None = None) -> DataFrame:
     """Concatenate token arrays in row order and cut chunks of
     ``chunk_size``; the tail (≤ chunk_size tokens) is dropped, so there are
     ceil(T/C) - 1 chunks.  Each row ships only the slices that fall in
-    each chunk (no per-token shuffle); a chunk is bounded by C tokens."""
-    r = df.select(*order_cols, tokens).withColumn("_len", F.size(tokens))
-    r, total = totalled_prefix(r, "_len", order_cols, name="_start")
-    r, total = r.withColumn("_start", F.col("_start").cast("bigint")), total or 0
+    each chunk (no per-token shuffle); a chunk is bounded by C tokens.
+
+    ``made`` makes the tokens from the columns of ``df``; it runs in the ordered
+    blocks, once, where ``df`` with its tokens is also run for the ranges."""
+    source = df if made is not None else df.select(*order_cols, tokens)
+    derived = ({tokens: made} if made is not None else {}) | {"_len": F.size(tokens)}
+    r, _, total = scan(source, order_cols, (), "_start", "_len", derived=derived, drop=[c for c in df.columns if c != tokens])
+    total = total or 0
     C = chunk_size
     r = r.withColumn("_T", F.lit(total)).where(F.col("_len") > 0)
     first = F.floor(F.col("_start") / C)

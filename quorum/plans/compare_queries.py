@@ -79,6 +79,18 @@ def q_paired_join(spark, sf_dir):
     return _paired(spark, sf_dir).select("row_idx", *[r9(c).alias(c) for c in _PAIRED_COLS])
 
 
+@query("paired_files", EVAL_SQL + "SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, " +
+       ", ".join(f"round({c}, 9) AS {c}" for c in _PAIRED_COLS) + " FROM paired")
+def q_paired_files(spark, sf_dir):
+    """Metric files without an index, paired by their rows' places."""
+    paths = []
+    for name, w in (("base", 0.0), ("ft", FT_WEIGHT)):
+        paths.append(IO.scratch(spark, name))
+        eval_rows(spark, sf_dir, w).orderBy("row_idx").drop("row_idx").write.option("header", True).csv(paths[-1])
+    p = IO.read_paired_eval_csv(spark, *paths, CP.METRICS, "kl double, wd double, loss double")
+    return p.select("row_idx", *[r9(c).alias(c) for c in _PAIRED_COLS])
+
+
 _SUM_SQL = EVAL_SQL + "SELECT count(*) AS rows, " + ", ".join(
     f"round(avg({m}_baseline), 9) AS {m}_baseline_mean, round(avg({m}_ft), 9) AS {m}_ft_mean, "
     f"round(avg({m}_delta_base_minus_ft), 9) AS {m}_delta_mean, "

@@ -58,8 +58,8 @@ g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS gpos, count(*) O
 SELECT gpos // {CHUNK} AS chunk, gpos % {CHUNK} AS pos, tok AS token FROM g
 WHERE (gpos // {CHUNK} + 1) * {CHUNK} < total""")
 def q_pack_sequences(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", _tokens().alias("tokens"))
-    p = S.pack_sequences(d, "tokens", ["doc_id"], CHUNK)
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    p = S.pack_sequences(d, "tokens", ["doc_id"], CHUNK, made=_tokens())
     return p.select("chunk", F.posexplode("tokens").alias("pos", "token")).select(
         "chunk", F.col("pos").cast("bigint").alias("pos"), "token")
 

@@ -257,11 +257,29 @@ def read_csv_dropna(spark: SparkSession, path: str, schema: str | None = None) -
     """CSV with header, rows with any NULL dropped and a dense ``row_idx``
     in file order given to the rest.  A ``schema`` saves the pass that infers
     the types."""
-    from quorum.operators.sequences import global_row_index
+    from quorum.operators.positions import scan
     r = spark.read.option("header", True)
-    kept = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path).na.drop("any")
-    at = kept.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    return global_row_index(at, ["_file", "_at"]).drop("_file", "_at")
+    df = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
+    return scan(in_file_order(df).na.drop("any", subset=df.columns), FILE_ORDER).rows.drop(*FILE_ORDER)
+
+
+FILE_ORDER = ["_file", "_block", "_at"]
+
+
+def in_file_order(files: DataFrame) -> DataFrame:
+    """A scan of files with FILE_ORDER: the file, where its split begins and
+    the row's place there, however splits are dealt to tasks."""
+    return files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_at"))
+
+
+def read_paired_eval_csv(spark: SparkSession, baseline: str, finetuned: str, metrics: Sequence[str],
+                         schema: str | None = None) -> DataFrame:
+    """J9 on files without an index: row n of one metric CSV with row n of the
+    other (error when their counts differ); ``row_idx`` is the place in the file."""
+    from quorum.operators.compare import paired_by_position
+    sides = [in_file_order(read_eval_csv(spark, p, metrics, schema)) for p in (baseline, finetuned)]
+    return paired_by_position(*sides, FILE_ORDER, "row_idx", metrics)
 
 
 def read_prompts_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
