@@ -1,39 +1,54 @@
-"""WD lower bound by bootstrap (F12): NumPy inside tasks, Spark partitions the rows."""
+"""WD lower bound by bootstrap (F12): multinomial counts as column expressions."""
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions import rng
-from quorum.functions.metrics import emd
+from quorum.functions.metrics import emd, let
+
+
+def sorted_uniforms(spark: SparkSession, n: int, repeats: int, sides: int = 2, seed: int = 42) -> DataFrame:
+    """(b, u): for each repeat, ``sides`` sorted arrays of ``n`` hash-uniform
+    numbers (u of md5 seed:repeat:side:draw).  Its size follows from the parameters
+    alone, whatever the number of rows that draw from it."""
+    def side(k: int) -> Column:
+        return F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: rng.hash_uniform(seed, F.col("b"), k, i)))
+    return spark.range(1, repeats + 1).select(F.col("id").cast("int").alias("b")).select("b", F.array(*[side(k + 1) for k in range(sides)]).alias("u"))
+
+
+def count_below(sorted_values: Column, x: Column, n: int) -> Column:
+    """How many of a sorted array's ``n`` values are below ``x``: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_values, at + step - 1) < x, at + step).otherwise(at))
+
+
+def multinomial_counts(u: Column, points: Column, n: int) -> Column:
+    """The counts of a multinomial sample from ``n`` sorted uniforms: ``points``
+    are the places (y, base) of the row's distribution function in them, the
+    first that of zero.  The last option takes what is left."""
+    def on_sums(g):
+        upto = F.concat(F.transform(F.slice(g, 2, F.size(g) - 1), lambda x: x - g[0]), F.array(F.lit(n)))
+        return let(upto, lambda c: F.transform(c, lambda x, i: x - F.when(i > 0, F.get(c, i - 1)).otherwise(0)))
+    return let(F.transform(points, lambda p: count_below(u, p["y"], n) + p["base"]), on_sums)
 
 
-def _emd_np(p1: np.ndarray, p2: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """List-form ordinal EMD for B draws at once (rows of p1/p2)."""
-    order = np.argsort(o, kind="stable")
-    o = o[order]
-    p1, p2 = p1[:, order], p2[:, order]
-    keep = o >= 0
-    if keep.any():
-        o, p1, p2 = o[keep], p1[:, keep], p2[:, keep]
-    s1, s2 = p1.sum(axis=1, keepdims=True), p2.sum(axis=1, keepdims=True)
-    ok = (np.abs(s1[:, 0]) > 1e-8) & (np.abs(s2[:, 0]) > 1e-8)
-    span = o[-1] - o[0] if len(o) else 0.0
-    if span == 0:
-        return np.full(p1.shape[0], np.nan)
-    c1 = np.cumsum(p1 / np.where(s1 == 0, 1, s1), axis=1)
-    c2 = np.cumsum(p2 / np.where(s2 == 0, 1, s2), axis=1)
-    w = (np.abs(c1[:, :-1] - c2[:, :-1]) * np.diff(o)).sum(axis=1) / span
-    return np.where(ok, w, np.nan)
+def multinomial_points(cdf: Column, shift: Column, n: int) -> Column:
+    """Where a distribution function lies in uniforms that are turned by
+    ``shift`` on the circle, which makes each row's draws its own: the count up to c is
+    that up to c - shift, from 0 - shift on."""
+    ends = F.concat(F.array(F.lit(0.0)), F.slice(cdf, 1, F.size(cdf) - 1))
+    return F.transform(ends, lambda c: F.named_struct(F.lit("y"), F.when(c - shift >= 0, c - shift).otherwise(c - shift + 1),
+                                                      F.lit("base"), F.when(c - shift >= 0, 0).otherwise(-n)))
 
 
-def _seed(seed: int, key) -> int:
-    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16)
+def _cdf(weights: str) -> Column:
+    """Running sums over the whole, which must be above zero."""
+    whole = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    upto = F.transform(F.sequence(F.lit(1), F.size(weights)), lambda k: F.aggregate(
+        F.slice(weights, 1, k), F.lit(0.0), lambda a, x: a + x))
+    return let(whole, lambda w: F.transform(upto, lambda c: F.try_divide(c, w)))
 
 
 def wd_lower_draws(df: DataFrame, n_per_side: int, n_bootstrap: int, seed: int = 42, key: str = "row_idx",
@@ -42,10 +57,7 @@ def wd_lower_draws(df: DataFrame, n_per_side: int, n_bootstrap: int, seed: int =
     as column expressions: for small n and B, where every draw can be written
     out.  A draw is the first option whose share of the distribution function
     is above u.  Undefined repeats are left out of the mean."""
-    whole = F.aggregate(gold, F.lit(0.0), lambda a, x: a + x)
-    upto = F.transform(F.sequence(F.lit(1), F.size(gold)), lambda k: F.aggregate(
-        F.slice(gold, 1, k), F.lit(0.0), lambda a, x: a + x))
-    rows = df.select(key, gold, ordinal, F.transform(upto, lambda c: c / whole).alias("_cdf"),
+    rows = df.select(key, gold, ordinal, _cdf(gold).alias("_cdf"),
                      F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("_b"))
 
     def share(side: int):
@@ -61,27 +73,16 @@ def wd_lower_draws(df: DataFrame, n_per_side: int, n_bootstrap: int, seed: int =
 def wd_lower_bootstrap(df: DataFrame, n_per_side: int = 500, n_bootstrap: int = 500, seed: int = 42,
                        key: str = "row_idx", gold: str = "gold", ordinal: str = "ordinal") -> DataFrame:
     """Mean EMD between two Multinomial(n, gold) draws over ``n_bootstrap``
-    repeats, per row.  Each row's generator is seeded from (seed, key), so
-    results do not depend on partitioning or retries.  Cost per row is
-    O(B·K) in NumPy; rows are spread over tasks by Spark."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for k, g, o in zip(pdf[key], pdf[gold], pdf[ordinal]):
-                p = np.asarray(g, dtype=float)
-                tot = p.sum()
-                if not tot > 0:
-                    out.append(np.nan)
-                    continue
-                draw = np.random.default_rng(_seed(seed, k))
-                c1 = draw.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
-                c2 = draw.multinomial(n_per_side, p / tot, size=n_bootstrap).astype(float)
-                w = _emd_np(c1, c2, np.asarray(o, dtype=float))
-                w = w[~np.isnan(w)]
-                out.append(float(w.mean()) if len(w) else np.nan)
-            yield pd.DataFrame({key: pdf[key], "wd_lower_bootstrap_mean": out,
-                                "n_per_side": n_per_side, "n_bootstrap": n_bootstrap})
-
-    schema = f"{key} long, wd_lower_bootstrap_mean double, n_per_side int, n_bootstrap int"
-    return df.select(key, gold, ordinal).mapInPandas(run, schema)
+    repeats, per row; undefined repeats are left out, and a row without mass has
+    NULL.  A row looks its distribution function up in sorted uniforms, turned
+    by its own hash, so a sample costs O(K log n) and depends on the key alone, not on
+    partitioning or retries."""
+    mass = F.aggregate(gold, F.lit(0.0), lambda a, x: a + x) > 0
+    points = multinomial_points(_cdf(gold), rng.hash_uniform(seed, F.col(key)), n_per_side)
+    rows = df.select(key, ordinal, F.when(mass, points).alias("_at"), F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("b"))
+    uniforms = F.broadcast(sorted_uniforms(df.sparkSession, n_per_side, n_bootstrap, 2, seed))  # 16 n B bytes by its parameters
+    def side(k: int) -> Column:
+        return multinomial_counts(F.col("u")[k], F.col("_at"), n_per_side).cast("array<double>")
+    drawn = rows.join(uniforms, "b").select(key, emd(side(0), side(1), ordinal).alias("_w"))
+    return drawn.groupBy(key).agg(F.avg("_w").alias("wd_lower_bootstrap_mean")).select(
+        key, "wd_lower_bootstrap_mean", F.lit(n_per_side).alias("n_per_side"), F.lit(n_bootstrap).alias("n_bootstrap"))

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we hint for broadcast (the optimizer's size estimate, bytes).
+# Largest side we hint for broadcast, as bytes of decoded rows.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+ROW_OVERHEAD = 16  # of a hashed relation
+
+
+def decoded_size(df: DataFrame) -> int:
+    """An upper bound of the bytes that ``df`` takes in memory.
+
+    The optimizer's estimate for files is their compressed size.  Where the
+    plan cannot make more rows than it reads, the files' row count (footers only, no
+    data is read) times the decoded width of a row bounds it instead."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = plan.stats().sizeInBytes()
+    size = size if isinstance(size, int) else int(size.toString())  # py4j may hand over a JVM BigInt
+    text = plan.toString()
+    scans = text.count("Relation [")
+    if not scans or any(x in text for x in ("Join", "Generate", "Expand", "MapIn", "FlatMap")) or size > BROADCAST_LIMIT:
+        return size
+    files = df.inputFiles()
+    rows = df.sparkSession.read.parquet(*files).count() if files and all(f.endswith(".parquet") for f in files) else 0
+    return max(size if not rows else 0, scans * rows * (df._jdf.schema().defaultSize() + ROW_OVERHEAD))
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when the optimizer's size estimate (read on
-    the driver from plan statistics, no job) is within ``limit``; beyond it
+    """Broadcast ``df`` only when its decoded rows are within ``limit``; beyond it
     the join stays a shuffle join and AQE may still convert it at run time
     from measured sizes."""
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = size if isinstance(size, int) else int(size.toString())  # py4j may hand over a JVM BigInt
+        size = decoded_size(df)
     except Exception:  # statistics unavailable (e.g. remote session): let the planner decide
         return df
     return F.broadcast(df) if size <= limit else df

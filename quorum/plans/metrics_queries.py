@@ -208,43 +208,69 @@ def lower_bounds(spark, sf_dir):
     return wd_lower_draws(scored(spark, sf_dir).select("row_idx", "gold", "ordinal"), LOWER_N, LOWER_B)
 
 
+def whole_lower_bounds(spark, sf_dir):
+    """The lower bound of the padded target (the options and the refusal), 500 x 500."""
+    g, o = M.pad_target("output_dist", "ordinal", always_renormalize=True)
+    s = scored(spark, sf_dir).select("row_idx", F.slice(g, 1, F.col("k") + 1).alias("gold"), F.slice(o, 1, F.col("k") + 1).alias("ordinal"))
+    return wd_lower_bootstrap(s, n_per_side=WHOLE_N, n_bootstrap=WHOLE_B, seed=42)
+
+
+WHOLE_N, WHOLE_B = 500, 500
+
+
+def _whole_lower_ctes() -> str:
+    from quorum.functions.rng import sql_uniform
+    from quorum.plans.compare_queries import _emd_ctes
+    return f"""
+bc AS (SELECT row_idx, j, o, sum(q) OVER (PARTITION BY row_idx ORDER BY j) / sum(q) OVER (PARTITION BY row_idx) AS c,
+              count(*) OVER (PARTITION BY row_idx) AS kk
+       FROM ub JOIN (SELECT DISTINCT row_idx, k FROM lg_x) USING (row_idx) WHERE j <= k + 1),
+sh AS (SELECT row_idx, {sql_uniform("'42:' || CAST(row_idx AS VARCHAR)")} AS s FROM (SELECT DISTINCT row_idx FROM bc)),
+ur AS (SELECT b, side, u, count(*) OVER (PARTITION BY b, side ORDER BY u) AS r FROM (
+         SELECT b, side, {sql_uniform("'42:' || CAST(b AS VARCHAR) || ':' || CAST(side AS VARCHAR) || ':' || CAST(i AS VARCHAR)")} AS u
+         FROM range(1, {WHOLE_B + 1}) t1(b), range(1, 3) t2(side), range(1, {WHOLE_N + 1}) t3(i))),
+pt AS (SELECT row_idx, j, c - s AS x FROM bc JOIN sh USING (row_idx) WHERE j < kk UNION ALL SELECT row_idx, 0, 0.0 - s FROM sh),
+py AS (SELECT row_idx, j, b, side, CASE WHEN x >= 0 THEN x ELSE x + 1 END AS y, CASE WHEN x >= 0 THEN 0 ELSE -{WHOLE_N} END AS base
+       FROM pt, range(1, {WHOLE_B + 1}) t1(b), range(1, 3) t2(side)),
+pg AS (SELECT py.row_idx, py.j, py.b, py.side, py.base + coalesce(ur.r, 0) AS g
+       FROM py ASOF LEFT JOIN ur ON py.b = ur.b AND py.side = ur.side AND py.y > ur.u),
+pc AS (SELECT g.row_idx, g.j, g.b, g.side, g.g - z.g AS upto FROM pg g JOIN pg z USING (row_idx, b, side) WHERE z.j = 0 AND g.j > 0
+       UNION ALL SELECT row_idx, j, b, side, {WHOLE_N} FROM bc, range(1, {WHOLE_B + 1}) t1(b), range(1, 3) t2(side) WHERE j = kk),
+pn AS (SELECT row_idx, j, b, side, upto - coalesce(lag(upto) OVER (PARTITION BY row_idx, b, side ORDER BY j), 0) AS n FROM pc),
+wsrc AS (SELECT CAST(bc.row_idx AS VARCHAR) || '|' || CAST(x.b AS VARCHAR) AS row_idx, bc.o, x.n AS p, y.n AS qq
+         FROM bc JOIN pn x ON x.row_idx = bc.row_idx AND x.j = bc.j AND x.side = 1
+         JOIN pn y ON y.row_idx = bc.row_idx AND y.j = bc.j AND y.side = 2 AND y.b = x.b),""" \
+        + _emd_ctes("wsrc", "qq", "wh") + """,
+whole_e AS (SELECT CAST(split_part(row_idx, '|', 1) AS BIGINT) AS row_idx,
+                   avg(CASE WHEN NOT isnan(emd) AND NOT isinf(emd) THEN emd END) AS wd_lower FROM wh_e GROUP BY 1)"""
+
+
 def register_bounds():
     """Registered from compare_queries, whose EMD text the SQL uses."""
-    both = UPPER_SQL + "," + _lower_ctes()
+    whole = UPPER_SQL + "," + _whole_lower_ctes()
 
     @query("wd_lower_draws", with_views("lg_long", ctes=_lower_ctes()) + "SELECT row_idx, round(wd_lower, 9) AS wd_lower FROM lower_e")
     def q_wd_lower_draws(spark, sf_dir):
         return lower_bounds(spark, sf_dir).select("row_idx", r9("wd_lower").alias("wd_lower"))
 
-    @query("bounds_summary", both + """
+    @query("wd_lower", whole + f"""
+SELECT row_idx, round(wd_lower, 9) AS wd_lower_bootstrap_mean, {WHOLE_N} AS n_per_side, {WHOLE_B} AS n_bootstrap FROM whole_e""")
+    def q_wd_lower(spark, sf_dir):
+        w = whole_lower_bounds(spark, sf_dir)
+        return w.withColumn("wd_lower_bootstrap_mean", r9("wd_lower_bootstrap_mean"))
+
+    @query("bounds_summary", whole + """
 SELECT round(avg(emd) FILTER (NOT isnan(emd)), 9) AS mean_upper, round(median(emd) FILTER (NOT isnan(emd)), 9) AS median_upper,
        count(emd) FILTER (NOT isnan(emd)) AS n_upper,
-       (SELECT round(avg(wd_lower), 9) FROM lower_e) AS mean_lower, (SELECT round(median(wd_lower), 9) FROM lower_e) AS median_lower,
-       (SELECT count(wd_lower) FROM lower_e) AS n_lower FROM e""")
+       (SELECT round(avg(wd_lower), 9) FROM whole_e) AS mean_lower, (SELECT round(median(wd_lower), 9) FROM whole_e) AS median_lower,
+       (SELECT count(wd_lower) FROM whole_e) AS n_lower FROM e""")
     def q_bounds_summary(spark, sf_dir):
         from quorum.operators.compare import bounds_summary
-        both = upper_bounds(spark, sf_dir).join(lower_bounds(spark, sf_dir), "row_idx", "full")
-        out = bounds_summary(both, {"wd_upper_uniform": "upper", "wd_lower": "lower"})
+        both = upper_bounds(spark, sf_dir).join(whole_lower_bounds(spark, sf_dir), "row_idx", "full")
+        out = bounds_summary(both, {"wd_upper_uniform": "upper", "wd_lower_bootstrap_mean": "lower"})
         return out.select(*[r9(c).alias(c) if not c.startswith("n_") else c for c in out.columns])
 
 
-# ---- F12 (rows-only: seeded NumPy draws per row)
-@query("wd_lower")
-def q_wd_lower(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    g, o = M.pad_target("output_dist", "ordinal", always_renormalize=True)
-    return wd_lower_bootstrap(s.select("row_idx", g.alias("gold"), o.alias("ordinal")),
-                              n_per_side=500, n_bootstrap=500, seed=42)
-
-
-def bounds_summary_whole(spark, sf_dir):
-    """A13 with 500 x 500 draws, as the reference summarises it; the query
-    bounds_summary has the 20 x 8 draws that its SQL writes out."""
-    from quorum.operators.compare import bounds_summary
-    both = upper_bounds(spark, sf_dir).join(q_wd_lower(spark, sf_dir), "row_idx", "full")
-    return bounds_summary(both, {"wd_upper_uniform": "upper", "wd_lower_bootstrap_mean": "lower"})
-
-
 # ---- A8
 @query("entropy", with_views("line_responses", ctes="""
 cnt AS (SELECT qkey, code, count(*) AS c FROM line_responses GROUP BY qkey, code),

@@ -1,21 +1,54 @@
-"""The bounds summary with all draws against a fixed-seed brute force."""
+"""The lower bound with all draws against a brute force of the same uniforms, and against NumPy's sampler."""
+import hashlib
+
 import numpy as np
-from conftest import SF_SMALL
-
-import __spark_entry__  # noqa: F401
-from quorum.functions import metrics as M
-from quorum.operators.bounds import _emd_np, _seed
-from quorum.plans import metrics_queries as Q
-
-
-def test_lower_bound_summary_of_500_by_500(spark):
-    g, o = M.pad_target("output_dist", "ordinal", always_renormalize=True)
-    means = []
-    for r in Q.scored(spark, SF_SMALL).select("row_idx", g.alias("g"), o.alias("o")).collect():
-        p, draw = np.array(r.g, float), np.random.default_rng(_seed(42, r.row_idx))
-        c1, c2 = (draw.multinomial(500, p / p.sum(), size=500).astype(float) for _ in range(2))
-        means.append(np.nanmean(_emd_np(c1, c2, np.array(r.o, float))))
-    got = Q.bounds_summary_whole(spark, SF_SMALL).first()
-    small = __spark_entry__.queries()["bounds_summary"](spark, SF_SMALL).first()
-    assert got.n_lower == len(means) and np.isclose(got.mean_lower, np.mean(means)) and np.isclose(got.median_lower, np.median(means))
-    assert got.mean_lower < small.mean_lower / 3
+import pytest
+from pyspark.sql import functions as F
+
+from quorum.operators import bounds as B
+
+
+def uniform(key):
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) / 2**32
+
+
+def emd(x, y, o):
+    order = np.argsort(o, kind="stable")
+    x, y, o = x[order] / x.sum(), y[order] / y.sum(), np.array(o, float)[order]
+    return (np.abs(np.cumsum(x) - np.cumsum(y))[:-1] * np.diff(o)).sum() / (o[-1] - o[0])
+
+
+ROWS = [(3, [0.5, 0.25, 0.25], [1.0, 2.0, 3.0]), (17, [0.1, 0.0, 0.2, 0.7], [1.0, 2.0, 2.0, 4.0]), (5, [1e-9, 1.0], [1.0, 2.0]), (8, [0.0, 0.0], [1.0, 2.0])]
+SCHEMA = "row_idx long, gold array<double>, ordinal array<double>"
+
+
+def plain(key, gold, ordinal, n, repeats):
+    shift, cdf, out = uniform(f"42:{key}"), np.cumsum(gold) / np.sum(gold), []
+    for b in range(1, repeats + 1):
+        counts = []
+        for side in (1, 2):
+            turned = [(uniform(f"42:{b}:{side}:{i}") + shift) % 1 for i in range(1, n + 1)]
+            counts.append(np.bincount([min(int((cdf <= x).sum()), len(gold) - 1) for x in turned], minlength=len(gold)).astype(float))
+        out.append(emd(*counts, ordinal))
+    return np.mean(out)
+
+
+def test_against_written_out_draws(spark):
+    got = {r.row_idx: r.wd_lower_bootstrap_mean for r in B.wd_lower_bootstrap(spark.createDataFrame(ROWS, SCHEMA), 40, 12).collect()}
+    assert got[8] is None and len(got) == 4
+    for key, gold, ordinal in ROWS[:3]:
+        assert got[key] == pytest.approx(plain(key, gold, ordinal, 40, 12), abs=1e-9)
+
+
+def test_same_law_as_a_multinomial_sampler(spark):
+    got = {r.row_idx: r.wd_lower_bootstrap_mean for r in B.wd_lower_bootstrap(spark.createDataFrame(ROWS[:2], SCHEMA)).collect()}
+    rng = np.random.default_rng(1)
+    for key, gold, ordinal in ROWS[:2]:
+        x, y = (rng.multinomial(500, np.array(gold) / sum(gold), 4000).astype(float) for _ in range(2))
+        means = [emd(a, b, ordinal) for a, b in zip(x, y)]
+        assert abs(got[key] - np.mean(means)) < 5 * np.std(means) / np.sqrt(500)
+
+
+def test_count_below(spark):
+    df = spark.createDataFrame([([0.1, 0.1, 0.4, 0.9], x) for x in (0.0, 0.1, 0.2, 0.4, 0.95)], "u array<double>, x double")
+    assert [r[0] for r in df.select(B.count_below(F.col("u"), F.col("x"), 4)).collect()] == [0, 0, 2, 2, 4]
