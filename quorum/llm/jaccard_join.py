@@ -1,6 +1,6 @@
 """Exact set similarity join by universe partition and pigeonhole.
 
-A document's set holds its distinct shingles of ``SHINGLE`` words (lower-cased
+A document's set holds its distinct shingles of five words (lower-cased
 ASCII letters, words as runs of anything but white space), the whole sequence
 if there are fewer.  Documents with ``100 |A and B| >= PERCENT |A or B|`` are
 linked, and linked documents form components.  No link between different texts
@@ -53,68 +53,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import LOWER, UPPER, in_batches, wide_batches, written
-from quorum.llm.near_dedup import components, shingles
+from quorum.llm.common import in_batches, wide_batches, written
+from quorum.llm.set_pairs import P, Q, R, bitmap, coarse, compared, confirmed, distinct, folded_words, hashed, merged, mix, most_different
 from quorum.operators.joins import bounded_broadcast
 
-SHINGLE, PERCENT = 5, 80
+PERCENT = 80
 RATIO, SMALL = 1.4, 256
-COMMON, PAIR = 0.3, 0.02  # assumed share of a document's shingles in common passages; a comparison's cost in written rows
-MAX_BITS = 1 << 16
-
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-# ---- sets --------------------------------------------------------------------
-
-class _Words(dict):
-    """Hashes of words; forgotten when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _Words()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _Q
-    x = (x ^ (x >> np.uint64(27))) * _R
-    return x ^ (x >> np.uint64(31))
-
-
-def hashed(parts: list[bytes]) -> np.ndarray:
-    """The set of a sequence of words, as sorted 64-bit hashes of its shingles."""
-    if not parts:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
-    size = min(SHINGLE, len(each))
-    out = np.full(len(each) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = out * _P + each[k:len(each) - size + 1 + k]
-    return np.unique(_mix(out))
-
-
-def most_different(a, b):
-    """The most shingles by which linked sets of these sizes can differ."""
-    return (a + b) * (100 - PERCENT) // (100 + PERCENT)
-
-
-def bitmap(values: np.ndarray) -> bytes:
-    """Parities of the set's values in a power of two of bits, at least four a value."""
-    bits = min(MAX_BITS, max(64, 1 << (4 * len(values) - 1).bit_length()))
-    return np.packbits(np.bincount((values >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1 == 1, bitorder="little").tobytes()
-
-
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps in rows of words, all as narrow as the narrowest: the parities of
-    a narrower bitmap are those of its parts together."""
-    width = min(map(len, maps)) // 8
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width), axis=0) for m in maps])
+COMMON, PAIR = 0.1, 0.01  # assumed share of a document's shingles in common passages; a comparison's cost in written rows
 
 
 # ---- schemes -----------------------------------------------------------------
@@ -131,7 +76,7 @@ def scheme(first: int, after: int, documents: int) -> tuple[int, int, int, int]:
     """Of the band [first, after): segments of weight 1 and of weight 2, slack
     for empty segments, slack for hot keys."""
     top = after - 1
-    differ = most_different(top, top * 100 // PERCENT)
+    differ = most_different(top, top * 100 // PERCENT, PERCENT)
     empty, hot = differ // 16, differ // 12 + (differ >= 4)
     need, best = differ + 1 + empty + hot, None
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
@@ -156,14 +101,16 @@ def document_keys(values: np.ndarray, edges: list[int], schemes: list[tuple[int,
             break
         ones, twos, empty, _ = schemes[k]
         total = ones + twos
-        spread = _mix(values + np.uint64((k + 1) * int(_P) % (1 << 64)))
+        spread = mix(values + np.uint64((k + 1) * int(P) % (1 << 64)))
         segment = ((spread >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
-        sums, count = np.zeros(total, np.uint64), np.bincount(segment, minlength=total)
-        np.add.at(sums, segment, spread)
+        count = np.bincount(segment, minlength=total)
+        order = np.argsort(segment.astype(np.uint16) if total < 1 << 16 else segment, kind="stable")
+        sums, full = np.zeros(total, np.uint64), count > 0
+        sums[full] = np.add.reduceat(spread[order], (np.cumsum(count) - count)[full])
         weight = np.where(np.arange(total) < ones, 1, 2)
         bare = count < weight  # here a key is that of the empty set
         write_bare = int(weight[bare].sum()) > empty
-        salt = (np.arange(total, dtype=np.uint64) + np.uint64(1)) * _Q + np.uint64(k * int(_R) % (1 << 64))
+        salt = (np.arange(total, dtype=np.uint64) + np.uint64(1)) * Q + np.uint64(k * int(R) % (1 << 64))
         chosen = np.flatnonzero((count > 0) | write_bare)
         keys, weights = [sums[chosen] + salt[chosen]], [weight[chosen]]
         if twos:
@@ -172,29 +119,30 @@ def document_keys(values: np.ndarray, edges: list[int], schemes: list[tuple[int,
             keys.append(sums[at] - spread[deleted] + salt[at])
             weights.append(np.full(len(at), 2))
         code = (np.uint64(2 * k) + np.concatenate(weights).astype(np.uint64) - np.uint64(1)) << np.uint64(56)
-        out.append(np.unique(_mix(np.concatenate(keys)) >> np.uint64(8) | code))
+        out.append(distinct(mix(np.concatenate(keys)) >> np.uint64(8) | code))
     return np.concatenate(out)
 
 
 # ---- tasks -------------------------------------------------------------------
 
-SETS = "row long, doc_id long, digest binary, n_shingles long, bits binary, words binary"
+SETS = "row long, doc_id long, digest binary, n_shingles long, coarse binary, bits binary, words binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            parts = (text.as_py() or "").encode().translate(_FOLD).split()
+            parts = folded_words(text.as_py())
             if parts:
                 values, words = hashed(parts), b" ".join(parts)
-                rows.append((row, doc_id, xxhash.xxh3_128_digest(words), len(values), bitmap(values), words))
+                bits = bitmap(values)
+                rows.append((row, doc_id, xxhash.xxh3_128_digest(words), len(values), coarse(bits), bits, words))
             else:
-                rows.append((row, doc_id, None, 0, None, None))
+                rows.append((row, doc_id, None, 0, None, None, None))
             row += 1
-        columns = zip(*rows) if rows else [[]] * 6
+        columns = zip(*rows) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SETS.split(", ")])
 
 
@@ -261,96 +209,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrays([len(rows)], rows, None)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows (node, row, part, n_shingles, bits) of one node after the other."""
-    node, held = None, []
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in range(5))):
-            if r[0] != node:
-                if held:
-                    yield held
-                node, held = r[0], []
-            held.append(r)
-    if held:
-        yield held
-
-
-def _near(only_closest: bool):
-    """Pairs (a < b) of different parts in a node that their bitmaps allow to be
-    linked: of every two parts the closest pair, or all."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _members(batches):
-            rows, parts, sizes = (np.array([h[c] for h in held], np.int64) for c in (1, 2, 3))
-            maps = folded([h[4] for h in held])
-            found = []
-            for i in range(len(held) - 1):
-                apart = np.bitwise_count(maps[i] ^ maps[i + 1:]).sum(axis=1, dtype=np.int64)
-                low, high = np.minimum(sizes[i], sizes[i + 1:]), np.maximum(sizes[i], sizes[i + 1:])
-                j = np.flatnonzero((apart <= most_different(low, high)) & (100 * low >= PERCENT * high) & (parts[i] != parts[i + 1:]))
-                found.append(np.stack([np.full(len(j), i), j + i + 1, apart[j]]))
-            i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-            if only_closest and len(i):
-                low, high = np.minimum(parts[i], parts[j]), np.maximum(parts[i], parts[j])
-                order = np.lexsort((apart, high, low))
-                first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-                i, j = i[order[first]], j[order[first]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j]))], ["a", "b"])
-    return run
-
-
-def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sizes, bitmaps) the pairs that can be linked."""
-    for batch in batches:
-        sizes = np.stack([batch.column(c).to_numpy() for c in (2, 3)]) if batch.num_rows else np.zeros((2, 0), np.int64)
-        low, high = sizes.min(axis=0), sizes.max(axis=0)
-        good = []
-        for k in np.flatnonzero(100 * low >= PERCENT * high):
-            x, y = folded([batch.column(4)[k].as_py(), batch.column(5)[k].as_py()])
-            if np.bitwise_count(x ^ y).sum() <= most_different(low[k], high[k]):
-                good.append(k)
-        yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, words of a, words of b) the linked pairs, by their full sets."""
-    last, left = None, set()
-    for batch in batches:
-        good = []
-        for k, (a, first, second) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
-            if a != last:
-                last, left = a, shingles(first.as_py())
-            right = shingles(second.as_py())
-            both = len(left & right)
-            if 100 * both >= PERCENT * (len(left) + len(right) - both):
-                good.append(k)
-        yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
-
-
 # ---- jobs --------------------------------------------------------------------
 
-def _linked(pairs: DataFrame, sets: DataFrame, screened: bool) -> DataFrame:
-    """The linked ones of some pairs (a < b), written."""
-    pairs = written(pairs.distinct(), "pairs")
-    if not screened:
-        size = sets.select("row", "n_shingles", "bits")
-        ends = [size.select(F.col("row").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
-        pairs = written(in_batches(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"),
-                                   _allowed, "a long, b long"), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    words = sets.select("row", "words").join(bounded_broadcast(used), "row", "left_semi")  # the others' texts are not shuffled
-    ends = [words.select(F.col("row").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab"]
-    both = pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "words_a", "words_b")
-    return written(in_batches(both, _confirm, "a long, b long"), "links")
-
-
-def _compared(nodes: DataFrame, parts: DataFrame, vertices: DataFrame, only_closest: bool) -> DataFrame:
-    """Pairs of different parts within the nodes (node, rows)."""
+def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, row) of the nodes (node, rows) that hold more than one part."""
     rows = nodes.select("node", F.explode("rows").alias("row")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
     mixed = rows.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("node")
-    full = rows.join(mixed, "node").join(vertices.select("row", "n_shingles", "bits"), "row")
-    tasks = full.select("node", "row", "part", "n_shingles", "bits").repartition("node").sortWithinPartitions("node")
-    return in_batches(tasks, _near(only_closest), "a long, b long")
+    return rows.select("node", "row").join(mixed, "node")
 
 
 def _hot(big: DataFrame, parts: DataFrame, slack: dict[int, int]) -> DataFrame:
@@ -384,7 +249,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     band = F.size(F.filter(starts, lambda x: x <= F.col("n_shingles"))) - 1
     many = {r["band"]: r["n"] for r in vertices.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # a row a band
     schemes = [scheme(edges[k], edges[k + 1], many.get(k, 0) + many.get(k + 1, 0)) for k in range(len(edges) - 1)]
-    alone = sets.select("row", "words", "bits", "n_shingles").join(bounded_broadcast(vertices.select("row")), "row", "left_semi")
+    alone = sets.select("row", "words", "coarse", "n_shingles").join(bounded_broadcast(vertices.select("row")), "row", "left_semi")
     keys = in_batches(alone.select("row", "words"), _keys(edges, schemes), "key long, row long")
     keys = keys.repartition("key").sortWithinPartitions("key", "row")
     with wide_batches(docs.sparkSession):
@@ -395,8 +260,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = small.union(nodes.filter("key is not null").select("rows"))
     others = F.explode(F.slice("rows", 2, SMALL))
     stars = every.select(F.element_at("rows", 1).alias("a"), others.alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _linked(stars, sets, screened=False)
-    parts = written(components(links), "parts")
+    parts = merged(docs.sparkSession.createDataFrame([], "row long, part long"), confirmed(stars, sets, PERCENT))
 
     wide = small.filter(F.size("rows") > 2)
     big = nodes.filter("key is not null")
@@ -404,10 +268,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wide = wide.union(_hot(big, parts, {k: s[3] for k, s in enumerate(schemes)}))
     wide = written(wide.withColumn("node", F.monotonically_increasing_id()), "wide")
     for only_closest in (True, False):
-        more = _linked(_compared(wide, parts, alone, only_closest), sets, screened=True)
-        if not more.isEmpty():
-            joined = parts.select(F.col("row").alias("a"), F.col("part").alias("b")).union(more)
-            parts = written(components(joined), "parts")
+        own = alone.select("row", "n_shingles", "coarse").join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
+        more = compared(_mixed(wide, parts), own, PERCENT, only_closest)
+        parts = merged(parts, confirmed(more, sets, PERCENT))
     return sets, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 

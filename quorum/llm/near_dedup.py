@@ -1,28 +1,30 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set holds its distinct shingles of ``SHINGLE`` words (lower-cased
+A document's set holds its distinct shingles of five words (lower-cased
 ASCII letters, words as runs of anything but white space); with fewer words it
 is the whole sequence as one, with none it is empty.  Documents whose sets have
 ``100 |A and B| >= PERCENT |A or B|`` are linked, and linked documents form
 components.
 
-1. One Arrow pass over the whole texts makes a digest, the set's size and
-   ``COORDINATES`` minwise values.  Equal texts are one vertex from here on.
+1. One Arrow pass over the whole texts makes a digest, the set's size, a bitmap of
+   its parities and ``COORDINATES`` minwise values.  Equal texts are one vertex from here on.
 2. Each of ``TREES`` independent trees puts a vertex into a node by a minwise
-   value.  Nodes of up to ``SMALL`` vertices are compared exhaustively in one
-   task, which gives a forest of links and never all pairs.  Larger nodes branch: a vertex goes on to
+   value.  A node matters only for pairs of different components; those of up to
+   ``SMALL`` vertices are compared exhaustively in one task.  Of a larger node whose vertices
+   are in one component but for SMALL at most, these are compared with the
+   others, block by block.  The rest branch: a vertex goes on to
    ``BRANCHES`` children, named by its values of coordinates that the node's
    own path selects and that no node above it used.  A node whose children have
    more pairs than itself, or that is large at the last of ``DEPTH`` levels, is
-   cut into blocks by a hash of the row, and all pairs of blocks are compared
-   like small nodes, each in a task of its own.  The vertices of a large root
-   are also compared with ``LEADERS`` of it that agree most with its modes.
-3. A first round runs a few trees and compares with leaders only; it connects
-   the bulk of each group of copies.  The second round runs all trees but skips
-   every node whose vertices are in one component already, so that a large
-   group is never compared pair by pair.
-4. Candidates are confirmed on the full sets, and large-star / small-star
-   rounds label the components.
+   cut into blocks by a hash of the row, and all pairs of blocks are compared.
+3. Links are found in rounds, and each round compares only what the ones before
+   left in different components: with one vertex of each node, in a few trees; with
+   ``LEADERS`` of each large node that agree most with its modes; the closest pair of every two
+   components in a node; all pairs.  So a large group is never compared pair by
+   pair, and a pair that many trees hold is tested once a round.
+4. Pairs must agree in ``SCREEN`` of the coordinates' low bytes and pass the bitmaps,
+   which never lose a link; they are confirmed on the full sets, and large-star /
+   small-star rounds label the components.
 
 Two sets at the threshold share one of the trees' first values but for a chance
 of 0.25^16.  With two branches a path goes on to any depth but for 1/9, so the
@@ -34,7 +36,8 @@ with nothing; equal texts are linked; rows with one doc_id and several texts
 are vertices of their own that carry the same id; a null id sorts after all
 others, and a component that has only null ids has a null component_id, of
 which the vertex with the first row is kept; an empty table gives none; other
-columns are ignored.
+columns are ignored; a very long text is one row of one task, whose memory is a
+few times the text.
 """
 
 from __future__ import annotations
@@ -49,65 +52,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import erase, in_batches, LOWER, UPPER, written
+from quorum.llm.common import in_batches, written
+from quorum.llm.set_pairs import bitmap, coarse, compared, components, confirmed, folded_words, hashed, merged
 from quorum.operators.joins import bounded_broadcast
 
-SHINGLE, PERCENT = 5, 75
+PERCENT = 75
 COORDINATES, TREES, FIRST_TREES = 64, 16, 3
-SMALL, LEADERS, CLASSES = 256, 2, 8
+SMALL, LEADERS, CLASSES, SAMPLE = 2048, 2, 8, 256
 BRANCHES, DEPTH = 2, 9
 SCREEN, CENTRAL = 32, 28  # equal coordinates that make a pair a candidate, or a vertex like its node's modes
 
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 2**63, (COORDINATES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, (COORDINATES, 1), np.uint64)
-_BLOCK = 4096
-
-
-def shingles(words: bytes) -> set[bytes]:
-    """The set of a normalised text (words joined by single blanks)."""
-    parts = words.split(b" ") if words else []
-    if len(parts) < SHINGLE:
-        return {words} if words else set()
-    out, at, ends = set(), 0, []
-    for p in parts:
-        ends.append(at + len(p))
-        at += len(p) + 1
-    start = 0
-    for i in range(len(parts) - SHINGLE + 1):
-        out.add(words[start:ends[i + SHINGLE - 1]])
-        start = ends[i] + 1
-    return out
-
-
-def minwise(grams: set[bytes]) -> np.ndarray:
-    values = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+_BLOCK = 1024
+
+
+def minwise(values: np.ndarray) -> np.ndarray:
     best = np.full(COORDINATES, 2**32 - 1, np.uint64)
     for at in range(0, len(values), _BLOCK):
-        best = np.minimum(best, ((values[at:at + _BLOCK] * _MULTIPLY + _ADD) >> np.uint64(32)).min(axis=1))
+        x = values[at:at + _BLOCK] * _MULTIPLY
+        x += _ADD
+        best = np.minimum(best, x.min(axis=1) >> np.uint64(32))
     return best.astype(np.uint32).view(np.int32)
 
 
 # roots: the first values of the trees; low: the low byte of every coordinate, which screens and branches
 SKETCH = ("row long, doc_id long, text_key long, digest binary, n_shingles long, roots array<int>, low array<tinyint>, "
-          "words binary")
+          "coarse binary, bits binary, words binary")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary(), pa.binary(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):  # small batches: the rows grow by their sketches
             part, rows = batch.slice(at, 512), []
             for text in part.column(2):
-                words = b" ".join((text.as_py() or "").encode().translate(_FOLD).split())
-                grams = shingles(words)
-                if grams:
-                    sig = minwise(grams)
-                    rows.append((row, xxhash.xxh3_128_digest(words), len(grams), sig[:TREES], sig.astype(np.int8), words))
+                words = folded_words(text.as_py())
+                if words:
+                    values, whole = hashed(words), b" ".join(words)
+                    sig, bits = minwise(values), bitmap(values)
+                    rows.append((row, xxhash.xxh3_128_digest(whole), len(values), sig[:TREES], sig.astype(np.int8), coarse(bits), bits, whole))
                 else:
-                    rows.append((row, None, 0, None, None, None))
+                    rows.append((row, None, 0, None, None, None, None, None))
                 row += 1
             new = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([new[0], part.column(0).cast(pa.int64()), part.column(1), *new[1:]],
@@ -127,7 +115,7 @@ def _to_leaders(rows: DataFrame) -> DataFrame:
     """Edges (a < b) from each vertex to one of its node: the smallest row in a
     small node (it tends to be the same one in all trees), a chosen row in a
     large one."""
-    other = F.when(F.col("n") > SMALL, F.col("chosen")).otherwise(F.col("first"))
+    other = F.when(F.col("n") > SAMPLE, F.col("chosen")).otherwise(F.col("first"))
     return (rows.select("row", other.alias("other")).filter("row != other")
             .select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
 
@@ -146,11 +134,11 @@ def _modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _to_central(large: DataFrame) -> DataFrame:
     """Edges (a < b) from vertices of a large node to its LEADERS, unless they
-    are in the same part.  The modes come from about SMALL vertices of the
+    are in the same part.  The modes come from about SAMPLE vertices of the
     node; the leaders are the vertices that agree most with them, the best of
     LEADERS of CLASSES classes (others in other trees).  Vertices that hardly agree with the modes are
     not like the leaders either, and are left to the node's children."""
-    sample = large.filter(F.pmod(F.xxhash64("row", "node"), F.ceil(F.col("n") / SMALL)) == 0)
+    sample = large.filter(F.pmod(F.xxhash64("row", "node"), F.ceil(F.col("n") / SAMPLE)) == 0)
     modes = in_batches(sample.groupBy("node").agg(F.collect_list("low").alias("lows")), _modes, "node long, mode array<tinyint>")
     central = written(large.join(modes, "node").select("node", "row", "part", _agreement("low", "mode").alias("agree"))
                       .filter(F.col("agree") >= CENTRAL), "central")
@@ -162,156 +150,33 @@ def _to_central(large: DataFrame) -> DataFrame:
             .select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")))
 
 
-def _by_node(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[list[tuple]]:
-    """The rows of one node after the other, as tuples of the given columns;
-    they arrive sorted by node (column 0), and a node has at most SMALL."""
-    node, held = (), []
-    for batch in batches:
-        values = [batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES)
-                  if pa.types.is_list(batch.schema.field(c).type) else batch.column(c).to_pylist() for c in columns]
-        for own, *row in zip(batch.column(0).to_pylist(), *values):
-            if node != (own,):
-                if held:
-                    yield held
-                node, held = (own,), []
-            held.append((own, *row))
-    if held:
-        yield held
-
-
-def _pairs(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of (node, row, part, low, ...) of different parts that pass the
-    screen, the most similar first."""
-    low, parts = np.stack([h[3] for h in held]), np.array([h[2] for h in held])
-    i, j = np.triu_indices(len(held), 1)
-    other = parts[i] != parts[j]
-    i, j = i[other], j[other]
-    equal = np.concatenate([(low[i[at:at + _BLOCK]] == low[j[at:at + _BLOCK]]).sum(axis=1)
-                            for at in range(0, len(i), _BLOCK)] or [np.zeros(0, np.int64)])
-    order = np.argsort(-equal, kind="stable")[:int((equal >= SCREEN).sum())]
-    return i[order], j[order]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every small node the rows that have a candidate in another part."""
-    for held in _by_node(batches, [1, 2, 3]):
-        some = np.unique(np.concatenate(_pairs(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in some], pa.int64()) for c in range(3)],
-                                         ["node", "row", "part"])
-
-
-def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within small nodes: every candidate pair is tested on the full
-    sets unless its ends are connected already, so a node gives a forest."""
-    for held in _by_node(batches, [1, 2, 3, 4]):
-        sets = [np.sort(np.fromiter(map(xxhash.xxh64_intdigest, g := shingles(h[4])), np.uint64, len(g))) for h in held]
-        owner = {h[2]: h[2] for h in held}
-
-        def find(x):
-            while owner[x] != x:
-                owner[x] = x = owner[owner[x]]
-            return x
-        a, b = [], []
-        for i, j in zip(*_pairs(held)):
-            x, y = find(held[i][2]), find(held[j][2])
-            if x != y:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
-                    owner[max(x, y)] = min(x, y)
-                    a.append(min(held[i][1], held[j][1]))
-                    b.append(max(held[i][1], held[j][1]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _within(small: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) within small nodes, by exhaustive comparison."""
-    def grouped(df):
-        return df.repartition("node").sortWithinPartitions("node")
-    near = written(in_batches(grouped(small.select("node", "row", "part", "low")), _candidates, "node long, row long, part long"),
-                   "near")
-    texts = _texts(near.select("row"), sketches.select("row", "low", "words"))
-    return in_batches(grouped(near.join(texts, "row").select("node", "row", "part", "low", "words")), _confirm_nodes, "a long, b long")
-
-
-def _texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The sketches of some rows: the others' texts are not shuffled."""
-    return sketches.join(bounded_broadcast(rows.distinct()), "row", "left_semi")
-
-
 def _agreement(a: str, b: str):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def _screened(edges: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Distinct edges whose ends agree in SCREEN coordinates."""
-    ends = [sigs.select(F.col("row").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab"]
-    equal = _agreement("low_a", "low_b")
-    return (edges.distinct().join(ends[1], "b").join(ends[0], "a").filter(equal >= SCREEN).select("a", "b"))
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, left = None, set()
-    for batch in batches:
-        good = []
-        for i, (a, first, second) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
-            if a != held:
-                held, left = a, shingles(first.as_py())
-            right = shingles(second.as_py())
-            both = len(left & right)
-            if 100 * both >= PERCENT * (len(left) + len(right) - both):
-                good.append(i)
-        yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
-
-
-def _links(edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The edges whose full sets are similar enough.  ``edges`` is written."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("row"))
-    words = _texts(ends, sketches.select("row", "words"))
-    pairs = (edges.join(words.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b")
-             .join(words.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a"))
-    return in_batches(pairs.select("a", "b", "words_a", "words_b"), _confirm, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(row, part) for every end of the undirected edges (a, b): part is the
-    smallest row that can be reached.  Large-star and small-star steps, each
-    round written, until the edges stay the same."""
-    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-                    "edges")
-    mark = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = (joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(least.select("u", "m")).distinct())
-        before, edges = edges, written(small, "edges")
-        erase(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("row"), F.col("v").alias("part")).union(
-        edges.select(F.col("v").alias("row"), F.col("v").alias("part"))).distinct()
-
-
 def _roots(sigs: DataFrame, trees: int) -> DataFrame:
-    """(node, row): every vertex in the first level of the trees."""
-    return sigs.select("row", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(
+    """(node, row, part): every vertex in the first level of the trees."""
+    return sigs.select("row", "part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(
         t, F.col("roots")[t]))).alias("node"))
 
 
+def _against(large: DataFrame) -> DataFrame:
+    """(node, row) for large nodes of one component and few others: its vertices
+    in blocks of about SMALL, and the others with each block."""
+    blocks = F.ceil(F.col("most") / SMALL)
+    own = F.pmod(F.xxhash64("row", "node"), blocks)
+    places = F.when(F.col("part") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return large.select("node", "row", F.explode(places).alias("block")).select(F.xxhash64("node", "block").alias("node"), "row")
+
+
 def _blocks(large: DataFrame) -> DataFrame:
-    """A node for every two blocks of a large node's vertices, so that each pair
+    """(node, row): a node for every two blocks of a large node's vertices, so that each pair
     of them is in one: blocks hold about SMALL / 2, and a vertex is copied once
     for each other block."""
     blocks = F.ceil(F.col("n") * 2 / SMALL)
     own = F.pmod(F.xxhash64("row", "node"), blocks)
-    copies = large.select("node", "row", "part", "low", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return copies.filter("own != other").select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
-                                                "row", "part", "low")
+    copies = large.select("node", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return copies.filter("own != other").select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row")
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
@@ -329,41 +194,54 @@ def _dense(children: DataFrame) -> DataFrame:
     return pairs.filter(F.col("pairs") > F.col("n") * F.col("n")).select("above")
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written sketches of ``docs`` (doc_id, text), and (digest, row, id,
-    part): each distinct text's vertex and component."""
-    raw = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sketches = written(in_batches(raw, _sketch, SKETCH), "sketches")
-    vertices = written(sketches.filter("digest is not null").groupBy("digest").agg(
-        F.min("row").alias("row"), F.min("doc_id").alias("id")), "vertices")
-    sigs = written(sketches.select("row", "roots", "low").join(vertices.select("row"), "row"), "sigs")
-
-    first = _nodes(_roots(sigs, FIRST_TREES).withColumn("part", F.col("row")))
-    edges = written(_screened(_to_leaders(first), sigs), "edges")
-    links = written(_links(edges, sketches), "links")
-    parts = written(components(links), "parts")
-
-    placed = written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
-    roots = _nodes(_roots(sigs, TREES).join(placed.select("row", "part"), "row"))
-    small, members = [], written(roots.join(placed.select("row", "low"), "row"), "members")
+def _paths(placed: DataFrame) -> DataFrame:
+    """(node, row) of all nodes to compare, for vertices (row, part, roots, low)."""
+    found = []
+    members = written(_nodes(_roots(placed, TREES)).select("node", "row", "part", "n"), "members")
     for level in range(DEPTH):
+        found.append(members.filter(F.col("n") <= SMALL).select("node", "row"))
         large = members.filter(F.col("n") > SMALL)
-        small.append(members.filter(F.col("n") <= SMALL).select("node", "row", "part", "low"))
-        if level == 0:
-            edges = written(_screened(_to_central(large), sigs), "edges")
         if large.isEmpty():
             break
+        sizes = large.groupBy("node", "part").agg(F.count("*").alias("most"), F.first("n").alias("n"))
+        main = sizes.groupBy("node").agg(F.max(F.struct("most", "part")).alias("main"), F.first("n").alias("n"))
+        main = written(main.select("node", "main.most", F.col("main.part").alias("main"), (F.col("n") - F.col("main.most") > SMALL).alias("many")), "main")
+        parted = large.join(bounded_broadcast(main), "node")
+        found.append(_against(parted.filter("not many")))
+        many = parted.filter("many").join(placed.select("row", "low"), "row")
         if level == DEPTH - 1:
-            small.append(_blocks(large))
+            found.append(_blocks(many))
         else:
-            children = written(_nodes(_children(large, level)), "members")
+            children = written(_nodes(_children(many, level)), "members")
             dense = bounded_broadcast(written(_dense(children), "dense"))
-            small.append(_blocks(large.join(dense, F.col("node") == F.col("above"), "left_semi")))
-            members = children.join(dense, "above", "left_anti").drop("above", "n_above")
-    small = functools.reduce(DataFrame.union, small)
-    more = _within(small, sketches).union(_links(edges, sketches))
-    stars = parts.select(F.col("row").alias("a"), F.col("part").alias("b"))
-    parts = components(stars.union(more))
+            found.append(_blocks(many.join(dense, F.col("node") == F.col("above"), "left_semi")))
+            members = children.join(dense, "above", "left_anti").select("node", "row", "part", "n")
+    return functools.reduce(DataFrame.union, found)
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of ``docs`` (doc_id, text), and (digest, row, id,
+    part): each distinct text's vertex and component."""
+    raw = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    sketches = written(in_batches(raw, _sketch, SKETCH), "sketches", compression="zstd")
+    vertices = written(sketches.filter("digest is not null").groupBy("digest").agg(
+        F.min("row").alias("row"), F.min("doc_id").alias("id")), "vertices")
+    sigs = written(sketches.select("row", "n_shingles", "roots", "low", "coarse").join(vertices.select("row"), "row"), "sigs", compression="zstd")
+
+    def placed(parts):
+        return written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
+    first = _nodes(_roots(sigs.withColumn("part", F.col("row")), FIRST_TREES))
+    parts = merged(docs.sparkSession.createDataFrame([], "row long, part long"), confirmed(_to_leaders(first), sketches, PERCENT))
+
+    at = placed(parts)
+    roots = _nodes(_roots(at, TREES)).filter(F.col("n") > SAMPLE)
+    large = written(roots.select("node", "row", "part", "n").join(at.select("row", "low"), "row"), "large")
+    if not large.isEmpty():
+        parts = merged(parts, confirmed(_to_central(large), sketches, PERCENT))
+    for only_closest in (True, False):
+        at = placed(parts)
+        pairs = compared(_paths(at), at, PERCENT, only_closest, SCREEN)
+        parts = merged(parts, confirmed(pairs, sketches, PERCENT))
     return sketches, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 

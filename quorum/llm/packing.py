@@ -18,12 +18,12 @@ are bounded by the sequence length, whatever the number of documents.
 Defined cases: a null text is empty, and an empty text has the end token only,
 so every row makes at least one piece; repeated rows and repeated or null ids
 are packed row by row; an empty table has no pieces; other columns of the
-input are ignored.  Pieces tie by length; ranks then follow the partitions.
+input are ignored.  Pieces tie by length; ranks then follow the partitions.  A
+text with very long white space goes through the slower reader of ``tokens``.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,37 +36,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorum.llm.common import in_batches, written
+from quorum.llm.tokens import byte_ids
 
 SEQ_LEN, END_ID = 2048, 1
 
-# The special token that the vocabulary file names.
-SPECIAL = {"<|endoftext|>": 50256}
-
-_encoders: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """Byte-level BPE from a ``.tiktoken`` rank file (one per Python worker)."""
-    if path not in _encoders:
-        import public_tokenizers
-        import tiktoken
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                            special_tokens=SPECIAL)
-    return _encoders[path]
-
-
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 def _pieces(vocabulary: str, seq_len: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(vocabulary).encode, TaskContext.get().partitionId(), Counter()
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.array(encode(text.as_py() or "", allowed_special="all") + [END_ID], "<u4")
+                tokens = np.array([*byte_ids(vocabulary, text.as_py() or ""), END_ID], "<u4")
                 for at in range(0, len(tokens), seq_len):
                     piece = tokens[at:at + seq_len]
                     rows.append((doc_id, at, len(piece), zlib.crc32(piece), len(tokens), part, seen[len(piece)]))

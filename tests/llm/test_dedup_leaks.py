@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from quorum.llm import decontaminate, near_dedup
+from quorum.llm import decontaminate, near_dedup, set_pairs
+from quorum.llm.common import written
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -100,10 +101,13 @@ def test_links_near_the_threshold_in_a_hot_family(spark, monkeypatch):
 
 def test_screen_misses_few_links():
     import numpy as np
+    import pyarrow as pa
     low = np.zeros((2, near_dedup.COORDINATES), np.int8)
     low[1, 32:] = 1  # half of the coordinates differ: at 0.75 less than this has a chance of 5e-6
-    i, j = near_dedup._pairs([(0, k, k, low[k]) for k in range(2)])
-    assert (i.tolist(), j.tolist()) == ([0], [1])
+    node = pa.RecordBatch.from_pydict({"node": [0, 0], "row": [0, 1], "part": [0, 1], "n_shingles": [9, 9],
+                                       "coarse": [bytes(8)] * 2, "low": low.tolist()})
+    (pair,) = set_pairs.near_pairs(75, False, near_dedup.SCREEN)([node])
+    assert pair.to_pydict() == {"a": [0], "b": [1]}
 
 
 def test_dedup_odd_rows(spark):
@@ -120,7 +124,7 @@ def test_dedup_odd_rows(spark):
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(500, 700), (700, 600), (9, 9)]
-    got = {r.row: r.part for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.row: r.part for r in set_pairs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 60)}, 500: 500, 600: 500, 700: 500}
 
 
@@ -186,7 +190,7 @@ def test_pipeline_stage_by_stage(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     ids, columns = {}, docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = near_dedup.written(stage(spark, docs, folder), "test")
+        docs = written(stage(spark, docs, folder), "test")
         ids[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
         if name != "packing":
             assert docs.columns == columns

@@ -14,6 +14,9 @@ from tokenizers import Tokenizer
 
 from quorum.llm import chat, html_mincut, packing
 from quorum.llm.queries import vocabulary
+from quorum.llm.tokens import byte_ids
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 P = "Plain words make a sentence that is long enough to count as prose here, and more of it."
 
@@ -65,7 +68,7 @@ def test_same_ids_as_json_vocabulary(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_same_ids_as_json_vocabulary, "t") \
         else test_same_ids_as_json_vocabulary.t
     test_same_ids_as_json_vocabulary.t = t
-    own = packing.encoder(vocabulary()).encode(text, allowed_special="all")
+    own = byte_ids(vocabulary(), text)
     assert own == t.encode(text, add_special_tokens=False).ids
 
 
@@ -97,6 +100,17 @@ def test_packing_brute_force(spark, reference_ids):
     assert packing.pack(docs.limit(0), vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("sign", ["\n", " ", "\t", "\r\n", "a", "é"])
+def test_very_long_runs(spark, sign):
+    """Ids of 2,000,000 equal signs, which overflow the faster reader where they are white space."""
+    text = "x" + sign * (2_000_000 // len(sign)) + "y <|endoftext|>"
+    own = byte_ids(vocabulary(), text)
+    assert own == TOKENIZER.encode(text, add_special_tokens=False).ids
+    if sign == "\n":
+        rows = packing.pack(spark.createDataFrame([(1, text), (2, "z")], "doc_id long, text string"), vocabulary(), with_ids=True).collect()
+        assert [i for r in sorted(rows, key=lambda r: r.start) if r.doc_id == 1 for i in r.ids] == own + [packing.END_ID]
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(0, 6), min_size=16, max_size=16))
 def test_shortest_pack_first(counts):
