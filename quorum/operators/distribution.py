@@ -63,69 +63,54 @@ def _py_list_str(cols: Sequence) -> F.Column:
 
 def weighted_counts(resp: DataFrame, attribute_columns: Mapping[str, str], group_codes: DataFrame,
                     weight_policy: str = "cgss", use_weight: bool = True,
-                    k: int = 1) -> DataFrame:
+                    k: int | Sequence[int] = 1) -> DataFrame:
     """Steps 1–3: ``(qkey, var, attribute, grp, code, w, n)``.
 
-    ``k=1`` gives single attributes plus Overall; ``k>=2`` gives the joint
-    groups of every k-subset of attributes (A7).
+    ``k=1`` gives single attributes plus Overall; ``k>=2``, or several such
+    sizes at once, gives the joint groups of every subset of so many attributes (A7).
     """
     rows = resp.where(C.answered("code") & C.weight_ok("weight", weight_policy))
     w = C.weight_value("weight", weight_policy) if use_weight else F.lit(1.0)
     rows = rows.withColumn("_w", w)
     if k == 1:
         m = membership(rows, attribute_columns, group_codes, overall=True)
-    else:
-        # first one row per answer and attribute codes: groups are looked up on that small table
-        cells = rows.groupBy("qkey", "var", "code", *attribute_columns.values()).agg(
-            F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
-        m = _joint(cells, attribute_columns, group_codes, k)
-    n = F.count(F.lit(1)) if k == 1 else F.sum("_n")
-    return m.groupBy("qkey", "var", "attribute", "grp", "code").agg(F.sum("_w").alias("w"), n.alias("n"))
-
-
-def _joint(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: DataFrame,
-           k: int) -> DataFrame:
-    """K-attribute joint groups (every k-subset of attributes × the
-    product of their groups); labels print like Python lists.  Group lists
-    per code come from a metadata-sized broadcast lookup; the product is
-    built inside the row, so there is no self-join of the data."""
+        return m.groupBy("qkey", "var", "attribute", "grp", "code").agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n"))
+    return joint_counts(rows, attribute_columns, group_codes, [k] if isinstance(k, int) else list(k))
+
+
+def joint_counts(rows: DataFrame, attribute_columns: Mapping[str, str], group_codes: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Joint groups of every subset of ``sizes`` attributes (the product of
+    their groups), for all subsets in one pass; labels print like Python lists.
+
+    Answers are summed by grouping sets of the attributes' codes, one set a
+    subset.  Groups, which may overlap, are looked up on those sums: each code's groups
+    come from a broadcast metadata table, and the product is exploded there."""
     import itertools
-    gc = group_codes.select("attribute", "grp", F.col("code").cast("string"))
-    combos = list(itertools.combinations(list(attribute_columns), k))
-    # map (attribute, code) -> groups, as a broadcast lookup table
-    lut = gc.groupBy("attribute", "code").agg(F.sort_array(F.collect_list("grp")).alias("grps"))
-    out = rows
-    for a, col in attribute_columns.items():
-        sub = bounded_broadcast(lut.where(F.col("attribute") == a)
-                          .select(F.col("code").alias(f"_c_{a}"), F.col("grps").alias(f"_g_{a}")))
-        out = out.withColumn(f"_c_{a}", F.col(col).cast("string")).join(sub, f"_c_{a}", "left")
-    def extend(prod, groups_col):
-        return F.flatten(F.transform(prod, lambda acc: F.transform(
-            groups_col, lambda g: F.concat(acc, F.array(g)))))
-
-    def label(prod, attr_label):
-        return F.transform(prod, lambda gs: F.struct(
-            attr_label.alias("attribute"),
-            F.concat(F.lit("['"), F.array_join(gs, "', '"), F.lit("']")).alias("grp")))
-
-    structs = []
-    for combo in combos:
-        # all products of the k group lists, inside the row
-        prod = F.transform(F.col(f"_g_{combo[0]}"), lambda g: F.array(g))
-        for a in combo[1:]:
-            prod = extend(prod, F.col(f"_g_{a}"))
-        # an attribute without a group takes part in no pair; the person's other pairs stay
-        structs.append(F.coalesce(label(prod, _py_list_str([F.lit(a) for a in combo])),
-                                  F.array().cast("array<struct<attribute:string,grp:string>>")))
-    allm = F.flatten(F.array(*structs)) if len(structs) > 1 else structs[0]
-    return (out.withColumn("_m", F.explode(allm))
-               .select("*", F.col("_m.attribute").alias("attribute"), F.col("_m.grp").alias("grp")))
+    key, names = ["qkey", "var", "code"], list(attribute_columns)
+    coded = rows.select(*key, "_w", *[F.col(c).cast("string").alias(f"_c_{a}") for a, c in attribute_columns.items()])
+    sets = [[*key, *[f"_c_{a}" for a in subset]] for size in sizes for subset in itertools.combinations(names, size)]
+    sums = coded.groupingSets(sets, *key, *[f"_c_{a}" for a in names]).agg(
+        F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n"), *[(F.grouping(f"_c_{a}") == 0).alias(f"_in_{a}") for a in names])
+    lut = group_codes.select("attribute", "grp", F.col("code").cast("string")).groupBy("attribute", "code").agg(F.collect_set("grp").alias("grps"))
+    for a in names:
+        own = lut.where(F.col("attribute") == a).select(F.col("code").alias(f"_c_{a}"), F.col("grps").alias("_grps"))
+        groups = F.when(F.col(f"_in_{a}"), F.col("_grps")).otherwise(F.array(F.lit(None).cast("string")))
+        # a code without a group is in no joint group of its attribute: its array is NULL and explodes to nothing
+        sums = sums.join(bounded_broadcast(own), f"_c_{a}", "left").withColumn(f"_g_{a}", F.explode(groups)).drop("_grps")
+
+    def listed(items):
+        kept = F.filter(F.array(*items), lambda x: x.isNotNull())
+        return F.concat(F.lit("['"), F.array_join(kept, "', '"), F.lit("']"))
+    attribute = listed([F.when(F.col(f"_in_{a}"), F.lit(a)) for a in names])
+    grp = listed([F.col(f"_g_{a}") for a in names])
+    return (sums.select("qkey", "var", attribute.alias("attribute"), grp.alias("grp"), "code", "w", "n")
+            .groupBy("qkey", "var", "attribute", "grp", "code").agg(F.sum("w").alias("w"), F.sum("n").alias("n")))
 
 
 def distribution_cgss(resp: DataFrame, codebook: DataFrame, policy: DataFrame, variables: DataFrame,
                       group_codes: DataFrame, attribute_columns: Mapping[str, str],
                       global_invalid: Sequence[float], global_refusal: Sequence[float],
-                      k: int = 1, with_report: bool = False, no_order_codes: Sequence[float] = ()) -> DataFrame:
+                      k: int | Sequence[int] = 1, with_report: bool = False, no_order_codes: Sequence[float] = ()) -> DataFrame:
     """A3 (+A4, A6, J6, J12, P10, P11, P16, P17, F36).
 
     Output per (qkey, attribute, grp): ``responses ARRAY<DOUBLE>`` over the
@@ -188,7 +173,7 @@ def _refusal_codes(codebook: DataFrame) -> DataFrame:
 
 def distribution_atp(resp: DataFrame, codebook: DataFrame, group_codes: DataFrame,
                      attribute_columns: Mapping[str, str], remove_refusal: bool = True,
-                     use_weight: bool = True, k: int = 1, with_report: bool = False) -> DataFrame:
+                     use_weight: bool = True, k: int | Sequence[int] = 1, with_report: bool = False) -> DataFrame:
     """A1: zero-filled weighted distribution over the question's labelled
     options (refusal dropped when ``remove_refusal``), sorted by code
     (T1); NaN/NULL weights count 0; NULL (skipped) when the total is 0.
@@ -221,7 +206,7 @@ def _distribution_atp(resp, codebook, group_codes, attribute_columns, remove_ref
 
 
 def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, group_codes: DataFrame,
-                 attribute_columns: Mapping[str, str], k: int = 1, with_report: bool = False) -> DataFrame:
+                 attribute_columns: Mapping[str, str], k: int | Sequence[int] = 1, with_report: bool = False) -> DataFrame:
     """A6 (wave data): distribution with refusals kept, ``refusal_rate`` =
     the refusal option's share, ``responses`` = the other options
     renormalised (pair skipped when nothing but refusals), ``ordinal`` all
@@ -251,7 +236,7 @@ def assemble_atp(resp: DataFrame, codebook: DataFrame, variables: DataFrame, gro
 
 
 def distribution_gss(resp: DataFrame, options: DataFrame, group_codes: DataFrame,
-                     attribute_columns: Mapping[str, str], k: int = 1, with_report: bool = False) -> DataFrame:
+                     attribute_columns: Mapping[str, str], k: int | Sequence[int] = 1, with_report: bool = False) -> DataFrame:
     """A2: option index = code - min(code) of the question over the whole
     population; only integral codes and non-NaN weights count; the
     refusal rate is the share of the option labelled ``Refused`` (else 0);

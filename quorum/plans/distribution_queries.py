@@ -280,6 +280,24 @@ def q_dist_joint_k2(spark, sf_dir):
                     "option", r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate"), "ordinal")
 
 
+_MEMB_K3 = """
+memb AS (SELECT r.qkey, r.var, r.code, r.weight, '[''SEGMENT'', ''REGION'', ''BALANCE'']' AS attribute,
+                '[''' || g1.grp || ''', ''' || g2.grp || ''', ''' || g3.grp || ''']' AS grp FROM responses r
+         JOIN group_codes g1 ON g1.attribute = 'SEGMENT' AND g1.code = r.segment
+         JOIN group_codes g2 ON g2.attribute = 'REGION' AND g2.code = r.region
+         JOIN group_codes g3 ON g3.attribute = 'BALANCE' AND g3.code = CAST(r.balance_code AS VARCHAR)
+),"""
+
+
+@query("dist_joint_k3", with_views(*_DIST_VIEWS, ctes=_dist_ctes(_MEMB_K3)) + """
+SELECT qkey, attribute, grp, opt_idx, option, round(p, 9) AS p, round(refusal_rate, 9) AS refusal_rate, ordinal
+FROM dist""")
+def q_dist_joint_k3(spark, sf_dir):
+    d = D.explode_distribution(cgss_distribution(spark, sf_dir, k=3))
+    return d.select("qkey", "attribute", "grp", F.col("opt_idx").cast("bigint").alias("opt_idx"),
+                    "option", r9("p").alias("p"), r9("refusal_rate").alias("refusal_rate"), "ordinal")
+
+
 SKIP_SQL = with_views(*_DIST_VIEWS, ctes=_DIST_CTES) + """
 SELECT CASE WHEN valid_w + ref_w <= 0 THEN 'no_weight' WHEN abs(valid_w) <= 1e-8 THEN 'all_refused'
             ELSE 'ok' END AS reason, count(*) AS n

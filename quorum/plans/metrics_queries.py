@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.functions import metrics as M
 from quorum.operators import distribution as D
+from quorum.operators import entropy as E
 from quorum.operators.bounds import wd_lower_bootstrap, wd_lower_draws
 from quorum.plans.distribution_queries import _DIST_CTES, _DIST_VIEWS, _EMD_CTES, cgss_distribution, emd_vs_overall, r9
 from quorum.plans.oracle_views import with_views
@@ -280,9 +283,8 @@ SELECT c.qkey, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n +
 FROM cnt c JOIN tot t ON t.qkey = c.qkey GROUP BY c.qkey, t.m""")
 def q_entropy(spark, sf_dir):
     lr = V.line_responses(spark, sf_dir)
-    c = lr.groupBy("qkey", "code").agg(F.count(F.lit(1)).alias("c"))
-    return (c.groupBy("qkey").agg(F.collect_list("c").alias("cs"))
-             .select("qkey", r9(M.entropy_from_counts("cs")).alias("entropy")))
+    c = lr.groupBy("qkey", "code").agg(F.count(F.lit(1)).alias("n"))
+    return E.entropy(c, ["qkey"]).select("qkey", r9("entropy").alias("entropy"))
 
 
 _NAMES = sorted(V.LINE_VARS)
@@ -299,17 +301,27 @@ SELECT c.pair, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n +
                           ELSE -sum((c.c / t.n) * log2(c.c / t.n + 1e-9)) END, 9) AS entropy
 FROM cnt c JOIN tot t ON t.pair = c.pair GROUP BY c.pair, t.m""")
 def q_entropy_joint(spark, sf_dir):
-    from quorum.operators import codes as C
-    wide = V.line_answers(spark, sf_dir)
-    # every pair's joint answer from one pass over the rows (explode, then a plain filter)
-    cells = F.explode(F.array(*[F.struct(F.lit("|".join(p)).alias("pair"),
-                                         F.array(*[F.col(q) for q in p]).alias("codes"),
-                                         (C.answered(p[0]) & C.answered(p[1])).alias("ok"))
-                                for p in JOINT_PAIRS]))
-    j = wide.select(cells.alias("x")).select("x.pair", "x.codes", "x.ok").where(F.col("ok"))
-    c = j.groupBy("pair", "codes").agg(F.count(F.lit(1)).alias("c"))
-    return (c.groupBy("pair").agg(F.collect_list("c").alias("cs"))
-             .select("pair", r9(M.entropy_from_counts("cs")).alias("entropy")))
+    cells = E.joint_cells(V.line_answers(spark, sf_dir), _NAMES, [2], "pair")
+    return E.entropy(cells, ["pair"]).select("pair", r9("entropy").alias("entropy"))
+
+
+_SUBSETS = [s for size in (1, 2, 3) for s in itertools.combinations(_NAMES, size)]
+_SUBSET_ROWS = " UNION ALL ".join(
+    f"SELECT '{'|'.join(s)}' AS subset, {' || chr(31) || '.join(f'CAST({q} AS VARCHAR)' for q in s)} AS a FROM line_answers "
+    f"WHERE {' AND '.join(f'{q} IS NOT NULL' for q in s)}" for s in _SUBSETS)
+
+
+@query("entropy_subsets", with_views("line_answers", ctes=f"""
+j AS ({_SUBSET_ROWS}),
+cnt AS (SELECT subset, a, count(*) AS c FROM j GROUP BY subset, a),
+tot AS (SELECT subset, sum(c) AS n, count(*) AS m FROM cnt GROUP BY subset)""") + """
+SELECT c.subset, round(CASE WHEN t.m > 1 THEN -sum((c.c / t.n) * log2(c.c / t.n + 1e-9)) / log2(t.m)
+                            ELSE -sum((c.c / t.n) * log2(c.c / t.n + 1e-9)) END, 9) AS entropy
+FROM cnt c JOIN tot t ON t.subset = c.subset GROUP BY c.subset, t.m""")
+def q_entropy_subsets(spark, sf_dir):
+    """The joint entropy of every one, two and three questions, in one pass."""
+    cells = E.joint_cells(V.line_answers(spark, sf_dir), _NAMES, [1, 2, 3])
+    return E.entropy(cells, ["subset"]).select("subset", r9("entropy").alias("entropy"))
 
 
 # ---- A9 + P14 + P15
@@ -330,9 +342,9 @@ _KEPT = ("kept AS (SELECT qkey, attribute, grp, CASE WHEN rng = 0 THEN NULL ELSE
          "WHERE qkey NOT IN (SELECT qkey FROM excl))")
 
 
-@query("exclude_relevant", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) +
+@query("exclude_refused", with_views(*_DIST_VIEWS, ctes=_EMD_CTES + ",\n" + _EXCL + _KEPT) +
        "SELECT qkey, attribute, grp, round(emd, 9) AS emd FROM kept")
-def q_exclude_relevant(spark, sf_dir):
+def q_exclude_refused(spark, sf_dir):
     return kept_emd(spark, sf_dir).select("qkey", "attribute", "grp", r9("emd").alias("emd"))
 
 

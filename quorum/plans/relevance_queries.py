@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quorum.operators import relevance as RL
+from quorum.operators.groups import exclude_listed
+from quorum.plans.distribution_queries import _DIST_VIEWS, _EMD_CTES, cgss_distribution, emd_vs_overall, r9
 from quorum.plans.oracle_views import with_views
 from quorum.plans.registry import query
 from quorum.sources import views as V
+from quorum.sources.io import kept, scratch
 
 QUESTIONS = sorted(V.LINE_VARS)
 _PAIRS = [(t, o) for i, t in enumerate(QUESTIONS) for o in QUESTIONS[i + 1:]]
@@ -137,3 +142,54 @@ def q_topk_greedy(spark, sf_dir):
     wide = V.line_answers(spark, sf_dir)
     g = RL.topk_greedy(wide, _GREEDY_TARGET, QUESTIONS, 2)
     return g.select("target", "qkey", "step", F.round("gain", 6).alias("gain"))
+
+
+# ---- X2: scores of a sub-population, remembered from call to call
+_SUBPOP = "BUILDING"
+
+
+@query("relevance_remembered", with_views("line_answers", ctes=_AMI_CTES.replace(
+    "FROM line_answers", f"FROM (SELECT * FROM line_answers WHERE segment = '{_SUBPOP}')")) +
+    "SELECT target, qkey, CAST(n_joint AS BIGINT) AS n_joint, round(relevance, 6) AS relevance FROM rel")
+def q_relevance_remembered(spark, sf_dir):
+    """Every ordered pair within a segment, in three calls on one table of
+    scores: one target, one target for everybody (which shares no entry), all pairs."""
+    wide = V.line_answers(spark, sf_dir, segment=True)
+    qa = F.explode(F.array(*[F.struct(F.lit(q).alias("qkey"), F.col(q).alias("code")) for q in QUESTIONS])).alias("qa")
+    wide = wide.withColumn("human_id", F.monotonically_increasing_id())  # a line is a respondent; order and line number may repeat
+    answers = kept(wide.select("human_id", "segment", qa).select("human_id", "segment", "qa.*").where("code is not null"), "answers")
+    pairs, path = RL.question_pairs(answers), scratch(spark, "relevance")
+    RL.remembered_relevance(path, answers, pairs.where(F.col("target") == QUESTIONS[0]), "segment", _SUBPOP)
+    RL.remembered_relevance(path, answers, pairs.where(F.col("target") == QUESTIONS[1]))
+    out = RL.remembered_relevance(path, answers, pairs, "segment", _SUBPOP)
+    return out.select("target", "qkey", "n_joint", F.round("relevance", 6).alias("relevance"))
+
+
+# ---- P14: the questions whose answers tell each other's
+NEAR = 0.0005
+_NEAR_CTES = _EMD_CTES + """,
+ans AS (SELECT human_id, wave, qkey, code FROM responses WHERE code IS NOT NULL),
+cells AS (SELECT p.qkey AS target, s.qkey AS other, p.code AS a, s.code AS b, count(*) AS n
+          FROM ans p JOIN ans s ON s.human_id = p.human_id AND p.qkey < s.qkey GROUP BY ALL),
+""" + re.sub(r"\btot\b", "rtot", _AMI_CTES[_AMI_CTES.index("tot AS"):]) + f""",
+ks AS (SELECT qkey, row_number() OVER (ORDER BY md5('42:' || qkey)) AS r FROM (SELECT DISTINCT qkey FROM rel)),
+nb AS (SELECT ks.qkey, ks.r, coalesce(list(e.qkey) FILTER (e.qkey IS NOT NULL), []) AS near
+       FROM ks LEFT JOIN rel e ON e.target = ks.qkey AND e.relevance >= {NEAR} GROUP BY ks.qkey, ks.r),
+walk AS (SELECT stay, n FROM (WITH RECURSIVE g(n, stay) AS (
+           SELECT 0, CAST([] AS VARCHAR[]) UNION ALL
+           SELECT g.n + 1, CASE WHEN list_has_any(g.stay, nb.near) THEN g.stay ELSE list_append(g.stay, nb.qkey) END
+           FROM g JOIN nb ON nb.r = g.n + 1) SELECT * FROM g) ORDER BY n DESC LIMIT 1)"""
+
+
+@query("exclude_relevant", with_views(*_DIST_VIEWS, ctes=_NEAR_CTES) + """
+SELECT qkey, attribute, grp, round(CASE WHEN rng = 0 THEN NULL ELSE s / rng END, 9) AS emd FROM emdt
+WHERE qkey NOT IN (SELECT qkey FROM ks) OR qkey IN (SELECT unnest(stay) FROM walk)""")
+def q_exclude_relevant(spark, sf_dir):
+    """EMD rows without near-duplicate questions: those whose answers by the
+    same people are relevant for each other, but for a maximal independent set."""
+    answers = V.responses(spark, sf_dir).select("human_id", "qkey", "code")
+    keys = answers.select("qkey").distinct()
+    cont = RL.contingency_long(answers, keys, keys).where("target < other")
+    listed = RL.near_duplicates(kept(RL.ami_pairs(cont), "relevance"), NEAR)
+    e = exclude_listed(emd_vs_overall(cgss_distribution(spark, sf_dir)), listed)
+    return e.select("qkey", "attribute", "grp", r9("emd").alias("emd"))

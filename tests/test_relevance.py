@@ -1,9 +1,11 @@
 """Relevance of many questions, and exact expected mutual information."""
+import hashlib
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
-import numpy as np
+from pyspark.sql import functions as F
 
 from quorum.operators import relevance as RL
 
@@ -19,20 +21,113 @@ def brute_emi(a, b, n):
     return total
 
 
-def test_expected_mi_sums_all_terms():
-    rng = random.Random(2)
-    for _ in range(40):
+def table(spark, margins):
+    """A histogram of margins for (target, other, a margins, b margins)."""
+    rows = [(t, o, side, m, n) for t, o, *sides in margins for side, xs in enumerate(sides) for m, n in Counter(xs).items()]
+    return spark.createDataFrame(rows, "target string, other string, side int, m long, c long")
+
+
+def test_expected_mi_sums_all_terms(spark):
+    rng, pairs, want = random.Random(2), [], {}
+    for k in range(40):
         a = [rng.randint(1, 60) for _ in range(rng.randint(2, 5))]
         n = sum(a)
         cut = sorted(rng.sample(range(1, n), min(3, n - 1)))
         b = [y - x for x, y in zip([0, *cut], [*cut, n])]
-        want = brute_emi(a, b, n)
-        assert abs(RL.expected_mi(np.array(a, float), np.array(b, float), n) - want) <= 1e-11 * max(1.0, abs(want))
+        pairs.append((f"t{k}", "o", a, b))
+        want[f"t{k}"] = brute_emi(a, b, n)
     rare = [24] * 30 + [1_000_000 - 720]
-    got = RL.expected_mi(np.array(rare, float), np.array(rare, float), 1_000_000)
-    pairs = 900 * brute_emi([24], [24], 1_000_000) + 60 * brute_emi([24], [rare[-1]], 1_000_000)
-    big = RL._overlap_terms(float(rare[-1]), float(rare[-1]), 1e6)
-    assert abs(got - (pairs + big)) <= 1e-9 * abs(got)
+    pairs.append(("rare", "o", rare, rare))
+    got = {r.target: r.emi for r in RL.expected_mi(table(spark, pairs)).collect()}
+    for k, value in want.items():
+        assert abs(got[k] - value) <= 1e-11 * max(1.0, abs(value))
+    # the overlap of the two large margins, from the complements: it misses n - a of n, and so on
+    n, big = 1_000_000, 1_000_000 - 720
+    both = sum(float(Fraction(math.comb(720, k) * math.comb(n - 720, 720 - k), math.comb(n, 720)))
+               * (n - 1440 + k) / n * math.log(n * (n - 1440 + k) / (big * big)) for k in range(0, 60))
+    small = 900 * brute_emi([24], [24], n) + 60 * brute_emi([24], [big], n)
+    assert abs(got["rare"] - (small + both)) <= 1e-9 * abs(small + both)
+
+
+def test_hypergeometric_probabilities(spark):
+    def exact(x, a, b, n):
+        if n < 10**6:
+            return math.log(math.comb(a, x) * math.comb(n - a, b - x)) - math.log(math.comb(n, b))
+        out = Fraction(math.comb(a, x))                                  # few of a: falling factorials
+        for i in range(x):
+            out *= Fraction(b - i, n - i)
+        for i in range(a - x):
+            out *= Fraction(n - b - i, n - x - i)
+        return math.log(out.numerator) - math.log(out.denominator)
+    cases = [(x, a, b, n) for a, b, n in [(5, 7, 20), (1, 1, 2), (300, 20, 1000), (50_000, 40_000, 100_000), (3, 10**9, 10**10)]
+             for x in sorted({max(0, a + b - n), min(a, b), a * b // n, a * b // n + 1}) if max(0, a + b - n) <= x <= min(a, b)]
+    df = spark.createDataFrame([tuple(map(float, c)) for c in cases], "x double, a double, b double, n double")
+    got = {(r.x, r.a, r.b, r.n): r.p for r in df.select("*", RL.log_hypergeometric(*map(F.col, "xabn")).alias("p")).collect()}
+    for c in cases:
+        assert abs(got[tuple(map(float, c))] - exact(*c)) <= 1e-10 * max(1.0, abs(exact(*c)))
+
+
+def test_many_codes_are_spread(spark):
+    """A pair with 20,000 codes a side: no Python, and its margins meet in several tasks."""
+    answers = spark.range(0, 200_000, 1, 8).select(F.lit("t").alias("target"), F.lit("o").alias("other"), (F.col("id") % 20_000).alias("a"),
+                                                   F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("b"), F.lit(1).alias("n"))
+    cont = answers.groupBy("target", "other", "a", "b").agg(F.sum("n").alias("n"))
+    scores = RL.ami_pairs(cont, symmetric=False)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    r = scores.first()
+    assert r.n_joint == 200_000 and 0 <= r.relevance < 0.02
+    hist = RL.margins(cont)
+    x = hist.where("side = 1").select(F.countDistinct("m")).first()[0]
+    assert x > 10  # several margins
+
+
+def test_refined_codes_are_dense(spark):
+    df = spark.createDataFrame([(0, 1.0, 5), (0, 2.0, 6), (1, 1.0, 7), (1, 1.0, 8)], "_set long, q double, v int")
+    got = sorted((r._set, r.v) for r in RL.refined(df, "q").collect())
+    assert got == [(0, 5), (1, 6), (2, 7), (2, 8)]
+
+
+def test_remembered_relevance(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, q, float(rng.randint(1, 3)), rng.choice(["x", "y"])) for i in range(300) for q in "abcd"]
+    answers = spark.createDataFrame(rows, "human_id long, qkey string, code double, grp string")
+    path, calls = str(tmp_path / "scores"), []
+
+    def strategy(cont):
+        calls.append(cont.select("target", "other").distinct().count())
+        return RL.ami_pairs(cont, symmetric=False)
+    pairs = RL.question_pairs(answers)
+    first = RL.remembered_relevance(path, answers, pairs.where("target = 'a'"), strategy=strategy)
+    assert first.count() == 3 and calls == [3]
+    every = RL.remembered_relevance(path, answers, pairs, strategy=strategy)
+    assert every.count() == 12 and calls == [3, 9]
+    assert RL.remembered_relevance(path, answers, pairs.where("qkey = 'b'"), strategy=strategy).count() == 3 and calls == [3, 9]
+    own = {(r.target, r.qkey): r.n_joint for r in RL.remembered_relevance(path, answers, pairs, "grp", "x", strategy).collect()}
+    assert calls == [3, 9, 12] and len(own) == 12 and max(own.values()) < 300     # sub-populations share no entries
+    again = {(r.target, r.qkey): r.n_joint for r in RL.remembered_relevance(path, answers, pairs, strategy=strategy).collect()}
+    assert set(again.values()) == {300} and calls == [3, 9, 12]
+    lone = spark.createDataFrame([("a", "none")], "target string, qkey string")
+    assert RL.remembered_relevance(path, answers, lone, strategy=strategy).first().relevance == RL.NEG_INF
+    assert RL.remembered_relevance(path, answers, lone, strategy=strategy).count() == 1 and len(calls) == 4
+
+
+def test_independent_set_is_the_greedy_one(spark):
+    rng = random.Random(3)
+    names = [f"q{i}" for i in range(60)]
+    edges = {tuple(sorted(rng.sample(names, 2))) for _ in range(120)} | {(names[i], names[i + 1]) for i in range(20)}
+    near = {n: set() for n in names}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    stay = set()
+    for n in sorted(names, key=lambda n: hashlib.md5(f"42:{n}".encode()).hexdigest()):
+        if not near[n] & stay:
+            stay.add(n)
+    got = RL.independent_set(spark.createDataFrame([(n,) for n in names], "qkey string"), spark.createDataFrame(list(edges), "a string, b string"))
+    assert sorted(r.qkey for r in got.collect()) == sorted(stay)
+    rel = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.2), ("c", "d", 0.9)], "target string, qkey string, relevance double")
+    assert RL.near_duplicates(rel, 0.5).count() == 2
 
 
 def test_many_questions(spark):
