@@ -67,6 +67,13 @@ def choose_column(columns: Sequence[str], candidates: Sequence[str]) -> str:
     raise KeyError(f"none of {list(candidates)} present")
 
 
+def wave_membership(people: DataFrame, resolution: DataFrame) -> DataFrame:
+    """The groups of people ``(…, wave, attribute, var, code)`` by a
+    resolution table ``(wave, attribute, var, grp, code)`` of each wave's own column
+    and codes (metadata): one membership, however waves name and code an attribute."""
+    return people.join(bounded_broadcast(resolution.distinct()), ["wave", "attribute", "var", "code"]).drop("var", "code")
+
+
 def convert_traits(traits: DataFrame, codebook: DataFrame) -> DataFrame:
     """P8 (code part): ``traits(attribute, var, trait, mode)`` against a
     codebook ``(var, pos, code, label)``.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum.operators import codes as C
-from quorum.operators.joins import bounded_broadcast
+from quorum.operators.joins import bounded_broadcast, with_keys_of
 
 
 def responses_in(resp: DataFrame, members: DataFrame, key: str = "human_id") -> DataFrame:
@@ -75,8 +75,9 @@ def lookup_responses(lookups: DataFrame, resp: DataFrame, codebook: DataFrame) -
 
     idx = option position (0-based, label order); -1 = the refusal (last)
     label; -2 = in the wave but no (labelled) answer; -3 = not in the wave.
+    Answers of people whom no lookup names are left out before the join.
     """
-    ans = resp.select("human_id", "qkey", "var", "code", F.lit(True).alias("_in"))
+    ans = with_keys_of(resp, lookups, "human_id").select("human_id", "qkey", "var", "code", F.lit(True).alias("_in"))
     cb = codebook.withColumn("_maxpos", F.max("pos").over(Window.partitionBy("var")))
     j = (lookups.join(ans, ["human_id", "qkey"], "left")
                 .join(bounded_broadcast(cb.select("var", "code", "pos", "label", "_maxpos")), ["var", "code"], "left"))

@@ -29,12 +29,8 @@ def _wave_tables(spark, sf_dir, root):
 def q_scan_waves(spark, sf_dir):
     root = IO.scratch(spark, "waves")
     waves = _wave_tables(spark, sf_dir, root)
-    wide = IO.scan_waves(spark, root, waves)
-    qcols = [c for c in wide.columns if c.startswith(("PRIORITY_W", "STATUS_W"))]
-    # a respondent belongs to one wave: the other waves' columns are NULL-filled by the union
-    long = wide.select("QKEY", "wave", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("qkey"), F.lit(int(c.rsplit("_W", 1)[1])).alias("of"), F.col(c).alias("code")) for c in qcols])).alias("x"))
-    return long.where(F.col("x.of") == F.col("wave")).select(F.col("QKEY").alias("human_id"), "x.qkey", "x.code")
+    long = IO.scan_wave_answers(spark, root, waves)
+    return long.select("human_id", "qkey", "code")
 
 
 @query("scan_stata", with_views("responses") + """
@@ -209,17 +205,17 @@ def q_scan_prompts(spark, sf_dir):
 SELECT qkey, attribute, grp FROM pr WHERE steering_type = 'qa' AND split = 'train'"""))
 def q_select_split(spark, sf_dir):
     path = IO.scratch(spark, "prompts-parts")
-    IO.write_partitioned(_prompts(spark, sf_dir), path, ["steering_type", "split"])
-    # partition filters: only steering_type=qa/split=train files are listed and read
-    return (spark.read.parquet(path).where((F.col("steering_type") == "qa") & (F.col("split") == "train"))
-                 .select("qkey", "attribute", "grp"))
+    IO.write_prompt_sets(_prompts(spark, sf_dir), path, "survey")
+    # the sets that the runs ask for: the QA prompts of the train split, of every attribute and group
+    wanted = IO.kept(spark.read.parquet(path).select(*IO.PROMPT_SET).distinct().where((F.col("steering_type") == "qa") & (F.col("split") == "train")), "work")
+    return IO.select_sets(spark.read.parquet(path), wanted, IO.PROMPT_SET).select("qkey", "attribute", "grp")
 
 
 @query("write_prompts", _pr_sql("SELECT qkey, attribute, grp, steering_type, split, input_prompt FROM pr"))
 def q_write_prompts(spark, sf_dir):
-    """K2: one partitioned write for every (steering type, split)."""
+    """K2: one partitioned write for every (data set, attribute, group, steering type, split)."""
     path = IO.scratch(spark, "prompts-k2")
-    IO.write_partitioned(_prompts(spark, sf_dir), path, ["steering_type", "split"])
+    IO.write_prompt_sets(_prompts(spark, sf_dir), path, "survey")
     return spark.read.parquet(path).select("qkey", "attribute", "grp", "steering_type", "split", "input_prompt")
 
 
@@ -275,24 +271,22 @@ SELECT CAST(p.run AS BIGINT) AS run, CAST(p.part AS BIGINT) AS part, k.series, C
        round(CASE WHEN k.series LIKE '%loss' THEN p.loss ELSE exp(p.loss) END, 9) AS value
 FROM p CROSS JOIN k""")
 def q_scan_train_metrics(spark, sf_dir):
-    """Per-run metric files built from the events series (run = user),
-    plus one malformed file that is reported, not fatal."""
+    """Metric rows built from the events series (run = user), many runs in
+    a file of bounded size, plus one malformed line that is reported, not fatal."""
     from quorum.plans.compare_queries import metric_series
     root = IO.scratch(spark, "train-metrics")
     s = metric_series(spark, sf_dir)
-    # one file per (run, block of 1000 steps): the block bounds the arrays in a row
+    # a row per (run, block of 1000 steps): the block bounds the arrays in a row
     s = s.withColumn("part", F.floor((F.col("step") - 1) / 1000))
     per = s.groupBy("run", "part").agg(F.sort_array(F.collect_list(F.struct("step", "loss"))).alias("_s"))
     loss = F.transform("_s", lambda x: x["loss"])
     cols = {k: (loss if "loss" in k else F.transform(loss, lambda v: F.exp(v))) for k in IO.TRAIN_METRIC_KEYS}
-    per.select("run", "part", *[c.alias(k) for k, c in cols.items()]) \
-       .write.mode("overwrite").partitionBy("run", "part").json(root)
-    spark.createDataFrame([("{not json",)], "value string").write.mode("overwrite").text(
-        os.path.join(root, "run=bad", "part=0"))
-    m = IO.read_train_metrics(spark, os.path.join(root, "*", "*", "*"))
-    return m.select(F.regexp_extract("source_file", r"run=(\d+)", 1).cast("bigint").alias("run"),
-                    F.regexp_extract("source_file", r"part=(\d+)", 1).cast("bigint").alias("part"),
-                    "series", "idx", F.round("value", 9).alias("value"))
+    per.select("run", "part", *[c.alias(k) for k, c in cols.items()]).write.option("maxRecordsPerFile", 10_000).json(root)
+    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.mode("append").text(root)
+    m, bad = IO.read_train_metric_rows(spark, root)
+    if bad.count() != 1:
+        raise AssertionError("the malformed line is not reported")
+    return m.select("run", "part", "series", "idx", F.round("value", 9).alias("value"))
 
 
 def _dist_sql():
@@ -355,17 +349,26 @@ def q_publish(spark, sf_dir):
     return spark.read.option("header", True).csv(second).withColumn("published_as", suffix)
 
 
-@query("write_scored", _eval_sql("""
-SELECT 'prompts_qa_test' AS input, m.model, row_idx, round(kl_ft, 9) AS kl, round(wd_ft, 9) AS wd
-FROM paired CROSS JOIN (SELECT unnest(['base-0.5B', 'ft-7B']) AS model) m"""))
+_INPUTS = ["prompts_bio_test", "prompts_portray_test", "prompts_qa_test"]
+
+
+@query("write_scored", _eval_sql(f"""
+SELECT i.input, m.model, row_idx,
+       round(CASE WHEN i.input = '{_INPUTS[0]}' AND m.model = 'ft-7B' THEN kl_baseline ELSE kl_ft END, 9) AS kl,
+       round(CASE WHEN i.input = '{_INPUTS[0]}' AND m.model = 'ft-7B' THEN wd_baseline ELSE wd_ft END, 9) AS wd
+FROM paired CROSS JOIN (SELECT unnest({_INPUTS}) AS input) i CROSS JOIN (SELECT unnest(['base-0.5B', 'ft-7B']) AS model) m"""))
 def q_write_scored(spark, sf_dir):
-    """K8: scored rows written once, partitioned by (input, model)."""
+    """K8: scored rows of every (input, model) of the run grid, then one pair
+    scored again, which replaces that pair alone."""
+    from quorum.operators.compare import run_grid
     from quorum.plans.compare_queries import MODELS, eval_rows
     path = IO.scratch(spark, "scored")
-    m = F.explode(F.array(*[F.lit(x) for x in MODELS]))
-    e = (eval_rows(spark, sf_dir, 0.5).select("*", F.lit("prompts_qa_test").alias("input"), m.alias("model"))
-         .withColumn("model", F.substring_index("model", "/", -1)))
-    IO.write_partitioned(e, path, ["input", "model"])
+    grid = run_grid(spark.createDataFrame([(i,) for i in _INPUTS], "input string"), MODELS)
+    runs = grid.select("input", F.substring_index("model", "/", -1).alias("model"))
+    every = F.explode(F.array(*[F.struct(F.lit(r.input).alias("input"), F.lit(r.model).alias("model")) for r in runs.collect()]))  # the grid's names
+    IO.replace_sets(eval_rows(spark, sf_dir, 0.5).withColumn("run", every).select("*", "run.*").drop("run"), path, ["input", "model"])
+    again = eval_rows(spark, sf_dir, 0.0).withColumns({"input": F.lit(_INPUTS[0]), "model": F.lit("ft-7B")})
+    IO.replace_sets(again, path, ["input", "model"])
     return spark.read.parquet(path).select("input", "model", "row_idx", F.round("kl", 9).alias("kl"), F.round("wd", 9).alias("wd"))
 
 

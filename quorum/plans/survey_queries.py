@@ -119,6 +119,35 @@ def q_convert_field(spark, sf_dir):
     return G.convert_traits(tr, cb).select("attribute", "trait", "mode", "code", F.lit(col).alias("column"))
 
 
+# ---- P8 over waves that name and code an attribute in their own ways
+_P8_COLUMNS = {"REGION": ["F_REGION", "F_CREGION"], "SEGMENT": ["F_SEGMENT"]}
+_P8_REGIONS = [g for a, g, _ in V.GROUP_CODE_ROWS if a == "REGION"]
+
+
+@query("convert_field_waves", with_views("respondents") + """
+SELECT human_id, wave, 'REGION' AS attribute, region AS grp FROM respondents WHERE region IS NOT NULL
+UNION ALL SELECT human_id, wave, 'SEGMENT', segment FROM respondents WHERE segment IS NOT NULL""")
+def q_convert_field_waves(spark, sf_dir):
+    """One membership from waves that hold the region as a number in F_REGION
+    (even years) or as a letter code in F_CREGION (odd ones)."""
+    from quorum.sources import io as IO
+    r = V.respondents(spark, sf_dir).select(F.col("human_id").alias("QKEY"), "wave", "region", F.col("segment").alias("F_SEGMENT"))
+    number = F.array_position(F.array(*[F.lit(x) for x in _P8_REGIONS]), F.col("region")).cast("int")
+    root, waves = IO.scratch(spark, "layouts"), []
+    for odd, own in ((0, number.alias("F_REGION")), (1, F.concat(F.lit("R"), number.cast("string")).alias("F_CREGION"))):
+        part = r.where(F.col("wave") % 2 == odd).select("QKEY", "wave", "F_SEGMENT", own)
+        part.write.mode("append").partitionBy("wave").parquet(root)
+        waves += [x.wave for x in part.select("wave").distinct().collect()]  # names of folders
+    # the resolution table: the codes of every wave's own column, from its codebook
+    found = IO.resolved_columns(spark, root, waves, _P8_COLUMNS)
+    codes = {"F_REGION": [(g, str(i)) for i, g in enumerate(_P8_REGIONS, 1)], "F_CREGION": [(g, f"R{i}") for i, g in enumerate(_P8_REGIONS, 1)],
+             "F_SEGMENT": [(g, c) for a, g, c in V.GROUP_CODE_ROWS if a == "SEGMENT"]}
+    rows = [(w, a, column, g, c) for w, a, column in found for g, c in codes[column]]
+    resolution = spark.createDataFrame(rows, "wave int, attribute string, var string, grp string, code string")
+    people = IO.scan_wave_attributes(spark, root, waves, _P8_COLUMNS)
+    return G.wave_membership(people, resolution).select(F.col("QKEY").alias("human_id"), "wave", "attribute", "grp")
+
+
 # ---- P9 / X1
 _RECODE_SQL = ("CASE " + " ".join(f"WHEN attribute = '{a}' AND grp = '{g}' THEN '{n}'" for (a, g), n in RECODE.items())
                + " ELSE grp END")
@@ -264,12 +293,7 @@ def q_wave_weights(spark, sf_dir):
     from quorum.sources import io as IO
     root = IO.scratch(spark, "weights")
     waves = IO.write_waves(V.respondents(spark, sf_dir).select(F.col("human_id").alias("QKEY"), "wave", F.col("weight").alias("WEIGHT")), root)
-    wide = IO.scan_waves(spark, root, waves)  # one column WEIGHT_W<n> per wave
-    weight = None
-    for w in waves:  # metadata: a CASE per wave, over one scan
-        own = F.col(R.weight_column(wide.columns, w))
-        weight = F.when(F.col("wave") == w, own) if weight is None else weight.when(F.col("wave") == w, own)
-    return wide.select("QKEY", "wave", weight.alias("weight"))
+    return IO.scan_wave_weights(spark, root, waves)
 
 
 # ---- J5
@@ -286,21 +310,30 @@ def q_grid_cross(spark, sf_dir):
 
 
 # ---- J13
-@query("get_response", with_views("responses", "respondents", "codebook", ctes="""
-mx AS (SELECT var, max(pos) AS maxpos FROM codebook GROUP BY var)""") + """
-SELECT p.human_id, k.qkey,
+_LOOKUPS = """
+mx AS (SELECT var, max(pos) AS maxpos FROM codebook GROUP BY var),
+fw AS (SELECT cust_id, min(wave) AS first_wave FROM respondents GROUP BY cust_id),
+lk AS (SELECT p.human_id, 'STATUS_W' || p.wave AS qkey FROM respondents p
+       UNION ALL SELECT p.human_id, 'PRIORITY_W' || fw.first_wave FROM respondents p JOIN fw ON fw.cust_id = p.cust_id)"""
+
+
+@query("get_response", with_views("responses", "respondents", "codebook", ctes=_LOOKUPS) + """
+SELECT k.human_id, k.qkey,
        CAST(CASE WHEN r.human_id IS NULL THEN -3 WHEN c.pos IS NULL THEN -2 WHEN c.pos = mx.maxpos THEN -1
             ELSE c.pos - 1 END AS INTEGER) AS idx,
        CASE WHEN r.human_id IS NULL THEN 'Not participated for wave' WHEN c.pos IS NULL THEN 'Nan response'
             ELSE c.label END AS label
-FROM respondents p CROSS JOIN (SELECT DISTINCT qkey FROM responses) k
-LEFT JOIN responses r ON r.human_id = p.human_id AND r.qkey = k.qkey
+FROM lk k
+LEFT JOIN responses r ON r.human_id = k.human_id AND r.qkey = k.qkey
 LEFT JOIN codebook c ON c.var = r.var AND c.code = r.code
 LEFT JOIN mx ON mx.var = r.var""")
 def q_get_response(spark, sf_dir):
+    """Two lookups for every respondent: the status in their own wave, and the
+    priority in the first wave of their customer, in which others took part."""
     r = V.respondents(spark, sf_dir)
-    keys = sorted(x[0] for x in V.responses(spark, sf_dir).select("qkey").distinct().collect())  # question names
-    look = r.select("human_id", F.explode(F.array(*[F.lit(k) for k in keys])).alias("qkey"))
+    first = r.groupBy("cust_id").agg(F.min("wave").alias("first_wave"))
+    asked = F.explode(F.array(F.concat(F.lit("STATUS_W"), F.col("wave").cast("string")), F.concat(F.lit("PRIORITY_W"), F.col("first_wave").cast("string"))))
+    look = r.join(first, "cust_id").select("human_id", asked.alias("qkey"))
     return R.lookup_responses(look, V.responses_from(r), V.codebook(spark))
 
 

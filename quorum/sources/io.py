@@ -9,17 +9,19 @@ encoding sniffing), inside ``mapInPandas`` tasks that open files through
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io as _io
 import os
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum.operators.joins import bounded_broadcast
 from quorum.session import checkpoint_dir
 
 
@@ -94,6 +96,85 @@ def write_waves(wide: DataFrame, root: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if n.startswith("wave="))
 
 
+def _suffixed(column: str, wave: int, key: str) -> str:
+    return column if column == key or column.endswith(f"_W{wave}") else f"{column}_W{wave}"
+
+
+def wave_layouts(spark: SparkSession, root: str, waves: Sequence[int], key: str = "QKEY") -> list[tuple[list[int], dict[str, str]]]:
+    """The waves grouped by their files' columns: (waves, question -> column),
+    from the schemas alone.  A question is named without its wave's suffix.  Fails
+    if a wave is absent."""
+    out: dict[tuple, tuple[list[int], dict[str, str]]] = {}
+    for w in waves:
+        path = os.path.join(root, f"wave={w}")
+        if not path_exists(spark, path):
+            raise FileNotFoundError(path)
+        names = {_suffixed(c, w, key).removesuffix(f"_W{w}"): c for c in spark.read.parquet(path).columns}
+        out.setdefault(tuple(sorted(names.items())), ([], names))[0].append(int(w))
+    return list(out.values())
+
+
+def _scan_layouts(spark: SparkSession, root: str, layouts, select: Callable) -> DataFrame:
+    """One scan per layout, the same columns from each, put together."""
+    frames = []
+    for waves, names in layouts:
+        df = spark.read.option("basePath", root).parquet(*[os.path.join(root, f"wave={w}") for w in waves])
+        frames.append(select(df.withColumn("wave", F.col("wave").cast("int")), waves, names))
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def scan_wave_answers(spark: SparkSession, root: str, waves: Sequence[int], key: str = "QKEY", weight: str = "WEIGHT",
+                      other: Sequence[str] = ()) -> DataFrame:
+    """S1, long: ``(human_id, wave, qkey, var, code, weight)``, every wave unpivoted from
+    its own columns before the union, so that the plan grows with the sum of the
+    waves' questions and rows never hold another wave's.  Waves with the
+    same columns are one scan.  ``other`` columns are no questions."""
+    def select(df, waves, names):
+        asked = [q for q in names if q not in (key, weight, *other)]
+        qa = F.explode(F.array(*[F.struct(F.lit(q).alias("var"), F.col(names[q]).cast("double").alias("code")) for q in asked])).alias("qa")
+        own = F.col(names[weight]).cast("double") if weight in names else F.lit(None).cast("double")
+        return df.select(F.col(key).alias("human_id"), "wave", own.alias("weight"), qa).select(
+            "human_id", "wave", F.concat("qa.var", F.lit("_W"), F.col("wave").cast("string")).alias("qkey"), "qa.var", "qa.code", "weight")
+    return _scan_layouts(spark, root, wave_layouts(spark, root, waves, key), select)
+
+
+def scan_wave_weights(spark: SparkSession, root: str, waves: Sequence[int], key: str = "QKEY") -> DataFrame:
+    """``(key, wave, weight)``: each wave's weight column is found by its name
+    pattern ``weight_*_w<wave>``, in its own layout."""
+    from quorum.operators.responses import weight_column
+    layouts = []
+    for own, names in wave_layouts(spark, root, waves, key):
+        by_column: dict[str, list[int]] = {}
+        for w in own:
+            back = {_suffixed(c, w, key): c for c in names.values()}
+            by_column.setdefault(back[weight_column(list(back), w)], []).append(w)
+        layouts += [(ws, {"weight": c}) for c, ws in by_column.items()]
+    return _scan_layouts(spark, root, layouts, lambda df, _, names: df.select(key, "wave", F.col(names["weight"]).cast("double").alias("weight")))
+
+
+def resolved_columns(spark: SparkSession, root: str, waves: Sequence[int], candidates: Mapping[str, Sequence[str]],
+                     key: str = "QKEY") -> list[tuple[int, str, str]]:
+    """(wave, attribute, column): the first of an attribute's candidate
+    columns that the wave's files have; an error if there is none."""
+    from quorum.operators.groups import choose_column
+    return [(w, attribute, names[choose_column(list(names), list(columns))])
+            for own, names in wave_layouts(spark, root, waves, key) for w in own for attribute, columns in candidates.items()]
+
+
+def scan_wave_attributes(spark: SparkSession, root: str, waves: Sequence[int], candidates: Mapping[str, Sequence[str]],
+                         key: str = "QKEY") -> DataFrame:
+    """``(key, wave, attribute, var, code)``: every person's codes, from the
+    column that their wave has for the attribute."""
+    from quorum.operators.groups import choose_column
+
+    def select(df, _, names):
+        own = {a: choose_column(list(names), list(columns)) for a, columns in candidates.items()}
+        code = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(v).alias("var"), F.col(names[v]).cast("string").alias("code"))
+                                   for a, v in own.items()])).alias("x")
+        return df.select(key, "wave", code).select(key, "wave", "x.*")
+    return _scan_layouts(spark, root, wave_layouts(spark, root, waves, key), select)
+
+
 def scan_waves(spark: SparkSession, root: str, waves: Sequence[int]) -> DataFrame:
     """Read the listed waves (fail if one is absent) and union them by
     name with missing columns as NULL; ``wave`` is a column."""
@@ -351,6 +432,19 @@ def unreadable_train_metrics(spark: SparkSession, pattern: str) -> DataFrame:
             .select("source_file", F.col("_corrupt_record").alias("record")))
 
 
+def read_train_metric_rows(spark: SparkSession, path: str, keys: str = "run long, part long") -> tuple[DataFrame, DataFrame]:
+    """S14, many runs in a file: lines of JSON with ``keys`` and the arrays ->
+    (a row per key, series, index, value; the lines that are not such JSON)."""
+    fields = ", ".join(f"{k} array<double>" for k in TRAIN_METRIC_KEYS)
+    raw = (spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+           .schema(f"{keys}, {fields}, _corrupt_record string").json(path))
+    names = [k.split()[0] for k in keys.split(", ")]
+    series = F.explode(F.array(*[F.struct(F.lit(k).alias("series"), F.col(k).alias("v")) for k in TRAIN_METRIC_KEYS])).alias("s")
+    good = raw.where(F.col("_corrupt_record").isNull()).select(*names, series)
+    bad = raw.where(F.col("_corrupt_record").isNotNull() & F.coalesce(*TRAIN_METRIC_KEYS).isNull()).select(F.col("_corrupt_record").alias("record"))
+    return good.select(*names, "s.series", F.posexplode("s.v").alias("idx", "value")), bad
+
+
 def read_train_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     """Training-metric JSON files (8 parallel arrays) -> one row per
     (file, series, index, value).  ``unreadable_train_metrics`` lists the files
@@ -398,3 +492,28 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str]) -> None:
 def write_json_rows(df: DataFrame, path: str) -> None:
     """K4: one JSON object per row."""
     df.write.mode("overwrite").json(path)
+
+
+# ------------------------------------------------------------------ prompt sets, scored sets
+
+# The parts of a prompt set's path.
+PROMPT_SET = ("dataset", "attribute", "grp", "steering_type", "split")
+
+
+def write_prompt_sets(prompts: DataFrame, path: str, dataset: str) -> None:
+    """K2: the prompts of a data set below ``dataset=/attribute=/grp=/steering_type=/split=``."""
+    replace_sets(prompts.withColumn("dataset", F.lit(dataset)), path, PROMPT_SET)
+
+
+def replace_sets(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """K2/K8: the sets (values of ``keys``) that ``df`` holds are written, those
+    that are there already replaced, and no other set's files touched."""
+    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def select_sets(sets: DataFrame, work: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the sets that a work list names by ``keys``.  The list
+    is joined to the partition columns, which prunes folders at run time, before
+    any file of another set is opened."""
+    listed = work.select(*keys).where(F.length(F.concat_ws("", *keys)) > 0).distinct()
+    return sets.join(bounded_broadcast(listed), list(keys), "left_semi")
