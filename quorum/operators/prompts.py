@@ -118,3 +118,15 @@ def build_prompts(dist: DataFrame, steering: DataFrame, demographics: DataFrame,
 def except_keys(keys: DataFrame, reserved: DataFrame) -> DataFrame:
     """U4: keys not reserved (left anti join, reserved side broadcast when small)."""
     return keys.join(reserved.select("qkey").distinct(), "qkey", "left_anti")
+
+
+def refine_prompt(mcq: F.Column, head: str) -> F.Column:
+    """a question's text before the first 'Refused', last line dropped,
+    stripped, behind the instruction and its worked examples (``head``)."""
+    before = F.split(mcq, "Refused").getItem(0)
+    return F.concat(F.lit(head), text.strip(F.regexp_replace(before, r"\n[^\n]*$", "")))
+
+
+def refine_clean(reply: F.Column, mark: str = "Refined question:") -> F.Column:
+    """F20 post-processing of a model's reply: without its mark, stripped."""
+    return text.strip(F.replace(reply, F.lit(mark), F.lit("")))

@@ -38,11 +38,21 @@ def hash_predictor() -> Callable[[list[str], int], list[dict[str, float]]]:
     return predict
 
 
+def share_predictor(smoothing: float = 1e-6, blank: float = 0.25) -> Callable[[list[str], int, list], list[dict[str, float]]]:
+    """A baseline model that answers every prompt with given shares of the
+    options (say the whole population's), smoothed; a part of each share goes to
+    the token with a leading blank."""
+    def predict(prompts: list[str], n_options: int, shares: list) -> list[dict[str, float]]:
+        return [{token: math.log((share + smoothing) * part) for i, share in zip(range(n_options), own)
+                 for token, part in ((LETTERS[i], 1 - blank), (" " + LETTERS[i], blank))} for _, own in zip(prompts, shares)]
+    return predict
+
+
 def batch_score(df: DataFrame, prompt: str, n_options: str,
-                predictor_factory: Callable[[], Callable] = hash_predictor) -> DataFrame:
+                predictor_factory: Callable[[], Callable] = hash_predictor, features: str | None = None) -> DataFrame:
     """Add ``logprobs MAP<STRING,DOUBLE>`` per prompt.  The predictor is
     built once per task (``predictor_factory``) and called once per Arrow batch
-    and number of options."""
+    and number of options, with the prompts and, if given, their ``features``."""
     out_schema = T.StructType(df.schema.fields + [T.StructField("logprobs", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +60,8 @@ def batch_score(df: DataFrame, prompt: str, n_options: str,
         for pdf in batches:
             res = pd.Series([None] * len(pdf), dtype=object)
             for k, part in pdf.reset_index(drop=True).groupby(n_options):
-                for at, found in zip(part.index, predict(part[prompt].tolist(), int(k))):
+                more = [part[features].tolist()] if features else []
+                for at, found in zip(part.index, predict(part[prompt].tolist(), int(k), *more)):
                     res.at[at] = found
             pdf = pdf.copy()
             pdf["logprobs"] = res.to_numpy()

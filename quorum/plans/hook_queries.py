@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions import metrics as M
 from quorum.operators import scoring as SC
+from quorum.operators.joins import bounded_broadcast
 from quorum.plans.registry import query
 from quorum.sources.driver import table
 
@@ -49,36 +50,34 @@ def q_registry(spark, sf_dir):
 
 
 def _scored_prompts(spark, sf_dir):
+    """Prompts of every steering type, scored by the whole population's answer shares."""
+    from quorum.operators.distribution import OVERALL
+    from quorum.plans.distribution_queries import cgss_distribution
     from quorum.plans.prompt_queries import prompt_table
-    p = prompt_table(spark, sf_dir, n_tokens=0).where(F.col("steering_type") == "qa")
-    p = p.withColumn("k", F.size("ordinal"))
-    return SC.batch_score(p.select("qkey", "attribute", "grp", "input_prompt", "k", "output_dist", "ordinal"),
-                          "input_prompt", "k")
+    overall = cgss_distribution(spark, sf_dir).where(F.col("attribute") == OVERALL).select("qkey", F.col("responses").alias("shares"))
+    p = prompt_table(spark, sf_dir, n_tokens=0).withColumn("k", F.size("ordinal")).join(bounded_broadcast(overall), "qkey")
+    return SC.batch_score(p.select("qkey", "attribute", "grp", "steering_type", "input_prompt", "k", "shares"), "input_prompt", "k",
+                          SC.share_predictor, "shares")
 
 
 def _batch_sql():
     from quorum.plans.distribution_queries import _DIST_VIEWS
     from quorum.plans.oracle_views import with_views
     from quorum.plans.prompt_queries import _PROMPT_CTES
-    u = lambda tok: ("(cast(('0x' || substr(md5(p.input_prompt || ':' || " + tok + "), 1, 8)) AS UBIGINT) "
-                     "/ 4294967296.0)")
-    return with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES + f"""
-pq AS (SELECT p.qkey, p.attribute, p.grp, o.opt_idx AS j,
-              {u("chr(64 + CAST(o.opt_idx AS INTEGER))")} + {u("' ' || chr(64 + CAST(o.opt_idx AS INTEGER))")} AS pr
-       FROM pr p JOIN opts o ON o.var = split_part(p.qkey, '_W', 1) WHERE p.steering_type = 'qa'),
-ps AS (SELECT *, sum(pr) OVER (PARTITION BY qkey, attribute, grp) AS s FROM pq)""") + """
-SELECT qkey, attribute, grp, j, round(pr / s, 9) AS prob, round(s, 9) AS prob_sum FROM ps"""
+    return with_views(*_DIST_VIEWS, ctes=_PROMPT_CTES + """
+ov AS (SELECT qkey, opt_idx AS j, p + 1e-6 AS pr, sum(p + 1e-6) OVER (PARTITION BY qkey) AS s FROM dist WHERE attribute = 'Overall')""") + """
+SELECT p.qkey, p.attribute, p.grp, p.steering_type, ov.j, round(ov.pr / ov.s, 9) AS prob, round(ov.s, 9) AS prob_sum
+FROM pr p JOIN ov ON ov.qkey = p.qkey"""
 
 
 @query("batch_score", _batch_sql())
 def q_batch_score(spark, sf_dir):
     s = _scored_prompts(spark, sf_dir)
-    raw = M.option_probs("logprobs", "k")
-    p = s.select("qkey", "attribute", "grp", raw.alias("raw")).select(
-        "qkey", "attribute", "grp", M.normalize("raw").alias("prob"), M.array_sum("raw").alias("prob_sum"))
-    return (p.select("qkey", "attribute", "grp", "prob_sum", F.posexplode("prob").alias("i", "prob"))
-             .select("qkey", "attribute", "grp", (F.col("i") + 1).alias("j"), F.round("prob", 9).alias("prob"),
-                     F.round("prob_sum", 9).alias("prob_sum")))
+    keys = ["qkey", "attribute", "grp", "steering_type"]
+    p = s.select(*keys, M.option_probs("logprobs", "k").alias("raw")).select(
+        *keys, M.normalize("raw").alias("prob"), M.array_sum("raw").alias("prob_sum"))
+    return (p.select(*keys, "prob_sum", F.posexplode("prob").alias("i", "prob"))
+             .select(*keys, (F.col("i") + 1).alias("j"), F.round("prob", 9).alias("prob"), F.round("prob_sum", 9).alias("prob_sum")))
 
 
 def demo_refiner(text: str) -> str:
@@ -93,8 +92,7 @@ def demo_refiner(text: str) -> str:
 def _refine_sql():
     from quorum.plans.prompt_queries import _MCQ_SQL
     return _MCQ_SQL + """,
-qq AS (SELECT qkey, regexp_replace(trim(regexp_replace(split_part(mcq, chr(10), 1), '^Question: ?', '')),
-                                   '\\s+', ' ', 'g') AS q FROM m)
+qq AS (SELECT qkey, trim(regexp_replace(regexp_replace(split_part(mcq, chr(10) || 'A. ', 1), '^Question: ?', ''), '\\s+', ' ', 'g')) AS q FROM m)
 SELECT qkey, CASE WHEN q = '' THEN NULL WHEN suffix(q, '?') THEN q ELSE q || '?' END AS refined,
        CASE WHEN q = '' THEN 'ValueError: empty question' END AS error FROM qq"""
 
@@ -102,6 +100,6 @@ SELECT qkey, CASE WHEN q = '' THEN NULL WHEN suffix(q, '?') THEN q ELSE q || '?'
 @query("refine_batch", _refine_sql())
 def q_refine_batch(spark, sf_dir):
     from quorum.plans.prompt_queries import _question_mcq
-    m = _question_mcq(spark, sf_dir).select("qkey", F.split("mcq", "\n").getItem(0).alias("q"))
+    m = _question_mcq(spark, sf_dir).select("qkey", F.split("mcq", "\nA\\. ").getItem(0).alias("q"))  # all of it, up to the options
     m = m.withColumn("q", F.regexp_replace("q", "^Question: ?", ""))
     return SC.refine_batch(m, "qkey", "q", demo_refiner, max_retries=2, base_delay=0.001)

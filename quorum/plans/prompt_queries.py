@@ -216,33 +216,19 @@ REFINE_EXAMPLES = [
 REFINE_HEAD = REFINE_INSTRUCTION + "\n\n" + "\n\n".join(REFINE_EXAMPLES) + "\n\n"
 
 
-def refine_prompt(mcq_col):
-    """text before the first 'Refused', last line dropped, stripped,
-    behind the instruction and examples."""
-    before = F.split(mcq_col, "Refused").getItem(0)
-    qbody = text.strip(F.regexp_replace(before, r"\n[^\n]*$", ""))
-    return F.concat(F.lit(REFINE_HEAD), qbody)
-
-
-def refine_clean(reply_col):
-    """F20 post-processing of the model reply."""
-    return text.strip(F.replace(reply_col, F.lit("Refined question:"), F.lit("")))
-
-
 @query("refine_prompt", _MCQ_SQL + f"""
 SELECT qkey, {_sq(REFINE_HEAD)} || trim(regexp_replace(split_part(mcq, 'Refused', 1), '\\n[^\\n]*$', ''), ' ' || chr(10)) AS prompt
 FROM m""")
 def q_refine_prompt(spark, sf_dir):
-    return _question_mcq(spark, sf_dir).select("qkey", refine_prompt(F.col("mcq")).alias("prompt"))
+    return _question_mcq(spark, sf_dir).select("qkey", P.refine_prompt(F.col("mcq"), REFINE_HEAD).alias("prompt"))
 
 
 @query("refine_clean", _MCQ_SQL + """
-SELECT qkey, trim(replace('Refined question: ' || split_part(mcq, chr(10), 1) || ' ', 'Refined question:', ''), ' ' || chr(10))
-       AS refined FROM m""")
+SELECT qkey, trim(replace('Refined question: ' || mcq || ' ', 'Refined question:', ''), ' ' || chr(10)) AS refined FROM m""")
 def q_refine_clean(spark, sf_dir):
-    m = _question_mcq(spark, sf_dir)
-    reply = F.concat(F.lit("Refined question: "), F.split("mcq", "\n").getItem(0), F.lit(" "))
-    return m.select("qkey", refine_clean(reply).alias("refined"))
+    """Replies that repeat the whole question with its options."""
+    reply = F.concat(F.lit("Refined question: "), "mcq", F.lit(" "))
+    return _question_mcq(spark, sf_dir).select("qkey", P.refine_clean(reply).alias("refined"))
 
 
 # ---- U4
