@@ -58,8 +58,8 @@ from quorum.llm.set_pairs import P, Q, R, bitmap, coarse, compared, confirmed, d
 from quorum.operators.joins import bounded_broadcast
 
 PERCENT = 80
-RATIO, SMALL = 1.4, 256
-COMMON, PAIR = 0.1, 0.01  # assumed share of a document's shingles in common passages; a comparison's cost in written rows
+RATIO, SMALL = 1.4, 64
+COMMON, SHARED, PAIR = 0.1, 0.05, 0.01  # assumed: shares of a document's shingles, and of documents, in one common passage; cost of a comparison in rows
 
 
 # ---- schemes -----------------------------------------------------------------
@@ -82,7 +82,7 @@ def scheme(first: int, after: int, documents: int) -> tuple[int, int, int, int]:
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
         ones = max(0, need - 2 * twos)
         size = first / (ones + twos)
-        none = math.exp(-size * (1 - COMMON))
+        none = SHARED * math.exp(-size * (1 - COMMON))
         few = none * (1 + size * (1 - COMMON))
         cost = (documents * (ones + twos * (size + 1))
                 + PAIR * (ones * (documents * none) ** 2 + twos * (documents * few) ** 2) / 2)
@@ -171,7 +171,8 @@ NODES = "key long, rows array<long>"
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: the vertices of every key that has two or more, in
-    arrays of at most SMALL.  ``key`` is given where a key has more than that."""
+    arrays of at most SMALL.  ``key`` is given where a key has more than that;
+    each of its arrays begins with its first row."""
     keys, rows, big = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last key, and whether arrays of it are given
 
     def arrays(found, values, name):
@@ -179,8 +180,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *found]), pa.int32()), pa.array(values))], ["key", "rows"])
 
-    def cut(key, run):
-        return arrays([len(run[at:at + SMALL]) for at in range(0, len(run), SMALL)], run, key)
+    def cut(key, first, run):
+        """Arrays of a large key's rows, each behind the key's first row."""
+        run, step = run[run != first], SMALL - 1
+        pieces = [np.concatenate([[first], run[at:at + step]]) for at in range(0, len(run), step)] or [np.array([first])]
+        return arrays([len(x) for x in pieces], np.concatenate(pieces), key)
+    head = 0
     for batch in batches:
         keys, rows = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([rows, batch.column(1).to_numpy()])
         if not len(keys):
@@ -188,7 +193,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         many = np.diff(np.append(starts, len(keys)))
         if big and len(starts) > 1:  # the rest of a key of which arrays were given
-            yield cut(int(keys[0]), rows[:many[0]])
+            yield cut(int(keys[0]), head, rows[:many[0]])
         plain = (many > 1) & (many <= SMALL)
         plain[0] &= not big
         plain[-1] = False
@@ -196,15 +201,16 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrays(many[plain], rows[np.repeat(plain, many)], None)
         for k in np.flatnonzero(many[:-1] > SMALL):
             if k or not big:
-                yield cut(int(keys[starts[k]]), rows[starts[k]:starts[k] + many[k]])
+                yield cut(int(keys[starts[k]]), rows[starts[k]], rows[starts[k]:starts[k] + many[k]])
         big &= len(starts) == 1
         keys, rows = keys[starts[-1]:], rows[starts[-1]:]
         whole = (len(rows) - 1) // SMALL * SMALL  # one row at least stays
         if whole:
-            yield cut(int(keys[0]), rows[:whole])
+            head = head if big else rows[0]
+            yield cut(int(keys[0]), head, rows[:whole])
             keys, rows, big = keys[whole:], rows[whole:], True
     if big:
-        yield cut(int(keys[0]), rows)
+        yield cut(int(keys[0]), head, rows)
     elif len(rows) > 1:
         yield arrays([len(rows)], rows, None)
 
@@ -221,7 +227,7 @@ def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 def _hot(big: DataFrame, parts: DataFrame, slack: dict[int, int]) -> DataFrame:
     """(node, rows) for the vertices of hot keys that cannot leave them: as one
     array if there are few, else all pairs of blocks."""
-    rows = big.select("key", F.explode("rows").alias("row")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    rows = big.select("key", F.explode("rows").alias("row")).distinct().join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
     hot = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
     code = F.shiftrightunsigned("key", 56)
     members = rows.join(hot, "key").select("key", "row", F.shiftright(code, 1).cast("int").alias("scheme"), (code % 2 + 1).alias("weight"))
@@ -268,7 +274,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wide = wide.union(_hot(big, parts, {k: s[3] for k, s in enumerate(schemes)}))
     wide = written(wide.withColumn("node", F.monotonically_increasing_id()), "wide")
     for only_closest in (True, False):
-        own = alone.select("row", "n_shingles", "coarse").join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
+        own = alone.select("row", "n_shingles", F.col("coarse").alias("map")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
         more = compared(_mixed(wide, parts), own, PERCENT, only_closest)
         parts = merged(parts, confirmed(more, sets, PERCENT))
     return sets, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum.llm.common import in_batches, written
-from quorum.llm.set_pairs import bitmap, coarse, compared, components, confirmed, folded_words, hashed, merged
+from quorum.llm.set_pairs import bitmap, compared, components, confirmed, folded_words, hashed, merged
 from quorum.operators.joins import bounded_broadcast
 
 PERCENT = 75
@@ -79,12 +79,12 @@ def minwise(values: np.ndarray) -> np.ndarray:
 
 # roots: the first values of the trees; low: the low byte of every coordinate, which screens and branches
 SKETCH = ("row long, doc_id long, text_key long, digest binary, n_shingles long, roots array<int>, low array<tinyint>, "
-          "coarse binary, bits binary, words binary")
+          "bits binary, words binary")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):  # small batches: the rows grow by their sketches
             part, rows = batch.slice(at, 512), []
@@ -92,10 +92,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = folded_words(text.as_py())
                 if words:
                     values, whole = hashed(words), b" ".join(words)
-                    sig, bits = minwise(values), bitmap(values)
-                    rows.append((row, xxhash.xxh3_128_digest(whole), len(values), sig[:TREES], sig.astype(np.int8), coarse(bits), bits, whole))
+                    sig = minwise(values)
+                    rows.append((row, xxhash.xxh3_128_digest(whole), len(values), sig[:TREES], sig.astype(np.int8), bitmap(values), whole))
                 else:
-                    rows.append((row, None, 0, None, None, None, None, None))
+                    rows.append((row, None, 0, None, None, None, None))
                 row += 1
             new = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([new[0], part.column(0).cast(pa.int64()), part.column(1), *new[1:]],
@@ -226,7 +226,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = written(in_batches(raw, _sketch, SKETCH), "sketches", compression="zstd")
     vertices = written(sketches.filter("digest is not null").groupBy("digest").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("id")), "vertices")
-    sigs = written(sketches.select("row", "n_shingles", "roots", "low", "coarse").join(vertices.select("row"), "row"), "sigs", compression="zstd")
+    sigs = written(sketches.select("row", "n_shingles", "roots", "low", F.col("bits").alias("map")).join(vertices.select("row"), "row"), "sigs", compression="zstd")
 
     def placed(parts):
         return written(sigs.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row")), "placed")
@@ -241,7 +241,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for only_closest in (True, False):
         at = placed(parts)
         pairs = compared(_paths(at), at, PERCENT, only_closest, SCREEN)
-        parts = merged(parts, confirmed(pairs, sketches, PERCENT))
+        parts = merged(parts, confirmed(pairs, sketches, PERCENT, screened=True))
     return sketches, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 

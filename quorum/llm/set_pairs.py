@@ -122,56 +122,88 @@ def possible(sizes: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray,
 
 # ---- tasks -------------------------------------------------------------------
 
-def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of one node (column 0) after the other, as tuples."""
-    node, held = (), []
+BULK, FEW = 1 << 15, 64  # rows that are compared together; rows of a node whose pairs are written out at once
+
+
+def _bulks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Columns of whole nodes (column 0, sorted), BULK rows or a node at a time."""
+    held: list = []
+
+    def table(parts):
+        return [x for x in map(pa.chunked_array, zip(*(b.columns for b in parts)))]
+    n = 0
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if (r[0],) != node:
-                if held:
-                    yield held
-                node, held = (r[0],), []
-            held.append(r)
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BULK:
+            whole = table(held)
+            nodes = whole[0].to_numpy()
+            last = int(np.searchsorted(nodes, nodes[-1]))
+            if last:
+                yield [c.slice(0, last) for c in whole]
+                held = [pa.RecordBatch.from_arrays([c.slice(last).combine_chunks() for c in whole], batch.schema.names)]
+                n -= last
     if held:
-        yield held
+        yield table(held)
+
+
+def _pairs_within(nodes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of different parts in the same node."""
+    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    stops = np.append(starts[1:], len(nodes))
+    many = stops - starts
+    left = np.repeat(np.where(many <= FEW, stops, 0), many) - np.arange(len(nodes)) - 1  # partners behind each row
+    left = np.maximum(left, 0)
+    i = np.repeat(np.arange(len(nodes)), left)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+    apart = parts[i] != parts[j]
+    found = [(i[apart], j[apart])]
+    for start, stop in zip(starts[many > FEW], stops[many > FEW]):
+        _, part, n = np.unique(parts[start:stop], return_inverse=True, return_counts=True)
+        large = part == n.argmax()
+        order = start + np.argsort(large, kind="stable")  # rows of the largest part last: they are not compared with each other
+        for at in range(0, int((~large).sum()), 256):
+            own = order[at:min(at + 256, int((~large).sum()))]
+            x, y = np.nonzero(parts[own][:, None] != parts[order[at:]][None, :])
+            ahead = y > x
+            found.append((own[x[ahead]], order[at:][y[ahead]]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def near_pairs(percent: int, only_closest: bool, screen: int = 0):
-    """Of nodes (node, row, part, n_shingles, coarse[, low]) the pairs (a < b) of
-    different parts that can be similar enough by their coarse bitmaps: all, or of every two
-    parts the closest.  With ``screen``, pairs agree in so many bytes of ``low``."""
-    def pairs(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        parts, sizes = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
-        names, at, n = np.unique(parts, return_inverse=True, return_counts=True)
-        large = at == n.argmax()
-        order = np.argsort(large, kind="stable")  # rows of the largest part last: they are not compared with each other
-        sizes, parts = sizes[order], parts[order]
-        low = np.array([h[5] for h in held], np.int8)[order] if screen else None
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(len(held) - int(large.sum())):
-            here, others = sizes[i], sizes[i + 1:]
-            good = (parts[i + 1:] != parts[i]) & (100 * others >= percent * here) & (100 * here >= percent * others)
-            j = np.flatnonzero(good)
-            if screen:
-                j = j[(low[i + 1 + j] == low[i]).sum(axis=1) >= screen]
-            found.append((np.full(len(j), i), i + 1 + j))
-        i, j = (order[np.concatenate(x)] for x in zip(*found))
-        return i, j
-
+    """Of nodes (node, row, part, n_shingles, map[, low]) the pairs (a < b) of
+    different parts that can be similar enough by their bitmaps: all, or of every
+    two parts the closest among some nodes.  With ``screen``, pairs agree in so many bytes of ``low``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in by_node(batches):
-            i, j = pairs(held)
-            rows, parts, sizes = (np.array([h[c] for h in held], np.int64) for c in (1, 2, 3))
-            maps = [h[4] for h in held]
-            good = possible(sizes, maps, i, j, percent)
+        for nodes, rows, parts, sizes, *wide in _bulks(batches):
+            rows, parts, sizes = (c.to_numpy() for c in (rows, parts, sizes))
+            i, j = _pairs_within(nodes.to_numpy(), parts)
+            # rows that are in several of these nodes are one, and so are their pairs
+            names, first, own = np.unique(rows, return_index=True, return_inverse=True)
+            low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+            pairs = distinct(low * len(names) + high)
+            i, j = pairs // len(names), pairs % len(names)
+            parts, sizes = parts[first], sizes[first]
+            good = (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
             i, j = i[good], j[good]
+            if screen:
+                bytes_ = wide[1].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[first]
+                good = np.concatenate([(bytes_[i[at:at + BULK]] == bytes_[j[at:at + BULK]]).sum(axis=1) >= screen
+                                       for at in range(0, len(i), BULK)] or [np.zeros(0, bool)])
+                i, j = i[good], j[good]
+            maps = wide[0].take(pa.array(first)).to_pylist()
+            apart = differing(maps, i, j)
+            good = apart <= most_different(sizes[i], sizes[j], percent)
+            i, j, apart = i[good], j[good], apart[good]
             if only_closest and len(i):
                 low, high = np.minimum(parts[i], parts[j]), np.maximum(parts[i], parts[j])
-                order = np.lexsort((differing(maps, i, j), high, low))
-                first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-                i, j = i[order[first]], j[order[first]]
+                order = np.lexsort((apart, high, low))
+                best = order[np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])]
+                i, j = i[best], j[best]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j]))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], ["a", "b"])
     return run
 
 
@@ -205,15 +237,16 @@ def _confirm(percent: int):
 
 # ---- jobs --------------------------------------------------------------------
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, screened: bool = False) -> DataFrame:
     """The links among some pairs (a < b), written.  ``sets`` has row,
-    n_shingles, bits and words; pairs meet the bitmaps first, and texts travel
-    for the rest only."""
-    size = sets.select("row", "n_shingles", "bits")
-    ends = [size.select(F.col("row").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    n_shingles, bits and words; pairs that are not ``screened`` by whole bitmaps
+    yet meet them first, and texts travel for the rest only."""
     pairs = written(pairs.distinct(), "pairs")
-    pairs = written(in_batches(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"),
-                               _allowed(percent), "a long, b long"), "pairs")
+    if not screened:
+        size = sets.select("row", "n_shingles", "bits")
+        ends = [size.select(F.col("row").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+        pairs = written(in_batches(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"),
+                                   _allowed(percent), "a long, b long"), "pairs")
     used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     words = sets.select("row", "words").join(bounded_broadcast(used), "row", "left_semi")  # the others' texts are not shuffled
     ends = [words.select(F.col("row").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab"]
@@ -223,8 +256,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def compared(nodes: DataFrame, vertices: DataFrame, percent: int, only_closest: bool, screen: int = 0) -> DataFrame:
     """Pairs of different parts within the nodes (node, row); ``vertices`` has
-    row, part, n_shingles, coarse, and low if they are screened by it."""
-    full = nodes.join(vertices, "row").select("node", "row", "part", "n_shingles", "coarse", *(["low"] if screen else []))
+    row, part, n_shingles, map (a bitmap, whole or coarse), and low if they are screened by it."""
+    full = nodes.join(vertices, "row").select("node", "row", "part", "n_shingles", "map", *(["low"] if screen else []))
     tasks = full.repartition("node").sortWithinPartitions("node")
     return in_batches(tasks, near_pairs(percent, only_closest, screen), "a long, b long")
 

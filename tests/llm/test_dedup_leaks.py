@@ -105,7 +105,7 @@ def test_screen_misses_few_links():
     low = np.zeros((2, near_dedup.COORDINATES), np.int8)
     low[1, 32:] = 1  # half of the coordinates differ: at 0.75 less than this has a chance of 5e-6
     node = pa.RecordBatch.from_pydict({"node": [0, 0], "row": [0, 1], "part": [0, 1], "n_shingles": [9, 9],
-                                       "coarse": [bytes(8)] * 2, "low": low.tolist()})
+                                       "map": [bytes(8)] * 2, "low": low.tolist()})
     (pair,) = set_pairs.near_pairs(75, False, near_dedup.SCREEN)([node])
     assert pair.to_pydict() == {"a": [0], "b": [1]}
 

@@ -141,7 +141,8 @@ def test_nodes_over_batches(size, monkeypatch):
             if r["key"] is None:
                 small.append(r["rows"])
             else:
-                big.setdefault(r["key"], []).extend(r["rows"])
+                big.setdefault(r["key"], set()).update(r["rows"])
+                assert r["rows"][0] == rows[keys == r["key"]][0]
     groups = {k: rows[keys == k].tolist() for k in set(keys.tolist())}
     assert sorted(small) == sorted(g for g in groups.values() if 2 <= len(g) <= 4)
     assert {k: sorted(v) for k, v in big.items()} == {k: g for k, g in groups.items() if len(g) > 4}
