@@ -1,12 +1,17 @@
 """HTML extraction by minimum cut.
 
 A page is read into text blocks, each with the path of elements around it.
-A classifier of simple features gives every block two costs, for the labels
-content and boilerplate; these are the capacities of its edges to the two
-terminals.  Blocks next to each other, and blocks of one parent element, are
-joined by edges that cost more the nearer the blocks are in the tree.  The
-minimum cut (by maximum flow) is the cheapest labelling; blocks left on the
-source's side are the main text.
+A classifier gives every block two costs, for the labels content and
+boilerplate, from its text alone: how much there is, whether it ends like a
+sentence, what share of it is linked.  Elements whose names speak for or against
+content (``article``, a class ``sidebar``) have costs of their own.  These are
+the capacities of the edges to the two terminals.  DOM proximity gives the other
+edges: a block is joined to the nearest element with such a name, to the
+block before it, the more firmly the nearer they are in the tree, and to the
+block before it in the same parent.  The minimum cut (by maximum flow, in phases of
+shortest paths) is the cheapest labelling; blocks left on the source's side are
+the main text.  So a heading or a list item, which looks like boilerplate by
+itself, follows its article, and a long reader comment its list of comments.
 
 Elements whose text is never shown or never prose (``SKIPPED``) are not read.
 
@@ -58,17 +63,21 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
-PRIOR, FAR = 1.0, 6.0            # costs in favour of content, against certain boilerplate
-LINKED, SHORT, SHORT_CHARS = 3.0, 0.4, 25
-ADJACENT, SIBLING, DECAY = 0.6, 0.8, 0.5
+# costs of dropping a block by its text, of keeping it, of an element's label against its name, of parting neighbours
+BASE, LONG, LONG_CHARS, SENTENCE = 0.3, 1.2, 200, 0.6
+LINKED, SHORT, SHORT_CHARS = 3.0, 0.8, 25
+NAMED = 50.0
+WITHIN, ADJACENT, SIBLING, DECAY = 2.6, 0.5, 0.3, 0.2
+_ENDS = tuple(".!?…。！？:;\"'”’»)")
 
 
 class Block:
-    """Text of one block, its element path (names), and what it was made of."""
-    __slots__ = ("text", "path", "parent", "linked", "bad", "good")
+    """Text of one block, its element path (numbers), its linked share, and the
+    nearest element whose name speaks, with what it says (True: content)."""
+    __slots__ = ("text", "path", "parent", "linked", "element", "says")
 
-    def __init__(self, text, path, parent, linked, bad, good):
-        self.text, self.path, self.parent, self.linked, self.bad, self.good = text, path, parent, linked, bad, good
+    def __init__(self, text, path, parent, linked, element, says):
+        self.text, self.path, self.parent, self.linked, self.element, self.says = text, path, parent, linked, element, says
 
 
 def _judge_tag(name: str, attributes: str) -> tuple[bool, int, bool]:
@@ -101,13 +110,14 @@ def blocks(page: str) -> list[Block]:
 
     def flush():
         nonlocal linked
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
             frames = [f for f in stack if f[0] not in INLINE]
             inside = next((i for i, f in enumerate(frames) if f[4]), None)
-            bad = any(f[3] > (inside is not None and i < inside) for i, f in enumerate(frames))
+            bad = [f[1] for i, f in enumerate(frames) if f[3] > (inside is not None and i < inside)]
+            element = bad[-1] if bad else frames[inside][1] if inside is not None else None
             out.append(Block(text, tuple(f[1] for f in frames), frames[-1][1] if frames else 0, min(1.0, linked / len(text)),
-                             bad, inside is not None))
+                             element, not bad))
         held.clear()
         linked = 0
 
@@ -126,6 +136,7 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             token = m[0]
             if not skipping and not (token.startswith(("<!", "<?")) and len(token) > 1):
+                token = entities.unescape(token)  # a reference does not go on over a tag
                 held.append(token)
                 if links:
                     linked += len(token.strip())
@@ -172,56 +183,72 @@ def blocks(page: str) -> list[Block]:
 
 def costs(block: Block) -> tuple[float, float]:
     """(cost of the label boilerplate, cost of the label content)."""
-    keep, drop = PRIOR, 0.0
-    if block.good:
-        keep += FAR / 3
-    if block.bad:
-        drop += FAR
-    drop += LINKED * block.linked ** 2
-    if len(block.text) < SHORT_CHARS and not block.good:
-        drop += SHORT
-    return keep, drop
+    keep = BASE + LONG * min(1.0, len(block.text) / LONG_CHARS) + SENTENCE * block.text.endswith(_ENDS)
+    return keep, LINKED * block.linked ** 2 + SHORT * (len(block.text) < SHORT_CHARS)
 
 
 def min_cut(terminals: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For every node whether it is on the source's side of a minimum cut, by
-    augmenting along shortest paths.  ``terminals`` has the capacities from the
-    source and to the sink; ``edges`` are undirected."""
+    """For every node whether it is on the source's side of a minimum cut.
+    ``terminals`` has the capacities from the source and to the sink; ``edges`` are
+    undirected.  Each phase finds the distances from the source and then a flow
+    that blocks all shortest paths."""
     spare = [a - b for a, b in terminals]  # the common part flows straight through
-    near: list[dict[int, float]] = [{} for _ in spare]
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
+    n, least = len(spare), 1e-9
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    left: list[float] = []
+    for a, b, w in edges:  # an arc and its reverse differ in the last bit
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to += (b, a)
+        left += (w, w)
     while True:
-        before: dict[int, int] = {i: -1 for i, x in enumerate(spare) if x > 1e-9}
-        queue, end = deque(before), None
-        while queue and end is None:
+        level = [0 if x > least else -1 for x in spare]
+        queue, met = deque(i for i in range(n) if level[i] == 0), False
+        while queue:
             a = queue.popleft()
-            for b, w in near[a].items():
-                if w > 1e-9 and b not in before:
-                    before[b] = a
-                    if spare[b] < -1e-9:
-                        end = b
-                        break
+            for e in arcs[a]:
+                b = to[e]
+                if level[b] < 0 and left[e] > least:
+                    level[b] = level[a] + 1
+                    met = met or spare[b] < -least
                     queue.append(b)
-        if end is None:
-            return [i in before for i in range(len(spare))]
-        path, b = [], end
-        while before[b] >= 0:
-            path.append((before[b], b))
-            b = before[b]
-        flow = min([spare[b], -spare[end], *(near[x][y] for x, y in path)])
-        for x, y in path:
-            near[x][y] -= flow
-            near[y][x] += flow
-        spare[b] -= flow
-        spare[end] += flow
-
-
-def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, weaker with every level of the tree between
-    them, and to the previous block of the same parent."""
-    edges, last = [], {}
+        if not met:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in range(n):
+            a, path = start, []
+            while spare[start] > least:
+                if spare[a] < -least:
+                    flow = min(spare[start], -spare[a], *[left[e] for e in path])
+                    for e in path:
+                        left[e] -= flow
+                        left[e ^ 1] += flow
+                    spare[start] -= flow
+                    spare[a] += flow
+                    a, path = start, []
+                    continue
+                while tried[a] < len(arcs[a]):
+                    e = arcs[a][tried[a]]
+                    if left[e] > least and level[to[e]] == level[a] + 1:
+                        break
+                    tried[a] += 1
+                else:
+                    if not path:
+                        break
+                    a = to[path.pop() ^ 1]
+                    tried[a] += 1
+                    continue
+                path.append(e)
+                a = to[e]
+
+
+def graph(found: list[Block]) -> tuple[list[tuple[float, float]], list[tuple[int, int, float]]]:
+    """The terminals' capacities of every block, then of every named element, and
+    the edges among them: neighbours, weaker with every level of the tree
+    between them; blocks of one parent; blocks and their nearest named element."""
+    terminals, edges, last = [costs(b) for b in found], [], {}
+    elements: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
@@ -231,14 +258,19 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
         # siblings hang from one element; a block element is its own text's parent
         shelf = b.path[-2] if len(b.path) > 1 else b.parent
         if shelf in last and last[shelf] != i - 1:
-            edges.append((last[shelf], i, SIBLING * DECAY))
+            edges.append((last[shelf], i, SIBLING))
         last[shelf] = i
-    return edges
+        if b.element is not None:
+            if b.element not in elements:
+                elements[b.element] = len(terminals)
+                terminals.append((NAMED, 0.0) if b.says else (0.0, NAMED))
+            edges.append((i, elements[b.element], WITHIN))
+    return terminals, edges
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    keep = min_cut([costs(b) for b in found], smoothness(found))
+    keep = min_cut(*graph(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
