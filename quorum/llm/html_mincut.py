@@ -65,7 +65,7 @@ _SPACE = re.compile(r"\s+")
 
 # costs of dropping a block by its text, of keeping it, of an element's label against its name, of parting neighbours
 BASE, LONG, LONG_CHARS, SENTENCE = 0.3, 1.2, 200, 0.6
-LINKED, SHORT, SHORT_CHARS = 3.0, 0.8, 25
+LINKED, SHORT, SHORT_CHARS = 3.0, 0.3, 25
 NAMED = 50.0
 WITHIN, ADJACENT, SIBLING, DECAY = 2.6, 0.5, 0.3, 0.2
 _ENDS = tuple(".!?…。！？:;\"'”’»)")
