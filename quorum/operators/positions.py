@@ -99,12 +99,13 @@ def _is_plain(df: DataFrame) -> bool:
 
 
 def scan(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "row_idx", value: str | None = None,
-         how: str = "sum", derived: Mapping[str, Column] | None = None, drop: Sequence[str] = ()) -> Scan:
+         how: str = "sum", derived: Mapping[str, Column] | None = None, drop: Sequence[str] = (), place: str | None = None) -> Scan:
     """Every row of ``df`` with ``name``: its 0-based place by ``order`` within
     its run (the rows with equal ``keys``; all rows without keys), or, with
     ``value``, the ``sum`` or ``min`` of that column over the run's rows before
     it (0 or NULL at the start).  ``derived`` columns are computed in the ordered
-    blocks, once, and ``drop`` leaves columns out of them that only make these."""
+    blocks, once, and ``drop`` leaves columns out of them that only make these.
+    ``place`` adds the place as well where ``name`` is a running value."""
     from quorum.sources.io import kept
     spark = df.sparkSession
     plain = _is_plain(df)
@@ -158,4 +159,6 @@ def scan(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: st
     else:
         least = F.least("_q_run_value", F.when(F.col("_q_head"), F.col("_q_gathered")))
         out = out.withColumn(name, least.cast(ordered.schema[value].dataType))
-    return Scan(out.select(*[c for c in columns if c != "_q_run"], name), count, total)
+    if place:
+        out = out.withColumn(place, F.col("_q_place") + F.when(F.col("_q_head"), F.col("_q_places")).otherwise(0))
+    return Scan(out.select(*[c for c in columns if c != "_q_run"], name, *([place] if place else [])), count, total)
