@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import spark_partition_id as spark_partition
 from tokenizers import Tokenizer
 
 from quorum.llm import chat, html_mincut, packing
@@ -150,3 +151,23 @@ def test_chat_round_trip(spark):
             assert stream[:r.seg_start] == context and stream[r.seg_start:].startswith(reply)
             assert chat.unescape(stream[r.loss_start:r.loss_end]) == chat.read_segment(reply)[1]
     assert chat.digests(turns.limit(0)).count() == 0
+    written_out = {(r.conv_id, r.position): r for r in chat.expanded(chat.prefix_examples(turns)).collect()}
+    assert len(written_out) == sum(r.is_reply for own in segments.values() for r in own)
+    for conv, own in segments.items():
+        parts = sorted(own, key=lambda r: r.position)
+        assert [p.position for p in parts] == list(range(len(parts)))
+        for r, (context, reply) in zip((r for r in parts if r.is_reply), chat.render((r.is_reply, r.segment) for r in parts)):
+            e = written_out[conv, r.position]
+            assert (e.context, e.reply) == (context, reply)
+            assert chat.unescape(e.reply[e.loss_start:e.loss_end]) == chat.read_segment(reply)[1]
+
+
+def test_hot_conversation_is_split(spark):
+    """One conversation with most rows is numbered in several blocks."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i % 7}") for i in range(3000)] + [(i, 0, "user", "x") for i in range(2, 300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    out = {r.conv_id: r for r in chat.digests(turns).collect()}
+    assert out[1].n_turns == 3000 and out[1].n_examples == 1500 and len(out) == 299
+    want = hashlib.sha256("".join(f"{ro}\n{x}\n" for _, _, ro, x in rows[:3000]).encode()).hexdigest()
+    assert out[1].turns_sha256 == want
+    assert chat.prefix_examples(turns).filter("conv_id = 1").select(spark_partition()).distinct().count() > 1
