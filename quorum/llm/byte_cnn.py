@@ -8,15 +8,17 @@ filter is a table of one weight per byte value and place, so a convolution is
 chunk had its maximum.
 
 Training takes at most about ``sample`` whole labelled documents of either
-class, chosen by a hash of the id, none of the held-out fold; classes are
-weighted back to their shares.  It runs on the driver, on that bounded sample.
+class, none of the held-out fold, chosen by a hash of the id among those of up to
+LONGEST bytes, and fewer where they would have more than about SAMPLE_BYTES together;
+classes are weighted back to their shares.  It runs on the driver, on that bounded sample.
 Scoring runs in Arrow batches and reads only the text.
 
 Defined cases: a null text is empty, and an empty text is scored as zero
 bytes; several labels of one document are averaged (1 from 0.5 on), null
 labels are left out; without labels, or with one class only, every score is
-that class' share (0.5 without labels).  Rows are scored one by one; other
-columns are ignored.
+that class' share (0.5 without labels).  Rows that repeat in training count as often;
+an empty table to score gives none; a very long text is scored in spans.  Rows
+are scored one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ FILTERS, WIDTH = 16, 5
 BLOCK, CHUNK, STRIDE = 64, 5, 4   # positions in a block; blocks in a chunk and between chunk starts
 SPAN = 1 << 14                    # blocks convolved at a time
 SAMPLE, UPDATES, BATCH, RATE = 1200, 1000, 16, 0.05
+LONGEST, SAMPLE_BYTES = 1 << 20, 64 << 20  # of a training text, of all
 THRESHOLD = 0.3
 
 
@@ -138,9 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCNN:
     # a row's place in a hash order decides; a class keeps about ``sample`` rows
     drawn = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("label") == 1, sample / max(1, sizes.get(1, 0))).otherwise(sample / max(1, sizes.get(0, 0)))
-    chosen = known.filter(drawn < rate)
-    rows = (docs.select("doc_id", "text").join(bounded_broadcast(chosen), "doc_id")
-            .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect())
+    known = known.withColumn("drawn", drawn).withColumn("rate", rate)
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), size.alias("size")).filter(F.col("size") <= LONGEST)
+    chosen = bounded_broadcast(known.filter("drawn < rate"))
+    together = texts.select("doc_id", "size").join(chosen, "doc_id").agg(F.sum("size")).first()[0] or 0
+    fewer = min(1.0, SAMPLE_BYTES / max(1, together))
+    rows = texts.join(chosen.filter(F.col("drawn") < F.least("rate", F.lit(1.0)) * fewer), "doc_id").select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return ByteCNN().fit([r["text"] for r in rows], [r["label"] for r in rows], sizes.get(1, 0) / total)
 

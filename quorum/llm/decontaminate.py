@@ -6,13 +6,15 @@ item is found in a document whose set holds at least ``threshold`` of the
 item's set.
 
 Documents are much longer than items, so their sketches would lose nearly all
-of an item's values.  The items are sketched instead: a bottom-k MinHash
-sketch, the k smallest of the item's n hash values.  Items are partitioned by
-the power of two below n.  With k = n - ceil(threshold n) + 1, one sketched
-value at least lies in any set that holds ``threshold`` of the item, so the
-search loses nothing; a partition's smallest n also gives the size below which
-a document can hold none of its items.  Documents meet the sketches by an
-equi-join on hash values; candidates are confirmed on the shingles themselves.
+of an item's values.  The items are sketched instead, by bottom-k MinHash.
+Items are partitioned by the power of two below their size n, and all of a
+partition have one k: a set that holds ``threshold`` of an item misses n -
+ceil(threshold n) values at most, so with k one more than the most that an item
+of the partition can miss, it holds k - (n - ceil(threshold n)) of the k sketched
+values at least, and always one.  So many hits make a candidate, and the search
+loses nothing.  A partition's smallest n also gives the size below which a document
+can hold none of its items.  Documents meet the sketches by an equi-join on hash
+values; candidates are confirmed on the shingles themselves.
 
 DataFrame expressions only.  The sketches (a quarter of the items' shingles)
 are written and broadcast while they are small; beyond that the join shuffles.
@@ -20,7 +22,8 @@ are written and broadcast while they are small; beyond that the join shuffles.
 Defined cases: null and empty texts have no shingles, and neither contain nor
 are contained; repeated rows of a document or item give one row; of several
 texts under one pair of ids the fullest match counts; null ids are compared
-like other values; empty tables give none; other columns are ignored.
+like other values; empty tables give none; a very long document is one row whose
+words and hashes are arrays of one task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,12 +74,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     (item_id, text) found in a document of ``docs`` (doc_id, text); text_key
     is xxhash64(text)."""
     items = written(_items(items, threshold), "items")
-    # the k smallest distinct values; a partition's documents need its smallest count
-    k = F.col("n") - F.col("needed") + 1
+    # the partition's k smallest distinct values, how many of them a match has, and its documents' least size
+    k = (F.floor((F.pow(F.lit(2.0), F.col("size_class") + 1) - 1) * (1 - threshold) + 1e-9) + 1).cast("int")
+    least_hits = k - (F.col("n") - F.col("needed"))
     smallest = F.ceil(F.pow(F.lit(2.0), "size_class") * threshold - 1e-9)
     sketches = written(items.select(
         F.explode_outer(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), k)).alias("hash"),
-        "item_id", F.xxhash64("shingles").alias("item_key"), smallest.alias("least")), "sketches")
+        "item_id", F.xxhash64("shingles").alias("item_key"), smallest.alias("least"), least_hits.alias("least_hits")), "sketches")
 
     hashed = (docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(F.col("text")).alias("words"))
               .select("doc_id", "text_key", F.size("words").alias("places"), _hashes(F.col("words")).alias("hashes")))
@@ -84,7 +88,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     candidates = (hashed.select("doc_id", "text_key", F.explode_outer("hashes").alias("hash"),
                                 F.greatest(F.col("places") - SHINGLE + 1, F.lit(1)).alias("places"))
                   .join(bounded_broadcast(sketches), "hash").filter(F.col("places") >= F.col("least"))
-                  .groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("hits"))
+                  .groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("hits"), F.first("least_hits").alias("least_hits"))
+                  .filter("hits >= least_hits").drop("hits", "least_hits")  # a shingle that comes twice counts twice, which loses nothing
                   .withColumnRenamed("doc_id", "c_doc").withColumnRenamed("text_key", "c_key"))
     # written, so that its size is known: while candidates are few, texts need no shuffle
     candidates = bounded_broadcast(written(candidates, "candidates"))

@@ -4,8 +4,9 @@ A package holds a WARC file of gzipped records (``archive/data.warc.gz``) and
 an index (``indexes/index.cdxj``: one line per record with its place in the
 WARC file), both stored without ZIP compression.  The reader takes the ZIP
 directory from the end of the file (ZIP64 where fields overflow), locates the
-stored members by their local headers, and reads the index and then the records
-by range; nothing is unpacked to disk.
+stored members by their local headers, and reads the indexes (CDXJ or CDX, plain or
+gzipped) and then the records by range; records that no index lists are found
+by reading on.  Nothing is unpacked to disk.
 
 Tasks reach packages through ``pyarrow.fs`` (local, HDFS, S3, ...) in the
 shared folder.  Each attempt writes under a name of its own, and only the
@@ -20,7 +21,10 @@ payload.
 Defined cases: null html is an empty payload; null page ids are below all
 others, and where a group of equal payloads has no other, all are responses;
 rows that repeat the largest id are responses too; a null url leaves the field
-out; an empty table gives no packages; other columns are ignored.
+out; an empty table gives no packages; a very long page is one record, which a
+task holds whole; other columns are ignored.  A package that holds another
+number of records than the manifest says, an index that names no or several
+archive members, a record cut off and a payload unlike its digest are errors.
 """
 
 from __future__ import annotations
@@ -50,6 +54,7 @@ from quorum.sources.io import store
 
 ROLL = 32 << 20        # bytes of gzipped records in a package
 NEAR = 4 << 20         # bytes of neighbouring records read at once
+CHUNK = 1 << 18        # bytes read at once where no index tells the records
 DATE = "2000-01-01T00:00:00Z"  # date of records that have none
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -217,30 +222,96 @@ def data_place(f: pa.NativeFile, member: Member) -> int:
     return member.header + 30 + n + extra
 
 
+def _lines(f: pa.NativeFile, member: Member) -> list[str]:
+    raw = f.read_at(member.size, data_place(f, member))
+    return (gzip.decompress(raw) if member.name.endswith(".gz") else raw).decode().splitlines()  # all gzip members of it
+
+
 def index_entries(f: pa.NativeFile, members: list[Member]) -> Iterator[tuple[str, int, int]]:
-    """(WARC file, offset, length) of every record that an index lists."""
+    """(WARC file, offset, length) of every record that an index lists: lines of
+    CDXJ, or of CDX with its header, plain or gzipped."""
     for m in members:
-        if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj")):
-            for line in f.read_at(m.size, data_place(f, m)).decode().splitlines():
+        if not (m.name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", m.name)):
+            continue
+        places = None
+        for line in _lines(f, m):
+            if line.startswith(" CDX"):
+                letters = line.split()[1:]
+                places = [letters.index(x) for x in "gVS"]  # file, offset, length of the compressed record
+            elif places:
+                fields = line.split()
+                yield fields[places[0]], int(fields[places[1]]), int(fields[places[2]])
+            elif line.strip() and not line.startswith("!"):
                 entry = json.loads(line.split(" ", 2)[2])
                 yield entry["filename"], int(entry["offset"]), int(entry["length"])
 
 
+def _archive(name: str, archives: list[Member]) -> Member:
+    """The archive member that an index names by its path or the end of it."""
+    found = [m for m in archives if m.name == name] or [m for m in archives if m.name.endswith("/" + name)]
+    if len(found) != 1:
+        raise PackageError(f"{len(found)} archive members are named {name}")
+    return found[0]
+
+
+def _scan(f: pa.NativeFile, at: int, stop: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records that lie in [at, stop), one after the other, found by reading on."""
+    held = b""
+
+    def more() -> bytes:
+        nonlocal at
+        if at >= stop:
+            raise PackageError("a record is cut off")
+        got = f.read_at(min(CHUNK, stop - at), at)
+        at += len(got)
+        return got
+    while held or at < stop:
+        held = held or more()
+        if held[:1] == b"\x1f":
+            unpack = zlib.decompressobj(31)
+            parts = [unpack.decompress(held)]
+            while not unpack.eof:
+                parts.append(unpack.decompress(more()))
+            held = unpack.unused_data
+            yield parse_record(b"".join(parts))
+        elif held[:1] in b"\r\n":
+            held = held.lstrip(b"\r\n")
+        else:
+            while b"\r\n\r\n" not in held:
+                held += more()
+            fields, _ = parse_record(held)
+            size = held.index(b"\r\n\r\n") + 4 + int(fields["content-length"])
+            while len(held) < size:
+                held += more()
+            yield parse_record(held[:size])
+            held = held[size:]
+
+
 def records(f: pa.NativeFile) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of every indexed record, in the order of the WARC
-    files; neighbouring records come in one read."""
+    """(fields, block) of every record, in the order of the WARC files: those
+    that an index lists by range, neighbours in one read, and what lies
+    between them, or in a file without an index, by reading on."""
     members = directory(f)
-    places = {m.name.rsplit("/", 1)[-1]: data_place(f, m) for m in members if m.name.startswith("archive/") and m.size}
-    spans = sorted((places[name] + offset, length) for name, offset, length in index_entries(f, members))
-    i = 0
-    while i < len(spans):
-        j, first = i, spans[i][0]
-        while j + 1 < len(spans) and spans[j + 1][0] == sum(spans[j]) and sum(spans[j + 1]) - first <= NEAR:
-            j += 1
-        data = f.read_at(sum(spans[j]) - first, first)
-        for at, length in spans[i:j + 1]:
-            yield parse_record(zlib.decompress(data[at - first:at - first + length], 31))
-        i = j + 1
+    archives = [m for m in members if m.name.startswith("archive/") and m.size]
+    listed: dict[str, set[tuple[int, int]]] = {m.name: set() for m in archives}
+    for name, offset, length in index_entries(f, members):
+        listed[_archive(name, archives).name].add((offset, length))
+    for m in archives:
+        spans, base, done, i = sorted(listed[m.name]), data_place(f, m), 0, 0
+        while i < len(spans):
+            j, first = i, spans[i][0]
+            if first > done:
+                yield from _scan(f, base + done, base + first)
+            while j + 1 < len(spans) and spans[j + 1][0] == sum(spans[j]) and sum(spans[j + 1]) - first <= NEAR:
+                j += 1
+            done = sum(spans[j])
+            data = f.read_at(done - first, base + first)
+            for at, length in spans[i:j + 1]:
+                raw = data[at - first:at - first + length]
+                yield parse_record(zlib.decompress(raw, 31) if raw[:1] == b"\x1f" else raw)
+            i = j + 1
+        if done < m.size:
+            yield from _scan(f, base + done, base + m.size)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -270,11 +341,12 @@ def _read(with_payload: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, inner = store(path)
-                rows, held = [], 0
+                rows, held, found = [], 0, 0
                 with fs.open_input_file(inner) as f:
                     for fields, block in records(f):
+                        found += 1
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
                         digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -288,6 +360,8 @@ def _read(with_payload: bool):
                         if held >= NEAR:
                             yield out(rows)
                             rows, held = [], 0
+                if expected is not None and found != expected:
+                    raise PackageError(f"{found} records in {path}, {expected} expected")
                 if rows:
                     yield out(rows)
     return run
@@ -295,6 +369,8 @@ def _read(with_payload: bool):
 
 def read_packages(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """``READ``'s columns of every record in the packages that ``manifest``
-    (path) names; payload is null for revisits and without ``with_payload``."""
+    (path, and n_records if it is known) names; payload is null for revisits and
+    without ``with_payload``."""
     packages = max(1, manifest.count())  # a task each: a package is what one task can well read
-    return in_batches(manifest.select("path").repartition(packages), _read(with_payload), READ)
+    many = F.col("n_records") if "n_records" in manifest.columns else F.lit(None)
+    return in_batches(manifest.select("path", many.cast("long").alias("n_records")).repartition(packages), _read(with_payload), READ)

@@ -141,3 +141,91 @@ def test_zip_errors():
     with pytest.raises(wacz.PackageError):
         wacz.directory(pa.BufferReader(b"no archive"))
     assert gzip.decompress(wacz.record(1, None, b"", None)).startswith(b"WARC/1.1\r\n")
+
+
+def parts(n=5, plain=False):
+    data = [wacz.record(i, f"http://a/{i}", f"page {i}".encode() * 500, None) for i in range(n)]
+    return [gzip.decompress(d) for d in data] if plain else data
+
+
+def packed(files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, content in files.items():
+            z.writestr(name, content)
+    return pa.BufferReader(out.getvalue())
+
+
+def listing(name, data, kind="cdxj", only=None):
+    at, lines = 0, [" CDX N b a m s k r M S V g"] if kind == "cdx" else ["!meta {}"]
+    for i, d in enumerate(data):
+        if only is None or i in only:
+            lines.append(f"k 2000 http://a/{i} text/html 200 x - - {len(d)} {at} {name}" if kind == "cdx"
+                         else f'k 2000 {{"filename": "{name}", "offset": "{at}", "length": "{len(d)}"}}')
+        at += len(d)
+    return ("\n".join(lines) + "\n").encode()
+
+
+def pages_in(f):
+    return [int(fields["warc-record-id"][10:-1]) for fields, _ in wacz.records(f)]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_indexes_of_other_writers(plain):
+    data, name = parts(plain=plain), "archive/data.warc"
+    whole = b"".join(data)
+    halves = gzip.compress(listing("data.warc", data[:2])) + gzip.compress(listing("data.warc", data)[len(listing("data.warc", data[:2])):])
+    for index in ({"indexes/index.cdx.gz": gzip.compress(listing("data.warc", data, "cdx"))}, {"indexes/index.cdxj.gz": halves},
+                  {"indexes/index.cdx": listing(name, data, "cdx")}, {}, {"indexes/index.cdxj": listing("data.warc", data, only={1, 3})},
+                  {"indexes/a.cdxj": listing("data.warc", data), "indexes/b.cdxj": listing("data.warc", data)}):
+        assert pages_in(packed({name: whole, **index})) == [0, 1, 2, 3, 4]
+
+
+def test_archives_of_equal_names():
+    data = parts(6)
+    files = {"archive/a/x.warc.gz": b"".join(data[:3]), "archive/b/x.warc.gz": b"".join(data[3:])}
+    assert pages_in(packed(files)) == list(range(6))
+    index = listing("archive/b/x.warc.gz", data[3:]) + listing("a/x.warc.gz", data[:3])
+    assert pages_in(packed({**files, "indexes/i.cdxj": index})) == list(range(6))
+    with pytest.raises(wacz.PackageError):
+        pages_in(packed({**files, "indexes/i.cdxj": listing("x.warc.gz", data[:3])}))
+    with pytest.raises(wacz.PackageError):
+        pages_in(packed({"archive/x.warc.gz": b"".join(data)[:-30]}))
+
+
+def test_records_that_are_missing(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(9)], "page_id long, url string, html string")
+    manifest = wacz.write_packages(pages)
+    assert wacz.read_packages(manifest).count() == 9 and wacz.read_packages(manifest.select("path")).count() == 9
+    from pyspark.sql import functions as F
+    with pytest.raises(Exception, match="expected"):
+        wacz.read_packages(manifest.withColumn("n_records", F.col("n_records") + 1)).count()
+
+
+def test_training_is_bounded_in_bytes(spark, monkeypatch):
+    texts = [(i, ("good words here. " if i % 2 else "##$ %% ") * (5 + i)) for i in range(60)] + [(100, "x" * (2 << 20))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(byte_cnn.ByteCNN, "fit", lambda self, t, y, share: seen.append(sum(map(len, t))) or self)
+    byte_cnn.train(docs, labels)
+    whole = seen[-1]
+    assert whole < 1 << 20
+    monkeypatch.setattr(byte_cnn, "SAMPLE_BYTES", whole // 3)
+    byte_cnn.train(docs, labels)
+    assert 0 < seen[-1] < whole * 0.7
+
+
+def test_scores_by_plain_convolution():
+    """A score against loops over filters, places and chunks."""
+    model = byte_cnn.ByteCNN(3)
+    for text in ("", "é", "short text", "words " * 200):
+        raw = list(text.encode()) + [0] * (byte_cnn.WIDTH - 1 + (not text))
+        places = len(raw) - byte_cnn.WIDTH + 1
+        out = [[sum(model.tables[k][raw[p + k]][f] for k in range(byte_cnn.WIDTH)) for f in range(byte_cnn.FILTERS)] for p in range(places)]
+        blocks = [[max(out[p][f] for p in range(at, min(at + byte_cnn.BLOCK, places))) for f in range(byte_cnn.FILTERS)] for at in range(0, places, byte_cnn.BLOCK)]
+        starts = range(0, max(1, len(blocks) - byte_cnn.CHUNK + byte_cnn.STRIDE), byte_cnn.STRIDE)
+        chunks = [[max(0.0, *(blocks[min(s + k, len(blocks) - 1)][f] for k in range(byte_cnn.CHUNK))) for f in range(byte_cnn.FILTERS)] for s in starts]
+        z = model.bias + sum(model.out[f] * sum(c[f] for c in chunks) / len(chunks) + model.out[byte_cnn.FILTERS + f] * max(c[f] for c in chunks)
+                             for f in range(byte_cnn.FILTERS))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-4
