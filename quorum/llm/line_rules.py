@@ -16,7 +16,8 @@ removed.  A document is rejected if the removed lines held more than
 
 Runs in Arrow batches over whole texts.  Defined cases: a null or empty text
 has no words and fails the base rules; rows are judged one by one, so repeated
-rows, null ids and ties need no care; other columns are ignored.
+rows, null ids and ties need no care; an empty table gives none; a very long text
+is held once with its words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,30 +93,36 @@ def line_fails(line: str, words: list[bytes]) -> bool:
     return _PHRASE.search(line) is not None
 
 
-def measure(text: str | None) -> tuple:
-    """The columns of ``SCHEMA`` after the id, for one text."""
+def judged(text: str | None) -> tuple[tuple, list[str]]:
+    """The columns of ``SCHEMA`` after the id, and the lines that break no rule, in
+    one pass over the lines."""
     text = text or ""
     words = text.encode().split()  # bytes split at \x20 and \x09-\x0D only
-    n, seen, dup, lost, lost_lines = len(words), set(), 0, 0, 0
+    n, seen, dup, lost, lost_lines, good = len(words), set(), 0, 0, 0, []
     for line in text.split("\n"):
         own = line.encode().split()
-        if not own:
-            continue
-        dup += line in seen
-        seen.add(line)
-        if line_fails(line, own):
-            lost += len(own)
-            lost_lines += 1
+        if own:
+            dup += line in seen
+            seen.add(line)
+            if line_fails(line, own):
+                lost += len(own)
+                lost_lines += 1
+                continue
+        good.append(line)
     repeated = repeated_words(words)
     base = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
     return (n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated,
-            base, not base and lost <= MAX_LOST * n, lost, lost_lines)
+            base, not base and lost <= MAX_LOST * n, lost, lost_lines), good
+
+
+def measure(text: str | None) -> tuple:
+    """The columns of ``SCHEMA`` after the id, for one text."""
+    return judged(text)[0]
 
 
 def cleaned(text: str) -> str:
     """The lines of ``text`` that break no rule."""
-    kept = [x for x in text.split("\n") if not (own := x.encode().split()) or not line_fails(x, own)]
-    return "\n".join(kept)
+    return "\n".join(judged(text)[1])
 
 
 _TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2
@@ -138,10 +145,10 @@ def judge_lines(docs: DataFrame) -> DataFrame:
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts = [t.as_py() for t in batch.column(at)]
-        keep = [measure(t)[6] for t in texts]
+        found = [judged(t.as_py()) for t in batch.column(at)]
+        keep = [facts[6] for facts, _ in found]
         batch = batch.set_column(at, batch.schema.field(at), pa.array(
-            [cleaned(t) if k else t for t, k in zip(texts, keep)], batch.schema.field(at).type))
+            ["\n".join(good) if facts[6] else None for facts, good in found], batch.schema.field(at).type))
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

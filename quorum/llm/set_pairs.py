@@ -92,9 +92,9 @@ def folded(bits: bytes, width: int) -> np.ndarray:
 
 
 def coarse(bits: bytes) -> bytes:
-    """An eighth of a bitmap, at least half a bit a value: what travels with a
+    """A quarter of a bitmap, at least a bit a value: what travels with a
     vertex to every node that it is in."""
-    return folded(bits, max(1, len(bits) // 64)).tobytes()
+    return folded(bits, max(1, len(bits) // 32)).tobytes()
 
 
 def differing(maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
