@@ -14,8 +14,8 @@ by a hash of the id; the counts are summed by Spark and the model (languages x
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and no languages; equal shares go to the language that sorts first; rows are
 predicted one by one, so repeated rows and null ids need no care; a training
-table without labelled rows makes every document ``und``; other columns are
-ignored.
+table without labelled rows makes every document ``und``; an empty table to
+predict gives none; a very long text is taken in blocks; other columns are ignored.
 """
 
 from __future__ import annotations

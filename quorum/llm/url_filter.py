@@ -13,8 +13,9 @@ its size estimate is small; beyond that the join shuffles expressions.
 Defined cases: a null URL or one without ``://`` has empty host and path and
 gets the default verdict; so does an empty host.  Repeated rows and repeated
 or null page ids are judged row by row.  A rule listed twice with different
-verdicts blocks.  Empty tables give empty results; other columns of the input
-are ignored.
+verdicts blocks; a rule's path need not begin with ``/``.  A very long URL has no
+more expressions than the rules have shapes.  Empty tables give empty results;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +45,16 @@ def url_path(url: Column) -> Column:
 
 
 def _digest(rules: DataFrame) -> DataFrame:
-    """One row per rule: expression, its digest and prefix, shape, verdict."""
-    expr = F.concat(ascii_lower(F.col("host")), F.coalesce("path", F.lit("")))
-    return (rules.filter(F.col("host") != "")
-            .groupBy(expr.alias("rule"))
+    """One row per rule: its digest and prefix, shape, verdict.  A ``/`` parts host
+    and path in the expression: no URL's host holds one, and a rule whose host does
+    fits nothing."""
+    host, path = ascii_lower(F.col("host")), F.coalesce("path", F.lit(""))
+    return (rules.filter((F.col("host") != "") & ~F.contains("host", F.lit("/")))
+            .groupBy(F.concat(host, F.lit("/"), path).alias("expression"), F.concat(host, path).alias("rule"))
             .agg(F.max("verdict").alias("rule_verdict"),  # 'block' > 'allow'
                  F.max(F.size(F.split("host", r"\."))).alias("labels"),
                  F.max(F.length(F.coalesce("path", F.lit("")))).alias("path_chars"))
-            .withColumn("rule_digest", F.sha2("rule", 256))
+            .withColumn("rule_digest", F.sha2("expression", 256)).drop("expression")
             .withColumn("hash_prefix", F.substring("rule_digest", 1, PREFIX_HEX)))
 
 
@@ -63,7 +66,7 @@ def _expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> C
     known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in shapes])
     fits = F.filter(known, lambda s: (s.n <= F.size(labels)) & (s.c <= F.length(path)))
     return F.transform(fits, lambda s: F.concat(
-        F.array_join(F.slice(labels, -s.n, s.n), "."), F.substr(path, F.lit(1), s.c)))
+        F.array_join(F.slice(labels, -s.n, s.n), "."), F.lit("/"), F.substr(path, F.lit(1), s.c)))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:

@@ -112,3 +112,11 @@ def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_mix.predict(docs, language_mix.train(docs)).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_rule_paths_without_a_slash(spark):
+    rules = url_filter.rule_table(spark, [("a.co", "m/", "block"), ("b.com", "/x", "block"), ("c/d", "", "block"), ("b.com", "y", "block")])
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.com/m/"), (3, "http://b.com/x"), (4, "http://b.com/y"), (5, "http://c/d")],
+                                  "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect())
+    assert got == [(1, None, "allow"), (2, None, "allow"), (3, "b.com/x", "block"), (4, None, "allow"), (5, None, "allow")]
