@@ -43,7 +43,7 @@ def q_scan_stata(spark, sf_dir):
     wide = (r.groupBy("wave", F.col("human_id").alias("QKEY")).pivot("var", ["PRIORITY", "STATUS"])
              .agg(F.first("code")))
     labels = {"PRIORITY": {int(c): l for v, _, c, l in V.CODEBOOK_ROWS if v == "PRIORITY"}}
-    IO.write_stata(wide, root, "wave", labels, {"PRIORITY": "How urgent was your order?"}).collect()
+    IO.write_stata(wide, root, "wave", labels, {"PRIORITY": "How urgent was your order?"}).write.format("noop").mode("overwrite").save()
     back = IO.scan_stata(spark, os.path.join(root, "*", "*.dta"),
                          "QKEY long, PRIORITY double, STATUS double, source_file string")
     return back.select("QKEY", "PRIORITY", "STATUS")
@@ -59,7 +59,7 @@ def q_scan_codebook(spark, sf_dir):
     wide = (r.groupBy("wave", F.col("human_id").alias("QKEY")).pivot("var", ["PRIORITY", "STATUS"])
              .agg(F.first("code")))
     labels = {v: {int(c): l for vv, _, c, l in V.CODEBOOK_ROWS if vv == v} for v in ("PRIORITY", "STATUS")}
-    IO.write_stata(wide, root, "wave", labels, {v: t for v, t in V.VARIABLE_ROWS}).collect()
+    IO.write_stata(wide, root, "wave", labels, {v: t for v, t in V.VARIABLE_ROWS}).write.format("noop").mode("overwrite").save()
     # every wave file carries the same labels (Stata keeps them sorted by code): one row per label
     return (IO.scan_codebook(spark, os.path.join(root, "*", "*.dta"))
               .select("var", "pos", "code", "label", "var_label").distinct())

@@ -23,7 +23,9 @@ def q_stream_counts(spark, sf_dir):
     root = IO.scratch(spark, "stream")
     src = os.path.join(root, "incoming")
     resp = V.responses(spark, sf_dir)
-    resp.repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(src)  # files arrive per wave
+    # files arrive per wave; a wave is several files, so that a large one is not one task's
+    part = F.pmod(F.xxhash64("human_id"), F.lit(4))
+    resp.repartition("wave", part).write.mode("overwrite").partitionBy("wave").parquet(src)
     schema = spark.read.parquet(src).schema
-    counts = run_to_end(spark, src, schema, V.ATTRIBUTE_COLUMNS, V.group_codes(spark), root)
+    counts = run_to_end(spark, src, schema, V.ATTRIBUTE_COLUMNS, V.group_codes(spark), root, files_per_trigger=8)
     return counts.select("qkey", "attribute", "grp", "code", F.round("w", 2).alias("w"), "n")

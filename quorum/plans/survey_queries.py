@@ -285,6 +285,17 @@ def q_joint_responses(spark, sf_dir):
              .select("human_id", (F.col("p") + 1).alias("pos"), "code"))
 
 
+@query("joint_responses_long", with_views("responses") + """
+SELECT p.human_id, x.pos, CASE x.pos WHEN 1 THEN p.code ELSE s.code END AS code
+FROM responses p JOIN responses s ON s.human_id = p.human_id AND p.var = 'PRIORITY' AND s.var = 'STATUS'
+CROSS JOIN (SELECT unnest([1, 2]) AS pos) x WHERE p.code IS NOT NULL AND s.code IS NOT NULL""")
+def q_joint_responses_long(spark, sf_dir):
+    """J2 on long answers: everybody who answered both questions of their wave."""
+    r = V.responses(spark, sf_dir).select("human_id", F.col("var").alias("qkey"), "code")
+    j = R.joint_responses_long(r, ["PRIORITY", "STATUS"])
+    return j.select("human_id", F.posexplode("codes").alias("p", "code")).select("human_id", (F.col("p") + 1).alias("pos"), "code")
+
+
 # ---- J3
 @query("wave_weights", with_views("respondents") + "SELECT human_id AS QKEY, wave, weight FROM respondents")
 def q_wave_weights(spark, sf_dir):

@@ -54,9 +54,9 @@ def start_wave_counts(spark: SparkSession, source: str, schema: StructType, attr
 
 
 def run_to_end(spark: SparkSession, source: str, schema: StructType, attribute_columns: Mapping[str, str],
-               group_codes: DataFrame, root: str) -> DataFrame:
+               group_codes: DataFrame, root: str, files_per_trigger: int = 1) -> DataFrame:
     """Process every file present now, then read the published aggregate."""
     out, ck = os.path.join(root, "counts"), os.path.join(root, "checkpoint")
-    q = start_wave_counts(spark, source, schema, attribute_columns, group_codes, out, ck)
+    q = start_wave_counts(spark, source, schema, attribute_columns, group_codes, out, ck, files_per_trigger)
     q.awaitTermination()
     return read_published(spark, out)
