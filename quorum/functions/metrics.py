@@ -226,13 +226,3 @@ def uniform_over_real(ordinal, k) -> Column:
             o, lambda x, i: F.when(valid(x, i), F.lit(1.0) / m).otherwise(F.lit(0.0))))
             .otherwise(F.transform(o, lambda x: F.lit(1.0) / F.size(o))))
     return let(ordinal, body)
-
-
-def entropy_from_counts(counts) -> Column:
-    """-sum p*log2(p+1e-9) of the counts' shares, divided by
-    log2(#distinct) unless there is one distinct value."""
-    def body(c):
-        return let(_dsum(c), lambda n: let(
-            -F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x / n) * F.log2(x / n + 1e-9)),
-            lambda h: F.when(F.size(c) > 1, h / F.log2(F.size(c).cast("double"))).otherwise(h)))
-    return let(F.transform(_c(counts), lambda x: x.cast("double")), body)

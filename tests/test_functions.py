@@ -65,15 +65,18 @@ def test_qa_steering_tail(spark):
 
 
 def test_entropy_golden(spark):
-    assert one(spark, M.entropy_from_counts(F.array(F.lit(2), F.lit(2)))) == pytest.approx(1.0, abs=1e-8)
-
-
-def test_ami_golden():
-    from quorum.operators.relevance import ami_from_table
-    _, a = ami_from_table(["x", "y"], ["x", "y"], [50, 50])
-    assert a == pytest.approx(1.0)
-    _, b = ami_from_table(["u"] * 4, ["a", "b", "c", "d"], [5, 5, 5, 5])
-    assert b == pytest.approx(0.0, abs=1e-12)
+    from quorum.operators.entropy import entropy
+    cells = spark.createDataFrame([("a", 2), ("a", 2), ("b", 7)], "k string, n long")
+    got = {r.k: r.entropy for r in entropy(cells, ["k"]).collect()}
+    assert got["a"] == pytest.approx(1.0, abs=1e-8) and got["b"] == pytest.approx(0.0, abs=1e-8)
+
+
+def test_ami_golden(spark):
+    from quorum.operators.relevance import LOG2_E, ami_pairs
+    rows = [("same", c, c, 50) for c in ("x", "y")] + [("single", "u", c, 5) for c in "abcd"] + [("both", "u", "u", 9)]
+    cont = spark.createDataFrame(rows, "target string, a string, b string, n long").selectExpr("target", "'o' AS other", "a", "b", "n")
+    got = {r.target: r.relevance for r in ami_pairs(cont, threshold=0, symmetric=False).collect()}
+    assert got["same"] == pytest.approx(LOG2_E) and got["single"] == pytest.approx(0.0, abs=1e-12) and got["both"] == pytest.approx(LOG2_E)
 
 
 probs = st.lists(st.floats(0.01, 1.0), min_size=2, max_size=8)
