@@ -72,11 +72,11 @@ def bands(largest: int) -> list[int]:
     return out
 
 
-def scheme(first: int, after: int, documents: int) -> tuple[int, int, int, int]:
+def scheme(first: int, after: int, documents: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
     """Of the band [first, after): segments of weight 1 and of weight 2, slack
     for empty segments, slack for hot keys."""
     top = after - 1
-    differ = most_different(top, top * 100 // PERCENT, PERCENT)
+    differ = most_different(top, top * 100 // percent, percent)
     empty, hot = differ // 16, differ // 12 + (differ >= 4)
     need, best = differ + 1 + empty + hot, None
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
@@ -91,13 +91,13 @@ def scheme(first: int, after: int, documents: int) -> tuple[int, int, int, int]:
     return best[1], best[2], empty, hot
 
 
-def document_keys(values: np.ndarray, edges: list[int], schemes: list[tuple[int, int, int, int]]) -> np.ndarray:
+def document_keys(values: np.ndarray, edges: list[int], schemes: list[tuple[int, int, int, int]], percent: int = PERCENT) -> np.ndarray:
     """A set's keys in the schemes of its own band and of those below that its
     partners can lie in.  The top byte is the scheme and the weight."""
     n, out = len(values), []
     own = bisect_right(edges, n) - 1
     for k in range(own, -1, -1):
-        if 100 * (edges[k + 1] - 1) < PERCENT * n:
+        if 100 * (edges[k + 1] - 1) < percent * n:
             break
         ones, twos, empty, _ = schemes[k]
         total = ones + twos
@@ -146,12 +146,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SETS.split(", ")])
 
 
-def _keys(edges: list[int], schemes: list[tuple[int, int, int, int]]):
+def _keys(edges: list[int], schemes: list[tuple[int, int, int, int]], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, rows, held = [], [], 0
             for row, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.append(document_keys(hashed(words.as_py().split(b" ")), edges, schemes))
+                own.append(document_keys(hashed(words.as_py().split(b" ")), edges, schemes, percent))
                 rows.append(np.full(len(own[-1]), row))
                 held += len(own[-1])
                 if held > 1 << 18:
@@ -243,7 +243,7 @@ def _hot(big: DataFrame, parts: DataFrame, slack: dict[int, int]) -> DataFrame:
             .agg(F.collect_list("row").alias("rows")).select("rows"))  # about SMALL rows, whatever the key's size
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The written sets of ``docs`` (doc_id, text), and (digest, row, id, part):
     each distinct text's vertex and component."""
     sets = written(in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sets, SETS), "sets", compression="zstd")
@@ -254,9 +254,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = F.array(*[F.lit(x) for x in edges])
     band = F.size(F.filter(starts, lambda x: x <= F.col("n_shingles"))) - 1
     many = {r["band"]: r["n"] for r in vertices.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # a row a band
-    schemes = [scheme(edges[k], edges[k + 1], many.get(k, 0) + many.get(k + 1, 0)) for k in range(len(edges) - 1)]
+    schemes = [scheme(edges[k], edges[k + 1], many.get(k, 0) + many.get(k + 1, 0), percent) for k in range(len(edges) - 1)]
     alone = sets.select("row", "words", "coarse", "n_shingles").join(bounded_broadcast(vertices.select("row")), "row", "left_semi")
-    keys = in_batches(alone.select("row", "words"), _keys(edges, schemes), "key long, row long")
+    keys = in_batches(alone.select("row", "words"), _keys(edges, schemes, percent), "key long, row long")
     keys = keys.repartition("key").sortWithinPartitions("key", "row")
     with wide_batches(docs.sparkSession):
         nodes = written(keys.mapInArrow(_nodes, NODES), "nodes")
@@ -266,7 +266,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = small.union(nodes.filter("key is not null").select("rows"))
     others = F.explode(F.slice("rows", 2, SMALL))
     stars = every.select(F.element_at("rows", 1).alias("a"), others.alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    parts = merged(docs.sparkSession.createDataFrame([], "row long, part long"), confirmed(stars, sets, PERCENT))
+    parts = merged(docs.sparkSession.createDataFrame([], "row long, part long"), confirmed(stars, sets, percent))
 
     wide = small.filter(F.size("rows") > 2)
     big = nodes.filter("key is not null")
@@ -275,14 +275,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wide = written(wide.withColumn("node", F.monotonically_increasing_id()), "wide")
     for only_closest in (True, False):
         own = alone.select("row", "n_shingles", F.col("coarse").alias("map")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
-        more = compared(_mixed(wide, parts), own, PERCENT, only_closest)
-        parts = merged(parts, confirmed(more, sets, PERCENT))
+        more = compared(_mixed(wide, parts), own, percent, only_closest)
+        parts = merged(parts, confirmed(more, sets, percent))
     return sets, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    sets, vertices = linked(docs)
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, linked at ``percent``."""
+    sets, vertices = linked(docs, percent)
     named = written(vertices.join(vertices.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("digest", "component_id"), "named")
     narrow = sets.select("doc_id", "n_shingles", "digest")
     grouped = narrow.filter("digest is not null").join(named, "digest").select("doc_id", "n_shingles", "component_id")

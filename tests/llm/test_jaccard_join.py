@@ -146,3 +146,12 @@ def test_nodes_over_batches(size, monkeypatch):
     groups = {k: rows[keys == k].tolist() for k in set(keys.tolist())}
     assert sorted(small) == sorted(g for g in groups.values() if 2 <= len(g) <= 4)
     assert {k: sorted(v) for k, v in big.items()} == {k: g for k, g in groups.items() if len(g) > 4}
+
+
+def test_both_operators_agree(spark):
+    """The exact join at the threshold of the chosen-path trees has their components."""
+    from quorum.llm import near_dedup
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, near_dedup.PERCENT).collect()}
+    trees = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.deduplicate(docs).collect()}
+    assert exact == trees and len({e[2] for e in exact}) < docs.count()
