@@ -77,7 +77,7 @@ def scheme(first: int, after: int, documents: int, percent: int = PERCENT) -> tu
     for empty segments, slack for hot keys."""
     top = after - 1
     differ = most_different(top, top * 100 // percent, percent)
-    empty, hot = differ // 16, differ // 12 + (differ >= 4)
+    empty, hot = differ // 16, differ // 5 + (differ >= 4)
     need, best = differ + 1 + empty + hot, None
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
         ones = max(0, need - 2 * twos)
