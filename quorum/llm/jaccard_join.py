@@ -21,7 +21,7 @@ is left to chance.
    the others, which connects most of each group of copies; then nodes are
    compared exhaustively, but only between different components and only pairs that
    their bitmaps allow: two bitmaps of parities never differ in more bits than their sets in
-   shingles.  First the closest pair of every two components in a node, then all.
+   shingles.  First one vertex of every component in a node, then all.
 4. The weights exceed H by a slack.  A key of more than SMALL vertices is hot; linked sets share more
    weight than the slack, so a vertex whose hot keys weigh no more than it
    leaves them all and is still found by a cold one.  Only vertices with more
@@ -77,7 +77,7 @@ def scheme(first: int, after: int, documents: int, percent: int = PERCENT) -> tu
     for empty segments, slack for hot keys."""
     top = after - 1
     differ = most_different(top, top * 100 // percent, percent)
-    empty, hot = differ // 16, differ // 5 + (differ >= 4)
+    empty, hot = differ // 16, differ // 3 + (differ >= 4)
     need, best = differ + 1 + empty + hot, None
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
         ones = max(0, need - 2 * twos)
@@ -217,9 +217,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- jobs --------------------------------------------------------------------
 
-def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, row) of the nodes (node, rows) that hold more than one part."""
+def _mixed(nodes: DataFrame, parts: DataFrame, first_only: bool) -> DataFrame:
+    """(node, row) of the nodes (node, rows) that hold more than one part: the
+    first row of each part, or all."""
     rows = nodes.select("node", F.explode("rows").alias("row")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    if first_only:
+        rows = rows.groupBy("node", "part").agg(F.min("row").alias("row"))
     mixed = rows.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("node")
     return rows.select("node", "row").join(mixed, "node")
 
@@ -273,9 +276,9 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     if not big.isEmpty():
         wide = wide.union(_hot(big, parts, {k: s[3] for k, s in enumerate(schemes)}))
     wide = written(wide.withColumn("node", F.monotonically_increasing_id()), "wide")
-    for only_closest in (True, False):
+    for first_only in (True, False):
         own = alone.select("row", "n_shingles", F.col("coarse").alias("map")).join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
-        more = compared(_mixed(wide, parts), own, percent, only_closest)
+        more = compared(_mixed(wide, parts, first_only), own, percent, only_closest=False)
         parts = merged(parts, confirmed(more, sets, percent))
     return sets, vertices.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
 
