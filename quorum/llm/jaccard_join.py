@@ -58,7 +58,7 @@ from quorum.llm.set_pairs import P, Q, R, bitmap, coarse, compared, confirmed, d
 from quorum.operators.joins import bounded_broadcast
 
 PERCENT = 80
-RATIO, SMALL = 1.4, 64
+RATIO, SMALL, TOGETHER = 1.4, 64, 2048  # sizes of a band; vertices of a key that is not hot; of a hot one that are compared in one task
 COMMON, SHARED, PAIR = 0.1, 0.05, 0.01  # assumed: shares of a document's shingles, and of documents, in one common passage; cost of a comparison in rows
 
 
@@ -77,7 +77,7 @@ def scheme(first: int, after: int, documents: int, percent: int = PERCENT) -> tu
     for empty segments, slack for hot keys."""
     top = after - 1
     differ = most_different(top, top * 100 // percent, percent)
-    empty, hot = differ // 16, differ // 3 + (differ >= 4)
+    empty, hot = differ // 16, differ // 5 + (differ >= 4)
     need, best = differ + 1 + empty + hot, None
     for twos in range(0, -(-need // 2) + 1, max(1, need // 64)):
         ones = max(0, need - 2 * twos)
@@ -237,13 +237,13 @@ def _hot(big: DataFrame, parts: DataFrame, slack: dict[int, int]) -> DataFrame:
     limit = F.element_at(F.create_map(*[F.lit(x) for k, v in slack.items() for x in (k, v)]), F.col("scheme"))
     stay = members.groupBy("row", "scheme").agg(F.sum("weight").alias("weight")).filter(F.col("weight") > limit).select("row", "scheme")
     left = written(members.join(stay, ["row", "scheme"]).select("key", "row"), "hot")
-    blocks = F.ceil(F.col("n") * 2 / SMALL)
+    blocks = F.ceil(F.col("n") * 2 / TOGETHER)
     sized = left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").withColumn(
-        "own", F.when(F.col("n") <= SMALL, 0).otherwise(F.pmod(F.xxhash64("row", "key"), blocks)))
-    others = F.when(F.col("n") <= SMALL, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    copies = sized.select("key", "n", "row", "own", F.explode(others).alias("other")).filter("n <= %d or own != other" % SMALL)
+        "own", F.when(F.col("n") <= TOGETHER, 0).otherwise(F.pmod(F.xxhash64("row", "key"), blocks)))
+    others = F.when(F.col("n") <= TOGETHER, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    copies = sized.select("key", "n", "row", "own", F.explode(others).alias("other")).filter("n <= %d or own != other" % TOGETHER)
     return (copies.groupBy("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-            .agg(F.collect_list("row").alias("rows")).select("rows"))  # about SMALL rows, whatever the key's size
+            .agg(F.collect_list("row").alias("rows")).select("rows"))  # about TOGETHER rows, whatever the key's size
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -83,6 +83,7 @@ def test_brute_force(spark):
 def test_hot_keys(spark, monkeypatch):
     """With nodes of three at most nearly all keys of groups are hot."""
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 6)
     rows = ROWS[100:420]
     assert run(spark, rows) == brute(rows)
 
