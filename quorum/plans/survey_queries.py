@@ -321,31 +321,23 @@ def q_grid_cross(spark, sf_dir):
 
 
 # ---- J13
-_LOOKUPS = """
-mx AS (SELECT var, max(pos) AS maxpos FROM codebook GROUP BY var),
-fw AS (SELECT cust_id, min(wave) AS first_wave FROM respondents GROUP BY cust_id),
-lk AS (SELECT p.human_id, 'STATUS_W' || p.wave AS qkey FROM respondents p
-       UNION ALL SELECT p.human_id, 'PRIORITY_W' || fw.first_wave FROM respondents p JOIN fw ON fw.cust_id = p.cust_id)"""
-
-
-@query("get_response", with_views("responses", "respondents", "codebook", ctes=_LOOKUPS) + """
-SELECT k.human_id, k.qkey,
+@query("get_response", with_views("responses", "respondents", "codebook", ctes="""
+mx AS (SELECT var, max(pos) AS maxpos FROM codebook GROUP BY var)""") + """
+SELECT p.human_id, k.qkey,
        CAST(CASE WHEN r.human_id IS NULL THEN -3 WHEN c.pos IS NULL THEN -2 WHEN c.pos = mx.maxpos THEN -1
             ELSE c.pos - 1 END AS INTEGER) AS idx,
        CASE WHEN r.human_id IS NULL THEN 'Not participated for wave' WHEN c.pos IS NULL THEN 'Nan response'
             ELSE c.label END AS label
-FROM lk k
-LEFT JOIN responses r ON r.human_id = k.human_id AND r.qkey = k.qkey
+FROM respondents p CROSS JOIN (SELECT DISTINCT qkey FROM responses) k
+LEFT JOIN responses r ON r.human_id = p.human_id AND r.qkey = k.qkey
 LEFT JOIN codebook c ON c.var = r.var AND c.code = r.code
 LEFT JOIN mx ON mx.var = r.var""")
 def q_get_response(spark, sf_dir):
-    """Two lookups for every respondent: the status in their own wave, and the
-    priority in the first wave of their customer, in which others took part."""
+    """Every respondent's answer to every question of every wave."""
     r = V.respondents(spark, sf_dir)
-    first = r.groupBy("cust_id").agg(F.min("wave").alias("first_wave"))
-    asked = F.explode(F.array(F.concat(F.lit("STATUS_W"), F.col("wave").cast("string")), F.concat(F.lit("PRIORITY_W"), F.col("first_wave").cast("string"))))
-    look = r.join(first, "cust_id").select("human_id", asked.alias("qkey"))
-    return R.lookup_responses(look, V.responses_from(r), V.codebook(spark))
+    answers = V.responses_from(r)
+    look = r.select("human_id").crossJoin(F.broadcast(answers.select("qkey").distinct()))  # question names
+    return R.lookup_responses(look, answers, V.codebook(spark))
 
 
 # ---- U1
