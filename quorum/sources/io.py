@@ -197,30 +197,45 @@ def scan_waves(spark: SparkSession, root: str, waves: Sequence[int]) -> DataFram
 def write_stata(df: DataFrame, root: str, by: str, value_labels: dict | None = None,
                 variable_labels: dict | None = None) -> DataFrame:
     """Stata files under ``<root>/<by>=<value>/``: every task writes the
-    rows it holds, one file per key and Arrow batch, so no key (however
-    large) is gathered into one task.  Returns (by, path) per file."""
+    rows it holds, sorted by key, in files of up to ``STATA_ROWS`` rows (fewer of a wide
+    table), so no key (however large) is gathered into one task, and files
+    are as many as the rows ask for.  Returns (by, path) per file."""
     vl = value_labels or {}
     varl = variable_labels or {}
+    most = max(1, min(STATA_ROWS, STATA_CELLS // len(df.columns)))
 
-    def write(batches):
+    def file(key, parts):
         import uuid as _uuid
+        path = f"{root}/{by}={key}/part-{_uuid.uuid4().hex[:12]}.dta"
+        made = _io.BytesIO()
+        data = pd.concat(parts, ignore_index=True).drop(columns=[by])
+        labels = {c: {int(k): v for k, v in m.items()} for c, m in vl.items() if c in data.columns}
+        for c in labels:
+            data[c] = data[c].astype("float64")
+        data.to_stata(made, write_index=False, value_labels=labels or None,
+                      variable_labels={c: v for c, v in varl.items() if c in data.columns} or None)
+        write_file(path, made.getvalue())
+        return pd.DataFrame([(key, path)], columns=[by, "path"])
+
+    def write(batches):
+        own, parts, held = None, [], 0
         for pdf in batches:
-            out = []
             for key, part in pdf.groupby(by, sort=False):
-                path = f"{root}/{by}={key}/part-{_uuid.uuid4().hex[:12]}.dta"
-                made = _io.BytesIO()
-                data = part.drop(columns=[by]).reset_index(drop=True)
-                labels = {c: {int(k): v for k, v in m.items()} for c, m in vl.items() if c in data.columns}
-                for c in labels:
-                    data[c] = data[c].astype("float64")
-                data.to_stata(made, write_index=False, value_labels=labels or None,
-                              variable_labels={c: v for c, v in varl.items() if c in data.columns} or None)
-                write_file(path, made.getvalue())
-                out.append((key, path))
-            yield pd.DataFrame(out, columns=[by, "path"])
+                if held and key != own:
+                    yield file(own, parts)
+                    parts, held = [], 0
+                own, at = key, 0
+                while at < len(part):
+                    parts.append(part.iloc[at:at + most - held])
+                    at, held = at + len(parts[-1]), held + len(parts[-1])
+                    if held == most:
+                        yield file(own, parts)
+                        parts, held = [], 0
+        if held:
+            yield file(own, parts)
 
     schema = T.StructType([df.schema[by], T.StructField("path", T.StringType())])
-    return df.mapInPandas(write, schema)
+    return df.sortWithinPartitions(by).mapInPandas(write, schema)
 
 
 def scan_stata(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -235,9 +250,8 @@ def scan_stata(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
                 with fs.open_input_file(inner) as f, pd.io.stata.StataReader(
                         f, convert_categoricals=False, chunksize=STATA_ROWS) as r:
                     for pdf in r:
-                        pdf = pdf.astype(object).where(pdf.notna(), None)
                         pdf["source_file"] = path
-                        yield pdf[[x.name for x in out_schema.fields]]
+                        yield pdf[[x.name for x in out_schema.fields]]  # a missing value of a column is NULL in Arrow
 
     return _listing(spark, pattern).mapInPandas(read, out_schema)
 
@@ -271,6 +285,7 @@ def scan_codebook(spark: SparkSession, pattern: str) -> DataFrame:
 # ------------------------------------------------------------------ S4: encodings
 
 STATA_ROWS = 50_000   # rows of a Stata file held at a time
+STATA_CELLS = 2_000_000  # values of a Stata file that is written
 SNIFF_BYTES = 1 << 20
 
 # Encodings in the order they are tried.

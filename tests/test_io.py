@@ -62,3 +62,21 @@ def test_stream_matches_batch(spark):
     a = sorted(tuple(r) for r in got.select(*key, F.round("w", 6), "n").collect())
     b = sorted(tuple(r) for r in want.select(*key, F.round("w", 6), "n").collect())
     assert a == b and len(a) > 0
+
+
+def test_stata_files_are_as_many_as_rows_ask_for(spark, monkeypatch):
+    """A task's rows of a key make one file, over Arrow batches, up to STATA_ROWS rows each; types and NULLs survive."""
+    rows = [(i % 3, i, None if i % 5 == 0 else float(i), "t" * (i % 4), None if i % 7 == 0 else i % 100) for i in range(600)]
+    df = spark.createDataFrame(rows, "wave int, QKEY long, Q double, S string, N int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for most, files in ((10_000, 3), (70, 9)):
+            monkeypatch.setattr(IO, "STATA_ROWS", most)
+            root = _tmp()
+            assert len(IO.write_stata(df, root, "wave").collect()) == files
+            back = IO.scan_stata(spark, os.path.join(root, "*", "*.dta"), "QKEY long, Q double, S string, N int, source_file string")
+            got = sorted((int(r.source_file.split("wave=")[1].split("/")[0]), r.QKEY, r.Q, r.S, r.N) for r in back.collect())
+            assert [g[:2] for g in got] == sorted(r[:2] for r in rows)
+            assert {g[1]: g[2:] for g in got} == {r[1]: r[2:] for r in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
