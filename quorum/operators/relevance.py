@@ -248,13 +248,18 @@ BUCKETS = 16
 
 
 def contingency_of_pairs(answers: DataFrame, pairs: DataFrame, key: str = "human_id") -> DataFrame:
-    """A11 for listed pairs ``(target, qkey)`` of long answers: each answer to a
-    target asks its person's row of the other question."""
-    a = answers.where(C.answered("code")).select(key, "qkey", F.col("code").cast("double").alias("code"))
-    asked = a.withColumnsRenamed({"qkey": "target", "code": "a"}).join(
-        bounded_broadcast(pairs.select("target", F.col("qkey").alias("other"))), "target")
-    return asked.join(a.withColumnsRenamed({"qkey": "other", "code": "b"}), [key, "other"]).groupBy(
-        "target", "other", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """A11 for listed pairs ``(target, qkey)`` of long answers: a person's answers to
+    listed questions are gathered once and people with equal answers counted; the
+    answers of each such sheet meet in place, so pairs of answers are never shuffled
+    but summed."""
+    own, code = F.struct("qkey", F.col("code").cast("double").alias("code")), C.answered("code")
+    wanted = bounded_broadcast(pairs.select("target", F.col("qkey").alias("other")))
+    listed = pairs.select(F.explode(F.array("target", "qkey")).alias("qkey")).distinct()
+    sheets = (answers.where(code & F.col(key).isNotNull()).join(bounded_broadcast(listed), "qkey", "left_semi")
+              .groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("_all")).groupBy("_all").agg(F.count(F.lit(1)).alias("_n")))
+    met = sheets.select(F.explode_outer("_all").alias("_t"), "_all", "_n").select("_t", F.explode_outer("_all").alias("_o"), "_n")
+    met = met.select(F.col("_t.qkey").alias("target"), F.col("_o.qkey").alias("other"), F.col("_t.code").alias("a"), F.col("_o.code").alias("b"), "_n")
+    return met.join(wanted, ["target", "other"]).groupBy("target", "other", "a", "b").agg(F.sum("_n").alias("n"))
 
 
 def remembered_relevance(path: str, answers: DataFrame, pairs: DataFrame, attribute: str = OVERALL, trait: str = OVERALL,

@@ -158,7 +158,7 @@ def q_relevance_remembered(spark, sf_dir):
     qa = F.explode(F.array(*[F.struct(F.lit(q).alias("qkey"), F.col(q).alias("code")) for q in QUESTIONS])).alias("qa")
     wide = wide.withColumn("human_id", F.monotonically_increasing_id())  # a line is a respondent; order and line number may repeat
     answers = kept(wide.select("human_id", "segment", qa).select("human_id", "segment", "qa.*").where("code is not null"), "answers")
-    pairs, path = RL.question_pairs(answers), scratch(spark, "relevance")
+    pairs, path = kept(RL.question_pairs(answers), "pairs"), scratch(spark, "relevance")
     RL.remembered_relevance(path, answers, pairs.where(F.col("target") == QUESTIONS[0]), "segment", _SUBPOP)
     RL.remembered_relevance(path, answers, pairs.where(F.col("target") == QUESTIONS[1]))
     out = RL.remembered_relevance(path, answers, pairs, "segment", _SUBPOP)

@@ -164,3 +164,21 @@ def test_strategy_parameter(spark):
                 .select("target", F.col("other").alias("qkey"), "n_joint", F.col("n_joint").cast("double").alias("relevance")))
     got = {(r.target, r.qkey): r.relevance for r in RL.pairwise_relevance(wide, ["a"], ["a", "b", "c"], joint).collect()}
     assert got == {("a", "b"): 2.0, ("a", "c"): 3.0}
+
+
+def test_pairs_of_a_person_meet_without_a_join_of_answers(spark):
+    """Repeated answers count each with each, NULL persons and NULL answers not; answers are shuffled once."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(12)]), rng.choice("abcd"), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(300)]
+    listed = [("a", "b"), ("b", "a"), ("c", "c"), ("a", "d"), ("d", "none"), ("none", "a")]
+    answers = spark.createDataFrame(rows, "human_id long, qkey string, code double")
+    pairs = spark.createDataFrame(listed, "target string, qkey string")
+    out = RL.contingency_of_pairs(answers, pairs)
+    want = {}
+    for h, q, v in rows:
+        for g, o, w in rows:
+            if h is not None and h == g and v is not None and w is not None and (q, o) in listed:
+                want[q, o, v, w] = want.get((q, o, v, w), 0) + 1
+    assert {(r.target, r.other, r.a, r.b): r.n for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("human_id") and not any("human_id" in line for line in plan.splitlines() if "Join Inner" in line)
