@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql.functions import spark_partition_id as spark_partition
 from tokenizers import Tokenizer
 
@@ -171,3 +172,24 @@ def test_hot_conversation_is_split(spark):
     want = hashlib.sha256("".join(f"{ro}\n{x}\n" for _, _, ro, x in rows[:3000]).encode()).hexdigest()
     assert out[1].turns_sha256 == want
     assert chat.prefix_examples(turns).filter("conv_id = 1").select(spark_partition()).distinct().count() > 1
+
+
+def test_query_reads_examples_written_out(spark, monkeypatch):
+    """Every reply's row holds its whole context, over several parts, and the digests are read from these rows."""
+    monkeypatch.setattr(chat, "PART", 2000)
+    monkeypatch.setattr(chat, "SHARE", 1)
+    rows = [(c, i, "assistant" if i % 3 == 1 else "user", f"{c} says {'é' * (i % 5)} ### {i}") for c, n in ((1, 90), (2, 3), (None, 40)) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    examples = chat.prefix_examples(turns)
+    found = examples.select("*", spark_partition().alias("task")).collect()
+    assert len(found) == len(rows) and len({r.task for r in found if r.conv_id == 1}) > 1
+    for conv in (1, 2, None):
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.position)
+        contexts = [c for c, _ in chat.render((r.is_reply, r.segment) for r in own)]
+        assert [r.context for r in own if r.is_reply] == contexts and all(r.context is None for r in own if not r.is_reply)
+    digest = {r.conv_id: r for r in chat.digests(turns).collect()}
+    assert {c: (r.n_turns, r.n_examples) for c, r in digest.items()} == {1: (90, 30), 2: (3, 1), None: (40, 13)}
+    lost = examples.withColumn("context", F.when(F.col("position") == 31, F.expr("substring(context, 2)")).otherwise(F.col("context")))
+    monkeypatch.setattr(chat, "prefix_examples", lambda _: lost)
+    with pytest.raises(Exception, match="context"):
+        chat.digests(turns).collect()
