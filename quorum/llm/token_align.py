@@ -44,7 +44,7 @@ from quorum.llm import tokens
 from quorum.llm.common import in_batches, written
 
 PIECE, WIDE = 1 << 16, 1 << 12  # steps of a path piece; pairs of a group that is reduced first
-ENTRIES, CHUNK = 1 << 21, 1 << 22  # (document, pair) entries of a block; bytes of text that are aligned together
+ENTRIES, CHUNK = 1 << 21, 1 << 19  # (document, pair) entries of a block; bytes of text that are aligned together
 
 DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 STORED = f"block long, {DOCUMENT}, pairs array<int>, times array<int>"
@@ -193,8 +193,9 @@ class _Block:
     def add(self, facts: tuple, keys: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, max(1, len(keys)), ENTRIES):
             self.docs.append(facts if at == 0 else (facts[0], facts[1], 0, 0, 0, 0, ""))
-            self.keys.append(keys[at:at + ENTRIES])
-            self.times.append(times[at:at + ENTRIES])
+            # copies, which do not hold the arrays of all texts they were aligned with
+            self.keys.append(keys[at:at + ENTRIES].astype(np.uint32))
+            self.times.append(times[at:at + ENTRIES].astype(np.int32))
             self.held += len(self.keys[-1])
             if self.held >= ENTRIES:
                 yield from self.flush()
@@ -207,7 +208,7 @@ class _Block:
         gaps = np.diff(place, prepend=0)  # places rise within a document, and small numbers are stored in little space
         some = upto[:-1][np.diff(upto) > 0]
         gaps[some] = place[some]
-        yield _rows([(self.number, None, None, None, None, None, None, None)], pairs.astype(np.uint32).view(np.int32), n, [0, len(pairs)])
+        yield _rows([(self.number, None, None, None, None, None, None, None)], pairs.view(np.int32), n, [0, len(pairs)])
         for at in range(0, len(self.docs), 256):
             to = min(at + 256, len(self.docs))
             times = np.concatenate(self.times[at:to])

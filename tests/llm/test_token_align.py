@@ -115,3 +115,26 @@ def test_empty_and_long(spark):
     assert token_align.align(empty, A, B).count() == 0
     rows = [(1, "\n" * 400_000 + "end"), (2, "x" * 400_000), (3, "é" * 100_000)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_a_task_holds_little_beside_its_block(monkeypatch):
+    """Aligning 4 MB of texts takes a bounded part of a worker's memory; a block holds 8 bytes an entry."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    monkeypatch.setattr(token_align, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)).decode() for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(450), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    token_align.aligned(texts[:1], A, B)  # the vocabularies
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in token_align._align(A, B)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 451 and peak < 150e6
+    block = token_align._Block(0)
+    keys = np.arange(1000, dtype=np.int64) << 16
+    list(block.add((0, 1, 1, 1, 1, 1, ""), keys[100:200], np.ones(1000, np.int64)[100:200]))
+    assert sum(x.nbytes for x in block.keys + block.times) == 800 and all(x.base is None for x in block.keys + block.times)
