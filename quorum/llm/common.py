@@ -45,6 +45,19 @@ def wide_batches(spark: SparkSession, rows: int = 10_000):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def light_batches(spark: SparkSession, size: int = 4 << 20):
+    """Within it, an Arrow batch of a job ends at ``size`` bytes, however few its rows:
+    JVM and Python worker hold it outside the heap, and texts may all be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the
     lineage, so that a lost executor costs only the tasks that it ran."""

@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import in_batches, wide_batches, written
+from quorum.llm.common import in_batches, light_batches, wide_batches, written
 from quorum.llm.set_pairs import P, Q, R, bitmap, coarse, compared, confirmed, distinct, folded_words, hashed, merged, mix, most_different
 from quorum.operators.joins import bounded_broadcast
 
@@ -258,7 +258,9 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     band = F.size(F.filter(starts, lambda x: x <= F.col("n_shingles"))) - 1
     many = {r["band"]: r["n"] for r in vertices.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # a row a band
     schemes = [scheme(edges[k], edges[k + 1], many.get(k, 0) + many.get(k + 1, 0), percent) for k in range(len(edges) - 1)]
-    alone = sets.select("row", "words", "coarse", "n_shingles").join(bounded_broadcast(vertices.select("row")), "row", "left_semi")
+    copies = written(own.join(vertices.select("digest", F.col("row").alias("first")), "digest").filter("row != first").select("row"), "copies")
+    alone = (sets.filter("digest is not null").select("row", "words", "coarse", "n_shingles")
+             .join(bounded_broadcast(copies), "row", "left_anti"))  # the other rows are the vertices, which are more
     keys = in_batches(alone.select("row", "words"), _keys(edges, schemes, percent), "key long, row long")
     keys = keys.repartition("key").sortWithinPartitions("key", "row")
     with wide_batches(docs.sparkSession):
@@ -269,7 +271,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     every = small.union(nodes.filter("key is not null").select("rows"))
     others = F.explode(F.slice("rows", 2, SMALL))
     stars = every.select(F.element_at("rows", 1).alias("a"), others.alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    parts = merged(docs.sparkSession.createDataFrame([], "row long, part long"), confirmed(stars, sets, percent))
+    none = docs.sparkSession.range(0).select(F.col("id").alias("row"), F.col("id").alias("part"))
+    parts = merged(none, confirmed(stars, sets, percent))
 
     wide = small.filter(F.size("rows") > 2)
     big = nodes.filter("key is not null")
@@ -285,7 +288,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, linked at ``percent``."""
-    sets, vertices = linked(docs, percent)
+    with light_batches(docs.sparkSession):
+        sets, vertices = linked(docs, percent)
     named = written(vertices.join(vertices.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("digest", "component_id"), "named")
     narrow = sets.select("doc_id", "n_shingles", "digest")
     grouped = narrow.filter("digest is not null").join(named, "digest").select("doc_id", "n_shingles", "component_id")

@@ -123,6 +123,7 @@ def possible(sizes: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray,
 # ---- tasks -------------------------------------------------------------------
 
 BULK, FEW = 1 << 15, 64  # rows that are compared together; rows of a node whose pairs are written out at once
+PAIRS = 1 << 18  # pairs that are held at once
 
 
 def _bulks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -149,61 +150,84 @@ def _bulks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield table(held)
 
 
-def _pairs_within(nodes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs of different parts in the same node."""
+def _pairs_within(nodes: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of different parts in the same node, about PAIRS at a time."""
     starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
     stops = np.append(starts[1:], len(nodes))
     many = stops - starts
     left = np.repeat(np.where(many <= FEW, stops, 0), many) - np.arange(len(nodes)) - 1  # partners behind each row
     left = np.maximum(left, 0)
-    i = np.repeat(np.arange(len(nodes)), left)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
-    apart = parts[i] != parts[j]
-    found = [(i[apart], j[apart])]
+    ahead = np.cumsum(left)
+    cuts = np.searchsorted(ahead, np.arange(0, ahead[-1], PAIRS), side="right")
+    for at, to in zip(cuts, np.append(cuts[1:], len(nodes))):
+        own = left[at:to]
+        i = np.repeat(np.arange(at, to), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        apart = parts[i] != parts[j]
+        yield i[apart], j[apart]
     for start, stop in zip(starts[many > FEW], stops[many > FEW]):
         _, part, n = np.unique(parts[start:stop], return_inverse=True, return_counts=True)
         large = part == n.argmax()
         order = start + np.argsort(large, kind="stable")  # rows of the largest part last: they are not compared with each other
-        for at in range(0, int((~large).sum()), 256):
-            own = order[at:min(at + 256, int((~large).sum()))]
+        others, step = int((~large).sum()), max(1, PAIRS // len(order))
+        for at in range(0, others, step):
+            own = order[at:min(at + step, others)]
             x, y = np.nonzero(parts[own][:, None] != parts[order[at:]][None, :])
             ahead = y > x
-            found.append((own[x[ahead]], order[at:][y[ahead]]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+            yield own[x[ahead]], order[at:][y[ahead]]
 
 
 def near_pairs(percent: int, only_closest: bool, screen: int = 0):
     """Of nodes (node, row, part, n_shingles, map[, low]) the pairs (a < b) of
     different parts that can be similar enough by their bitmaps: all, or of every
-    two parts the closest among some nodes.  With ``screen``, pairs agree in so many bytes of ``low``."""
+    two parts the closest among some nodes.  With ``screen``, pairs agree in so many bytes of ``low``.
+    Pairs are made and tested about PAIRS at a time, however many the nodes hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, rows, parts, sizes, *wide in _bulks(batches):
             rows, parts, sizes = (c.to_numpy() for c in (rows, parts, sizes))
-            i, j = _pairs_within(nodes.to_numpy(), parts)
             # rows that are in several of these nodes are one, and so are their pairs
             names, first, own = np.unique(rows, return_index=True, return_inverse=True)
-            low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-            pairs = distinct(low * len(names) + high)
-            i, j = pairs // len(names), pairs % len(names)
-            parts, sizes = parts[first], sizes[first]
-            good = (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
-            i, j = i[good], j[good]
-            if screen:
-                bytes_ = wide[1].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[first]
-                good = np.concatenate([(bytes_[i[at:at + BULK]] == bytes_[j[at:at + BULK]]).sum(axis=1) >= screen
-                                       for at in range(0, len(i), BULK)] or [np.zeros(0, bool)])
-                i, j = i[good], j[good]
+            every, parts, sizes = parts, parts[first], sizes[first]
+            bytes_ = wide[1].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[first] if screen else None
             maps = wide[0].take(pa.array(first)).to_pylist()
-            apart = differing(maps, i, j)
-            good = apart <= most_different(sizes[i], sizes[j], percent)
-            i, j, apart = i[good], j[good], apart[good]
-            if only_closest and len(i):
-                low, high = np.minimum(parts[i], parts[j]), np.maximum(parts[i], parts[j])
-                order = np.lexsort((apart, high, low))
-                best = order[np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])]
-                i, j = i[best], j[best]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], ["a", "b"])
+
+            def kept(pairs, apart):
+                """Pairs in order, each once; with only_closest, the closest of every two parts."""
+                pairs, at = np.unique(pairs, return_index=True)
+                apart = apart[at]
+                if only_closest and len(pairs):
+                    x, y = parts[pairs // len(names)], parts[pairs % len(names)]
+                    low, high = np.minimum(x, y), np.maximum(x, y)
+                    order = np.lexsort((apart, high, low))
+                    best = order[np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])]
+                    pairs, apart = pairs[best], apart[best]
+                return pairs, apart
+
+            def batch(pairs):
+                return pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)])], ["a", "b"])
+            found, n = [], 0
+            for i, j in _pairs_within(nodes.to_numpy(), every):
+                low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+                pairs = distinct(low * len(names) + high)
+                i, j = pairs // len(names), pairs % len(names)
+                good = (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
+                i, j = i[good], j[good]
+                if screen:
+                    good = np.concatenate([(bytes_[i[at:at + BULK]] == bytes_[j[at:at + BULK]]).sum(axis=1) >= screen
+                                           for at in range(0, len(i), BULK)] or [np.zeros(0, bool)])
+                    i, j = i[good], j[good]
+                apart = differing(maps, i, j)
+                good = apart <= most_different(sizes[i], sizes[j], percent)
+                found.append((i[good] * len(names) + j[good], apart[good]))
+                n += int(good.sum())
+                if n > PAIRS:
+                    found = [kept(*(np.concatenate(x) for x in zip(*found)))]
+                    n = len(found[0][0])
+                    if n > PAIRS // 2:  # then one that is met again is given again
+                        yield batch(found[0][0])
+                        found, n = [], 0
+            if n:
+                yield batch(kept(*(np.concatenate(x) for x in zip(*found)))[0])
     return run
 
 

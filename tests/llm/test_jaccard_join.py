@@ -156,3 +156,87 @@ def test_both_operators_agree(spark):
     exact = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, near_dedup.PERCENT).collect()}
     trees = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.deduplicate(docs).collect()}
     assert exact == trees and len({e[2] for e in exact}) < docs.count()
+
+
+def blocks(nodes, size, seed):
+    """A stream of (node, row, part, n_shingles, map): rows in several nodes, maps near a few others, some rows of one part."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 256, (6, 128), np.uint8)
+    n = max(nodes * size // 2, size)
+    maps = centres[rng.integers(0, 6, n)]
+    maps[np.arange(n), rng.integers(0, 128, n)] ^= 1
+    far = rng.random(n) < 0.7
+    maps[far] = rng.integers(0, 256, (int(far.sum()), 128), np.uint8)
+    parts = np.where(rng.random(n) < 0.2, 0, np.arange(n) // 2 * 2)
+    sizes = rng.integers(700, 1000, n)
+    rows = np.concatenate([np.sort(rng.choice(n, k, replace=False)) for k in ([size] * nodes + [2, 3, 40, 64, 65] if seed else [size] * nodes)])
+    node = np.repeat(np.arange(nodes + (5 if seed else 0)), [size] * nodes + ([2, 3, 40, 64, 65] if seed else []))
+    table = pa.table({"node": node, "row": rows, "part": parts[rows], "n": sizes[rows], "map": pa.array([maps[k].tobytes() for k in rows], pa.binary())})
+    return table, parts, sizes, [m.tobytes() for m in maps]
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 18])
+def test_pairs_a_part_at_a_time(held, monkeypatch):
+    """However few pairs are held at once, all that their bitmaps allow are found, or the closest of every two parts."""
+    monkeypatch.setattr(set_pairs, "PAIRS", held)
+    table, parts, sizes, maps = blocks(3, 90, 7)
+    node, row = table.column(0).to_numpy(), table.column(1).to_numpy()
+    both = {(a, b) for k in set(node.tolist()) for a in row[node == k].tolist() for b in row[node == k].tolist() if a < b and parts[a] != parts[b]}
+    i, j = np.array(sorted(both)).T
+    good = set_pairs.possible(sizes, maps, i, j, 80)
+    apart = dict(zip(zip(i.tolist(), j.tolist()), set_pairs.differing(maps, i, j).tolist()))
+    expected = set(zip(i[good].tolist(), j[good].tolist()))
+    assert len(expected) > 100 and len(expected) < len(both)
+
+    def found(only_closest):
+        out = [x for x in set_pairs.near_pairs(80, only_closest)(iter(table.to_batches(max_chunksize=17)))]
+        return [(r["a"], r["b"]) for x in out for r in x.to_pylist()]
+
+    def of_parts(pair):
+        return tuple(sorted((int(parts[pair[0]]), int(parts[pair[1]]))))
+    every, closest = found(False), found(True)
+    assert set(every) == expected and (held < 1 << 18 or len(every) == len(expected))
+    least = {}
+    for pair in expected:
+        least[of_parts(pair)] = min(apart[pair], least.get(of_parts(pair), 1 << 30))
+    best = {}
+    for pair in closest:
+        best[of_parts(pair)] = min(apart[pair], best.get(of_parts(pair), 1 << 30))
+    assert set(closest) <= expected and best == least
+
+
+def test_full_blocks_in_little_memory():
+    """Blocks of hot nodes, all of different parts: a worker never holds all their pairs (two blocks have 4.2 million)."""
+    import tracemalloc
+    table = blocks(2, jaccard_join.TOGETHER, 0)[0]
+    batches = table.to_batches(max_chunksize=500)
+    tracemalloc.start()
+    try:
+        largest = max(x.num_rows for x in set_pairs.near_pairs(80, False)(iter(batches)))
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+    assert largest <= 3 * set_pairs.PAIRS
+
+
+def test_copies_are_left_out(spark):
+    """Texts that are many times in the table are one vertex, rows without words none."""
+    rows = [(i, ROWS[i % 40][1]) for i in range(200)] + [(300 + i, None) for i in range(5)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_batches_of_long_texts(spark, monkeypatch):
+    """Texts of 2 MB: no batch of the join holds many of them, and the session's setting is back afterwards."""
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    linked = jaccard_join.linked
+
+    def measured(docs, percent):
+        sizes = jaccard_join.in_batches(docs.select("text"), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        rows.extend(r["n"] for r in sizes.collect())
+        return linked(docs, percent)
+    monkeypatch.setattr(jaccard_join, "linked", measured)
+    texts = [("word " * 400_000) + str(i % 2) for i in range(12)]
+    found = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert sum(rows) == 12 and max(rows) <= 3 and spark.conf.get(key) == before
+    assert {(r.n_shingles, r.component_id) for r in found} == {(2, 0), (2, 1)}
